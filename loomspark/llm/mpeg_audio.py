@@ -131,7 +131,7 @@ def read_audio(data: bytes) -> dict:
     synced = False
     while at + 4 <= stop:
         h = header(data[at : at + 4])
-        if h and not synced:
+        if h and not (synced and out["kind"] == (*h[:2], h[4])):
             after = at + h[5]
             follow = header(data[after : after + 4])
             h = h if after == stop or follow and (follow[:2], follow[4]) == (h[:2], h[4]) else None
@@ -155,7 +155,7 @@ def read_audio(data: bytes) -> dict:
             out["kbps"].append(kbps)
             out["spans"].append((body + side, at + size))
             samples[hz] = samples.get(hz, 0) + n
-        out["kind"] = h[:2]
+        out["kind"] = (*h[:2], h[4])
         at += size
     out["duration"] = sum((Fraction(n, hz) for hz, n in samples.items()), Fraction(0))
     return out
