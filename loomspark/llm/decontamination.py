@@ -50,7 +50,7 @@ def winnow(words: Column, span: int) -> Column:
     return F.when(n >= span, of(words)).otherwise(F.array().cast("array<struct<span:int,s:int,h:bigint,near:array<string>>>"))
 
 
-def few(df: DataFrame, limit: int) -> DataFrame:
+def few(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """The table, marked for broadcast if it is counted to be small enough."""
     return F.broadcast(df) if df.count() <= limit else df
 
