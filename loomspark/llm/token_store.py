@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +32,12 @@ from .common import materialize, read_table, small_batches
 END = 2
 FIRST_RULE = 1 << 20
 SHARD = 1 << 20
-ROUNDS = 6
+ROUNDS = 3
 LEAST_COUNT = 4
 MOST_RULES_A_ROUND = 1 << 15
-CACHE = 200_000
+CACHE = 300_000
+STOPS = ".,;:!?"
+SIGMA = "\u03a3"  # the one letter whose lower case depends on its neighbours
 MAGIC = b"RPG1"
 
 
@@ -140,7 +141,11 @@ def read_range(blob: bytes, start: int, n: int) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes texts with a tokenizers file. Its pre-tokens never cross a space, so pieces between spaces are kept by their text."""
+    """Encodes texts with a tokenizers file whose pre-tokens never cross a space, and are runs of letters, or of other marks.
+
+    Pieces between spaces are kept by their text, as the bytes of their ids. A piece that is letters and then stops is
+    the letters' ids and the stops'; letters are kept in lower case, and new ones are encoded together, space between.
+    """
 
     def __init__(self, path: str):
         import os
@@ -148,17 +153,46 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def __call__(self, texts: list) -> list[list[int]]:
-        pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = list({p for ps in pieces for p in ps}.difference(self.known))
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[p] = e.ids
-        get = self.known.__getitem__
-        return [list(chain.from_iterable(map(get, ps))) for ps in pieces]
+        self.tokenizer, self.pieces, self.letters = Tokenizer.from_file(path), {}, {}
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn_letters(self, words: list[str]) -> None:
+        for i in range(0, len(words), 4096):
+            some = words[i : i + 4096]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, at = np.array(e.ids, "<u4"), np.array(e.word_ids)
+            ends = np.flatnonzero(np.append(np.diff(at), 1)) + 1
+            if len(ends) == len(some) and len(at) and at[-1] == len(some) - 1:
+                raw, stops = ids.tobytes(), (4 * ends).tolist()
+                self.letters.update(zip(some, (raw[x:y] for x, y in zip([0, *stops], stops, strict=False)), strict=True))
+            else:  # a run of letters that is more than one pre-token
+                self.letters.update(zip(some, self._alone(some), strict=True))
+
+    def __call__(self, texts: list) -> list[bytes]:
+        """The little-endian uint32 ids of each text."""
+        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        if len(self.pieces) > CACHE:
+            self.pieces.clear()
+        if len(self.letters) > CACHE:
+            self.letters.clear()
+        known, other, plain = self.pieces, [], []
+        for p in {p for ps in split for p in ps}.difference(known):
+            core = p.rstrip(STOPS)
+            if core.isalpha() and SIGMA not in core:
+                plain.append((p, core.lower(), p[len(core) :]))
+            else:
+                other.append(p)
+        stops = {s for _, _, s in plain}.difference(known)
+        other = list(stops.union(other))
+        known.update(zip(other, self._alone(other), strict=True))
+        self._learn_letters(list({c for _, c, _ in plain}.difference(self.letters)))
+        letters = self.letters
+        for p, c, s in plain:
+            known[p] = letters[c] + known[s]
+        get = known.__getitem__
+        return [b"".join(map(get, ps)) for ps in split]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -179,18 +213,17 @@ def encode_shards(docs: DataFrame, tokenizer: str, id_col="doc_id", text_col="te
 
     def run(batches):
         encode, part, seq = _encoder(tokenizer), TaskContext.get().partitionId(), 0
-        held, ids, n = [], [], 0
+        held, ids, n, last = [], [], 0, struct.pack("<I", end)
 
         def row():
-            blob = compress(np.concatenate(held))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(h) for h in held]], pa.list_(pa.int64())), pa.array([blob], pa.binary())], names=names)
+            blob = compress(np.frombuffer(b"".join(held), "<u4"))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(h) // 4 for h in held]], pa.list_(pa.int64())), pa.array([blob], pa.binary())], names=names)
 
         for b in batches:
             for doc_id, e in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
-                e.append(end)
-                held.append(np.array(e, np.uint32))
+                held.append(e + last)
                 ids.append(doc_id)
-                n += len(e)
+                n += len(e) // 4 + 1
                 if n >= shard:
                     yield row()
                     held, ids, n, seq = [], [], 0, seq + 1
