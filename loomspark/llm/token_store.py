@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,9 +67,9 @@ def _replace(seq: np.ndarray, first: int, least: int, most: int) -> tuple[np.nda
     run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
     use = (np.arange(len(at)) - run_start) % 2 == 0
     at, rule = at[use], rule[use]
-    used, rule = np.unique(rule, return_inverse=True)
+    used = np.bincount(rule, minlength=len(chosen)) > 0
     out = seq.copy()
-    out[at] = first + rule
+    out[at] = first + (np.cumsum(used) - 1)[rule]
     keep = np.ones(len(seq), bool)
     keep[at + 1] = False
     return out[keep], chosen[used]
@@ -144,7 +145,9 @@ class Encoder:
     """Encodes texts with a tokenizers file whose pre-tokens never cross a space, and are runs of letters, or of other marks.
 
     Pieces between spaces are kept by their text, as the bytes of their ids. A piece that is letters and then stops is
-    the letters' ids and the stops'; letters are kept in lower case, and new ones are encoded together, space between.
+    the letters' ids and the stops'; letters are kept in lower case. New ones that are ASCII go straight to the file's
+    BPE model, as lower case and bytes are all that the file's other parts look at in them; others are encoded together,
+    space between.
     """
 
     def __init__(self, path: str):
@@ -154,9 +157,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.pieces, self.letters = Tokenizer.from_file(path), {}, {}
+        self.split_letters = self.tokenizer.model.tokenize
+        self.id_bytes = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
 
     def _alone(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn_letters(self, words: list[str]) -> None:
         for i in range(0, len(words), 4096):
@@ -177,20 +182,29 @@ class Encoder:
             self.pieces.clear()
         if len(self.letters) > CACHE:
             self.letters.clear()
-        known, other, plain = self.pieces, [], []
-        for p in {p for ps in split for p in ps}.difference(known):
+        known, letters, id_bytes = self.pieces, self.letters, self.id_bytes
+        ends, other, plain = {"": b""}, [], []
+        for p in set(chain.from_iterable(split)).difference(known):
             core = p.rstrip(STOPS)
-            if core.isalpha() and SIGMA not in core:
-                plain.append((p, core.lower(), p[len(core) :]))
-            else:
+            if not core.isalpha() or SIGMA in core:
                 other.append(p)
-        stops = {s for _, _, s in plain}.difference(known)
-        other = list(stops.union(other))
+                continue
+            low, end = core.lower(), p[len(core) :]
+            ids = letters.get(low)
+            if ids is None and core.isascii():
+                letters[low] = ids = b"".join([id_bytes[t.id] for t in self.split_letters(low)])
+            if ids is None:
+                plain.append((p, low, end))
+                continue
+            if end not in ends:
+                ends[end] = self._alone([end])[0]
+            known[p] = ids + ends[end]
         known.update(zip(other, self._alone(other), strict=True))
-        self._learn_letters(list({c for _, c, _ in plain}.difference(self.letters)))
-        letters = self.letters
-        for p, c, s in plain:
-            known[p] = letters[c] + known[s]
+        self._learn_letters(list({low for _, low, _ in plain}.difference(letters)))
+        for p, low, end in plain:
+            if end not in ends:
+                ends[end] = self._alone([end])[0]
+            known[p] = letters[low] + ends[end]
         get = known.__getitem__
         return [b"".join(map(get, ps)) for ps in split]
 
