@@ -131,6 +131,15 @@ def test_token_shards_round_trip(spark, docs, none):
     assert token_store.write_and_read(none, path).count() == 0
 
 
+def test_encoder_equals_tokenizer_on_odd_texts():
+    path = token_store.default_tokenizer()
+    encode = token_store.Encoder(path)
+    texts = ["mIt MIT. mit", "a" * 5000 + " x" * 3, "É Éa e\u0301. K\u212a", "ΣΑΣ. ΣΑΣ", "don't I'LL, it's", "<|endoftext|> x<|startoftext|>", "\t a b\u00a0 c", "ﬁn ǅ İ ẞ", "日本語 テスト。", "", "  ", "\r\nend?! ...", "x;;:\x00a b", None]
+    for _ in range(2):  # the second time from what is kept
+        for text, ids in zip(texts, encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == encode.tokenizer.encode(text or "", add_special_tokens=False).ids, text
+
+
 def test_grammar_is_lossless_and_random_access():
     rng = np.random.default_rng(1)
     for ids in (np.zeros(0, np.uint32), np.array([2]), np.full(1001, 7), np.tile([1, 2, 3], 500), rng.integers(0, 20, 5000), rng.integers(0, 1 << 20, 300)):
