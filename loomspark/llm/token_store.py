@@ -21,9 +21,11 @@ from __future__ import annotations
 import struct
 import zlib
 from itertools import chain
+from string import ascii_letters
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +39,7 @@ ROUNDS = 3
 LEAST_COUNT = 4
 MOST_RULES_A_ROUND = 1 << 15
 CACHE = 300_000
-STOPS = ".,;:!?"
+STOPS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"  # not those of apostrophe forms and special tokens
 SIGMA = "\u03a3"  # the one letter whose lower case depends on its neighbours
 MAGIC = b"RPG1"
 
@@ -144,10 +146,10 @@ def read_range(blob: bytes, start: int, n: int) -> np.ndarray:
 class Encoder:
     """Encodes texts with a tokenizers file whose pre-tokens never cross a space, and are runs of letters, or of other marks.
 
-    Pieces between spaces are kept by their text, as the bytes of their ids. A piece that is letters and then stops is
-    the letters' ids and the stops'; letters are kept in lower case. New ones that are ASCII go straight to the file's
-    BPE model, as lower case and bytes are all that the file's other parts look at in them; others are encoded together,
-    space between.
+    The pieces between spaces are told apart once a batch, and their ids put in the order of the texts. A piece that is
+    letters and then stops is the letters' ids and the stops'; the ids of letters are kept by their lower case. New ones
+    that are ASCII go straight to the file's BPE model, as lower case and bytes are all that the file's other parts look
+    at in them; others are encoded together, space between.
     """
 
     def __init__(self, path: str):
@@ -157,6 +159,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.pieces, self.letters = Tokenizer.from_file(path), {}, {}
+        self.ends: dict[str, bytes] = {}
         self.split_letters = self.tokenizer.model.tokenize
         self.id_bytes = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
 
@@ -175,38 +178,81 @@ class Encoder:
             else:  # a run of letters that is more than one pre-token
                 self.letters.update(zip(some, self._alone(some), strict=True))
 
-    def __call__(self, texts: list) -> list[bytes]:
-        """The little-endian uint32 ids of each text."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        if len(self.letters) > CACHE:
-            self.letters.clear()
-        known, letters, id_bytes = self.pieces, self.letters, self.id_bytes
-        ends, other, plain = {"": b""}, [], []
-        for p in set(chain.from_iterable(split)).difference(known):
+    def _other_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that are not ASCII letters and stops."""
+        known, ends, other, plain = self.pieces, self.ends, [], []
+        for p in pieces:
+            if p in known:
+                continue
             core = p.rstrip(STOPS)
-            if not core.isalpha() or SIGMA in core:
+            if core.isalpha() and SIGMA not in core:
+                plain.append((p, core.lower(), p[len(core) :]))
+            else:
                 other.append(p)
-                continue
-            low, end = core.lower(), p[len(core) :]
-            ids = letters.get(low)
-            if ids is None and core.isascii():
-                letters[low] = ids = b"".join([id_bytes[t.id] for t in self.split_letters(low)])
-            if ids is None:
-                plain.append((p, low, end))
-                continue
-            if end not in ends:
-                ends[end] = self._alone([end])[0]
-            known[p] = ids + ends[end]
         known.update(zip(other, self._alone(other), strict=True))
-        self._learn_letters(list({low for _, low, _ in plain}.difference(letters)))
+        self._learn_letters(list({low for _, low, _ in plain}.difference(self.letters)))
+        self._learn_ends({end for _, _, end in plain})
         for p, low, end in plain:
-            if end not in ends:
-                ends[end] = self._alone([end])[0]
-            known[p] = letters[low] + ends[end]
-        get = known.__getitem__
-        return [b"".join(map(get, ps)) for ps in split]
+            known[p] = self.letters[low] + ends[end]
+        return [known[p] for p in pieces]
+
+    def _learn_ends(self, ends: set[str]) -> None:
+        new = list(ends.difference(self.ends))
+        self.ends.update(zip(new, self._alone(new), strict=True))
+
+    def _ascii_words(self, words: list[str]) -> list[bytes]:
+        """The ids of words of lower-case ASCII letters."""
+        letters, tokenize, id_bytes, out = self.letters, self.split_letters, self.id_bytes, []
+        for w in words:
+            ids = letters.get(w)
+            if ids is None:
+                letters[w] = ids = b"".join([id_bytes[t.id] for t in tokenize(w)])
+            out.append(ids)
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one row, and where each text's end."""
+        if len(self.pieces) > CACHE:
+            self.pieces.clear()
+        if len(self.letters) > CACHE:
+            self.letters.clear()
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        pieces = split.flatten().dictionary_encode()
+        distinct = pieces.dictionary
+        is_word = pc.and_(pc.string_is_ascii(distinct), pc.ascii_is_alpha(pc.ascii_rtrim(distinct, STOPS)))
+        found = distinct.filter(is_word)
+        words = pc.ascii_lower(pc.ascii_rtrim(found, STOPS)).dictionary_encode()
+        stops = pc.ascii_ltrim(found, ascii_letters).dictionary_encode()
+        self._learn_ends(set(_strings(stops.dictionary)))
+        parts = [self._ascii_words(_strings(words.dictionary)), [self.ends[e] for e in _strings(stops.dictionary)], self._other_pieces(_strings(distinct.filter(pc.invert(is_word)))), [b""]]
+        at = np.cumsum([0, *map(len, parts)])
+        mask = is_word.to_numpy(zero_copy_only=False)
+        halves = np.full((len(distinct), 2), at[3])  # a word and its stops, or another piece and nothing
+        halves[mask, 0], halves[mask, 1] = words.indices.to_numpy(), at[1] + stops.indices.to_numpy()
+        halves[~mask, 0] = np.arange(at[2], at[3])
+        raw = list(chain.from_iterable(parts))
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        ids = _take(np.frombuffer(b"".join(raw), "<u4"), sizes, halves.ravel())
+        sizes = sizes[halves].sum(axis=1)
+        order = pieces.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[order])])[split.offsets.to_numpy()[1:]]
+        return _take(ids, sizes, order), ends
+
+    def __call__(self, texts: list) -> list[bytes]:
+        """The little-endian uint32 ids of each text."""
+        ids, ends = self.encode(pa.array(texts, pa.string()))
+        return [part.tobytes() for part in np.split(ids, ends[:-1])] if len(ends) else []
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _take(values: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The runs of these sizes that values is made of, in this order."""
+    starts, own = np.cumsum(sizes) - sizes, sizes[order]
+    shift = starts[order] - (np.cumsum(own) - own)
+    return values[np.repeat(shift, own) + np.arange(own.sum())]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -227,20 +273,23 @@ def encode_shards(docs: DataFrame, tokenizer: str, id_col="doc_id", text_col="te
 
     def run(batches):
         encode, part, seq = _encoder(tokenizer), TaskContext.get().partitionId(), 0
-        held, ids, n, last = [], [], 0, struct.pack("<I", end)
+        held, ids, lengths, n, last = [], [], [], 0, np.array([end], "<u4")
 
         def row():
-            blob = compress(np.frombuffer(b"".join(held), "<u4"))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(h) // 4 for h in held]], pa.list_(pa.int64())), pa.array([blob], pa.binary())], names=names)
+            blob = compress(np.concatenate(held))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([blob], pa.binary())], names=names)
 
         for b in batches:
-            for doc_id, e in zip(b.column(0).to_pylist(), encode(b.column(1).to_pylist()), strict=True):
-                held.append(e + last)
+            found, ends = encode.encode(b.column(1).cast(pa.string()))
+            start = 0
+            for doc_id, stop in zip(b.column(0).to_pylist(), ends.tolist(), strict=True):
+                held += [found[start:stop], last]
                 ids.append(doc_id)
-                n += len(e) // 4 + 1
+                lengths.append(stop - start + 1)
+                n, start = n + lengths[-1], stop
                 if n >= shard:
                     yield row()
-                    held, ids, n, seq = [], [], 0, seq + 1
+                    held, ids, lengths, n, seq = [], [], [], 0, seq + 1
         if held:
             yield row()
 

@@ -140,6 +140,15 @@ def test_encoder_equals_tokenizer_on_odd_texts():
             assert np.frombuffer(ids, "<u4").tolist() == encode.tokenizer.encode(text or "", add_special_tokens=False).ids, text
 
 
+def test_encoder_equals_tokenizer_on_random_marks():
+    encode, rng = token_store.Encoder(token_store.default_tokenizer()), np.random.default_rng(3)
+    chars = list("abAB'sSnTt09 .,;:!?#*$%&_-<>|é ñΣß²½Ⅷ中\u0301\u200d\u00a0\t\n\x00\"\\`~^@/()[]{}=+")
+    texts = ["".join(rng.choice(chars, rng.integers(0, 40))) for _ in range(5000)]
+    for text, ids in zip(texts, encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert encode([]) == []
+
+
 def test_grammar_is_lossless_and_random_access():
     rng = np.random.default_rng(1)
     for ids in (np.zeros(0, np.uint32), np.array([2]), np.full(1001, 7), np.tile([1, 2, 3], 500), rng.integers(0, 20, 5000), rng.integers(0, 1 << 20, 300)):
