@@ -25,3 +25,13 @@ def closest_set(runs: DataFrame, id_col: str = "run", features: str = "features"
     best = like.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("jaccard"), "b"))).where("_r = 1")
     scores = runs.select(F.col(id_col).alias("b"), F.col(score).alias("other_score"))
     return best.join(scores, "b").select(F.col("a").alias("run"), F.col("b").alias("other"), "jaccard", "other_score")
+
+
+def regression(runs: DataFrame, features: str = "features", score: str = "score") -> DataFrame:
+    """(feature, effect): least-squares weights of membership in the sets, with an intercept."""
+    from pyspark.ml.feature import CountVectorizer
+    from pyspark.ml.regression import LinearRegression
+
+    names = CountVectorizer(inputCol=features, outputCol="_x", binary=True).fit(runs)
+    model = LinearRegression(featuresCol="_x", labelCol=score, solver="normal", regParam=0.0).fit(names.transform(runs))
+    return runs.sparkSession.createDataFrame(list(zip(names.vocabulary, map(float, model.coefficients), strict=True)), "feature string, effect double")

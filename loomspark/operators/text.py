@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What marks an email address, a link, a phone number, a date, a time and an amount of money.
@@ -63,3 +63,32 @@ def text_features(df: DataFrame, col: str, patterns: bool = True, complexity: bo
         new |= {"sentence_count": sentences, "question_count": count_of(s, "?"), "exclamation_count": count_of(s, "!"), "has_question": s.contains("?"), "parentheses_count": count_of(s, "()"), "quote_count": count_of(s, "\"'")}
         new |= {"unique_word_count": unique, "vocabulary_richness": unique / F.greatest(count, F.lit(1)), "avg_sentence_length": count / F.greatest(sentences, F.lit(1)), "char_entropy": char_entropy(s)}
     return df.withColumns({f"{col}_{k}": v.cast("int") if k.startswith(("is_", "has_", "starts_")) else v for k, v in new.items()})
+
+
+def char_codes(df: DataFrame, col: str) -> DataFrame:
+    """{col}_char_mean and {col}_char_std (population) of the code points; 0 for empty and null texts."""
+    s = F.coalesce(F.col(col), F.lit(""))
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    code = lambda c: F.ascii(c).cast("double")
+    sums = F.aggregate(F.split(s, ""), start, lambda a, c: F.struct((a["s"] + code(c)).alias("s"), (a["q"] + code(c) * code(c)).alias("q")))
+    n = F.greatest(F.length(s), F.lit(1))
+    out = df.withColumn("_c", sums)
+    mean = F.col("_c.s") / n
+    return out.withColumns({f"{col}_char_mean": mean, f"{col}_char_std": F.sqrt(F.greatest(F.col("_c.q") / n - mean * mean, F.lit(0.0)))}).drop("_c")
+
+
+def tf_idf(df: DataFrame, id_col: str, col: str, top: int = 100, min_docs: int = 2, max_share: float = 0.95, stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """(id, term, weight): term counts times ln((1 + N) / (1 + df)) + 1, each text scaled to length 1.
+
+    Terms are one word of two letters or digits at least, or two such in a row, stop words left out; of those in min_docs texts at
+    least and in max_share of them at most, the `top` most frequent count (ties by name). Ids are taken to be unique.
+    """
+    ws = F.filter(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: (F.length(w) > 1) & ~w.isin(*stop_words))
+    twos = F.when(F.size("ws") > 1, F.transform(F.sequence(F.lit(1), F.size("ws") - 1), lambda i: F.concat_ws(" ", F.get("ws", i - 1), F.get("ws", i)))).otherwise(F.array().cast("array<string>"))
+    counts = df.select(F.col(id_col), ws.alias("ws")).select(id_col, F.explode(F.concat("ws", twos)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("n"))
+    total = df.count()
+    terms = counts.groupBy("term").agg(F.count("*").alias("docs"), F.sum("n").alias("uses")).where((F.col("docs") >= min_docs) & (F.col("docs") <= max_share * total))
+    terms = terms.orderBy(F.desc("uses"), "term").limit(top)  # a report's length, so it may be broadcast
+    idf = F.log((1 + F.lit(total)) / (1 + F.col("docs"))) + 1
+    raw = counts.join(F.broadcast(terms), "term").withColumn("w", F.col("n") * idf)
+    return raw.select(id_col, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))).alias("weight"))

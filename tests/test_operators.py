@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.operators import attribution, binning, categorical, polynomial, quality, ranking, sampling, statistical, temporal, text
+from loomspark.operators import attribution, binning, categorical, domain, polynomial, quality, ranking, sampling, statistical, temporal, text
 from loomspark.plans import pipeline, search
 from loomspark.sources import tables
 from loomspark.streaming import windows
@@ -150,3 +150,28 @@ def test_streams_equal_tables(spark, tmp_path):
     q.stop()
     assert spark.table("live").count() == windows.windowed(events, "ts", ["event_type"], "value").count()
     assert windows.sessions(events, "ts", "user_id").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_char_codes_and_tf_idf(spark):
+    df = spark.createDataFrame([(1, "aab"), (2, None), (3, "é")], "id int, s string")
+    out = {r.id: (r.s_char_mean, r.s_char_std) for r in text.char_codes(df, "s").collect()}
+    assert out[1] == pytest.approx((292 / 3, math.sqrt(2) / 3)) and out[2] == (0, 0) and out[3] == (233, 0)
+    docs = ["red fox runs", "red fox", "blue fox", None]
+    got = {(r.id, r.term): r.weight for r in text.tf_idf(spark.createDataFrame(list(enumerate(docs)), "id int, s string"), "id", "s").collect()}
+    red, fox, both = math.log(5 / 3) + 1, math.log(5 / 4) + 1, math.log(5 / 3) + 1
+    norm = math.sqrt(red**2 + fox**2 + both**2)
+    assert got == pytest.approx({(i, t): w / norm for i in (0, 1) for t, w in (("red", red), ("fox", fox), ("red fox", both))} | {(2, "fox"): 1.0})
+
+
+def test_regression_attribution(spark):
+    runs = spark.createDataFrame([(["a"], 1.0), (["b"], 2.0), (["a", "b"], 2.5), ([], 0.5)], "features array<string>, score double")
+    assert {r.feature: round(r.effect, 6) for r in attribution.regression(runs).collect()} == {"a": 0.5, "b": 1.5}
+
+
+def test_passengers_and_crops(spark):
+    df = spark.createDataFrame([("m", 1, "S", "child"), ("f", 3, None, None), ("f", 3, "S", "adult"), ("m", 2, "C", "adult")], "sex string, pclass int, embarked string, age_group string")
+    out = domain.passenger_pairs(domain.passenger_ports(df)).collect()
+    assert [r.embarked for r in out] == ["S", "S", "S", "C"] and [r.sex_age_group for r in out][1] == "f_nan" and out[3].sex_class == "m_2" and out[3].embarked_c == 1
+    crop = spark.createDataFrame([(50.0, 40.0, 40.0, 25.0, 90.0, 6.0, 80.0)], "N double, P double, K double, temperature double, humidity double, ph double, rainfall double")
+    r = domain.domain_features(crop).first()
+    assert (r.growing_condition_score, r.stress_factor_count, r.npk_balanced, r.npk_highly_imbalanced) == (0.75, 1, 1, 0) and r.npk_utilization_efficiency == pytest.approx(0.8)
