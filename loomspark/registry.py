@@ -176,6 +176,11 @@ def _entropy(spark, d):
     return _rounded(text.text_features(_t(spark, d, "part").select("p_partkey", "p_name"), "p_name").select("p_partkey", "p_name_char_entropy"))
 
 
+@_query("tf_idf")
+def _tf_idf(spark, d):
+    return _rounded(text.tf_idf(_t(spark, d, "documents").select("doc_id", "text"), "doc_id", "text"))
+
+
 _PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
