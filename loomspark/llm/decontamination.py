@@ -5,8 +5,9 @@ span of k + w - 1 words has equal stretches on both sides, so its least hash is
 with span 13 (k = 5, w = 9) no shared window of 13 words is lost. Items of fewer words are one window of their own
 length L and are winnowed with k + w - 1 = L, for each L that the benchmark holds.
 
-A kept hash stands for the run of windows that share it. Runs whose hash the benchmark has too are extended to
-their windows, and a window counts if its words equal a benchmark window's exactly.
+A kept hash stands for the run of windows that share it, w of them at most: where the least hash comes again within
+w places, as in periodic text, a longer run is cut into runs of w windows. Runs whose hash the benchmark has too are
+extended to their windows, and a window counts if its words equal a benchmark window's exactly.
 
 Scale: one pass over the documents, with no shuffle of texts: only hits and one small row for each document move.
 The benchmark's hashes and windows are broadcast when they are counted to be few, and joined by a shuffle beyond.
@@ -33,7 +34,7 @@ def _gram(span: int) -> tuple[int, int]:
 
 
 def winnow(words: Column, span: int) -> Column:
-    """Runs of windows that share their least hash: array of struct(span, s, h, near); near has the run's words at most."""
+    """Runs of at most w windows that share their least hash: array of struct(span, s, h, near); near has the words of w windows from s on."""
     k, w = _gram(span)
     n = F.size(words)
 
@@ -42,7 +43,8 @@ def winnow(words: Column, span: int) -> Column:
         least = let(grams, lambda g: F.transform(F.sequence(F.lit(1), F.size(g) - (w - 1)), lambda i: F.array_min(F.slice(g, i, w))))
 
         def kept(m: Column) -> Column:
-            starts = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda s: (s == 0) | (F.get(m, s) != F.get(m, s - 1)))
+            firsts = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda s: (s == 0) | (F.get(m, s) != F.get(m, s - 1)))
+            starts = let(firsts, lambda fs: F.flatten(F.transform(fs, lambda a, j: F.sequence(a, F.coalesce(F.get(fs, j + 1), F.size(m)) - 1, F.lit(w)))))
             return F.transform(starts, lambda s: F.struct(F.lit(span).alias("span"), s.alias("s"), F.get(m, s).alias("h"), F.slice(ws, s + 1, span + w - 1).alias("near")))
 
         return let(least, kept)

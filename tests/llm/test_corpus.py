@@ -55,6 +55,27 @@ def test_decontamination_equals_sql_and_brute_force(spark, docs, none):
     assert decontamination.find_overlaps(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_of_short_items_and_periodic_texts(spark):
+    rng = np.random.default_rng(11)
+    texts = ["yes yes yes", "the cat the dog the man sat", " ".join(["a b c"] * 30), "z " * 60, " ".join("p%d" % (i % 9) for i in range(80)), " ".join("q%d" % (i % 10) for i in range(80))]
+    texts += [" ".join(rng.choice(list("abc"), rng.integers(1, 80))) for _ in range(60)] + [" ".join([*"xyzuvw"[: i + 1]] * 12 + ["end", "of", "it"]) for i in range(6)]
+    items = ["yes", "the man sat", "the dog", "a b c a", "z " * 13, " ".join("p%d" % (i % 9) for i in range(3, 20)), " ".join("q%d" % (i % 10) for i in range(5, 18)), "c a b c a b c a b c a b c a b"]
+    items += [" ".join(rng.choice(list("abc"), n)) for n in (2, 3, 4, 5, 6)] + [" ".join(([*"xyzuvw"[: i + 1]] * 12 + ["end", "of", "it"])[-13:]) for i in range(6)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontamination.find_overlaps(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), bench).collect()}
+    for d, t in enumerate(texts):
+        w, hit, ids = t.split(), set(), set()
+        for i, item in enumerate(items):
+            x = item.split()
+            n = min(13, len(x))
+            wins = {tuple(x[s : s + n]) for s in range(len(x) - n + 1)}
+            for s in range(len(w) - n + 1):
+                if tuple(w[s : s + n]) in wins:
+                    hit |= set(range(s, s + n))
+                    ids.add(i)
+        assert got[d] == (len(hit), sorted(ids)), t
+
+
 def components(fps):
     part = list(range(len(fps)))
     for i in range(len(fps)):
