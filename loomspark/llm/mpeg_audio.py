@@ -1,7 +1,7 @@
 """MPEG audio columns: writing payloads as frames, and reading any MPEG audio stream.
 
 read_audio() parses a stream: it skips ID3v2 tags, finds frame headers (a header counts if another one of the same
-kind follows where its frame ends, or the stream ends there), resynchronises after junk, reads the Xing, Info or
+kind follows where its frame ends, or the stream or an ID3v1 tag ends it there), resynchronises after junk, reads the Xing, Info or
 VBRI table of variable bitrate, verifies the CRC-16 of protected frames, and returns exact durations (samples over
 rate) and the byte offset of every frame for seeking.
 
@@ -9,8 +9,8 @@ write_audio() stores a payload losslessly: MPEG-1 layer III frames, mono, 32 kHz
 information announces no audio, with the payload as their ancillary data, at bitrates chosen to fit; an ID3v2 tag
 with the payload's length and a Xing table come first. Players decode it as silence.
 
-Edge cases: null is an empty payload; bytes without any frame give zero frames and a duration of 0; repeated rows
-get equal results. Streams are used whole.
+Edge cases: null is an empty payload; bytes without any frame give zero frames, a duration of 0 and 0 kbit/s; 'TAG'
+128 bytes before the end is a tag only where no frame has this place; repeated rows get equal results. Streams are used whole.
 """
 
 from __future__ import annotations
@@ -123,22 +123,21 @@ def read_audio(data: bytes) -> dict:
     """tags, vbr, frames, offsets, duration (a Fraction of seconds), crc_ok, crc_bad, skipped, kbps, spans (of each frame's data)."""
     tags, at = _id3v2(data, 0)
     stop = len(data)
-    if stop >= 128 and data[-128:-125] == b"TAG":
-        stop -= 128
-        tags.setdefault("TIT2", data[stop + 3 : stop + 33].rstrip(b"\0 ").decode("latin-1"))
+    tail = stop - 128 if stop >= at + 128 and data[-128:-125] == b"TAG" else stop  # an ID3v1 tag, unless a frame has this place
     out = {"tags": tags, "vbr": None, "offsets": [], "kbps": [], "spans": [], "crc_ok": 0, "crc_bad": 0, "skipped": 0, "duration": Fraction(0), "kind": None}
     samples: dict[int, int] = {}
     synced = False
-    while at + 4 <= stop:
+    while at + 4 <= stop and at != tail:
         h = header(data[at : at + 4])
-        if h and not (synced and out["kind"] == (*h[:2], h[4])):
-            after = at + h[5]
+        after = at + h[5] if h else at
+        if h and not (synced and out["kind"] == (*h[:2], h[4]) and (after <= tail or at > tail)):
             follow = header(data[after : after + 4])
-            h = h if after == stop or follow and (follow[:2], follow[4]) == (h[:2], h[4]) else None
-        if not h or at + h[5] > stop:
+            h = h if after in (tail, stop) or follow and (follow[:2], follow[4]) == (h[:2], h[4]) else None
+        if not h or after > stop:
             synced = False
-            to = data.find(b"\xff", at + 1, stop)
-            to = stop if to < 0 else to
+            end = tail if at < tail else stop
+            to = data.find(b"\xff", at + 1, end)
+            to = end if to < 0 else to
             out["skipped"] += to - at
             at = to
             continue
@@ -157,6 +156,8 @@ def read_audio(data: bytes) -> dict:
             samples[hz] = samples.get(hz, 0) + n
         out["kind"] = (*h[:2], h[4])
         at += size
+    if at == tail < stop:
+        tags.setdefault("TIT2", data[tail + 3 : tail + 33].rstrip(b"\0 ").decode("latin-1"))
     out["duration"] = sum((Fraction(n, hz) for hz, n in samples.items()), Fraction(0))
     return out
 
@@ -223,7 +224,7 @@ def describe(stored: DataFrame, id_col="doc_id", unit: int = UNIT) -> DataFrame:
         hz = 32000
         feature = (
             f"frames={len(audio['offsets'])};samples={int(d * hz)};hz={hz};seconds={float(d):.6f};crc_ok={audio['crc_ok']};crc_bad={audio['crc_bad']};skipped={audio['skipped']};"
-            f"vbr={vbr.get('kind')}:{vbr.get('frames')}:{vbr.get('bytes')};kbps={min(audio['kbps'])}-{max(audio['kbps'])};seek={zlib.crc32(np.array(audio['offsets'], '<u4').tobytes()):08x}"
+            f"vbr={vbr.get('kind')}:{vbr.get('frames')}:{vbr.get('bytes')};kbps={min(audio['kbps'], default=0)}-{max(audio['kbps'], default=0)};seek={zlib.crc32(np.array(audio['offsets'], '<u4').tobytes()):08x}"
         )
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-unit:]), len(media), hashlib.sha256(media).hexdigest(), feature, int(d * hz), hz, audio["offsets"]
 

@@ -200,6 +200,23 @@ def test_mpeg_payload_and_resync(docs, none):
     assert mpeg_audio.read_audio(b"no audio")["duration"] == 0
 
 
+def test_mpeg_tag_inside_payload(spark):
+    texts = ["x" * 29 + "TAG" + "y" * n for n in (33, 40, 60, 96)] + ["VINTAGE " * n for n in (9, 16, 100)] + [("TAG" * 900)[at:n] for at in range(3) for n in range(1, 2700, 61)]
+    got = mpeg_audio.describe(mpeg_audio.store_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))).collect()
+    for r in got:
+        b = texts[r.doc_id].encode()
+        p = b.ljust(max(64, -(-len(b) // 64) * 64), b"\0")
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])) and "crc_bad=0;skipped=0" in r.feature
+    assert len(got) == len(texts)
+    media, tag = mpeg_audio.write_audio(b"x" * 2000), b"TAG" + b"Name".ljust(125, b"\0")
+    n = len(mpeg_audio.read_audio(media)["offsets"])
+    for data, frames, skipped in ((media + tag, n, 0), (media + b"junk" + tag, n, 4), (media[:-50] + tag, n - 1, None), (tag, 0, 0)):
+        audio = mpeg_audio.read_audio(data)
+        assert len(audio["offsets"]) == frames and audio["tags"]["TIT2"] == "Name" and skipped in (None, audio["skipped"])
+    bare = spark.createDataFrame([(1, 8, bytearray(b"no audio"))], "doc_id int, n_bytes bigint, media binary")
+    assert "frames=0;" in mpeg_audio.describe(bare).first().feature
+
+
 def test_brown_model_counts_and_gain(spark, docs, none):
     train = docs.where("doc_id % 2 = 0")
     got = brown_lm.score(docs, brown_lm.train(train), {"doc_id": F.col("doc_id")}).collect()
