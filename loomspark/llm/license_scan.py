@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
 A text becomes words. Each rule is a regular expression over words with one keyword marked by `@`; rules are tried only
-around the words that are some rule's keyword, and only if the text near them also has the word the rule needs. A
+around the words that are some rule's keyword, as far as the longest text of any rule reaches, and only if the text near them also has the word the rule needs. A
 match is an interval of words with the rule's label and priority. A match is suppressed if a match of the same or a
 stronger priority covers its interval; equal intervals go to the stronger, then the earlier rule.
 
@@ -14,12 +14,13 @@ repeated in full give one row; phrases may overlap. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, let, read_table, words_of
 
-REACH = 16
 SPDX, FULL, GRANT, NAME, MENTION, BASE = range(6)
 CONFIDENCE = {SPDX: 1.0, FULL: 0.95, GRANT: 0.9, NAME: 0.8, MENTION: 0.7, BASE: 0.6}
 #: Label, a word that must stand near, and the license's name over words.
@@ -81,16 +82,31 @@ def rules() -> list[tuple]:
     return [(i, *r) for i, r in enumerate(out)]
 
 
+def longest(rx: str) -> str:
+    """The text of most words that a rule's expression matches."""
+    rx = rx.replace("[0-9]+", "7").replace(" ?", " ")
+    while "(" in rx:
+        rx = re.sub(r"\(\?:([^()]*)\)\??", lambda m: max(m[1].split("|"), key=lambda x: x.count(" ")), rx)
+    return rx
+
+
+def reach() -> tuple[int, int]:
+    """How many words before and after a keyword the rules can use."""
+    sides = [longest(r[5]).split("@") for r in rules()]
+    return max(before.count(" ") for before, _ in sides), max(after.count(" ") for _, after in sides)
+
+
 def scan(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """(id, text_hash, n_words, rule, label, priority, base, start, stop, kept): one row a match, and at least one a document."""
     spark = docs.sparkSession
     table = spark.createDataFrame(rules(), "rule int, label string, priority int, keyword string, need string, rx string, base boolean")
     keywords = sorted({r[3] for r in rules()})
+    n_before, n_after = reach()
 
     def places(ws: Column) -> Column:
         def near(w: Column, i: Column) -> Column:
-            before = F.array_join(F.slice(ws, F.greatest(F.lit(1), i - REACH + 1), F.least(i, F.lit(REACH))), " ")
-            after = F.array_join(F.slice(ws, i + 2, F.lit(REACH)), " ")
+            before = F.array_join(F.slice(ws, F.greatest(F.lit(1), i - n_before + 1), F.least(i, F.lit(n_before))), " ")
+            after = F.array_join(F.slice(ws, i + 2, F.lit(n_after)), " ")
             return F.struct(i.alias("i"), w.alias("word"), F.concat(F.lit(" "), before, F.lit(" @"), w, F.lit(" "), after, F.lit(" ")).alias("near"))
 
         found = F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: F.get(ws, i).isin(keywords))

@@ -275,6 +275,20 @@ def test_license_base_places_and_suppression(spark, docs, none):
     assert license_scan.summarize(license_scan.matches(none)).count() == 0
 
 
+def test_license_rules_match_their_longest_texts(spark):
+    table = license_scan.rules()
+    texts = {r[0]: license_scan.longest(r[5]).replace("@", "") for r in table}
+    for r in table:
+        assert re.fullmatch(r[5].replace("@", ""), texts[r[0]])
+    rows = [(i, f"filler words go here {t} and more of them follow") for i, t in texts.items()]
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+    found = license_scan.matches(spark.createDataFrame([*rows, (-1, isc)], "doc_id int, text string")).where("rule is not null")
+    got = {(r.id, r.rule, r.start, r.stop) for r in found.collect()}
+    for i, t in texts.items():
+        assert (i, i, 4, 3 + len(t.split())) in got, t
+    assert ("isc", license_scan.FULL) in {(r.label, r.priority) for r in found.where("id = -1 and kept").collect()}
+
+
 def test_main_text_of_pages(spark):
     import html
 
