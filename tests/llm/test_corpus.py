@@ -139,6 +139,21 @@ def test_mixing_meets_targets(spark, docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_meets_targets_of_small_sources_in_large_blocks(spark):
+    sizes = {"a": [400] * 100, "b": [3], "c": [7, 0, 5], "d": [100] * 3, "e": [1] * 20, "f": [900], None: [50, 60]}
+    rows = [(i, "w " * n, s) for i, (s, n) in enumerate((s, n) for s, ns in sizes.items() for n in ns)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    for slots in (1, 8, 100, 1 << 18):
+        got = mixing.mix(df, slots=slots).toPandas()
+        per = got.assign(source=got.source.fillna("-")).groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+        assert len(got) == len(rows) and (got.taken <= 2 * got["size"]).all() and (per.taken == per.target.round()).all(), slots
+    shares = mixing.targets(spark.createDataFrame([(n, s) for s, ns in sizes.items() for n in ns], "size bigint, source string"))
+    plan, target = mixing.schedule(shares, 300).toPandas().sort_values(["at", "k"]), {r.k: r.target for r in shares.collect()}
+    for k, t in target.items():  # every prefix is close to the targets
+        own = plan.words.where(plan.k == k, 0).cumsum()
+        assert (abs(own - t * plan["at"]) <= 2 * 300 + 1).all() and own.iloc[-1] == round(t)
+
+
 def test_token_shards_round_trip(spark, docs, none):
     from tokenizers import Tokenizer
 
