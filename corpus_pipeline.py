@@ -4,12 +4,13 @@ Stages take (spark, docs, sf_dir) and return a table; all but the last return th
 stages are Parquet in the folder that driver and executors share.
 
 Edge cases: a stage passes on an empty table as one; documents with null or empty text are clean, are near
-duplicates of each other, and are taken by no mix.
+duplicates of each other, and are taken by no mix. Rows that share a doc_id, or have none, but differ in their texts are
+documents of their own; rows repeated with id and text are one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import decontamination, mixing, simhash, token_store
@@ -24,10 +25,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxic.score(docs, model, keep={c: F.col(c) for c in docs.columns}).where("predicted = 0").select(*docs.columns)
 
 
+def _row_key() -> Column:
+    """What tells documents apart: the doc_id (null last) and the text's hash."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates, once."""
-    kept = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The document with the smallest doc_id (null last), then the least hash of its text, of each group of near duplicates, once."""
+    own = materialize(simhash.fingerprints(docs.select(_row_key().alias("key"), "text"), "key"), "fingerprints")
+    fps = materialize(own.select("fp").distinct(), "distinct-fingerprints")
+    parts = simhash.connected_components(simhash.near_links(fps.select("fp", F.col("fp").alias("rep"))))  # fingerprints are their own nodes, whatever ids are
+    grouped = own.join(parts, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp").alias("component"))
+    kept = grouped.agg(F.min("key").alias("key")).select(F.col("key.id").alias("kept_id"), F.col("key.text_hash").alias("kept_hash"))
+    rows = docs.withColumn("_hash", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("_hash") == F.col("kept_hash")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +51,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents as often as the mix takes them: 0, 1 or 2 times, to the nearest."""
-    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("taken_id")).agg(F.coalesce(F.round(F.try_divide(F.sum("taken"), F.sum("size"))), F.lit(0)).cast("int").alias("copies"))
-    rows = docs.join(taken.where("copies > 0"), F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    keyed = docs.select(_row_key().alias("key"), "text", "source")
+    taken = mixing.mix(keyed, "key").groupBy(F.col("key.id").alias("taken_id"), F.col("key.text_hash").alias("taken_hash")).agg(F.coalesce(F.round(F.try_divide(F.sum("taken"), F.sum("size"))), F.lit(0)).cast("int").alias("copies"))
+    rows = docs.join(taken.where("copies > 0"), F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.xxhash64("text") == F.col("taken_hash")))
     return rows.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("_copy")).select(*docs.columns)
 
 
@@ -58,7 +70,7 @@ STAGES = [
     ("token output", write_tokens),
 ]
 
-#: SQL has no Kneser-Ney models, connected components or tokenizer; tests/llm holds each stage against brute force.
+#: SQL has no Kneser-Ney models, connected components or tokenizer; tests/llm holds the rows that the middle stages keep against brute force.
 ORACLE_SQL = None
 
 

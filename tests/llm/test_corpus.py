@@ -334,3 +334,60 @@ def test_pipeline_stages(spark, tmp_path):
     groups = simhash.near_duplicates(first)
     assert groups.where("doc_id <> component_id").count() == 0
     assert p.STAGES[2][1](spark, docs.limit(0), SF).count() == 0 and p.STAGES[3][1](spark, docs.limit(0), SF).count() == 0
+
+
+def test_pipeline_stages_keep_the_rows_of_brute_force(spark):
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(500)]
+    texts = [" ".join(rng.choice(words, 120)) for _ in range(24)]
+    texts += [texts[0], texts[1], texts[2] + " w1", texts[3].upper(), None, "", "  "]
+    ids = [5, 5, 5, None, None, None, 3, 3, 9, 9, *range(20, 34), 1, None, 4, 5, 40, None, 41]
+    rows = [(d, t, "en", ["s", "t", None][i % 3], i) for i, (d, t) in enumerate(zip(ids, texts, strict=True))]
+    rows += [rows[0], rows[4], rows[-2]]  # repeated in full
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int")
+
+    def keys(df):
+        return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+    hashes = {(r.doc_id, r.text): r.h for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(hashes, key=lambda k: (k[0] is None, k[0] or 0, hashes[k]))
+    fps = {texts[r.doc_id]: r.fp & (1 << 64) - 1 for r in simhash.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    part = components([fps[t] for _, t in order])
+    want = sorted((order[i] for i in sorted(set(part))), key=repr)
+    kept = p.drop_near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns and keys(kept) == want
+    kept = spark.createDataFrame(kept.collect(), docs.schema)
+
+    grams = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = WORD.findall(raw(r.text))
+        grams |= {tuple(w[i : i + min(13, len(w))]) for i in range(len(w) - min(13, len(w)) + 1) if w}
+    long = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(WORD.findall(raw(r.text))) >= 13)
+    dirty = docs.union(spark.createDataFrame([(5, texts[7] + " " + long, "en", "s", 1), (None, long, "en", "s", 1)], docs.schema))
+
+    def clean(t):
+        w, hit = WORD.findall(raw(t)), set()
+        for n in {len(g) for g in grams}:
+            for i in range(len(w) - n + 1):
+                hit |= set(range(i, i + n)) if tuple(w[i : i + n]) in grams else set()
+        return not hit or 20 * len(hit) < len(w)
+
+    assert keys(p.drop_contaminated(spark, dirty, SF)) == sorted(((r.doc_id, r.text) for r in dirty.collect() if clean(r.text)), key=repr)
+
+    # the mix takes a source's documents in the order of their keys' hashes, from the first again after the last
+    at = kept.select("doc_id", "text", "source", F.xxhash64(p._row_key()).alias("h")).collect()
+    size = {(r.doc_id, r.text): len(SPACED.findall(raw(r.text))) for r in at}
+    goal = {r.source: round(r.target) for r in mixing.targets(kept.select("source", F.size(mixing.words_of(F.col("text"), mixing.SPACE_GAP)).alias("size"))).collect()}
+    mixed = []
+    for source, left in goal.items():
+        own = sorted((r for r in at if r.source == source), key=lambda r: r.h)
+        took = collections.Counter()
+        for r in own * 2:
+            n = min(left, size[r.doc_id, r.text])
+            took[r.doc_id, r.text] += n
+            left -= n
+        for k, n in took.items():
+            mixed += [k] * math.floor(n / size[k] + 0.5) if size[k] else []
+    assert keys(p.mix_sources(spark, kept, SF)) == sorted(mixed, key=repr)
