@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fold, materialize, read_table, small_batches
+from .common import as_bytes, fold, materialize, read_table, ship, slices
 
 END = b""
 TOP, GROUPS, CLASSES = 768, 256, 64
@@ -58,7 +58,7 @@ def _tokens(raw: bytes) -> list[bytes]:
 
 def count_words(docs: DataFrame, text_col="text") -> DataFrame:
     """(w, g, n): how often each token occurs, and the group of its ending."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def run(batches):
         counts, groups = Counter(), _Groups()
@@ -69,7 +69,7 @@ def count_words(docs: DataFrame, text_col="text") -> DataFrame:
             counts.clear()
             return out
 
-        for b in batches:
+        for b in slices(batches):
             for raw in b.column(0).to_pylist():
                 counts.update(_tokens(raw))
             if len(counts) > FLUSH:
@@ -101,7 +101,7 @@ def transitions(docs: DataFrame, units: dict[bytes, int], n_units: int, text_col
     def run(batches):
         get, groups, end = shared.value.get, _Groups(), shared.value[END]
         total = np.zeros(n_units * n_units, np.int64)
-        for b in batches:
+        for b in slices(batches):
             ids = [end]
             for raw in b.column(0).to_pylist():
                 ids += [u if (u := get(w)) is not None else base + groups[w[-3:]] for w in _tokens(raw)]
@@ -202,7 +202,7 @@ def _logs(follows: np.ndarray, cls: np.ndarray, tokens: np.ndarray, words: np.nd
 def score(docs: DataFrame, model: dict, keep: dict[str, Column], text_col="text") -> DataFrame:
     """The columns of keep (by name), with n_tokens, n_known, train_tokens, base_score and score (log10)."""
     spark = docs.sparkSession
-    small_batches(spark)
+    ship(spark)
     trans, denom = model["log_transitions"], model["log_denominators"]
     n_top, cls = len(model["units"]), model["cls"]
     top_group = cls[n_top:]
@@ -218,7 +218,7 @@ def score(docs: DataFrame, model: dict, keep: dict[str, Column], text_col="text"
         table, trans, denom, by_group = shared.value
         groups, get, end = _Groups(), table.get, table[END]
         key = TaskContext.get().partitionId() << 33
-        for b in batches:
+        for b in slices(batches):
             out = []
             for raw in b.column(b.num_columns - 1).to_pylist():
                 tokens = _tokens(raw)

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..shipping import ship  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words made of ASCII letters, digits and every non-ASCII character (of lower-cased text).
@@ -20,11 +20,13 @@ _own_root: str | None = None
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset and all run on one machine."""
     global _own_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_root is None:
         _own_root = "file://" + tempfile.mkdtemp(prefix="spark-loom-")
     return _own_root
@@ -52,10 +54,11 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Prepare for Python tasks: bound the rows of an Arrow batch, so that batches of long texts stay small, and ship the code."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches, rows: int = 1000):
+    """Arrow batches (Spark bounds their bytes) as batches of fewer rows."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

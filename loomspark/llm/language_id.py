@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, read_table, small_batches
+from .common import fold, read_table, ship, slices
 
 UND = "und"
 DIM = 4096
@@ -103,7 +103,7 @@ def _shares(x: np.ndarray, kinds: list[str], weights: np.ndarray) -> np.ndarray:
 def train(labelled: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_language: int = PER_LANGUAGE) -> dict | None:
     """A model from rows with text and language; None if there are none."""
     spark = labelled.sparkSession
-    small_batches(spark)
+    ship(spark)
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
     if not counts:
@@ -115,7 +115,7 @@ def train(labelled: DataFrame, id_col="doc_id", text_col="text", lang_col="lang"
     sample = usable.where(F.pmod(F.xxhash64(F.lit("lang"), F.col(id_col)), F.lit(million)) < bound).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             found = [(lang, x.astype("<f2").tobytes()) for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (x := features(text)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.binary())], names=["lang", "x"])
 
@@ -152,13 +152,13 @@ def predict(model: dict | None, texts: list) -> tuple[list[str], list[float]]:
 def identify(docs: DataFrame, model: dict | None, text_col="text", keep: dict[str, Column] | None = None) -> DataFrame:
     """The columns of keep (by name), with lang_pred and score."""
     spark = docs.sparkSession
-    small_batches(spark)
+    ship(spark)
     shared = spark.sparkContext.broadcast(model)  # fixed size: a row of weights for each pair
     cols = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text_col).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema.fields[:-1])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             langs, scores = predict(shared.value, b.column(b.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
 

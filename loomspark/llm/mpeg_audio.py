@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, read_table, small_batches
+from .common import as_bytes, materialize, read_table, ship, slices
 
 #: kbit/s by (MPEG-1 or not, layer) and index 1 to 14; Hz by version bits and index.
 BITRATES = {
@@ -200,11 +200,11 @@ def payload_of(data: bytes, audio: dict) -> bytes:
 
 def store_texts(docs: DataFrame, id_col="doc_id", text_col="text", unit: int = UNIT) -> DataFrame:
     """(id, n_bytes, media): each text's bytes, padded with zeros to a positive multiple of unit, as an audio stream."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             raw = b.column(1).to_pylist()
             media = [write_audio(r.ljust(max(unit, -(-len(r) // unit) * unit), b"\0")) for r in raw]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], names=[id_col, "n_bytes", "media"])
@@ -229,7 +229,7 @@ def describe(stored: DataFrame, id_col="doc_id", unit: int = UNIT) -> DataFrame:
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-unit:]), len(media), hashlib.sha256(media).hexdigest(), feature, int(d * hz), hz, audio["offsets"]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             cols = list(zip(*map(one, b.column(2).to_pylist()), strict=True)) if b.num_rows else [[]] * 9
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)

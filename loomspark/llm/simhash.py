@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, drop_table, materialize, small_batches
+from .common import as_bytes, drop_table, materialize, ship, slices
 
 RADIUS = 3
 BLOCKS = 6
@@ -51,10 +51,10 @@ def _fingerprint(raw: bytes, width: int) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id, fp): the 64-bit SimHash of each text as a signed long."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fps = np.array([_fingerprint(t, width) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=[id_col, "fp"])
 
@@ -124,7 +124,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, piece
 
     def run(batches):
         odd = np.uint64(_ODD)
-        for b in batches:
+        for b in slices(batches):
             left, right = [], []
             for f, r in zip(b.column(0), b.column(1), strict=True):
                 fp = f.values.to_numpy().view(np.uint64)

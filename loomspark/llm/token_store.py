@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, small_batches
+from .common import materialize, read_table, ship, slices
 
 END = 2
 FIRST_RULE = 1 << 20
@@ -267,7 +267,7 @@ def _encoder(path: str) -> Encoder:
 
 def encode_shards(docs: DataFrame, tokenizer: str, id_col="doc_id", text_col="text", end: int = END, shard: int = SHARD) -> DataFrame:
     """(part, seq, first_id, n_tokens, doc_ids, lengths, blob): the shards, ordered by part and seq."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     ordered = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
     names = ["part", "seq", "n_tokens", "doc_ids", "lengths", "blob"]
 
@@ -279,7 +279,7 @@ def encode_shards(docs: DataFrame, tokenizer: str, id_col="doc_id", text_col="te
             blob = compress(np.concatenate(held))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([blob], pa.binary())], names=names)
 
-        for b in batches:
+        for b in slices(batches):
             found, ends = encode.encode(b.column(1).cast(pa.string()))
             start = 0
             for doc_id, stop in zip(b.column(0).to_pylist(), ends.tolist(), strict=True):
@@ -298,12 +298,11 @@ def encode_shards(docs: DataFrame, tokenizer: str, id_col="doc_id", text_col="te
 
 def read_shards(shards: DataFrame, id_col="doc_id") -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of each document, from the stored shards."""
-    spark = shards.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    ship(shards.sparkSession)
     kinds = "id bigint, part int, seq int, local bigint, n_tokens bigint, ids_crc32 bigint"
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 8):
             for part, seq, ids, lengths, blob in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 raw = decompress(blob).astype("<u4").tobytes()
                 ends = np.cumsum(lengths)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fold, read_table, small_batches
+from .common import as_bytes, fold, read_table, ship, slices
 
 DISCOUNTS = (1.0, 2.0, 4.0, 8.0)
 MOST_TOXIC, MOST_ORDINARY = 2000, 8000
@@ -83,7 +83,7 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", most_toxic=MOST_TOXIC, most_ordinary=MOST_ORDINARY) -> dict | None:
     """A model from the texts of docs that labels marks; None unless both classes occur."""
     spark = docs.sparkSession
-    small_batches(spark)
+    ship(spark)
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) != 0).cast("int")).alias("y"))
     n = {r[0]: r[1] for r in marked.groupBy("y").count().collect()}
     if len(n) < 2:
@@ -97,7 +97,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     sample = docs.select(F.col(id_col).alias("id"), as_bytes(F.col(text_col)).alias("raw")).join(F.broadcast(chosen), "id")
 
     def pairs(batches):
-        for b in batches:
+        for b in slices(batches):
             out = set()
             for raw, y, half in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 ws = _words(raw)
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     shared = spark.sparkContext.broadcast(tried)
 
     def evidence(batches):
-        for b in batches:
+        for b in slices(batches):
             x = [[v for llr, rest in shared.value for v in _evidence(ws, llr, rest)] for ws in map(_words, b.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
@@ -142,14 +142,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
 def score(docs: DataFrame, model: dict | None, text_col="text", keep: dict[str, Column] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The columns of keep (by name), with score and predicted."""
     spark = docs.sparkSession
-    small_batches(spark)
+    ship(spark)
     shared = spark.sparkContext.broadcast(model)  # at most the vocabulary of the bounded sample
     cols = docs.select(*[c.alias(n) for n, c in keep.items()], as_bytes(F.col(text_col)).alias("_raw"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema.fields[:-1])
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in slices(batches):
             if m is None:
                 p = [0.0] * b.num_rows
             else:

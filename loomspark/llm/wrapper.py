@@ -1,19 +1,27 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a template. Each page becomes a tree of its block elements, in which runs of like siblings
-(list items, paragraphs) are one node. The tree of one page of the host (the one with the least hash) is the
-wrapper's skeleton; every page's tree is aligned with it by simple tree matching. Over all pages of the host, a node
-whose text is the same on every page that has it is template; a node whose text varies is a slot. The slots that
-hold the host's varying text and are an article, or hold most of it outside links, mark the content's place; a
-page's content is the text at that place, without what its elements say they are (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, comments) and without template containers inside it.
-
-Scale: skeletons are one row a host, of bounded size; pages are joined with them on the host, split or broadcast by
-Spark as sizes ask. Votes are summed within tasks before they are shuffled, so a hot host is no hot task.
-
-Edge cases: null and empty pages have no text; a page whose host is null is aligned with pages without a host;
-pages that match no skeleton are judged by their own elements; repeated rows get equal results. Pages are used
-whole. Other columns are ignored.
+Pages of one host share a template. Each page becomes a tree of its containers, in which text blocks that follow each
+other (headings, paragraphs) are one node, and so are runs of like siblings. The tree that most different pages of the
+host have is the wrapper's skeleton; every page's tree is aligned with it by simple tree matching. A node is known by
+its path, in the skeleton if it is matched and in its page's own tree if not, so that pages of a host's other templates
+vote together as well. Over all pages of the host, a node whose text is the same on all of at least three different
+pages that have it is template; a node whose text varies is a slot.
+
+A page's content is the deepest slot that holds most of the varying text outside links (descent stops where headings or
+much text stand beside it), without what is constant inside it, and without menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles and comments. Where votes are lacking a page's own text takes their place. Elements
+that say what they are (`nav`, `aside`, class `cookie-notice`) are left out; names count as whole words, prefixes such
+as `has-` cancel them, and vaguer names (`search`, `related`) need votes, links or form fields beside them.
+
+Scale: three passes over the pages, none of which shuffles them: skeletons and votes are summed within tasks before
+they are shuffled, so a hot host is no hot task. A host's wrapper has the paths on three different pages and one in
+200 of its pages at least, so it is as large as its templates are; wrappers are broadcast if their size is small, and joined
+by host and salt beyond.
+
+Edge cases: null and empty pages have no text; pages with a null or odd url are a host of their own, ""; pages without
+votes are judged by themselves; copies add no votes, and where what is constant holds nearly all text of a page and no
+heading varies, as with near copies, it is content; containers below DEPTH levels are one node; repeated rows get equal results; of slots
+with equal text the first counts. Pages are used whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,91 +29,174 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections import defaultdict
 from functools import lru_cache
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches
+from .common import materialize, read_table, ship, slices
 
-#: Elements of HTML by what they mean here.
+#: Elements of HTML by what they mean here. All others are inline.
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav noscript ol p pre section summary table tbody td template tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-NEVER = frozenset("script style noscript template head title nav header footer aside form button select option textarea input svg math iframe object canvas audio video dialog menu".split())
+NEVER = frozenset("noscript template head nav footer aside form button select svg object canvas audio video dialog menu".split())
+RAW = frozenset("script style title textarea iframe".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 SCOPE = frozenset("ul ol dl table tbody thead tfoot tr article section main body div nav aside footer header blockquote".split())
-TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th figcaption".split())
-REPEATED = TEXT_BLOCKS | {"tr", "tbody", "option"}
-#: Words in class, id or role that name what is not content.
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|nav|navigation|navbar|menu|breadcrumbs?|sidebar|side|widget|footer|footnav|masthead|site-header|"
-    r"header|cookies?|consent|gdpr|notice|notices|alert|newsletter|subscribe|signup|login|popup|modal|overlay|share|sharing|social|related|recommended|comments?|comment-list|replies|disqus|respond|search|toolbar|pagination|pager|copyright|legal|skip|hidden|complementary|contentinfo|search)(?:$|[\s_-])",
-    re.I,
-)
-DEPTH = 60
-MAX_NODES = 400
+ROW_SCOPE = SCOPE - {"tr"}
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre figcaption summary address caption hr".split())
+LEAVES = frozenset("ul ol dl figure".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Last words of class names and ids that name what is not content, and those that need more evidence.
+NOT_CONTENT = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo nav navbar navigation breadcrumb breadcrumbs sidebar footer footnav masthead cookie cookies consent gdpr notice notices alert newsletter popup overlay disqus comment comments replies pagination pager".split())
+VAGUE = frozenset("menu widget subscribe signup login modal share sharing social related recommended respond search toolbar banner copyright promotion reply teaser teasers tags".split())
+#: Words that a name's last word may be followed by, words that cancel a name, and words that a header of a site begins with.
+HOLDERS = frozenset("area section box container wrapper wrap block list slot unit content inner bar links buttons form thread body text item group panel region banner".split())
+CANCEL = frozenset("has with without no not is show hide".split())
+SITE = frozenset("site global top".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar".split())
+DEPTH = 100
+MANY_KIDS = 64
+LEAST_PAGES, SUPPORT = 3, 200
+MAX_BROADCAST_CHARS = 32_000_000
+SALTS = 32
+
+_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)>""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s/>="']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?""")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
+_TELLING = re.compile(r"class|id|role|hidden|style", re.I)
+PLAIN, DOUBTFUL, LEFT_OUT, HIDDEN = range(4)
+
+
+def judge_name(token: str) -> int:
+    """What a class name or id says: PLAIN, DOUBTFUL or LEFT_OUT."""
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower()) if len(w) > 1]
+    while len(words) > 1 and words[-1] in HOLDERS:
+        words.pop()
+    if not words or len(words) > 1 and words[0] in CANCEL:
+        return PLAIN
+    if words[-1] in NOT_CONTENT or words[-1] == "header" and words[0] in SITE:
+        return LEFT_OUT
+    return DOUBTFUL if words[-1] in VAGUE else PLAIN
+
+
+@lru_cache(maxsize=1 << 14)
+def _attributes(raw: str) -> tuple[str, int]:
+    """The name that tells like elements from others, and what the attributes say."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    classes, ids = found.get("class", "").split(), found.get("id", "").split()
+    name = re.sub(r"\d+", "", " ".join([*classes[:2], *(f"#{i}" for i in ids[:1])]))
+    if "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower():
+        return name, HIDDEN
+    if found.get("role", "").lower() in ROLES:
+        return name, LEFT_OUT
+    return name, max(map(judge_name, classes + ids), default=PLAIN)
 
 
 class Element:
-    __slots__ = ("tag", "name", "kids", "skip")
+    """A block; kids are texts and elements, in order; text inside links is counted."""
 
-    def __init__(self, tag: str, attrs: list):
-        a = {k: v or "" for k, v in attrs}
-        self.tag, self.kids = tag, []
-        self.name = re.sub(r"\d+", "", " ".join([*a.get("class", "").split()[:2], *(f"#{i}" for i in a.get("id", "").split()[:1])]))
-        self.skip = tag in NEVER or "hidden" in a or tag not in ("html", "body", "article", "main") and bool(BOILERPLATE.search(" ".join(a.get(k, "") for k in ("class", "id", "role"))))
+    __slots__ = ("tag", "name", "kids", "inline", "said", "skip", "links", "chars", "digest", "holds")
 
+    def __init__(self, tag: str, name: str = "", said: int = PLAIN, inline: bool = False):
+        self.tag, self.name, self.kids, self.inline, self.said = tag, name, [], inline, said
+        self.skip = self.holds = False
+        self.links = self.chars = self.digest = 0
 
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = Element("#root", [])
-        self.open = [self.root]
 
-    def _close(self, tags, stop) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in tags:
-                del self.open[i:]
+def parse(html: str | None) -> Element:
+    """The tree of a page's blocks, with sums of their text."""
+    html = html or ""
+    root = Element("#root")
+    open_: list[tuple] = [("#root", root, False)]  # tag, the block that takes its text, whether it is in a link
+    order, at, search = [root], 0, _TOKEN.search
+
+    def close(tags, stop) -> None:
+        for i in range(len(open_) - 1, 0, -1):
+            if open_[i][0] in tags:
+                del open_[i:]
                 return
-            if self.open[i].tag in stop:
+            if open_[i][0] in stop:
                 return
 
-    def handle_starttag(self, tag, attrs):
+    while at < len(html):
+        m = search(html, at)
+        text = html[at : m.start()] if m else html[at:]
+        if text:
+            _, block, link = open_[-1]
+            text = unescape(text) if "&" in text else text
+            block.kids.append(text)
+            if link:
+                block.links += len(text.strip())
+        if not m:
+            break
+        at = m.end()
+        tag = m[2]
+        if not tag:
+            continue
+        tag = tag.lower()
+        if m[1]:
+            for i in range(len(open_) - 1, 0, -1):
+                if open_[i][0] == tag:
+                    del open_[i:]
+                    break
+            continue
+        if tag in RAW:
+            end = _RAW_END[tag].search(html, at)
+            at = end.end() if end else len(html)
+            continue
+        if tag == "br":
+            open_[-1][1].kids.append(" ")
+            continue
         if tag in CLOSES_P:
-            self._close(("p",), SCOPE)
+            close(("p",), SCOPE)
         if tag in SAME:
-            self._close(SAME[tag], SCOPE - {"tr"} if tag == "tr" else SCOPE)
-        e = Element(tag, attrs)
-        self.open[-1].kids.append(e)
-        if tag not in VOID:
-            self.open.append(e)
-
-    def handle_startendtag(self, tag, attrs):
-        self.open[-1].kids.append(Element(tag, attrs))
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-
-    def handle_data(self, data):
-        self.open[-1].kids.append(data)
-
-
-def parse(html: str | None) -> Element:
-    b = _Builder()
-    b.feed(html or "")
-    b.close()
-    return b.root
+            close(SAME[tag], ROW_SCOPE if tag == "tr" else SCOPE)
+        raw = m[3]
+        name, said = _attributes(raw) if raw and _TELLING.search(raw) else ("", PLAIN)
+        inline = tag not in BLOCK
+        _, block, link = open_[-1]
+        if inline and said < LEFT_OUT and tag not in NEVER:
+            if tag not in VOID and not raw.endswith("/"):
+                open_.append((tag, block, link or tag == "a"))
+            continue
+        e = Element(tag, name, said, inline)
+        block.kids.append(e)
+        order.append(e)
+        if tag not in VOID and not raw.endswith("/"):
+            open_.append((tag, e, link))
+    for e in reversed(order):
+        chars, digest = -e.links, 0
+        for k in e.kids:
+            if isinstance(k, str):
+                k = k.strip()
+                if k:
+                    chars += len(k)
+                    digest = zlib.crc32(k.encode("utf-8", "surrogatepass"), digest)
+            else:
+                plain = k.said < LEFT_OUT
+                e.holds = e.holds or plain and (k.holds or k.tag in ("article", "main", "h1"))
+                if not k.skip:
+                    chars += k.chars
+                    e.links += k.links
+                    if k.chars or k.links:
+                        digest = zlib.crc32(k.digest.to_bytes(4, "little"), digest)
+        e.chars, e.digest = max(0, chars), digest
+        whole = e.tag in ("article", "main", "body", "html", "#root") and e.said != HIDDEN
+        # a form or a name that goes around a whole article says nothing
+        rescued = e.said < HIDDEN and (e.holds or e.tag == "form" and e.chars >= 500 and any(not isinstance(k, str) and k.tag in TEXT_BLOCKS for k in e.kids)) and (e.tag not in NEVER or e.tag == "form")
+        e.skip = not whole and not rescued and (e.tag in NEVER or e.said >= LEFT_OUT)
+    return root
 
 
 def blocks(top: Element, drop=frozenset()) -> list[str]:
-    """The texts of the blocks under an element, in order, without elements that name themselves boilerplate or are in drop (by id())."""
+    """The texts of the blocks under an element, in order, without elements that are left out or in drop (by id())."""
     out, now = [], []
 
     def end():
@@ -117,68 +208,105 @@ def blocks(top: Element, drop=frozenset()) -> list[str]:
     todo = [(top, 0)]
     while todo:
         e, i = todo.pop()
-        while i < len(e.kids):
-            k = e.kids[i]
+        kids = e.kids
+        while i < len(kids):
+            k = kids[i]
             i += 1
             if isinstance(k, str):
                 now.append(k)
             elif k.skip or id(k) in drop:
-                if k.tag not in INLINE:
+                if not k.inline:
                     end()
-            elif k.tag == "br":
-                now.append(" ")
             else:
-                if k.tag not in INLINE:
+                if not k.inline:
                     end()
                 todo.append((e, i))
-                e, i = k, 0
-        if e.tag not in INLINE:
+                e, i, kids = k, 0, k.kids
+        if not e.inline:
             end()
     end()
     return out
 
 
-def tree(root: Element) -> list:
-    """[label, kids, elements] of block elements; runs of like siblings are one node with all their elements."""
+class Node:
+    """Elements that are one node of a page's tree."""
+
+    __slots__ = ("label", "kids", "elements", "key")
+
+    def __init__(self, label: str, kids: list, elements: list):
+        self.label, self.kids, self.elements, self.key = label, kids, elements, 0
+
+    def chars(self) -> int:
+        return sum(e.chars for e in self.elements)
 
-    def node(elements: list[Element], depth: int) -> list:
-        kids: list[list] = []
-        if depth < DEPTH:
-            inner = [k for e in elements for k in e.kids if not isinstance(k, str)]
-            while any(k.tag in INLINE and not k.skip and any(not isinstance(x, str) for x in k.kids) for k in inner):
-                inner = [x for k in inner for x in ([y for y in k.kids if not isinstance(y, str)] if k.tag in INLINE and not k.skip else [k])]
-            groups: list[list[Element]] = []
+    def links(self) -> int:
+        return sum(e.links for e in self.elements)
+
+
+def _is_layout(table: Element) -> bool:
+    """Whether a table's cells hold blocks."""
+    todo = [table]
+    while todo:
+        for k in todo.pop().kids:
+            if not isinstance(k, str):
+                if k.tag in ("tbody", "thead", "tfoot", "tr", "td", "th"):
+                    todo.append(k)
+                elif k.tag in ("div", "table", "article", "section", "main", "p", "h1", "h2", "ul"):
+                    return True
+    return False
+
+
+def tree(root: Element) -> Node:
+    """The page's containers; text blocks in a row are one node, "flow", and so are like siblings."""
+
+    def node(elements: list[Element], depth: int) -> Node:
+        first, kids = elements[0], []
+        if depth < DEPTH and first.tag not in LEAVES and (first.tag != "table" or any(map(_is_layout, elements))):
+            inner = [k for e in elements for k in e.kids if not isinstance(k, str) and not k.skip and not k.inline]
+            many = len(inner) > MANY_KIDS
+            groups: list[tuple] = []
             for k in inner:
-                if k.tag in INLINE or k.tag in VOID:
-                    continue
-                if groups and (groups[-1][0].tag, groups[-1][0].name) == (k.tag, k.name) and (k.name or k.tag in REPEATED):
-                    groups[-1].append(k)
+                flow = k.tag in TEXT_BLOCKS
+                label = "flow" if flow else f"{k.tag}.{k.name}"
+                if groups and groups[-1][0] == label and (flow or many or k.name):
+                    groups[-1][1].append(k)
                 else:
-                    groups.append([k])
-            kids = [node(g, depth + 1) for g in groups]
-        e = elements[0]
-        return [f"{e.tag}.{e.name}", kids, elements]
+                    groups.append((label, [k]))
+            kids = [Node(label, [], es) if label == "flow" else node(es, depth + 1) for label, es in groups]
+        return Node(f"{first.tag}.{first.name}", kids, elements)
 
     return node([root], 0)
 
 
-def skeleton(t: list, left: list | None = None) -> list:
-    """The labels of a tree, at most MAX_NODES of them, as nested lists."""
-    left = left if left is not None else [MAX_NODES]
-    left[0] -= 1
-    return [t[0], [skeleton(k, left) for k in t[1] if left[0] > 0]]
+def skeleton(t: Node) -> list:
+    """The labels of a tree, as nested lists."""
+    return [t.label, [skeleton(k) for k in t.kids]]
 
 
-def match(a: list, b: list) -> tuple[int, list]:
-    """Simple tree matching: the largest number of nodes that pair up in order, roots paired, and the pairs."""
-    if a[0] != b[0]:
+def match(a: list, b: Node) -> tuple[int, list]:
+    """Simple tree matching of a skeleton and a tree: the largest number of nodes that pair up in order, roots paired, and the pairs."""
+    if a[0] != b.label:
         return 0, []
-    m, n = len(a[1]), len(b[1])
-    own = [[match(x, y) for y in b[1]] for x in a[1]]
+    xs, ys = a[1], b.kids
+    if len(xs) * len(ys) > MANY_KIDS * MANY_KIDS:  # very many siblings: the n-th of a label pairs with the n-th
+        seen: dict[str, list] = {}
+        for x in xs:
+            seen.setdefault(x[0], []).append(x)
+        score, pairs, used = 1, [(a, b)], dict.fromkeys(seen, 0)
+        for y in ys:
+            n = used.get(y.label)
+            if n is not None and n < len(seen[y.label]):
+                used[y.label] = n + 1
+                s, p = match(seen[y.label][n], y)
+                score, pairs = score + s, pairs + p
+        return score, pairs
+    m, n = len(xs), len(ys)
+    own = [[match(x, y) for y in ys] for x in xs]
     best = [[0] * (n + 1) for _ in range(m + 1)]
     for i in range(m):
+        row, above = best[i + 1], best[i]
         for j in range(n):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + own[i][j][0])
+            row[j + 1] = max(above[j + 1], row[j], above[j] + own[i][j][0])
     pairs, i, j = [(a, b)], m, n
     while i and j:
         if best[i][j] == best[i - 1][j]:
@@ -191,49 +319,56 @@ def match(a: list, b: list) -> tuple[int, list]:
     return best[m][n] + 1, pairs
 
 
-@lru_cache(maxsize=256)
-def _numbered(text: str) -> tuple[list, dict]:
-    """A skeleton, and the number of each of its nodes by id()."""
-    sk, number = json.loads(text), {}
-
-    def walk(t):
-        number[id(t)] = len(number)
-        for k in t[1]:
-            walk(k)
-
-    walk(sk)
-    return sk, number
-
-
-def aligned(t: list, text: str | None) -> dict[int, list]:
-    """The page's nodes by the numbers of the skeleton's nodes that they match."""
-    if not text:
-        return {}
-    sk, number = _numbered(text)
-    return {number[id(s)]: p for s, p in match(sk, t)[1]}
+def _below(key: int, label: str, n: int) -> int:
+    return xxhash.xxh64_intdigest(f"{label}\0{n}", key & (1 << 64) - 1)
 
 
-def _text(elements: list[Element]) -> str:
-    """All text under elements, whatever they are."""
-    out, todo = [], list(reversed(elements))
+@lru_cache(maxsize=256)
+def _numbered(text: str) -> tuple[list, dict, int]:
+    """A skeleton, the key of each of its nodes by id(), and how many it has."""
+    sk, keys = json.loads(text), {}
+    keys[id(sk)] = 1
+    todo = [sk]
+    while todo:
+        t = todo.pop()
+        seen: dict[str, int] = {}
+        for k in t[1]:
+            seen[k[0]] = n = seen.get(k[0], -1) + 1
+            keys[id(k)] = _below(keys[id(t)], k[0], n)
+            todo.append(k)
+    return sk, keys, len(keys)
+
+
+def assign_keys(t: Node, text: str | None) -> None:
+    """Give each node of a page's tree its key: its path in the skeleton if it is matched there, else in its own tree."""
+    paired: dict[int, int] = {}
+    if text:
+        sk, keys, size = _numbered(text)
+        score, pairs = match(sk, t)
+        own = 0
+        todo = [t]
+        while todo:
+            own += 1
+            todo += todo.pop().kids
+        if score >= 0.6 * min(own, size):
+            paired = {id(p): keys[id(s)] for s, p in pairs}
+    t.key = 1
+    todo = [t]
     while todo:
-        k = todo.pop()
-        if isinstance(k, str):
-            out.append(k)
-        elif k.tag not in ("script", "style"):
-            todo += reversed(k.kids)
-    return " ".join("".join(out).split())
+        at = todo.pop()
+        seen: dict[str, int] = {}
+        for k in at.kids:
+            key = paired.get(id(k))
+            if key is None:
+                label = "+" + k.label if paired else k.label
+                seen[label] = n = seen.get(label, -1) + 1
+                key = _below(at.key, label, n)
+            k.key = key
+            todo.append(k)
 
 
-def _link_chars(elements: list[Element]) -> int:
-    links, todo = 0, list(elements)
-    while todo:
-        k = todo.pop()
-        if k.tag == "a":
-            links += len(_text([k]))
-        else:
-            todo += [x for x in k.kids if not isinstance(x, str)]
-    return links
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def host_of(url: Column) -> Column:
@@ -241,140 +376,222 @@ def host_of(url: Column) -> Column:
 
 
 def skeletons(pages: DataFrame) -> DataFrame:
-    """(host, skeleton) of pages (host, html): one row a host."""
-    small_batches(pages.sparkSession)
-    h = F.xxhash64("html")
-    least = pages.where("html is not null").groupBy("host").agg(F.min(h).alias("h"))
-    few = F.broadcast(least) if least.count() <= 100_000 else least
-    one = pages.withColumn("h", h).join(few, ["host", "h"])
+    """(host, skeleton) of pages (host, html): one row a host, the tree that most different pages have (of several, the last by text)."""
+    ship(pages.sparkSession)
 
     def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([json.dumps(skeleton(tree(parse(x)))) for x in b.column(1).to_pylist()], pa.string())], names=["host", "skeleton"])
+        found: dict[tuple, list] = {}
+
+        def rows():
+            cols = [[k[0] for k in found], [k[1] for k in found], [v[0] for v in found.values()], [v[1] for v in found.values()]]
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["host", "skeleton", "bits", "n"])
+            found.clear()
+            return out
+
+        for b in slices(batches, 200):
+            for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = found.setdefault((host, json.dumps(skeleton(tree(parse(html))))), [0, 0])
+                s[0] |= 1 << zlib.crc32((html or "").encode("utf-8", "surrogatepass")) % 62
+                s[1] += 1
+            if len(found) > 20_000:
+                yield rows()
+        yield rows()
 
-    # copies of the page with the least hash have the same skeleton
-    return one.select("host", "html").mapInArrow(run, "host string, skeleton string").groupBy("host").agg(F.min("skeleton").alias("skeleton"))
+    each = pages.where("html is not null").mapInArrow(run, "host string, skeleton string, bits bigint, n bigint")
+    each = each.groupBy("host", "skeleton").agg(F.bit_count(F.bit_or("bits")).alias("different"), F.sum("n").alias("n"))
+    return each.groupBy("host").agg(F.max(F.struct("different", "n", "skeleton")).alias("s")).select("host", "s.skeleton")
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """(host, node, pages, texts_lo, texts_hi, chars, links): what each skeleton node's text is like, over pages (host, skeleton, html).
+    """(host, key, n, different, constant, chars) of pages (host, skeleton, html): what each node's text is like.
 
-    texts_lo and texts_hi are the least and greatest checksums of its text; they are equal if the text never varies.
+    different: different pages that have the node, up to 62; constant: its text never varies; chars: mean length of its text outside links.
     """
 
     def run(batches):
-        sums: dict = defaultdict(lambda: [0, 1 << 32, -1, 0, 0])
+        sums: dict[tuple, list] = {}
 
         def rows():
             keys = list(sums)
-            cols = list(zip(*sums.values(), strict=True)) or [[]] * 5
-            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), *(pa.array(c, pa.int64()) for c in cols)], names=["host", "node", "pages", "texts_lo", "texts_hi", "chars", "links"])
+            cols = list(zip(*sums.values(), strict=True)) or [[]] * 6
+            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([_signed(k[1]) for k in keys], pa.int64()), *(pa.array(c, pa.int64()) for c in cols)], names=["host", "key", "n", "bits", "lo", "hi", "texts", "chars"])
             sums.clear()
             return out
 
-        for b in batches:
+        for b in slices(batches, 200):
             for host, sk, html in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                for number, p in aligned(tree(parse(html)), sk).items():
-                    text, s = _text(p[2]), sums[host, number]
-                    crc = zlib.crc32(text.encode())
-                    s[0], s[1], s[2], s[3], s[4] = s[0] + 1, min(s[1], crc), max(s[2], crc), s[3] + len(text), s[4] + _link_chars(p[2])
+                t = tree(parse(html))
+                assign_keys(t, sk)
+                bit = 1 << zlib.crc32((html or "").encode("utf-8", "surrogatepass")) % 62
+                todo = [t]
+                while todo:
+                    p = todo.pop()
+                    todo += p.kids
+                    digest = p.elements[0].digest if len(p.elements) == 1 else zlib.crc32(b"".join(e.digest.to_bytes(4, "little") for e in p.elements))
+                    s = sums.get((host, p.key))
+                    if s is None:
+                        sums[host, p.key] = [1, bit, digest, digest, 1 << digest % 62, p.chars()]
+                    else:
+                        s[0] += 1
+                        s[1] |= bit
+                        s[2] = min(s[2], digest)
+                        s[3] = max(s[3], digest)
+                        s[4] |= 1 << digest % 62
+                        s[5] += p.chars()
             if len(sums) > 50_000:
                 yield rows()
         yield rows()
 
-    found = pages.select("host", "skeleton", "html").mapInArrow(run, "host string, node int, pages bigint, texts_lo bigint, texts_hi bigint, chars bigint, links bigint")
-    return found.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.min("texts_lo").alias("texts_lo"), F.max("texts_hi").alias("texts_hi"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    found = pages.select("host", "skeleton", "html").mapInArrow(run, "host string, key bigint, n bigint, bits bigint, lo bigint, hi bigint, texts bigint, chars bigint")
+    sums = found.groupBy("host", "key").agg(F.sum("n").alias("n"), F.bit_or("bits").alias("bits"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bit_or("texts").alias("texts"), F.sum("chars").alias("chars"))
+    return sums.select("host", "key", "n", F.bit_count("bits").alias("different"), (F.col("lo") == F.col("hi")).alias("constant"), F.bit_count("texts").alias("texts"), (F.col("chars") / F.col("n")).cast("int").alias("chars"))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, skeleton, nodes) of pages (host, html); nodes: array of (node, constant, chars outside links)."""
-    sk = skeletons(pages).persist()
-    few = F.broadcast(sk) if sk.count() <= 20_000 else sk  # a skeleton has at most MAX_NODES labels
-    voted = votes(pages.join(few, "host"))
-    constant = (F.col("texts_lo") == F.col("texts_hi")) & (F.col("pages") >= 3)
-    nodes = voted.groupBy("host").agg(F.collect_list(F.struct("node", constant.alias("constant"), (F.col("chars") - F.col("links")).alias("chars"))).alias("nodes"))  # at most MAX_NODES
-    return sk.join(nodes, "host", "left")
+def _joined(pages: DataFrame, found: DataFrame, size: Column) -> DataFrame:
+    """pages with the row of found of their host: by broadcast if found is small, else by host and salt, so that a hot host is dealt out."""
+    total = found.agg(F.sum(size)).first()[0] or 0
+    if total <= MAX_BROADCAST_CHARS:
+        return pages.join(F.broadcast(found), "host", "left")
+    salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pages.withColumn("_salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "_salt"], "left").drop("_salt")
 
 
-@lru_cache(maxsize=256)
-def _place(text: str | None, votes: tuple) -> tuple[int | None, frozenset]:
-    """The number of the skeleton node that holds the content, and those of constant containers."""
-    if not text:
-        return None, frozenset()
-    sk, number = _numbered(text)
-    constant = {n for n, c, _ in votes if c}
-    chars = {n: k for n, c, k in votes if not c}
-    articles, todo = [], [sk]
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, skeleton, keys, chars) of pages (host, html): nodes of the host's templates; chars is -1 for constant ones."""
+    sk = materialize(skeletons(pages), "skeletons")
+    voted = materialize(votes(_joined(pages.where("html is not null"), sk, F.length("skeleton"))), "votes")
+    top = voted.where("key = 1").select("host", F.col("n").alias("of"), F.col("texts").alias("top_texts"))
+    enough = voted.join(top, "host").where((F.col("different") >= LEAST_PAGES) & (F.col("n") * SUPPORT >= F.col("of")) & (F.col("top_texts") >= LEAST_PAGES))
+    value = F.struct("key", F.when(F.col("constant"), -1).otherwise(F.col("chars")).alias("chars"))
+    nodes = enough.groupBy("host").agg(F.array_sort(F.collect_list(value)).alias("nodes"))  # at most SUPPORT times the nodes of a page
+    return materialize(sk.join(nodes, "host", "left").select("host", "skeleton", F.col("nodes.key").alias("keys"), F.col("nodes.chars").alias("chars")), "wrappers")
+
+
+def _value(t: Node, known: dict[int, int]) -> int:
+    """The varying text of a node: the host's mean, or the page's own without votes."""
+    n = known.get(t.key)
+    if n is None:
+        return t.chars()
+    if n < 0 and t.label.startswith(("article.", "main.")):
+        return t.chars()
+    return max(0, n)
+
+
+def _has(e: Element, tags: frozenset) -> bool:
+    todo = [e]
     while todo:
-        t = todo.pop()
-        tag = t[0].split(".")[0]
-        if tag in ("article", "main") and chars.get(number[id(t)]):
-            articles.append((tag == "article", chars[number[id(t)]], -number[id(t)], t))
-        if tag not in NEVER:
-            todo += t[1]
-    if articles:
-        return number[id(max(articles, key=lambda a: a[:3])[3])], frozenset(constant)
-    at = sk
-    while True:  # down to the slot that has nearly all of the varying text outside links
-        here = max(chars.get(number[id(at)], 0), 1)
-        kid = max((k for k in at[1] if k[0].split(".")[0] not in NEVER | TEXT_BLOCKS and not BOILERPLATE.search(k[0].partition(".")[2])), key=lambda k: chars.get(number[id(k)], 0), default=None)
-        if kid is None or chars.get(number[id(kid)], 0) < 0.8 * here:
-            return number[id(at)], frozenset(constant)
-        at = kid
-
-
-def main_text(html: str | None, text: str | None, votes: tuple = ()) -> str:
-    """A page's main text, given its host's skeleton and what its nodes are."""
+        for k in todo.pop().kids:
+            if not isinstance(k, str):
+                if k.tag in tags:
+                    return True
+                todo.append(k)
+    return False
+
+
+_WIDE = ("#root", "html", "body")
+_FIELDS = frozenset(("form", "button", "select", "svg"))
+
+
+def _reads_on(t: Node, known: dict[int, int]) -> bool:
+    """Whether a container looks like part of the text beside it: varying, with a heading, and not mostly links."""
+    return _value(t, known) > 0 and t.links() <= t.chars() and not any(e.said == DOUBTFUL or e.tag == "header" for e in t.elements) and any(_has(e, HEADINGS) for e in t.elements)
+
+
+def _place(t: Node, known: dict[int, int]) -> Node:
+    """The deepest slot that holds most of the varying text outside links."""
+    while True:
+        if t.label.startswith("article."):
+            return t
+        total = max(1, sum(_value(k, known) for k in t.kids))
+        best, most = None, 0.0
+        for k in t.kids:
+            v = float(_value(k, known))
+            if k.label == "flow":
+                has_heading = any(e.tag in HEADINGS for e in k.elements)
+                if v and (v >= 0.15 * total or has_heading):
+                    return t
+                continue
+            if k.label.startswith(("article.", "main.")):
+                v = min(1.0, 2 * v / (total + v)) * total
+            if v > most:
+                best, most = k, v
+        if best is None or most < 0.6 * total or best.label.partition(".")[0] in ("ul", "ol", "dl", "table", "td", "th", "tr", "tbody", "figure") and not best.kids:
+            return t
+        if (most < 0.8 * total or t.label.partition(".")[0] not in _WIDE) and any(k is not best and k.label != "flow" and _reads_on(k, known) for k in t.kids):
+            return t
+        t = best
+
+
+def main_text(html: str | None, text: str | None = None, known: dict[int, int] | None = None) -> str:
+    """A page's main text, given its host's skeleton and what its nodes are (mean chars by key, -1: constant)."""
     root = parse(html)
-    place, constant = _place(text, votes)
-    nodes = aligned(tree(root), text)
-    tops, drop = [], frozenset()
-    if place in nodes:
-        tops = nodes[place][2]
-        inside, todo = [], list(nodes[place][1])
-        while todo:
+    top = tree(root)
+    assign_keys(top, text)
+    known = known or {}
+    if known:
+        left, heads, todo = 0, False, [top]
+        while todo:  # what varies
             t = todo.pop()
-            inside.append(id(t))
-            todo += t[1]
-        fixed = [nodes[n] for n in constant if n in nodes and id(nodes[n]) in set(inside)]
-        drop = frozenset(id(e) for t in fixed if t[0].split(".")[0] not in TEXT_BLOCKS for e in t[2])
-    if not any(e.tag in ("article", "main") for e in tops):  # the page's own article, where the host's pages have none in common
-        own, todo = [], [root]
-        while todo:
-            e = todo.pop()
-            if e.tag in ("article", "main") and not e.skip:
-                own.append(e)
-            elif not e.skip:
-                todo += [k for k in reversed(e.kids) if not isinstance(k, str)]
-        tops = own or tops or [root]
-    return "\n".join(t for e in tops for t in blocks(e, drop))
-
-
-@lru_cache(maxsize=256)
-def _votes(nodes: tuple) -> tuple:
-    """(node, constant, chars) of what extract() hands to its tasks."""
-    return tuple((int(n), c == "true", int(k)) for n, c, k in (x.split(" ") for x in nodes))
+            n = known.get(t.key)
+            if n is not None and n < 0 and not t.label.startswith(("article.", "main.")):
+                continue
+            if t.kids:
+                todo += t.kids
+            else:
+                left, heads = left + t.chars(), heads or any(e.tag in HEADINGS or _has(e, HEADINGS) for e in t.elements)
+        if left < 400 and left < 0.2 * top.chars() and not heads:
+            known = {}  # the host's pages are copies of each other
+    place = _place(top, known)
+    page_wide = place.label.partition(".")[0] in _WIDE
+    drop, todo = set(), list(place.kids)
+    while todo:
+        t = todo.pop()
+        tag, n = t.label.partition(".")[0], known.get(t.key)
+        constant = n is not None and n < 0 and tag not in ("article", "main")
+        chars, links = t.chars(), t.links()
+        gone = constant and (page_wide or t.label != "flow")
+        if not gone and t.label != "flow":
+            mostly_links = links > chars
+            if any(e.said == DOUBTFUL for e in t.elements):
+                gone = mostly_links or any(_has(e, _FIELDS) for e in t.elements) or n is None and chars + links < 200
+            elif page_wide and links >= 4 * max(chars, 1):
+                gone = True
+            elif tag == "header":
+                gone = page_wide or not any(_has(e, HEADINGS) for e in t.elements)
+        if gone:
+            drop.update(map(id, t.elements))
+        else:
+            todo += t.kids
+    return "\n".join(x for e in place.elements for x in blocks(e, drop))
 
 
 def extract(pages: DataFrame, html_col="html", url_col="url", keep: dict[str, Column] | None = None) -> DataFrame:
     """The columns of keep (by name), with text and n_chars."""
-    spark = pages.sparkSession
-    small_batches(spark, 500)
+    ship(pages.sparkSession)
+    keep = keep or {}
     own = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    found = wrappers(own).persist()
-    few = F.broadcast(found) if found.count() <= 10_000 else found
-    joined = pages.select(*[c.alias(k) for k, c in keep.items()], host_of(F.col(url_col)).alias("_host"), F.col(html_col).alias("_html")).join(few.withColumnRenamed("host", "_host"), "_host", "left")
-    cols = joined.select(*keep, "_html", "skeleton", F.transform(F.array_sort("nodes"), lambda n: F.concat_ws(" ", n["node"].cast("string"), n["constant"].cast("string"), n["chars"].cast("string"))).alias("_nodes"))
-    names = list(keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema.fields[: len(names)])
+    found = wrappers(own)
+    names = [f"_keep{i}" for i in range(len(keep))]
+    cols = pages.select(*[c.alias(n) for n, c in zip(names, keep.values(), strict=True)], host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
+    cols = _joined(cols, found, F.length("skeleton") + 12 * F.greatest(F.size("keys"), F.lit(0))).select(*names, "host", "html", "skeleton", "keys", "chars")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in cols.schema.fields[: len(names)])
 
     def run(batches):
-        for b in batches:
-            html, sk, nodes = (b.column(len(names) + i).to_pylist() for i in range(3))
-            texts = [main_text(h, s, _votes(tuple(n or ()))) for h, s, n in zip(html, sk, nodes, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*names, "text", "n_chars"])
-
-    return cols.mapInArrow(run, f"{schema}, text string, n_chars bigint")
+        known: dict[str, dict] = {}  # of this task only
+        for b in slices(batches, 200):
+            n = len(names)
+            host, html, sk = (b.column(n + i).to_pylist() for i in range(3))
+            for i, h in enumerate(host):
+                if h not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    keys, chars = b.column(n + 3)[i].as_py(), b.column(n + 4)[i].as_py()
+                    known[h] = dict(zip((k & (1 << 64) - 1 for k in keys), chars, strict=True)) if keys else {}
+            texts = [main_text(x, s, known.get(h)) for h, x, s in zip(host, html, sk, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*names, "_text", "_n"])
+
+    out = cols.mapInArrow(run, f"{schema}_text string, _n bigint")
+    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keep, strict=True)], F.col("_text").alias("text"), F.col("_n").alias("n_chars"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
