@@ -85,6 +85,11 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0))
 
 
+def below(h: Column, share: float) -> Column:
+    """Whether a 64-bit hash is among this share of all; exact for any share, however small."""
+    return F.lit(True) if share >= 1 else h < F.lit(int(share * 2**64) - 2**63)
+
+
 def as_bytes(text: Column) -> Column:
     """A text's UTF-8 bytes; null counts as empty."""
     return F.coalesce(text, F.lit("")).cast("binary")

@@ -3,8 +3,8 @@
 Both steps use linear support vector machines, one against one, over hashed counts of one to three letters. A
 family with one learned language needs no second step.
 
-Training fits on a bounded sample: at most about `per_language` rows of each language (a row is taken if the hash of
-its doc_id falls below the share that gives this many). Everything else reads all rows.
+Training fits on a bounded sample: at most about `per_language` rows of each language (a row is taken if the 64-bit
+hash of its doc_id and text falls below the share that gives this many). Everything else reads all rows.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; without labelled rows every text is `und`;
 repeated rows get equal results; languages that the table of families doesn't have are families of their own. Texts
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, read_table, ship, slices
+from .common import below, fold, read_table, ship, slices
 
 UND = "und"
 DIM = 4096
@@ -108,11 +108,10 @@ def train(labelled: DataFrame, id_col="doc_id", text_col="text", lang_col="lang"
     counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
     if not counts:
         return None
-    million = 1_000_000
-    bound = F.lit(0)
+    h, chosen = F.xxhash64(F.lit("lang"), F.col(id_col), F.col(text_col)), F.lit(False)
     for lang, n in counts.items():
-        bound = F.when(F.col(lang_col) == lang, F.lit(int(min(1.0, per_language / n) * million))).otherwise(bound)
-    sample = usable.where(F.pmod(F.xxhash64(F.lit("lang"), F.col(id_col)), F.lit(million)) < bound).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+        chosen = F.when(F.col(lang_col) == lang, below(h, per_language / n)).otherwise(chosen)
+    sample = usable.where(chosen).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
     def run(batches):
         for b in slices(batches):

@@ -1,73 +1,117 @@
-"""Toxicity by two class-conditional Kneser-Ney models over words.
+"""Toxicity by class-conditional Kneser-Ney models over words.
 
-For either class y, a word w counts by its distinct left neighbours in texts of that class, N1(. w | y): copies of a
-text add nothing. Absolute discounting takes D from each count, and the mass taken goes to one backoff distribution
-that both classes share, made of the counts of both:
+For either class y, a pair of words v w counts by its distinct left neighbours in texts of the class, N1(. v w | y), and a
+word by its distinct left neighbours, N1(. w | y): copies of a text add nothing. Each order discounts its counts by
+D = n1 / (n1 + 2 n2), n1 and n2 being how many counts are 1 and 2, and hands the mass down:
 
-    p(w | y) = max(N1(. w | y) - D, 0) / N1(. . | y) + lambda(y) * p_shared(w)
+    p2(w | v, y) = max(N1(. v w | y) - D2, 0) / N1(. v . | y) + lambda(v, y) * p1(w | y)
+    p1(w | y)    = max(N1(. w | y) - D1, 0) / N1(. . | y) + lambda(y) * p_shared(w)
+    p_shared(w)  = (N1(. w) + base) / (N1(. .) + base * (V + 1))
 
-so that a rare expression scores alike under both. A text's evidence is log p(w | toxic) - log p(w | ordinary),
-normalised by length over the whole text and over its strongest stretches of one and of four words; a logistic
-regression turns the three means into a score. Orders above one word were tried and only added noise from copies.
+p_shared has the counts of both classes, so that a rare expression scores nearly alike under both. A word's evidence is
+log p(w | toxic) - log p(w | ordinary); a text's is the mean over its strongest stretch of a number of words (0: the
+whole text), which normalises by length; a logistic curve in this one number is the score.
 
-Training fits on a bounded sample of labelled rows: about `most_toxic` and `most_ordinary` rows (by hash of
-doc_id). Its halves choose D and fit the regression: counts from one half, evidence from the other.
+Training fits on a bounded sample of labelled rows: about `most_toxic` and `most_ordinary` rows by hash of doc_id, pairs
+on about `most_pairs` of either. Order, stretch and base are chosen by log loss, and the curve is fitted, on evidence that
+each quarter of the sample gets from the counts of the other three (counts are taken within quarters, and added up).
+Where words follow each other by chance, pairs add only noise, and order one is taken.
 
-Edge cases: null and empty texts get the score of no evidence; labels that are null are left out, a doc_id labelled
-twice is toxic if either label is; without labels of both classes every score is 0; repeated rows get equal scores.
-Texts are used whole. Other columns are ignored.
+Edge cases: null and empty texts have evidence 0; labels that are null are left out, a doc_id labelled twice is toxic if
+either label is; without labels of both classes every score is 0; repeated rows get equal scores; of equal losses the
+lower order, longer stretch and smaller base wins. Texts are used whole. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fold, read_table, ship, slices
+from .common import as_bytes, below, fold, read_table, ship, slices
 
-DISCOUNTS = (1.0, 2.0, 4.0, 8.0)
-MOST_TOXIC, MOST_ORDINARY = 2000, 8000
+ORDERS, STRETCHES, BASES = (1, 2), (0, 16, 4, 1), (0.5, 5.0, 50.0, 500.0)
+MOST_TOXIC, MOST_ORDINARY, MOST_PAIRS = 2000, 8000, 800
 THRESHOLD = 0.7
+PARTS = 4
 #: Bytes that stand between words become spaces, A-Z become a-z.
 _FOLD = bytes(b if b >= 0x80 or chr(b).isalnum() and not 65 <= b <= 90 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
-def _words(raw: bytes) -> list[bytes]:
+def words_in(raw: bytes) -> list[bytes]:
     return raw.translate(_FOLD).split()
 
 
-def _evidence(words: list[bytes], llr: dict, rest: float) -> tuple[float, float, float]:
-    """Mean log ratio of the text, of its best word and of its best four words in a row."""
-    if not words:
-        return 0.0, 0.0, 0.0
-    v = np.fromiter((llr.get(w, rest) for w in words), np.float64, len(words))
+def discount(counts: np.ndarray) -> float:
+    """n1 / (n1 + 2 n2) of these counts, 0.5 where either is missing."""
+    one, two = int((counts == 1).sum()), int((counts == 2).sum())
+    return one / (one + 2 * two) if one and two else 0.5
+
+
+class Words:
+    """p1 of both classes for words by their numbers; the last number is any other word's."""
+
+    def __init__(self, counts: np.ndarray):
+        """counts: words by class (ordinary, toxic)."""
+        self.counts = np.vstack([counts, np.zeros((1, 2))]).astype(np.int32)
+        self.total = self.counts.sum(axis=0, dtype=np.int64).astype(np.float64)
+        self.discount = np.array([discount(self.counts[:, y]) for y in (0, 1)])
+        self.left = self.discount * (self.counts > 0).sum(axis=0) / np.maximum(self.total, 1)
+
+    def p(self, ids: np.ndarray, base: float) -> np.ndarray:
+        own = self.counts[ids]
+        shared = (own.sum(axis=1) + base) / (self.total.sum() + base * len(self.counts))
+        return np.maximum(own - self.discount, 0) / np.maximum(self.total, 1) + self.left * shared[:, None]
+
+
+def log_ratio(p: np.ndarray) -> np.ndarray:
+    return np.log(p[:, 1] / p[:, 0])
+
+
+class Pairs:
+    """What p2 adds to p1: for pairs of word numbers, the share of their own and that of p1, by class."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, size: int):
+        """codes: v * (size + 1) + w of each pair, ascending; counts: pairs by class; size: words in the vocabulary."""
+        self.codes, self.step = codes, size + 1
+        v = codes // self.step
+        self.own, self.rest = np.zeros((len(codes), 2)), np.ones((size + 1, 2))
+        for y in (0, 1):
+            d = discount(counts[:, y])
+            total = np.bincount(v, counts[:, y], size + 1)
+            kinds = np.bincount(v, counts[:, y] > 0, size + 1)
+            seen = total > 0
+            self.rest[seen, y] = d * kinds[seen] / total[seen]
+            self.own[:, y] = np.maximum(counts[:, y] - d, 0) / np.maximum(total[v], 1)
+
+    def p(self, p1: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """p2 of a text's words, given their numbers and p1."""
+        before = np.concatenate([[self.step - 1], ids[:-1]])  # a text starts after a word that is in no pair
+        code = before * self.step + ids
+        at = np.minimum(np.searchsorted(self.codes, code), max(0, len(self.codes) - 1))
+        own = np.where((self.codes[at] == code)[:, None], self.own[at], 0.0) if len(self.codes) else 0.0
+        return own + self.rest[before] * p1
+
+
+def strongest(v: np.ndarray, stretch: int) -> float:
+    """The largest mean of this many values in a row (0, or fewer values: of all)."""
+    if not len(v):
+        return 0.0
+    if not stretch or len(v) < stretch:
+        return float(v.sum() / max(len(v), stretch))
     sums = np.concatenate([[0.0], np.cumsum(v)])
-    best4 = (sums[4:] - sums[:-4]).max() / 4 if len(v) >= 4 else sums[-1] / 4
-    return float(v.mean()), float(v.max()), float(best4)
-
-
-def _log_ratios(words: list[bytes], counts: np.ndarray, totals: np.ndarray, singles: np.ndarray, d: float) -> tuple[dict, float]:
-    """Log ratio of each word that has more than d neighbours in either class, and of all others.
-
-    counts: words by class; totals: neighbours by class; singles: what words not listed add to the mass taken, by class.
-    """
-    taken = (np.minimum(counts, d).sum(axis=0) + singles) / totals
-    shared = (counts.sum(axis=1) + 0.5) / (totals.sum() + 0.5 * (len(words) + 1))
-    p = np.maximum(counts - d, 0) / totals + taken * shared[:, None]
-    known = (counts > d).any(axis=1)
-    ratio = np.log(p[known, 1] / p[known, 0])
-    return dict(zip([w for w, k in zip(words, known, strict=True) if k], ratio.tolist(), strict=True)), float(np.log(taken[1] / taken[0]))
-
-
-def _fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and log loss of a ridge logistic regression by Newton steps; the last weight is the bias."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
-    w = np.zeros(z.shape[1])
-    weight = weight / weight.sum()
-    penalty = np.diag([ridge] * x.shape[1] + [1e-9])
+    return float((sums[stretch:] - sums[:-stretch]).max() / stretch)
+
+
+def _fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[float, float, float]:
+    """Slope, bias and log loss of a logistic regression in one number, by Newton steps."""
+    mean, scale = x.mean(), x.std() + 1e-9
+    z = np.stack([(x - mean) / scale, np.ones(len(x))], axis=1)
+    w, weight = np.zeros(2), weight / weight.sum()
+    penalty = np.diag([ridge, 1e-9])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve(z.T @ (z * (weight * p * (1 - p))[:, None]) + penalty, z.T @ (weight * (p - y)) + penalty @ w)
@@ -76,88 +120,150 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
             break
     p = np.clip(1 / (1 + np.exp(-np.clip(z @ w, -30, 30))), 1e-9, 1 - 1e-9)
     loss = float(-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
-    slopes = w[:-1] / scale
-    return np.append(slopes, w[-1] - (slopes * mean).sum()), loss
+    return float(w[0] / scale), float(w[1] - w[0] * mean / scale), loss
+
 
+def _word_counts(sample: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """The vocabulary of the bounded sample, and the distinct left neighbours of each word by 2 * part + class."""
 
-def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", most_toxic=MOST_TOXIC, most_ordinary=MOST_ORDINARY) -> dict | None:
+    def run(batches):
+        for b in slices(batches):
+            out = set()
+            for raw, y, part in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                ws = words_in(raw)
+                k = 2 * part + y
+                out.update((k, v, w) for v, w in zip([b"", *ws], ws, strict=False))
+            k, v, w = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(v, pa.binary()), pa.array(w, pa.binary())], names=["k", "v", "w"])
+
+    distinct = sample.select("raw", "y", "part").mapInArrow(run, "k int, v binary, w binary").select("k", F.xxhash64("v").alias("v"), "w").distinct()
+    table = distinct.groupBy("w").agg(*[F.count(F.when(F.col("k") == k, 1)).alias(f"n{k}") for k in range(2 * PARTS)]).toArrow()
+    return table.column("w").to_pylist(), np.stack([table.column(f"n{k}").to_numpy() for k in range(2 * PARTS)], axis=1).astype(np.int32)
+
+
+def _pair_counts(sample: DataFrame, number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the pairs in the part of the sample for pairs, and their distinct left neighbours by 2 * part + class."""
+
+    def run(batches):
+        for b in slices(batches):
+            out = set()
+            for raw, y, part in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                ws = words_in(raw)
+                k = 2 * part + y
+                out.update((k, u, v, w) for u, v, w in zip([b"", *ws], ws, ws[1:], strict=False))
+            k, u, v, w = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), *(pa.array(x, pa.binary()) for x in (u, v, w))], names=["k", "u", "v", "w"])
+
+    distinct = sample.select("raw", "y", "part").mapInArrow(run, "k int, u binary, v binary, w binary").select("k", F.xxhash64("u").alias("u"), "v", "w").distinct()
+    table = distinct.groupBy("v", "w").agg(*[F.count(F.when(F.col("k") == k, 1)).alias(f"n{k}") for k in range(2 * PARTS)]).toArrow()
+    step = len(number) + 1
+    v, w = (np.fromiter((number[x.as_py()] for x in table.column(c)), np.int64, table.num_rows) for c in ("v", "w"))
+    codes = v * step + w
+    order = np.argsort(codes)
+    return codes[order], np.stack([table.column(f"n{k}").to_numpy() for k in range(2 * PARTS)], axis=1).astype(np.int32)[order]
+
+
+def _sum(counts: np.ndarray, without: int | None = None) -> np.ndarray:
+    """Counts by class of all parts of the sample, or of all but one."""
+    return sum(counts[:, 2 * k : 2 * k + 2] for k in range(PARTS) if k != without)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", most_toxic=MOST_TOXIC, most_ordinary=MOST_ORDINARY, most_pairs=MOST_PAIRS, orders=ORDERS, stretches=STRETCHES, bases=BASES) -> dict | None:
     """A model from the texts of docs that labels marks; None unless both classes occur."""
     spark = docs.sparkSession
     ship(spark)
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) != 0).cast("int")).alias("y"))
-    n = {r[0]: r[1] for r in marked.groupBy("y").count().collect()}
+    n = Counter({r[0]: r[1] for r in marked.groupBy("y").count().collect()})
     if len(n) < 2:
         return None
-    million = 1_000_000
-    share = {y: min(1.0, most / n[y]) for y, most in ((1, most_toxic), (0, most_ordinary))}
-    bound = F.when(F.col("y") == 1, F.lit(int(share[1] * million))).otherwise(F.lit(int(share[0] * million)))
+    share = {1: min(1.0, most_toxic / n[1]), 0: min(1.0, most_ordinary / n[0])}
     h = F.xxhash64(F.lit("toxicity"), F.col("id"))
-    chosen = marked.where(F.pmod(h, F.lit(million)) < bound).withColumn("half", F.pmod(F.shiftright(h, 24), F.lit(2)).cast("int"))
+    toxic = F.col("y") == 1
+    chosen = marked.where((toxic & below(h, share[1])) | (~toxic & below(h, share[0])))
+    for_pairs = F.xxhash64(F.lit("pairs"), F.col("id"))
+    chosen = chosen.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(PARTS)).cast("int")).withColumn(
+        "paired", (toxic & below(for_pairs, most_pairs / max(1, min(n[1], most_toxic)))) | (~toxic & below(for_pairs, most_pairs / max(1, min(n[0], most_ordinary))))
+    )
     # at most about most_toxic + most_ordinary rows, so it may be broadcast
     sample = docs.select(F.col(id_col).alias("id"), as_bytes(F.col(text_col)).alias("raw")).join(F.broadcast(chosen), "id")
 
-    def pairs(batches):
-        for b in slices(batches):
-            out = set()
-            for raw, y, half in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                ws = _words(raw)
-                k = 2 * half + y
-                out.update((k, v, w) for v, w in zip([b"", *ws], ws, strict=False))
-            k, v, w = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(v, pa.binary()), pa.array(w, pa.binary())], names=["k", "v", "w"])
-
-    distinct = sample.select("raw", "y", "half").mapInArrow(pairs, "k int, v binary, w binary").select("k", F.xxhash64("v").alias("v"), "w").distinct()
-    per_word = distinct.groupBy("w").agg(*[F.count(F.when(F.col("k") == k, 1)).alias(f"n{k}") for k in range(4)])
-    once = [F.sum(F.when(F.greatest("n0", "n1", "n2", "n3") <= 1, F.col(f"n{k}")).otherwise(0)) for k in range(4)]
-    per_word = per_word.persist()
-    sums = per_word.agg(*[F.sum(f"n{k}") for k in range(4)], *once).first()
-    rows = sorted((bytes(r[0]), *r[1:]) for r in per_word.where("greatest(n0, n1, n2, n3) > 1").collect())  # vocabulary of the bounded sample
-    per_word.unpersist()
-    if not rows or any(s is None or s == 0 for s in (sums[0] + sums[2], sums[1] + sums[3])):
+    vocabulary, counts = _word_counts(sample)
+    if not vocabulary or not _sum(counts).sum(axis=0).all():
         return None
-    words, counts = [r[0] for r in rows], np.array([r[1:] for r in rows], np.float64)
-    totals, singles = np.array(sums[:4], np.float64), np.array(sums[4:], np.float64)
-    whole = (counts[:, :2] + counts[:, 2:], totals[:2] + totals[2:], singles[:2] + singles[2:])
-    first = (counts[:, :2], totals[:2], singles[:2]) if (totals > 0).all() else whole
-    tried = [_log_ratios(words, *first, d) for d in DISCOUNTS]
-    shared = spark.sparkContext.broadcast(tried)
+    number = {w: i for i, w in enumerate(vocabulary)}
+    codes, pair_counts = _pair_counts(sample.where("paired"), number) if 2 in orders else (np.zeros(0, np.int64), np.zeros((0, 2 * PARTS), np.int32))
+    split = all(_sum(counts, k).sum(axis=0).all() for k in range(PARTS))  # both classes are left whichever part goes
+    parts = [(Words(_sum(counts, k)), Pairs(codes, _sum(pair_counts, k), len(vocabulary))) for k in (range(PARTS) if split else [None])]
+    shared = spark.sparkContext.broadcast((number, parts))
 
     def evidence(batches):
+        number, parts = shared.value
         for b in slices(batches):
-            x = [[v for llr, rest in shared.value for v in _evidence(ws, llr, rest)] for ws in map(_words, b.column(0).to_pylist())]
+            x = []
+            for raw, part in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                words, pairs = parts[part % len(parts)]
+                ws, found = words_in(raw), []
+                ids = np.fromiter((number.get(w, len(number)) for w in ws), np.int64, len(ws))
+                for order in orders:
+                    for base in bases:
+                        p = words.p(ids, base)
+                        v = log_ratio(pairs.p(p, ids) if order == 2 and len(ids) else p)
+                        found += [strongest(v, k) for k in stretches]
+                x.append(found)
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
-    other = sample.where("half = 1") if (totals > 0).all() else sample
-    seen = sorted((r.y, tuple(r.x)) for r in other.select("raw", "y").mapInArrow(evidence, "y int, x array<double>").collect())  # half the bounded sample
+    seen = sorted((r.y, tuple(r.x)) for r in sample.select("raw", "y", "part").mapInArrow(evidence, "y int, x array<double>").collect())  # some numbers for each row of the bounded sample
+    shared.unpersist()
     if len({y for y, _ in seen}) < 2:
         return None
     y, x = np.array([s[0] for s in seen], np.float64), np.array([s[1] for s in seen])
     weight = np.where(y == 1, 1 / share[1], 1 / share[0])
-    fits = [_fit_logistic(x[:, 3 * i : 3 * i + 3], y, weight) for i in range(len(DISCOUNTS))]
-    best = min(range(len(fits)), key=lambda i: fits[i][1])
-    llr, rest = _log_ratios(words, *whole, DISCOUNTS[best])
-    return {"llr": llr, "rest": rest, "weights": fits[best][0].tolist(), "discount": DISCOUNTS[best]}
+    kinds = [(order, base, stretch) for order in orders for base in bases for stretch in stretches]
+    fits = [_fit_curve(x[:, i], y, weight) for i in range(len(kinds))]
+    best = min(range(len(kinds)), key=lambda i: round(fits[i][2], 6))
+    order, base, stretch = kinds[best]
+    words = Words(_sum(counts))
+    out = {"order": order, "stretch": stretch, "base": base, "slope": fits[best][0], "bias": fits[best][1], "losses": {k: f[2] for k, f in zip(kinds, fits, strict=True)}}
+    if order == 1:
+        ratio = log_ratio(words.p(np.arange(len(vocabulary) + 1), base))
+        return out | {"ratio": dict(zip(vocabulary, ratio[:-1].tolist(), strict=True)), "other": float(ratio[-1])}
+    return out | {"number": number, "words": words, "pairs": Pairs(codes, _sum(pair_counts), len(vocabulary))}
+
+
+def evidence_of(raw: bytes, model: dict) -> float:
+    """The mean log ratio of a text's strongest stretch."""
+    ws = words_in(raw)
+    if not ws:
+        return 0.0
+    if model["order"] == 1:
+        get, other = model["ratio"].get, model["other"]
+        v = np.fromiter((get(w, other) for w in ws), np.float64, len(ws))
+    else:
+        number = model["number"]
+        ids = np.fromiter((number.get(w, len(number)) for w in ws), np.int64, len(ws))
+        v = log_ratio(model["pairs"].p(model["words"].p(ids, model["base"]), ids))
+    return strongest(v, model["stretch"])
 
 
 def score(docs: DataFrame, model: dict | None, text_col="text", keep: dict[str, Column] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The columns of keep (by name), with score and predicted."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)  # at most the vocabulary of the bounded sample
-    cols = docs.select(*[c.alias(n) for n, c in keep.items()], as_bytes(F.col(text_col)).alias("_raw"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema.fields[:-1])
+    keep = keep or {}
+    shared = spark.sparkContext.broadcast(model)  # at most the vocabulary and pairs of the bounded sample
+    names = [f"_keep{i}" for i in range(len(keep))]
+    cols = docs.select(*[c.alias(n) for n, c in zip(names, keep.values(), strict=True)], as_bytes(F.col(text_col)).alias("_raw"))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in cols.schema.fields[:-1])
 
     def run(batches):
         m = shared.value
         for b in slices(batches):
-            if m is None:
-                p = [0.0] * b.num_rows
-            else:
-                x = np.array([_evidence(_words(raw), m["llr"], m["rest"]) for raw in b.column(b.num_columns - 1).to_pylist()]).reshape(-1, 3)
-                p = 1 / (1 + np.exp(-np.clip(x @ np.array(m["weights"][:3]) + m["weights"][3], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p, pa.float64())], names=[*b.schema.names[:-1], "score"])
-
-    return cols.mapInArrow(run, f"{schema}, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+            x = np.array([evidence_of(raw, m) for raw in b.column(b.num_columns - 1).to_pylist()]) if m else np.zeros(b.num_rows)
+            p = 1 / (1 + np.exp(-np.clip(x * m["slope"] + m["bias"], -30, 30))) if m else x
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p, pa.float64())], names=[*names, "_score"])
+
+    out = cols.mapInArrow(run, f"{schema}_score double")
+    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keep, strict=True)], F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
