@@ -5,7 +5,7 @@ stages are Parquet in the folder that driver and executors share.
 
 Edge cases: a stage passes on an empty table as one; documents with null or empty text are clean, are near
 duplicates of each other, and are taken by no mix. Rows that share a doc_id, or have none, but differ in their texts are
-documents of their own; rows repeated with id and text are one.
+documents of their own; rows repeated with id and text are one. Further columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,43 +18,47 @@ from loomspark.llm import toxicity as toxic
 from loomspark.llm.common import fold, materialize, read_table
 
 
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models don't reject."""
-    labels = read_table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 3) != 1).select("doc_id", "toxic")
-    model = toxic.train(docs, labels)
-    return toxic.score(docs, model, keep={c: F.col(c) for c in docs.columns}).where("predicted = 0").select(*docs.columns)
-
-
 def _row_key() -> Column:
     """What tells documents apart: the doc_id (null last) and the text's hash."""
     return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(key, row): each document's key, and all its columns, whatever they are called."""
+    return docs.select(_row_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity models don't reject."""
+    labels = read_table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 3) != 1).select("doc_id", "toxic")
+    scored = toxic.score(docs, toxic.train(docs, labels), keep={f"c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)})
+    return scored.where("predicted = 0").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id (null last), then the least hash of its text, of each group of near duplicates, once."""
     own = materialize(simhash.fingerprints(docs.select(_row_key().alias("key"), "text"), "key"), "fingerprints")
     fps = materialize(own.select("fp").distinct(), "distinct-fingerprints")
     parts = simhash.connected_components(simhash.near_links(fps.select("fp", F.col("fp").alias("rep"))))  # fingerprints are their own nodes, whatever ids are
     grouped = own.join(parts, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp").alias("component"))
-    kept = grouped.agg(F.min("key").alias("key")).select(F.col("key.id").alias("kept_id"), F.col("key.text_hash").alias("kept_hash"))
-    rows = docs.withColumn("_hash", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("_hash") == F.col("kept_hash")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    kept = grouped.agg(F.min("key").alias("first"))
+    return _keyed(docs).join(kept, F.col("key") == F.col("first"), "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is benchmark text."""
     found = decontamination.find_overlaps(docs, read_table(spark, sf_dir, "benchmark"))
-    bad = found.where(decontamination.contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("bad_id"), "text_hash")
+    bad = found.where(decontamination.contaminated(F.col("n_hit"), F.col("n_words"))).select(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "text_hash").alias("bad"))
     bad = decontamination.few(materialize(bad, "contaminated"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("text_hash")), "left_anti")
+    return _keyed(docs).join(bad, F.col("key") == F.col("bad"), "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents as often as the mix takes them: 0, 1 or 2 times, to the nearest."""
     keyed = docs.select(_row_key().alias("key"), "text", "source")
-    taken = mixing.mix(keyed, "key").groupBy(F.col("key.id").alias("taken_id"), F.col("key.text_hash").alias("taken_hash")).agg(F.coalesce(F.round(F.try_divide(F.sum("taken"), F.sum("size"))), F.lit(0)).cast("int").alias("copies"))
-    rows = docs.join(taken.where("copies > 0"), F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.xxhash64("text") == F.col("taken_hash")))
-    return rows.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("_copy")).select(*docs.columns)
+    taken = mixing.mix(keyed, "key").groupBy(F.col("key").alias("taken")).agg(F.coalesce(F.round(F.try_divide(F.sum("taken"), F.sum("size"))), F.lit(0)).cast("int").alias("copies"))
+    rows = _keyed(docs).join(taken.where("copies > 0"), F.col("key") == F.col("taken"))
+    return rows.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
