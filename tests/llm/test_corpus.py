@@ -391,3 +391,68 @@ def test_pipeline_stages_keep_the_rows_of_brute_force(spark):
         for k, n in took.items():
             mixed += [k] * math.floor(n / size[k] + 0.5) if size[k] else []
     assert keys(p.mix_sources(spark, kept, SF)) == sorted(mixed, key=repr)
+
+
+def test_pipeline_stages_keep_clashing_columns_and_empty_tables(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({c: F.lit(i) for i, c in enumerate(["score", "predicted", "text_hash", "bad", "taken", "copies", "key", "row", "_copy", "c0", "size", "id", "fp", "component"])})
+    for (name, stage), n in zip(p.STAGES[:-1], (100, 100, 100, 100), strict=True):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.count() > n, name
+        assert {tuple(r) for r in out.select("key", "predicted", "_copy", "component").distinct().collect()} == {(6, 1, 8, 13)}
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert p.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
+
+
+@pytest.mark.parametrize("order", [1, 2])
+def test_kneser_ney_equals_brute_force(spark, order):
+    rng = np.random.default_rng(2)
+    kinds = [[f"a{i}" for i in range(12)], [f"a{i}" for i in range(8)] + ["bad", "worse"]]
+    texts = [(i, " ".join(rng.choice(kinds[i % 2], rng.integers(3, 12))), i % 2) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id int, text string, toxic int")
+    model = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), most_toxic=10**6, most_ordinary=10**6, most_pairs=10**6, orders=(order,), stretches=(0,), bases=(5.0,))
+    part = {r.doc_id: r.p for r in docs.select("doc_id", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(4)).alias("p")).collect()}
+    words, pairs = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+    two, three = set(), set()
+    for i, t, y in texts:
+        w = t.split()
+        two |= {(y, part[i], *g) for g in zip(["", *w], w)}
+        three |= {(y, part[i], *g) for g in zip(["", *w], w, w[1:])}
+    for y, _, _, w in two:
+        words[y][w] += 1
+    for y, _, _, v, w in three:
+        pairs[y][v, w] += 1
+
+    def discount(counts):
+        n1, n2 = (sum(c == k for c in counts) for k in (1, 2))
+        return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+    vocabulary, every = set(words[0]) | set(words[1]), sum(sum(c.values()) for c in words)
+
+    def p1(y, w):
+        d, n = discount(words[y].values()), sum(words[y].values())
+        shared = (words[0][w] + words[1][w] + 5) / (every + 5 * (len(vocabulary) + 1))
+        return max(words[y][w] - d, 0) / n + d * len(words[y]) / n * shared
+
+    def p2(y, v, w):
+        after = {x: c for (u, x), c in pairs[y].items() if u == v}
+        d, n = discount(pairs[y].values()), sum(after.values())
+        return max(after.get(w, 0) - d, 0) / n + d * len(after) / n * p1(y, w) if n else p1(y, w)
+
+    for t in [texts[0][1], texts[1][1], "bad worse unseen a1", "unseen"]:
+        w = t.split()
+        want = sum(math.log((p1(1, b) / p1(0, b)) if order == 1 else p2(1, a, b) / p2(0, a, b)) for a, b in zip([None, *w], w)) / len(w)
+        assert toxicity.evidence_of(t.upper().encode(), model) == pytest.approx(want, rel=1e-9)
+        got = toxicity.score(spark.createDataFrame([(t,)], "text string"), model).first().score
+        assert got == pytest.approx(1 / (1 + math.exp(-(model["slope"] * want + model["bias"]))))
+    assert sum(p1(1, w) for w in vocabulary) + p1(1, "unseen") == pytest.approx(1)
+
+
+def test_samples_hold_at_any_share(spark):
+    from loomspark.llm.common import below
+
+    h = spark.range(200_000).select(F.xxhash64("id").alias("h"))
+    for share, lo, hi in ((0.0, 0, 0), (1e-4, 5, 45), (0.5, 99_000, 101_000), (1.0, 200_000, 200_000), (7.0, 200_000, 200_000)):
+        assert lo <= h.where(below(F.col("h"), share)).count() <= hi
+    assert spark.range(1).where(below(F.lit(-(2**63)), 1e-15)).count() == 1  # a bound so small still lets rows in
