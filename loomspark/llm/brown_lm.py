@@ -1,20 +1,23 @@
 """Scoring texts with a Brown class-based bigram model.
 
-Words are put in classes by exchange: a unit (one of the most frequent words, or all other words with the same last
-three bytes, hashed to a group) moves to the class where the likelihood of the corpus under class transitions grows
-most, until nothing moves. Then
+Words are put in classes by exchange, so that the likelihood of the corpus under class transitions grows, and
 
     p(word | previous) = p(class | previous class) * (count + 1) / (class tokens + class words + 1)
 
-with transitions smoothed by the classes' frequencies. The exchange works on the transition counts between units,
-a matrix of fixed size that is summed over the whole training corpus.
+with transitions smoothed by the classes' frequencies. The exchange has two parts. The TOP most frequent words, and all
+others by groups of equal endings, are exchanged one by one until nothing moves, on a matrix of their transitions.
+Then every word of the training texts, however rare, moves to the class that its own neighbours ask for: the classes
+before and after it are counted for the whole vocabulary on Spark, and all words move at once, as in distributed
+exchange. Transitions and emissions are counted anew after that. A word that training has not seen has the class
+of its ending.
 
-Scale: word counts are summed within tasks before they are shuffled. Scoring looks up the frequent words (at most
-FREQUENT of them) in a broadcast table; all other words of a document are joined with the whole vocabulary by a
-shuffle, where no key is frequent. What documents need besides is in the shared folder.
+Scale: counts are summed within tasks before they are shuffled. Frequent words (at most FREQUENT) are looked up in
+a broadcast table; all other words of a text are joined with the whole vocabulary by a shuffle, where no key is frequent.
+A word has at most 2 * CLASSES neighbour counts. What texts need besides is in the shared folder.
 
 Edge cases: null and empty texts have the end token only; without training texts every count is 0 and scores are
-those of the smoothing alone; repeated rows get equal scores. Texts are used whole. Other columns are ignored.
+those of the smoothing alone; repeated rows get equal scores; of classes with equal gain the present one, then the first
+counts. Texts are used whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ END = b""
 TOP, GROUPS, CLASSES = 768, 256, 64
 FREQUENT = 200_000
 FLUSH = 300_000
-SWEEPS = 6
+MOST_SWEEPS = 100  # more than any exchange takes: each move raises the likelihood
 KAPPA = 5.0
 
 
@@ -118,7 +121,7 @@ def transitions(docs: DataFrame, units: dict[bytes, int], n_units: int, text_col
     return out.reshape(n_units, n_units)
 
 
-def exchange(follows: np.ndarray, n_classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+def exchange(follows: np.ndarray, n_classes: int = CLASSES, sweeps: int = MOST_SWEEPS) -> np.ndarray:
     """The class of each unit: exchange clustering for the likelihood of the class bigrams."""
     n = len(follows)
     weight = follows.sum(axis=0) + follows.sum(axis=1)
@@ -128,9 +131,7 @@ def exchange(follows: np.ndarray, n_classes: int = CLASSES, sweeps: int = SWEEPS
     member = np.eye(n_classes)[cls]
     g = member.T @ follows @ member
 
-    def f(x):
-        return x * np.log(np.maximum(x, 1))
-
+    f = _f
     for _ in range(sweeps):
         moved = 0
         for u in order:
@@ -163,86 +164,262 @@ def exchange(follows: np.ndarray, n_classes: int = CLASSES, sweeps: int = SWEEPS
     return cls
 
 
-def train(docs: DataFrame, text_col="text") -> dict:
-    """The model: vocabulary table, frequent words, classes and their tables."""
+def learn_core(docs: DataFrame, text_col="text") -> dict:
+    """Vocabulary, frequent words, and the classes of units: frequent words one by one, all others by ending."""
     vocab = materialize(count_words(docs, text_col), "vocabulary")
-    groups = {r.g: (r.words, r.n) for r in vocab.where(F.length("w") > 0).groupBy("g").agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()}  # GROUPS rows
     ends = vocab.where(F.length("w") == 0).agg(F.sum("n")).first()[0] or 0
     frequent = [(w, n) for w, n in _frequent(vocab, FREQUENT) if w]
     top = [END, *(w for w, _ in frequent[: TOP - 1])]
-    units = {w: i for i, w in enumerate(top)}
-    n_units = len(top) + GROUPS
-    follows = transitions(docs, units, n_units, text_col) if ends else np.zeros((n_units, n_units))
-    cls = exchange(follows)
-    tokens, words = np.zeros(CLASSES), np.zeros(CLASSES)
-    count, group = dict(frequent), _Groups()
-    for g, (v, n) in groups.items():
-        tokens[cls[len(top) + g]] += n
-        words[cls[len(top) + g]] += v
-    for w in top[1:]:
-        old = cls[len(top) + group[w[-3:]]]
-        tokens[old] -= count[w]
-        words[old] -= 1
-        tokens[cls[units[w]]] += count[w]
-        words[cls[units[w]]] += 1
-    tokens[cls[0]] += ends
-    words[cls[0]] += ends > 0
-    trans, denom = _logs(follows, cls, tokens, words)
-    return {"log_transitions": trans, "log_denominators": denom, "vocab": vocab, "units": units, "cls": cls, "frequent": count | {END: ends}, "n": int(tokens.sum()), "v": int(words.sum())}
-
-
-def _logs(follows: np.ndarray, cls: np.ndarray, tokens: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    follows = transitions(docs, {w: i for i, w in enumerate(top)}, len(top) + GROUPS, text_col) if ends else np.zeros((len(top) + GROUPS,) * 2)
+    cls, group = exchange(follows), _Groups()
+    words = [END, *(w for w, _ in frequent)]
+    classes = np.array([cls[i] if i < len(top) else cls[len(top) + group[w[-3:]]] for i, w in enumerate(words)], np.int64)
+    return {"vocab": vocab, "words": words, "counts": np.array([ends, *(n for _, n in frequent)], np.int64), "classes": classes, "by_group": cls[len(top) :], "n_top": len(top)}
+
+
+def encode(docs: DataFrame, core: dict, keep: dict[str, Column], text_col="text") -> DataFrame:
+    """The columns of keep as _keep0 and so on, with _key, _seq, _rare and _first of each text, in the shared folder.
+
+    _seq: little-endian int32 of each token, the number of a frequent word, or -1 - i for the i-th of the text's other
+    words, which are in _rare; _first: the classes of their endings.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    names = [f"_keep{i}" for i in range(len(keep))]
+    cols = docs.select(*[c.alias(n) for n, c in zip(names, keep.values(), strict=True)], as_bytes(F.col(text_col)).alias("_raw"))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in cols.schema.fields[:-1])
+    shared = spark.sparkContext.broadcast(({w: i for i, w in enumerate(core["words"])}, core["by_group"].tolist()))  # at most FREQUENT words
+
+    def run(batches):
+        (number, by_group), groups = shared.value, _Groups()
+        get, key = number.get, TaskContext.get().partitionId() << 33
+        for b in slices(batches):
+            seqs, rares = [], []
+            for raw in b.column(b.num_columns - 1).to_pylist():
+                tokens, rare = _tokens(raw), {}
+                ids = [i if (i := get(w)) is not None else rare.setdefault(w, -1 - len(rare)) for w in tokens]
+                seqs.append(np.array(ids, "<i4").tobytes())
+                rares.append(list(rare))
+            first = [[by_group[groups[w[-3:]]] for w in r] for r in rares]
+            keys = pa.array(range(key, key + len(seqs)), pa.int64())
+            key += len(seqs)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], keys, pa.array(seqs, pa.binary()), pa.array(rares, pa.list_(pa.binary())), pa.array(first, pa.list_(pa.int16()))], names=[*names, "_key", "_seq", "_rare", "_first"])
+
+    return materialize(cols.mapInArrow(run, f"{schema}_key bigint, _seq binary, _rare array<binary>, _first array<smallint>"), "encoded")
+
+
+def _flat(seqs: pa.Array, rare_sizes: np.ndarray, n_words: int) -> np.ndarray:
+    """The tokens of several texts in a row, after an end: numbers of frequent words, then places in the texts' rare words."""
+    parts = [np.frombuffer(x, "<i4") for x in seqs.to_pylist()]
+    ids = np.concatenate([np.zeros(1, np.int64), *parts]).astype(np.int64)
+    start = n_words + np.cumsum(rare_sizes) - rare_sizes
+    shift = np.concatenate([np.zeros(1, np.int64), np.repeat(start, [len(p) for p in parts])])
+    return np.where(ids < 0, shift - 1 - ids, ids)
+
+
+def neighbours(encoded: DataFrame, core: dict) -> DataFrame:
+    """(i, w, code, n): how often each word has a word of class code before it, or of class code - CLASSES after it.
+
+    Frequent words are known by their number i, others by w; rows without either have the transitions between classes.
+    """
+    spark = encoded.sparkSession
+    shared = spark.sparkContext.broadcast(core["classes"])
+
+    def run(batches):
+        frequent, g = shared.value, np.zeros(CLASSES * CLASSES, np.int64)
+        n_words, held, size = len(frequent), [], 0
+
+        def batch(i, w, code, n):
+            return pa.RecordBatch.from_arrays([i, w, pa.array(code, pa.int32()), pa.array(n, pa.int64())], names=["i", "w", "code", "n"])
+
+        def merged():
+            codes, ns = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(codes, kind="stable")
+            codes, ns = codes[order], ns[order]
+            at = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+            return codes[at], np.add.reduceat(ns, at)
+
+        def frequent_rows(codes, ns):
+            for k in range(0, len(codes), 200_000):
+                part = codes[k : k + 200_000]
+                yield batch(pa.array(part // (2 * CLASSES), pa.int32()), pa.nulls(len(part), pa.binary()), part % (2 * CLASSES), ns[k : k + 200_000])
+
+        for b in slices(batches):
+            first, rare = b.column(2), b.column(1)
+            sizes = rare.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            x = _flat(b.column(0), sizes, n_words)
+            cls = np.concatenate([frequent, first.flatten().to_numpy(zero_copy_only=False)])[x].astype(np.int64)
+            g += np.bincount(cls[:-1] * CLASSES + cls[1:], minlength=CLASSES * CLASSES)
+            codes, ns = np.unique(np.concatenate([x[1:] * (2 * CLASSES) + cls[:-1], x[:-1] * (2 * CLASSES) + CLASSES + cls[1:]]), return_counts=True)
+            cut = np.searchsorted(codes, n_words * 2 * CLASSES)
+            rows = codes[cut:] // (2 * CLASSES) - n_words
+            yield batch(pa.nulls(len(rows), pa.int32()), rare.flatten().take(pa.array(rows)), codes[cut:] % (2 * CLASSES), ns[cut:])
+            held.append((codes[:cut], ns[:cut]))
+            size += cut
+            if size > 3_000_000:
+                held = [merged()]
+                size = len(held[0][0])
+                if size > 1_500_000:
+                    yield from frequent_rows(*held[0])
+                    held, size = [], 0
+        if held:
+            yield from frequent_rows(*merged())
+        at = np.flatnonzero(g)
+        yield batch(pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary()), at, g[at])
+
+    rows = encoded.select("_seq", "_rare", "_first").mapInArrow(run, "i int, w binary, code int, n bigint")
+    return rows.groupBy("i", "w", "code").agg(F.sum("n").alias("n"))
+
+
+def _f(x):
+    return x * np.log(np.maximum(x, 1))
+
+
+def best_classes(present: np.ndarray, owner: np.ndarray, code: np.ndarray, n: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The class of each word in which the likelihood is largest, all other words staying where they are.
+
+    present: the words' classes; (owner, code, n): their neighbours' counts; g: transitions between classes.
+    """
+    gain = np.zeros((len(present), CLASSES))
+    rows, cols = g.sum(axis=1), g.sum(axis=0)
+    for side, table in ((0, g), (1, g.T)):  # column c of table: from each class to c, or into each class from c
+        mine = (code >= CLASSES) == (side == 0)
+        who, c, k = owner[mine], code[mine] % CLASSES, n[mine].astype(np.float64)
+        for at in range(0, len(who), 50_000):
+            s = slice(at, at + 50_000)
+            col = table[:, c[s]]
+            d = _f(col + k[s]) - _f(col)
+            here = np.arange(d.shape[1])
+            own = col[present[who[s]], here]
+            d[present[who[s]], here] = _f(own) - _f(np.maximum(own - k[s], 0))
+            np.add.at(gain, who[s], d.T)
+    for total, side in ((rows, code >= CLASSES), (cols, code < CLASSES)):
+        own = np.bincount(owner[side], n[side], len(present))
+        d = _f(total[None, :] + own[:, None]) - _f(total)[None, :]
+        at = np.arange(len(present))
+        d[at, present] = _f(total[present]) - _f(np.maximum(total[present] - own, 0))
+        gain -= d
+    best = gain.argmax(axis=1)
+    at = np.arange(len(present))
+    return np.where(gain[at, best] > gain[at, present] + 1e-9, best, present)
+
+
+def learn_classes(encoded: DataFrame, core: dict) -> dict:
+    """The model: each word of the training texts moves to the class that its own neighbours ask for; encoded: training texts."""
+    spark, vocab = encoded.sparkSession, core["vocab"]
+    found = materialize(neighbours(encoded, core), "neighbours")
+    g = np.zeros(CLASSES * CLASSES)
+    for r in found.where("i is null and w is null").collect():  # CLASSES * CLASSES rows
+        g[r.code] = r.n
+    g = g.reshape(CLASSES, CLASSES)
+    shared = spark.sparkContext.broadcast((core["classes"], core["by_group"], g, core["n_top"]))
+
+    def run(batches):
+        (frequent, by_group, g, n_top), groups = shared.value, _Groups()
+        for b in slices(batches, 5000):
+            i = b.column(0).to_numpy(zero_copy_only=False)
+            w = b.column(1).to_pylist()
+            present = np.array([frequent[int(k)] if x is None else by_group[groups[x[-3:]]] for k, x in zip(i, w, strict=True)], np.int64)
+            sizes = b.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            pairs = b.column(2).flatten()
+            best = best_classes(present, np.repeat(np.arange(len(w)), sizes), pairs.field(0).to_numpy(zero_copy_only=False).astype(np.int64), pairs.field(1).to_numpy(zero_copy_only=False), g)
+            fixed = np.array([x is None and k < n_top for k, x in zip(i, w, strict=True)])  # these have been exchanged one by one
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.where(fixed, present, best), pa.int32())], names=["i", "w", "cls"])
+
+    each = found.where("i is not null or w is not null").groupBy("i", "w").agg(F.collect_list(F.struct("code", "n")).alias("p"))  # at most 2 * CLASSES entries a word
+    moved = materialize(each.mapInArrow(run, "i int, w binary, cls int"), "classes")
+    classes, counts = core["classes"].copy(), core["counts"]
+    for r in moved.where("i is not null").select("i", "cls").toPandas().itertuples():  # at most FREQUENT rows
+        classes[r.i] = r.cls
+    rare = materialize(moved.where("i is null").select("w", "cls").join(vocab.select("w", "n"), "w"), "rare-words")
+    tokens, words = np.bincount(classes, counts, CLASSES), np.bincount(classes[counts > 0], minlength=CLASSES).astype(np.float64)
+    for r in rare.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # CLASSES rows
+        tokens[r.cls] += r.n
+        words[r.cls] += r.v
+    return core | {"classes": classes, "rare": rare, "tokens": tokens, "kinds": words, "n": int(tokens.sum()), "v": int(words.sum())}
+
+
+def with_classes(encoded: DataFrame, model: dict) -> DataFrame:
+    """encoded, with _at, _n and _cls: which of a text's rare words are known, how often they occur, and their classes."""
+    one = encoded.select("_key", F.posexplode("_rare").alias("at", "w")).join(model["rare"], "w")
+    known = one.groupBy("_key").agg(F.collect_list(F.struct("at", "n", "cls")).alias("k"))  # words of one text
+    return materialize(encoded.drop("_rare").join(known, "_key", "left").select(*[c for c in encoded.columns if c != "_rare"], F.col("k.at").alias("_at"), F.col("k.n").alias("_n"), F.col("k.cls").alias("_cls")), "classed")
+
+
+def _filled(b: pa.RecordBatch, names: list[str], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of a batch's texts in a row, after an end: their classes, and their counts if they are rare; and how many tokens each text has."""
+    column = {n: b.column(names.index(n)) for n in ("_seq", "_first", "_at", "_n", "_cls")}
+    sizes = column["_first"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    cls, n = column["_first"].flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.zeros(sizes.sum(), np.int64)
+    found = np.nan_to_num(column["_at"].value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    at = np.repeat(np.cumsum(sizes) - sizes, found) + column["_at"].flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    cls[at], n[at] = column["_cls"].flatten().to_numpy(zero_copy_only=False), column["_n"].flatten().to_numpy(zero_copy_only=False)
+    x = _flat(column["_seq"], sizes, len(classes))
+    lengths = np.array([len(s) // 4 for s in column["_seq"].to_pylist()], np.int64)
+    return x, np.concatenate([classes, cls])[x], np.where(x >= len(classes), np.concatenate([np.zeros(len(classes), np.int64), n])[x], -1), lengths
+
+
+_CLASSED = ["_seq", "_first", "_at", "_n", "_cls"]
+
+
+def learn_transitions(classed: DataFrame, model: dict) -> dict:
+    """The model with its transitions, from training texts."""
+    shared = classed.sparkSession.sparkContext.broadcast(model["classes"])
+
+    def run(batches):
+        g = np.zeros(CLASSES * CLASSES, np.int64)
+        for b in slices(batches):
+            _, cls, _, _ = _filled(b, _CLASSED, shared.value)
+            g += np.bincount(cls[:-1] * CLASSES + cls[1:], minlength=CLASSES * CLASSES)
+        at = np.flatnonzero(g)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(g[at], pa.int64())], names=["code", "n"])
+
+    g = np.zeros(CLASSES * CLASSES)
+    for r in classed.select(*_CLASSED).mapInArrow(run, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect():  # CLASSES * CLASSES rows
+        g[r.code] = r.n
+    trans, denom = _logs(g.reshape(CLASSES, CLASSES), model["tokens"], model["kinds"])
+    return model | {"follows": g.reshape(CLASSES, CLASSES), "log_transitions": trans, "log_denominators": denom}
+
+
+def _logs(g: np.ndarray, tokens: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log10 p(class | previous class), and log10 of each class's emission denominator."""
-    member = np.eye(CLASSES)[cls]
-    g = member.T @ follows @ member
     share = (tokens + 1e-6) / (tokens + 1e-6).sum()
     return np.log10((g + KAPPA * share) / (g.sum(axis=1, keepdims=True) + KAPPA)), np.log10(tokens + words + 1)
 
 
-def score(docs: DataFrame, model: dict, keep: dict[str, Column], text_col="text") -> DataFrame:
+def score(classed: DataFrame, model: dict, keep: dict[str, Column]) -> DataFrame:
     """The columns of keep (by name), with n_tokens, n_known, train_tokens, base_score and score (log10)."""
-    spark = docs.sparkSession
-    ship(spark)
-    trans, denom = model["log_transitions"], model["log_denominators"]
-    n_top, cls = len(model["units"]), model["cls"]
-    top_group = cls[n_top:]
-    group = _Groups()
-    table = {w: (int(cls[model["units"][w]] if w in model["units"] else top_group[group[w[-3:]]]), math.log10(n + 1), n > 0) for w, n in model["frequent"].items()}
-    shared = spark.sparkContext.broadcast((table, trans, denom, top_group.tolist()))  # at most FREQUENT words
+    names = [f"_keep{i}" for i in range(len(keep))]
+    shared = classed.sparkSession.sparkContext.broadcast((model["classes"], model["counts"], model["log_transitions"], model["log_denominators"]))
     per_token = math.log10(model["n"] + model["v"] + 1)
-    cols = docs.select(*[c.alias(k) for k, c in keep.items()], as_bytes(F.col(text_col)).alias("_raw"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema.fields[:-1])
-    extra = ["_key", "n_tokens", "_known", "_count_log", "_rest_log", "_rare", "_times"]
+    cols = classed.select(*names, *_CLASSED)
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in cols.schema.fields[: len(names)])
 
     def run(batches):
-        table, trans, denom, by_group = shared.value
-        groups, get, end = _Groups(), table.get, table[END]
-        key = TaskContext.get().partitionId() << 33
+        classes, counts, trans, denom = shared.value
         for b in slices(batches):
-            out = []
-            for raw in b.column(b.num_columns - 1).to_pylist():
-                tokens = _tokens(raw)
-                found = [get(w) for w in tokens]
-                rare = Counter(w for w, f in zip(tokens, found, strict=True) if f is None)
-                classes = np.array([end[0], *(f[0] if f else by_group[groups[w[-3:]]] for w, f in zip(tokens, found, strict=True))])
-                rest = trans[classes[:-1], classes[1:]].sum() - denom[classes[1:]].sum()
-                out.append((key, len(tokens), sum(f[2] for f in found if f), math.fsum(f[1] for f in found if f), float(rest), list(rare), list(rare.values())))
-                key += 1
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names=[*b.schema.names[:-1], *extra])
-
-    kinds = f"{schema}, _key bigint, n_tokens bigint, _known bigint, _count_log double, _rest_log double, _rare array<binary>, _times array<int>"
-    each = materialize(cols.mapInArrow(run, kinds), "scored")
-    rare = each.select("_key", F.explode(F.arrays_zip("_rare", "_times")).alias("r")).select("_key", F.col("r._rare").alias("w"), F.col("r._times").alias("times"))
-    found = rare.join(model["vocab"].select("w", "n"), "w").groupBy("_key").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("_rare_log"), F.sum("times").alias("_rare_known"))
-    count_log = F.col("_count_log") + F.coalesce("_rare_log", F.lit(0.0))
-    return each.drop("_rare", "_times").join(found, "_key", "left").select(
-        *keep, "n_tokens", (F.col("_known") + F.coalesce("_rare_known", F.lit(0))).cast("long").alias("n_known"), F.lit(model["n"]).cast("long").alias("train_tokens"),
-        (count_log - F.col("n_tokens") * per_token).alias("base_score"), (count_log + F.col("_rest_log")).alias("score"),
-    )
+            x, cls, n, lengths = _filled(b, [*names, *_CLASSED], classes)
+            n = np.where(n >= 0, n, np.concatenate([counts, [0]])[np.minimum(x, len(counts))])[1:]
+            logs, starts = np.log10(n + 1.0), np.cumsum(lengths) - lengths
+            sums = [np.add.reduceat(v, starts) for v in (n > 0, logs, trans[cls[:-1], cls[1:]] - denom[cls[1:]])] if len(lengths) else [[]] * 3
+            base = sums[1] - lengths * per_token if len(lengths) else []
+            total = sums[1] + sums[2] if len(lengths) else []
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(lengths, pa.int64()), pa.array(sums[0], pa.int64()), pa.array(base, pa.float64()), pa.array(total, pa.float64())], names=[*names, "n_tokens", "n_known", "base_score", "score"])
+
+    out = cols.mapInArrow(run, f"{schema}n_tokens bigint, n_known bigint, base_score double, score double")
+    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keep, strict=True)], "n_tokens", "n_known", F.lit(model["n"]).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def train_and_score(docs: DataFrame, learn: Column, keep: dict[str, Column], text_col="text") -> tuple[DataFrame, dict]:
+    """score() of all docs by a model of those where learn is true, and the model."""
+    core = learn_core(docs.where(learn), text_col)
+    encoded = encode(docs, core, keep | {"": F.coalesce(learn, F.lit(False))}, text_col)
+    mark = f"_keep{len(keep)}"
+    classed = with_classes(encoded, model := learn_classes(encoded.where(mark), core))
+    model = learn_transitions(classed.where(mark), model)
+    return score(classed, model, keep), model
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 7) == 2
-    return score(docs, train(docs.where(~held_out)), {"doc_id": F.col("doc_id"), "held_out": held_out})
+    return train_and_score(read_table(spark, sf_dir, "documents"), ~held_out, {"doc_id": F.col("doc_id"), "held_out": held_out})[0]

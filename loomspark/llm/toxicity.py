@@ -193,11 +193,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     number = {w: i for i, w in enumerate(vocabulary)}
     codes, pair_counts = _pair_counts(sample.where("paired"), number) if 2 in orders else (np.zeros(0, np.int64), np.zeros((0, 2 * PARTS), np.int32))
     split = all(_sum(counts, k).sum(axis=0).all() for k in range(PARTS))  # both classes are left whichever part goes
-    parts = [(Words(_sum(counts, k)), Pairs(codes, _sum(pair_counts, k), len(vocabulary))) for k in (range(PARTS) if split else [None])]
-    shared = spark.sparkContext.broadcast((number, parts))
+    shared = spark.sparkContext.broadcast((number, counts, codes, pair_counts))  # the vocabulary and pairs of the bounded sample
 
     def evidence(batches):
-        number, parts = shared.value
+        number, counts, codes, pair_counts = shared.value
+        parts = [(Words(_sum(counts, k)), Pairs(codes, _sum(pair_counts, k), len(number))) for k in (range(PARTS) if split else [None])]
         for b in slices(batches):
             x = []
             for raw, part in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):

@@ -232,21 +232,69 @@ def test_mpeg_tag_inside_payload(spark):
     assert "frames=0;" in mpeg_audio.describe(bare).first().feature
 
 
-def test_brown_model_counts_and_gain(spark, docs, none):
-    train = docs.where("doc_id % 2 = 0")
-    got = brown_lm.score(docs, brown_lm.train(train), {"doc_id": F.col("doc_id")}).collect()
-    tokens = {i: [*SPACED.findall(raw(t)), None] for i, t in enumerate(TEXTS)}
+def brown_rows(df, learn):
+    rows, model = brown_lm.train_and_score(df, learn, {"doc_id": F.col("doc_id")})
+    return rows.collect(), model
+
+
+@pytest.mark.parametrize("frequent", [200_000, 20])
+def test_brown_model_equals_brute_force(spark, docs, none, monkeypatch, frequent):
+    monkeypatch.setattr(brown_lm, "FREQUENT", frequent)  # few: most words come by the join
+    monkeypatch.setattr(brown_lm, "TOP", 8)
+    got, model = brown_rows(docs, F.col("doc_id") % 2 == 0)
+    tokens = {i: [*SPACED.findall(raw(t)), b""] for i, t in enumerate(TEXTS)}
     rows = [*range(0, len(TEXTS), 2), 8]
     c = collections.Counter(w for i in rows for w in tokens[i])
     n, v = sum(c.values()), len(c)
+    cls = dict(zip(model["words"], model["classes"].tolist(), strict=True)) | {bytes(r.w): r.cls for r in model["rare"].collect()}
+    assert set(cls) - {b""} == set(c) - {b""}
+    of = lambda w: cls[w] if w in cls else int(model["by_group"][zlib.crc32(w[-3:]) % brown_lm.GROUPS])
+    follows, own, kinds, k = collections.Counter(), collections.Counter(), collections.Counter(), brown_lm.CLASSES
+    for i in rows:
+        follows.update(zip([of(b""), *map(of, tokens[i])], map(of, tokens[i])))
+    for w, m in c.items():
+        own[of(w)] += m
+        kinds[of(w)] += 1
+    before = collections.Counter()
+    for (a, _), m in follows.items():
+        before[a] += m
+    share = [(own[x] + 1e-6) / (n + 1e-6 * k) for x in range(k)]
     for r in got:
-        t = tokens[r.doc_id]
+        t, logs = tokens[r.doc_id], 0.0
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel=1e-9)
-        assert r.score <= 0
-    assert {r.n_known for r in brown_lm.score(docs, brown_lm.train(none), {"doc_id": F.col("doc_id")}).collect()} == {0}
-    held = registry.queries()["op5_brown_lm"](spark, SF).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert held[0] > held[1]
+        for a, b in zip([of(b""), *map(of, t)], t):
+            logs += math.log10((follows[a, of(b)] + brown_lm.KAPPA * share[of(b)]) / (before[a] + brown_lm.KAPPA) * (c[b] + 1) / (own[of(b)] + kinds[of(b)] + 1))
+        assert r.score == pytest.approx(logs, rel=1e-9)
+
+
+def test_brown_model_without_training_texts_and_on_held_out_ones(spark, docs, none):
+    assert {(r.n_known, r.train_tokens) for r in brown_rows(docs, F.lit(False))[0]} == {(0, 0)}
+    assert brown_rows(none, F.lit(True))[0] == []
+    held = registry.queries()["op5_brown_lm"](spark, SF).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (held[0] - held[1]) / held[2] > 0.05  # each token is likelier by an eighth, on 200 texts
+
+
+def test_words_move_to_the_class_of_most_likelihood(monkeypatch):
+    monkeypatch.setattr(brown_lm, "CLASSES", 3)
+    rng = np.random.default_rng(9)
+    g = rng.integers(0, 40, (3, 3)).astype(float) + 30
+    present = rng.integers(0, 3, 6)
+    owner, code, n = np.repeat(np.arange(6), 6), np.tile(np.arange(6), 6), rng.integers(0, 9, 36)
+    xlogx = lambda x: x * math.log(x) if x > 1 else 0.0
+
+    def gain(u, b):
+        stay, total = b == present[u], 0.0
+        for c in range(3):
+            left, right = n[6 * u + c], n[6 * u + 3 + c]  # classes before and after the word
+            for cell, k in ((g[c, b], left), (g[b, c], right)):
+                total += xlogx(cell) - xlogx(cell - k) if stay else xlogx(cell + k) - xlogx(cell)
+        for margin, k in ((g.sum(axis=1)[b], sum(n[6 * u + 3 : 6 * u + 6])), (g.sum(axis=0)[b], sum(n[6 * u : 6 * u + 3]))):
+            total -= xlogx(margin) - xlogx(margin - k) if stay else xlogx(margin + k) - xlogx(margin)
+        return total
+
+    want = [max(range(3), key=lambda b: gain(u, b)) for u in range(6)]
+    assert brown_lm.best_classes(present, owner, code, n, g).tolist() == want
 
 
 def test_exchange_finds_word_classes():
