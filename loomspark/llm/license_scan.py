@@ -26,8 +26,8 @@ CONFIDENCE = {SPDX: 1.0, FULL: 0.95, GRANT: 0.9, NAME: 0.8, MENTION: 0.7, BASE:
 #: Label, a word that must stand near, and the license's name over words.
 NAMES = [
     ("mit", "mit", "mit"), ("apache-2.0", "apache", "apache(?: license)?(?: version)? 2(?: 0)?"), ("apache-1.1", "apache", "apache(?: software)?(?: version)? 1 1"),
-    ("apache", "apache", "apache(?: software)?"), ("gpl-2.0", "2", "gnu (?:general public license|gpl)(?: version| v)? 2(?: 0)?"), ("gpl-3.0", "3", "gnu (?:general public license|gpl)(?: version| v)? 3(?: 0)?"),
-    ("lgpl-2.1", "2", "gnu lesser general public license(?: version| v)? 2(?: 1)?"), ("lgpl-3.0", "3", "gnu lesser general public license(?: version| v)? 3(?: 0)?"),
+    ("apache", "apache", "apache(?: software)?"), ("gpl-2.0", "gnu", "gnu (?:general public license|gpl)(?: version| v)? 2(?: 0)?"), ("gpl-3.0", "gnu", "gnu (?:general public license|gpl)(?: version| v)? 3(?: 0)?"),
+    ("lgpl-2.1", "lesser", "gnu lesser general public license(?: version| v)? 2(?: 1)?"), ("lgpl-3.0", "lesser", "gnu lesser general public license(?: version| v)? 3(?: 0)?"),
     ("agpl-3.0", "affero", "gnu affero general public license(?:(?: version| v)? 3(?: 0)?)?"), ("gpl", "gnu", "gnu general public"), ("lgpl", "lesser", "gnu lesser general public"),
     ("bsd-3-clause", "3", "bsd 3 clause"), ("bsd-3-clause", "new", "new bsd"), ("bsd-2-clause", "2", "bsd 2 clause"), ("bsd-2-clause", "simplified", "simplified bsd"), ("bsd", "bsd", "bsd(?: style)?"),
     ("mpl-2.0", "mozilla", "mozilla public license(?: version| v)? 2(?: 0)?"), ("mpl-1.1", "mozilla", "mozilla public license(?: version| v)? 1 1"), ("mpl", "mozilla", "mozilla public"),
@@ -42,44 +42,151 @@ NAMES = [
 ]
 #: How a license is named or granted; `{}` is its name. The keyword is marked by `@`.
 SHAPES = [
-    (GRANT, "license", "(?:licensed|released|distributed|available|published|provided|covered) under (?:the )?(?:terms of )?(?:the )?{} @license"),
-    (GRANT, "license", "(?:subject to|according to|in compliance with|governed by) (?:the )?(?:(?:terms|conditions) (?:and conditions )?of )?(?:the )?{} @license"),
-    (GRANT, "licensed", "@licensed under (?:the )?(?:terms of )?(?:the )?{}"),
-    (NAME, "license", "(?:the )?{} @license(?: agreement)?(?: version| v) ?[0-9]+(?: [0-9]+)?"),
-    (MENTION, "license", "{} @license"),
-    (MENTION, "licence", "{} @licence"),
-    (MENTION, "licenses", "{} @licenses"),
+    (GRANT, "(?:licensed|released|distributed|available|published|provided|covered|governed by|subject to|according to|in compliance with)(?: under)?(?: the)?(?: terms(?: and conditions)? of)?(?: the)? {} @license"),
+    (GRANT, "@licensed under (?:the )?(?:terms of )?(?:the )?{}"),
+    (NAME, "(?:the )?{} @license(?: agreement)?(?: version| v) ?[0-9]+(?: [0-9]+)?"),
+    (MENTION, "{} @license"),
+    (MENTION, "{} @licence"),
 ]
-#: Label, priority, keyword, needed word, expression.
+#: Rules for single texts: label, a word that must stand near, expression. FULL: sentences of a license or its notice.
+SENTENCES = [
+    ("mit", "charge", "permission is @hereby granted free of charge to any person obtaining a copy(?: of this software and associated documentation files)?"),
+    ("mit", "permission", "the above @copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "merge", "to use copy modify merge publish distribute @sublicense and or sell copies of the software"),
+    ("mit", "noninfringement", "the software is provided as is without @warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("mit", "style", "use of this source code is governed by an mit style @license"),
+    ("x11", "advertising", "of the above @copyright (?:holder|holders) shall not be used in advertising or otherwise to promote the sale use or other dealings"),
+    ("hpnd", "documentation", "permission to use copy modify and distribute this software and its documentation for any purpose (?:and )?without fee is @hereby granted"),
+    ("postgresql", "agreement", "for any purpose without fee and without a written agreement is @hereby granted"),
+    ("isc", "fee", "to use copy modify (?:and or |and )?distribute this software for any purpose with or without fee is @hereby granted"),
+    ("bsd", "binary", "@redistribution and use in source and binary forms with or without modification(?: are permitted)?"),
+    ("bsd", "retain", "@redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "reproduce", "@redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "holders", "this software is provided by the copyright holders and contributors as is and any express or implied @warranties"),
+    ("bsd", "style", "use of this source code is governed by a bsd style @license"),
+    ("bsd-3-clause", "promote", "(?:name|names) of (?:its|the) contributors may be used to @endorse or promote products derived from this software"),
+    ("bsd-3-clause", "promote", "(?:may|must) not be used to @endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-3-clause-clear", "patent", "no express or implied @licenses to any party s patent rights are granted by this license"),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following @acknowledgement"),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following @acknowledgment"),
+    ("openssl", "whatsoever", "@redistributions of any form whatsoever must retain the following (?:acknowledgment|acknowledgement)"),
+    ("apache-2.0", "apache", "@licensed under the apache license version 2 0 the license"),
+    ("apache-2.0", "compliance", "you may not use this file except in compliance with the @license"),
+    ("apache-2.0", "apache", "you may obtain a copy of the @license at (?:http|https) www apache org licenses license 2 0"),
+    ("apache-2.0", "writing", "unless required by applicable law or agreed to in writing software distributed under the @license is distributed on an as is basis"),
+    ("apache-2.0", "asf", "@licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-2.0", "irrevocable", "grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable @copyright license"),
+    ("apache-2.0", "january", "apache @license version 2 0 january 2004"),
+    ("gpl", "modify", "(?:this program is free software )?you can @redistribute it and or modify it(?: under the terms of the gnu general public license)?(?: as published by the free software foundation)?"),
+    ("gpl", "hope", "distributed in the hope that it will be useful but without any @warranty"),
+    ("gpl", "received", "you should have received a copy of the gnu general public @license along with this (?:program|file|library|package)"),
+    ("gpl", "verbatim", "everyone is permitted to copy and distribute verbatim copies of this @license document but changing it is not allowed"),
+    ("gpl-2.0", "freedom", "the @licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3.0", "copyleft", "the gnu general public license is a free copyleft @license for software and other kinds of works"),
+    ("gpl-2.0-or-later", "later", "either version 2 of the @license or at your option any later version"),
+    ("gpl-3.0-or-later", "later", "either version 3 of the @license or at your option any later version"),
+    ("lgpl-2.1-or-later", "later", "either version 2 1 of the @license or at your option any later version"),
+    ("gpl-2.0-only", "published", "gnu general public @license (?:version|v) 2 as published by the free software foundation"),
+    ("gpl-2.0-only", "published", "gnu general public @license as published by the free software foundation version 2 of the license"),
+    ("gpl-3.0-only", "published", "gnu general public @license (?:version|v) 3 as published by the free software foundation"),
+    ("gpl-3.0-only", "published", "gnu general public @license as published by the free software foundation version 3 of the license"),
+    ("lgpl", "library", "this library is free software you can @redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("lgpl", "received", "you should have received a copy of the gnu (?:lesser|library) general public @license"),
+    ("lgpl-2.0", "library", "gnu library general public @license(?: version| v)? 2"),
+    ("agpl-3.0", "received", "you should have received a copy of the gnu affero general public @license"),
+    ("agpl-3.0", "affero", "under the terms of the gnu affero general public @license as published by the free software foundation"),
+    ("gfdl", "document", "copy distribute and or modify this document under the terms of the gnu free documentation @license"),
+    ("gfdl-1.3", "documentation", "gnu free documentation @license (?:version|v) 1 3"),
+    ("gfdl-1.2", "documentation", "gnu free documentation @license (?:version|v) 1 2"),
+    ("classpath-exception-2.0", "modules", "@linking this library statically or dynamically with other modules is making a combined work based on this library"),
+    ("classpath-exception-2.0", "classpath", "@gpl(?: version| v)? 2(?: 0)?(?: only)? with (?:the )?classpath exception"),
+    ("linking-exception", "link", "as a special exception the @copyright (?:holder|holders) of this library give you permission to link"),
+    ("gcc-exception-3.1", "runtime", "gcc runtime library @exception(?: version)? 3 1"),
+    ("bison-exception-2.2", "bison", "as a special @exception you may create a larger work that contains part or all of the bison parser skeleton"),
+    ("autoconf-exception", "autoconf", "as part of a program that contains a configuration script generated by autoconf you may include it under the same @distribution terms"),
+    ("linux-syscall-note", "kernel", "this @copyright does not cover user programs that use kernel services by normal system calls"),
+    ("mpl-2.0", "form", "this source code form is subject to the terms of the mozilla public @license v 2 0"),
+    ("mpl-2.0", "obtain", "you can obtain one at (?:http|https) @mozilla org mpl 2 0"),
+    ("mpl-2.0-no-copyleft-exception", "incompatible", "this source code form is incompatible with secondary @licenses"),
+    ("mpl-1.1", "contents", "the contents of this file are subject to the mozilla public @license version 1 1"),
+    ("mpl-1.1", "governing", "see the @license for the specific language governing rights and limitations under the license"),
+    ("epl-2.0", "accompanying", "the accompanying materials are made available under the terms of the eclipse public @license(?: version| v)? 2 0"),
+    ("epl-1.0", "accompanying", "the accompanying materials are made available under the terms of the eclipse public @license(?: version| v)? 1 0"),
+    ("cddl-1.0", "contents", "the contents of this file are subject to the terms of the common development and distribution @license"),
+    ("cpl-1.0", "common", "common public @license(?: version| v)? 1 0"),
+    ("ipl-1.0", "ibm", "ibm public @license(?: version| v)? 1 0"),
+    ("zlib", "authors", "this software is provided as is without any express or implied @warranty in no event will the authors be held liable"),
+    ("zlib", "alter", "including commercial applications and to alter it and @redistribute it freely"),
+    ("boost", "organization", "permission is @hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("boost", "boost", "distributed under the boost software @license version 1 0"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public @domain"),
+    ("unlicense", "dedicate", "the author or authors of this software dedicate any and all @copyright interest in the software to the public domain"),
+    ("cc0-1.0", "neighboring", "waived all @copyright and related or neighboring rights"),
+    ("cc0-1.0", "deed", "who associated a work with this deed has dedicated the work to the public @domain"),
+    ("cc-by-4.0", "attribution", "this work is @licensed under (?:a|the) creative commons attribution 4 0 international license"),
+    ("cc-by-sa-4.0", "sharealike", "this work is @licensed under (?:a|the) creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nc-4.0", "noncommercial", "this work is @licensed under (?:a|the) creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-nd-4.0", "noderivatives", "this work is @licensed under (?:a|the) creative commons attribution noderivatives 4 0 international license"),
+    ("cc-by-nc-sa-4.0", "sharealike", "this work is @licensed under (?:a|the) creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("cc-by-nc-nd-4.0", "noderivatives", "this work is @licensed under (?:a|the) creative commons attribution noncommercial noderivatives 4 0 international license"),
+    ("wtfpl", "allowed", "verbatim or modified copies of this @license document and changing it is allowed as long as the name is changed"),
+    ("artistic-1.0", "artistic", "such that the @copyright holder maintains some semblance of artistic control"),
+    ("artistic-1.0-or-gpl", "perl", "you (?:can|may) @redistribute it and or modify it under the same terms as perl(?: itself)?"),
+    ("python-2.0", "psf", "psf is making python available to @licensee on an as is basis"),
+    ("python-2.0", "psf", "subject to the terms and conditions of this @license agreement psf hereby grants licensee"),
+    ("ofl-1.1", "font", "this font software is @licensed under the sil open font license version 1 1"),
+    ("ofl-1.1", "fonts", "the ofl allows the @licensed fonts to be used studied modified and redistributed freely"),
+    ("tcl", "retained", "use copy modify distribute and @license this software and its documentation for any purpose provided that existing copyright notices are retained"),
+    ("w3c", "w3c", "w3c software (?:notice and|and document notice and) @license"),
+    ("unicode", "unicode", "unicode inc @license agreement data files and software"),
+    ("ncsa", "illinois", "university of illinois ncsa open source @license"),
+    ("eupl-1.2", "eupl", "@licensed under the eupl(?: version| v)?(?: 1 2)?"),
+    ("busl-1.1", "business", "business source @license(?: version)? 1 1"),
+    ("sspl-1.0", "server", "server side public @license(?: version| v)? 1"),
+    ("elastic-2.0", "elastic", "elastic @license(?: version| v)? 2 0"),
+    ("proprietary", "confidential", "this software is the confidential and @proprietary information of"),
+    ("proprietary", "property", "@licensed materials property of"),
+    ("proprietary", "prohibited", "@reproduction or distribution (?:of this (?:file|software|material) )?(?:without (?:prior )?(?:written )?permission )?is strictly prohibited"),
+    ("public-domain", "public", "(?:released|dedicated|placed|put) (?:in|into|to) the public @domain"),
+    ("public-domain", "public", "this (?:file|work|code|software|program) is in the public @domain"),
+]
+#: Expressions after an SPDX tag: label, the last word, the words.
+EXPRESSIONS = [
+    ("gpl-2.0-only", "only", "gpl 2 0 only"), ("gpl-2.0-or-later", "later", "gpl 2 0 or later"), ("gpl-3.0-only", "only", "gpl 3 0 only"), ("gpl-3.0-or-later", "later", "gpl 3 0 or later"),
+    ("lgpl-2.1-only", "only", "lgpl 2 1 only"), ("lgpl-2.1-or-later", "later", "lgpl 2 1 or later"), ("lgpl-3.0-only", "only", "lgpl 3 0 only"), ("lgpl-3.0-or-later", "later", "lgpl 3 0 or later"),
+    ("agpl-3.0-only", "only", "agpl 3 0 only"), ("agpl-3.0-or-later", "later", "agpl 3 0 or later"), ("mit-or-apache-2.0", "apache", "mit or apache 2 0"), ("mit-or-apache-2.0", "apache", "apache 2 0 or mit"),
+    ("mit-and-apache-2.0", "apache", "mit and apache 2 0"), ("mit-and-apache-2.0", "apache", "apache 2 0 and mit"), ("apache-2.0-with-llvm-exception", "llvm", "apache 2 0 with llvm exception"), ("gpl-2.0-with-classpath-exception", "classpath", "gpl 2 0(?: only)? with classpath exception 2 0"),
+    ("gpl-2.0-with-linux-syscall-note", "syscall", "gpl 2 0(?: only)? with linux syscall note"), ("gpl-2.0-or-mit", "mit", "gpl 2 0(?: only| or later)? or mit"), ("gpl-2.0-or-bsd", "bsd", "gpl 2 0(?: only| or later)? or bsd [0-9]+ clause"), ("0bsd", "0bsd", "0bsd"), ("mit-0", "mit", "mit 0"),
+]
+#: Shorter phrases: label, a word that must stand near, expression.
 PHRASES = [
-    ("mit", FULL, "hereby", "charge", "permission is @hereby granted free of charge to any person obtaining a copy"),
-    ("isc", FULL, "hereby", "fee", "to use copy modify (?:and or |and )?distribute this software for any purpose with or without fee is @hereby granted"),
-    ("bsd", FULL, "redistribution", "binary", "@redistribution and use in source and binary forms with or without modification(?: are permitted)?"),
-    ("gpl", FULL, "redistribute", "modify", "(?:this program is free software )?you can @redistribute it and or modify it(?: under the terms of the gnu general public license)?"),
-    ("apache-2.0", FULL, "licensed", "apache", "@licensed under the apache license version 2 0 the license"),
-    ("public-domain", FULL, "domain", "public", "(?:released|dedicated|placed) (?:in|into|to) the public @domain"),
-    ("public-domain", MENTION, "domain", "public", "public @domain"),
-    ("proprietary", MENTION, "reserved", "rights", "all rights @reserved"),
-    ("mpl-2.0", FULL, "source", "mozilla", "this @source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc", MENTION, "commons", "creative", "creative @commons"),
-    ("gpl-2.0", MENTION, "gpl", "2", "@gpl(?: version| v)? 2(?: 0)?"), ("gpl-3.0", MENTION, "gpl", "3", "@gpl(?: version| v)? 3(?: 0)?"),
-    ("gpl", MENTION, "gpl", "gpl", "(?:gnu )?@gpl"), ("lgpl", MENTION, "lgpl", "lgpl", "(?:gnu )?@lgpl"), ("agpl", MENTION, "agpl", "agpl", "(?:gnu )?@agpl"),
+    ("gpl-2.0", "gpl", "@gpl(?: version| v)? 2(?: 0)?"), ("gpl-3.0", "gpl", "@gpl(?: version| v)? 3(?: 0)?"), ("gpl", "gpl", "(?:gnu )?@gpl"),
+    ("lgpl-2.1", "lgpl", "@lgpl(?: version| v)? 2 1"), ("lgpl-3.0", "lgpl", "@lgpl(?: version| v)? 3(?: 0)?"), ("lgpl", "lgpl", "(?:gnu )?@lgpl"), ("agpl-3.0", "agpl", "@agpl(?: version| v)? 3(?: 0)?"), ("agpl", "agpl", "(?:gnu )?@agpl"),
+    ("public-domain", "public", "public @domain"), ("proprietary", "rights", "all rights @reserved"), ("cc", "some", "some rights @reserved"), ("cc", "creative", "creative @commons"), ("proprietary", "confidential", "@proprietary and confidential"), ("proprietary", "confidential", "confidential and @proprietary"),
+    ("eula", "user", "end user @license agreement"), ("commercial", "commercial", "commercial @license"), ("dual", "dual", "dual @licensed"), ("dual", "dual", "dual @license"), ("see-license", "see", "see (?:the )?@license(?: file| txt| md)? for (?:details|more information|license information)"),
+    ("json", "json", "json @license"), ("beerware", "beer", "beer ware @license"), ("curl", "curl", "curl @license"), ("libpng", "libpng", "libpng @license"), ("ms-rl", "reciprocal", "microsoft reciprocal @license"), ("afl-3.0", "academic", "academic free @license"), ("osl-3.0", "software", "open software @license"),
+    ("ogl-3.0", "government", "open government @licence(?: version| v)?(?: 3 0)?"), ("eupl-1.2", "union", "european union public @licence(?: version| v)?(?: 1 2)?"), ("odc-by-1.0", "commons", "open data commons attribution @license"), ("pddl-1.0", "dedication", "public domain dedication and @license"),
+    ("commons-clause", "clause", "commons clause @license condition"), ("polyform-noncommercial", "polyform", "polyform noncommercial @license"), ("llama", "community", "llama(?: [0-9]+)? community @license"), ("openrail", "rail", "open rail(?: m)? @license"), ("gpl", "copyleft", "copyleft @license"),
 ]
 #: The phrases that every scan reports, with their labels.
 BASE_PHRASES = [("mit", "mit", "mit @license"), ("apache", "apache", "apache @license"), ("gpl", "public", "general public @license")]
 #: Parts of words, one of which each keyword has; a text without any of them has no keyword.
-STEMS = ["licen", "hereby", "redistribut", "domain", "reserved", "mozilla", "commons", "gpl"]
+STEMS = ["licen", "hereby", "redistribut", "domain", "reserved", "mozilla", "commons", "gpl", "copyright", "warrant", "endorse", "acknowledg", "linking", "exception", "distribution", "proprietary", "reproduction"]
 
 
 def rules() -> list[tuple]:
-    """(rule, label, priority, keyword, need, expression, base): a fixed table of some 400 rows."""
-    out = [(label, BASE, "license", need, rx, True) for label, need, rx in BASE_PHRASES]
-    out += [(label, priority, word, need, rx, False) for label, priority, word, need, rx in PHRASES]
+    """(rule, label, priority, keyword, need, expression, base): a fixed table of some hundreds of rows."""
+    out = [(label, BASE, need, rx, True) for label, need, rx in BASE_PHRASES]
+    out += [(label, FULL, need, rx, False) for label, need, rx in SENTENCES]
+    out += [(label, SPDX, need, f"spdx @license identifier {rx}", False) for label, need, rx in EXPRESSIONS]
+    out += [(label, MENTION, need, rx, False) for label, need, rx in PHRASES]
     for label, need, name in NAMES:
         spdx = label.replace("-", " ").replace(".", " ")
-        out.append((label, SPDX, "license", spdx.split()[-1], f"spdx @license identifier {spdx}", False))
-        out += [(label, priority, word, need, shape.format(name), False) for priority, word, shape in SHAPES]
-    return [(i, *r) for i, r in enumerate(out)]
+        if (tag := (label, SPDX, spdx.split()[-1], f"spdx @license identifier {spdx}", False)) not in out:
+            out.append(tag)
+        out += [(label, priority, need, shape.format(name), False) for priority, shape in SHAPES]
+    out = [(label, priority, need, rx.replace("(?: version| v)? ", "(?: version| v)? (?:v)?"), base) for label, priority, need, rx, base in out]  # also v2 in one word
+    return [(i, label, priority, re.search("@([a-z]+)", rx)[1], need, rx, base) for i, (label, priority, need, rx, base) in enumerate(out)]
 
 
 def longest(rx: str) -> str:

@@ -338,18 +338,54 @@ def test_license_base_places_and_suppression(spark, docs, none):
     assert license_scan.summarize(license_scan.matches(none)).count() == 0
 
 
-def test_license_rules_match_their_longest_texts(spark):
+def shortest(rx):
+    """The text of fewest words that a rule's expression matches."""
+    rx = rx.replace("[0-9]+", "7").replace(" ?", " ")
+    while "(" in rx:
+        rx = re.sub(r"\(\?:([^()]*)\)(\??)", lambda m: "" if m[2] else min(m[1].split("|"), key=lambda x: x.count(" ")), rx)
+    return rx.replace("@", "")
+
+
+def test_license_rules_match_their_own_texts_only(spark):
     table = license_scan.rules()
-    texts = {r[0]: license_scan.longest(r[5]).replace("@", "") for r in table}
+    long = {r[0]: license_scan.longest(r[5]).replace("@", "") for r in table}
+    short = {r[0]: shortest(r[5]) for r in table}
+    assert len({r[5] for r in table if r[2] != license_scan.BASE}) == len([r for r in table if r[2] != license_scan.BASE])
+    rows = [(k, f"filler words go here {t} and more of them follow") for sign, texts in ((1, long), (-1, short)) for i, t in texts.items() for k in [sign * (i + 1)]]
+    other = {r[0]: re.sub(rf"\b{r[4]}\b", "zzz", long[r[0]]) for r in table if r[4] != r[3]}
+    rows += [(10_000 + i, t) for i, t in other.items()]
+    got = {(r.id, r.rule, r.start, r.stop) for r in license_scan.matches(spark.createDataFrame(rows, "doc_id int, text string")).where("rule is not null").collect()}
     for r in table:
-        assert re.fullmatch(r[5].replace("@", ""), texts[r[0]])
-    rows = [(i, f"filler words go here {t} and more of them follow") for i, t in texts.items()]
-    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
-    found = license_scan.matches(spark.createDataFrame([*rows, (-1, isc)], "doc_id int, text string")).where("rule is not null")
-    got = {(r.id, r.rule, r.start, r.stop) for r in found.collect()}
-    for i, t in texts.items():
-        assert (i, i, 4, 3 + len(t.split())) in got, t
-    assert ("isc", license_scan.FULL) in {(r.label, r.priority) for r in found.where("id = -1 and kept").collect()}
+        i = r[0]
+        assert re.fullmatch(r[5].replace("@", ""), long[i]) and re.fullmatch(r[5].replace("@", ""), short[i])
+        assert (i + 1, i, 4, 3 + len(long[i].split())) in got, long[i]
+        assert (-i - 1, i, 4, 3 + len(short[i].split())) in got, short[i]
+    assert not [(d, i) for d, i, _, _ in got if d >= 10_000 and d == 10_000 + i]
+
+
+NOTICES = {
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction": "mit",
+    "Licensed under the Apache License, Version 2.0 (the \"License\");\n you may not use this file except in compliance with the License.\n You may obtain a copy of the License at\n\n http://www.apache.org/licenses/LICENSE-2.0\n": "apache-2.0",
+    "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions": "bsd",
+    "Neither the name of Example Inc. nor the names of its contributors may be used to endorse or promote products derived from this software": "bsd-3-clause",
+    "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.": "gpl-2.0-or-later",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2.0",
+    "This is free and unencumbered software released into the public domain.": "unlicense",
+    "// SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2.0-or-later",
+    "// SPDX-License-Identifier: MIT OR Apache-2.0": "mit-or-apache-2.0",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa-4.0",
+    "Distributed under the Boost Software License, Version 1.0. (See accompanying file": "boost",
+    "GNU General Public License, version 2, with the Classpath Exception: GPL v2 with Classpath Exception": "classpath-exception-2.0",
+}
+
+
+def test_license_labels_of_common_notices(spark):
+    rows = list(enumerate(NOTICES)) + [(100, "Our kitchen licenses nobody; the exception is a warranty of joy in this domain, all rights and wrongs.")]
+    got = {r.doc_id: r.labels.split(",") for r in license_scan.summarize(license_scan.matches(spark.createDataFrame(rows, "doc_id int, text string"))).collect()}
+    for i, label in enumerate(NOTICES.values()):
+        assert label in got[i], (i, got[i])
+    assert "gpl-2.0" not in got[8] and "mit" not in got[9] and got[100] == [""]
 
 
 def test_main_text_of_pages(spark):
