@@ -9,8 +9,10 @@ A kept hash stands for the run of windows that share it, w of them at most: wher
 w places, as in periodic text, a longer run is cut into runs of w windows. Runs whose hash the benchmark has too are
 extended to their windows, and a window counts if its words equal a benchmark window's exactly.
 
-Scale: one pass over the documents, with no shuffle of texts: only hits and one small row for each document move.
-The benchmark's hashes and windows are broadcast when they are counted to be few, and joined by a shuffle beyond.
+Scale: the first pass over the documents hashes them and keeps the places of runs that meet a benchmark hash; the
+second cuts words, of the documents that have such places only. Texts are not shuffled where the candidates are few, and
+else only those of candidates. The benchmark's hashes and windows are broadcast when rows and bytes are counted to be few,
+and joined by a shuffle beyond.
 
 Edge cases: null texts have no words; an item without words has no window; a document is known by doc_id and text,
 so rows repeated in full give one row; an empty benchmark leaves all documents clean. Other columns are ignored.
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, let, materialize, read_table, words_of
 
 SPAN = 13
-MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 200_000, 32_000_000
 
 
 def _gram(span: int) -> tuple[int, int]:
@@ -33,28 +35,44 @@ def _gram(span: int) -> tuple[int, int]:
     return k, span - k + 1
 
 
-def winnow(words: Column, span: int) -> Column:
-    """Runs of at most w windows that share their least hash: array of struct(span, s, h, near); near has the words of w windows from s on."""
-    k, w = _gram(span)
-    n = F.size(words)
+def _least(values: Column, w: int, body):
+    """body(the least of each w values in a row), by doubling the width; the last w - 1 entries are of fewer values."""
+
+    def grow(m: Column, width: int) -> Column:
+        if width == w:
+            return body(m)
+        jump = min(width, w - width)
+        return let(F.transform(m, lambda x, i: F.least(x, F.get(m, i + jump))), lambda wider: grow(wider, width + jump))
 
-    def of(ws: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(0), F.size(ws) - k), lambda i: F.xxhash64(F.lit(span), *[F.get(ws, i + j) for j in range(k)]))
-        least = let(grams, lambda g: F.transform(F.sequence(F.lit(1), F.size(g) - (w - 1)), lambda i: F.array_min(F.slice(g, i, w))))
+    return let(values, lambda m: grow(m, 1))
 
-        def kept(m: Column) -> Column:
-            firsts = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda s: (s == 0) | (F.get(m, s) != F.get(m, s - 1)))
-            starts = let(firsts, lambda fs: F.flatten(F.transform(fs, lambda a, j: F.sequence(a, F.coalesce(F.get(fs, j + 1), F.size(m)) - 1, F.lit(w)))))
-            return F.transform(starts, lambda s: F.struct(F.lit(span).alias("span"), s.alias("s"), F.get(m, s).alias("h"), F.slice(ws, s + 1, span + w - 1).alias("near")))
 
-        return let(least, kept)
+def winnow(hashes: Column, span: int) -> Column:
+    """Runs of at most w windows that share their least hash, of a text given by its words' hashes: array of struct(span, s, h); s is the first window."""
+    k, w = _gram(span)
+    n_windows = F.size(hashes) - span + 1
+
+    def runs(m: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), n_windows - 1), lambda s: (s == 0) | (F.get(m, s) != F.get(m, s - 1)))
+        starts = let(firsts, lambda fs: F.flatten(F.transform(fs, lambda a, j: F.sequence(a, F.coalesce(F.get(fs, j + 1), n_windows) - 1, F.lit(w)))))
+        return F.transform(starts, lambda s: F.struct(F.lit(span).alias("span"), s.alias("s"), F.get(m, s).alias("h")))
 
-    return F.when(n >= span, of(words)).otherwise(F.array().cast("array<struct<span:int,s:int,h:bigint,near:array<string>>>"))
+    grams = F.transform(F.slice(hashes, 1, n_windows + w - 1), lambda x, i: F.xxhash64(F.lit(span), x, *[F.get(hashes, i + j) for j in range(1, k)]))
+    return F.when(n_windows > 0, _least(grams, w, runs)).otherwise(F.array().cast("array<struct<span:int,s:int,h:bigint>>"))
 
 
 def few(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """The table, marked for broadcast if it is counted to be small enough."""
-    return F.broadcast(df) if df.count() <= limit else df
+    """The table, marked for broadcast if its rows and their bytes are counted to be few."""
+    n, size = df.agg(F.count("*"), F.sum(F.length(F.to_json(F.struct(*df.columns))))).first()
+    return F.broadcast(df) if n <= limit and (size or 0) <= MAX_BROADCAST_BYTES else df
+
+
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def winnow_words(words: Column, span: int) -> Column:
+    return let(_hashes(words), lambda h: winnow(h, span))
 
 
 def find_overlaps(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text="text", span: int = SPAN, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -64,52 +82,47 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="
         .where(F.size("ws") > 0)
         .withColumn("span", F.least(F.lit(span), F.size("ws")))
     )
-    windows = materialize(
-        items.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - F.col("span") + 1), lambda i: F.array_join(F.slice("ws", i, F.col("span")), " "))).alias("win"))
-        .groupBy("win").agg(F.collect_set("item").alias("items")),
-        "windows",
-    )
-    spans = [r[0] for r in items.select("span").distinct().collect()]  # 13 values at most
-    hashes = None
+    windows = materialize(items.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - F.col("span") + 1), lambda i: F.array_join(F.slice("ws", i, F.col("span")), " "))).alias("win")).distinct(), "windows")
+    spans = sorted(r[0] for r in items.select("span").distinct().collect())  # 13 values at most
+    hashes = docs.sparkSession.createDataFrame([], "bench_h bigint")
     for n in spans:
-        own = items.where(F.col("span") == n).select(F.explode(winnow(F.col("ws"), n)).alias("r")).select(F.col("r.h").alias("bench_h"))
-        hashes = own if hashes is None else hashes.union(own)
-    if hashes is None:
-        hashes = docs.sparkSession.createDataFrame([], "bench_h bigint")
+        hashes = hashes.union(items.where(F.col("span") == n).select(F.explode(winnow_words(F.col("ws"), n)).alias("r")).select(F.col("r.h")))
     hashes = materialize(hashes.distinct(), "winnowed")
 
-    head = F.struct(F.lit(0).alias("span"), F.lit(-1).alias("s"), F.xxhash64("id").alias("h"), F.array().cast("array<string>").alias("near"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     ws = words_of(ascii_lower(F.col("text")))
-    runs = let(ws, lambda w: F.concat(F.array(head.withField("s", -1 - F.size(w))), *[winnow(w, n) for n in spans]))
-    kept = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .select("id", F.xxhash64("text").alias("text_hash"), F.explode(runs).alias("r"))
-        .select("id", "text_hash", "r.*")
+    head = lambda h: F.struct(F.lit(0).alias("span"), (-1 - F.size(h)).alias("s"), F.lit(0).cast("long").alias("h"))  # noqa: E731  one for each document
+    runs = let(_hashes(ws), lambda h: F.concat(F.array(head(h)), *[winnow(h, n) for n in spans]))
+    met = (
+        texts.select("id", "text_hash", F.explode(runs).alias("r")).select("id", "text_hash", "r.*")
         .join(few(hashes, max_broadcast_rows), F.col("h") == F.col("bench_h"), "left")
         .where("s < 0 or bench_h is not null")
-    )
-    window_at = F.transform(F.sequence(F.lit(0), F.size("near") - F.col("span")), lambda d: F.struct((F.col("s") + d).alias("at"), F.array_join(F.slice("near", d + 1, F.col("span")), " ").alias("text")))
-    alone = F.array(F.struct(F.col("s").alias("at"), F.concat(F.lit("\0"), F.col("text_hash").cast("string")).alias("text")))
+        .groupBy("id", "text_hash")
+        .agg(F.max(F.when(F.col("s") < 0, -1 - F.col("s"))).cast("long").alias("n_words"), F.collect_set(F.when(F.col("s") >= 0, F.struct("span", "s"))).alias("runs"))
+    )
+    met = materialize(met, "runs")
+
+    found = few(met.where(F.size("runs") > 0).select(F.col("id").alias("own_id"), F.col("text_hash").alias("own_hash"), "runs"), max_broadcast_rows)
+    near = texts.join(found, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
+    widths = F.create_map(*[F.lit(x) for n in spans or [1] for x in (n, _gram(n)[1])])
+    at = lambda w: F.flatten(F.transform("runs", lambda r: F.transform(F.sequence(r["s"], F.least(r["s"] + widths[r["span"]], F.size(w) - r["span"] + 1) - 1), lambda i: F.struct(r["span"].alias("span"), i.alias("at"), F.array_join(F.slice(w, i + 1, r["span"]), " ").alias("win")))))
     hits = (
-        kept.select("id", "text_hash", "span", F.explode(F.when(F.col("s") < 0, alone).otherwise(window_at)).alias("w"))
-        .select("id", "text_hash", "span", F.col("w.at"), F.col("w.text").alias("win"))
-        .join(few(windows, max_broadcast_rows), "win", "left")
-        .where("at < 0 or items is not null")
-    )
-    place = F.when(F.col("at") >= 0, F.struct("at", "span"))
-    per_doc = hits.groupBy("id", "text_hash").agg(
-        F.max(F.when(F.col("at") < 0, -1 - F.col("at"))).cast("long").alias("n_words"),
-        F.array_sort(F.collect_set(place)).alias("places"),
-        F.flatten(F.collect_set("items")).alias("items"),
-    )
+        near.select("id", "text_hash", F.explode(let(ws, at)).alias("w")).select("id", "text_hash", "w.*")
+        .join(few(windows, max_broadcast_rows), "win")
+        .groupBy("id", "text_hash")
+        .agg(F.array_sort(F.collect_set(F.struct("at", "span"))).alias("places"), F.array_sort(F.collect_set("item")).alias("items"))
+    )
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
 
     def cover(acc, p):
         end = p["at"] + p["span"]
         return F.struct(F.greatest(acc["end"], end).alias("end"), (acc["n"] + F.greatest(F.lit(0), end - F.greatest(p["at"], acc["end"]))).cast("long").alias("n"))
 
-    n_hit = F.aggregate("places", start, cover, lambda acc: acc["n"])
-    return per_doc.select(F.col("id").alias(id_col), "text_hash", "n_words", n_hit.alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"))
+    per_hit = hits.select(F.col("id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), F.aggregate("places", start, cover, lambda acc: acc["n"]).alias("hit"), F.col("items").alias("found"))
+    per_hit = few(materialize(per_hit, "hits"), max_broadcast_rows)
+    out = met.join(per_hit, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
+    kind = dict(items.dtypes)["item"]
+    return out.select(F.col("id").alias(id_col), "text_hash", "n_words", F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("found", F.array().cast(f"array<{kind}>")).alias("items"))
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
