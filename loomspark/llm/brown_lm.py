@@ -217,58 +217,65 @@ def _flat(seqs: pa.Array, rare_sizes: np.ndarray, n_words: int) -> np.ndarray:
     return np.where(ids < 0, shift - 1 - ids, ids)
 
 
+def _packed(who: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """The distinct values of who (ascending), and lists of their codes and counts."""
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(who)), bool), who[1:] != who[:-1]]))
+    offsets = pa.array(np.append(at, len(who)), pa.int32())
+    return who[at], pa.ListArray.from_arrays(offsets, pa.array(code, pa.int16())), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int64()))
+
+
 def neighbours(encoded: DataFrame, core: dict) -> DataFrame:
-    """(i, w, code, n): how often each word has a word of class code before it, or of class code - CLASSES after it.
+    """(i, w, codes, ns): how often each word has a word of class code before it, or of class code - CLASSES after it; a row a word and task or so.
 
     Frequent words are known by their number i, others by w; rows without either have the transitions between classes.
     """
-    spark = encoded.sparkSession
-    shared = spark.sparkContext.broadcast(core["classes"])
+    shared = encoded.sparkSession.sparkContext.broadcast(core["classes"])
+    names, step = ["i", "w", "codes", "ns"], 2 * CLASSES
 
     def run(batches):
         frequent, g = shared.value, np.zeros(CLASSES * CLASSES, np.int64)
         n_words, held, size = len(frequent), [], 0
 
-        def batch(i, w, code, n):
-            return pa.RecordBatch.from_arrays([i, w, pa.array(code, pa.int32()), pa.array(n, pa.int64())], names=["i", "w", "code", "n"])
-
         def merged():
             codes, ns = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(codes, kind="stable")
             codes, ns = codes[order], ns[order]
-            at = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-            return codes[at], np.add.reduceat(ns, at)
+            at = np.flatnonzero(np.concatenate([np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1]]))
+            return codes[at], np.add.reduceat(ns, at) if len(at) else ns
 
-        def frequent_rows(codes, ns):
-            for k in range(0, len(codes), 200_000):
-                part = codes[k : k + 200_000]
-                yield batch(pa.array(part // (2 * CLASSES), pa.int32()), pa.nulls(len(part), pa.binary()), part % (2 * CLASSES), ns[k : k + 200_000])
+        def rows(codes, ns):
+            i, c, n = _packed(codes // step, codes % step, ns)
+            out = pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.nulls(len(i), pa.binary()), c, n], names=names)
+            for k in range(0, len(i), 20_000):
+                yield out.slice(k, 20_000)
 
-        for b in slices(batches):
+        for b in slices(batches, 4000):
             first, rare = b.column(2), b.column(1)
             sizes = rare.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             x = _flat(b.column(0), sizes, n_words)
             cls = np.concatenate([frequent, first.flatten().to_numpy(zero_copy_only=False)])[x].astype(np.int64)
+            words = rare.flatten().dictionary_encode()
+            x = np.where(x < n_words, x, n_words + np.append(words.indices.to_numpy(zero_copy_only=False), 0)[np.maximum(x - n_words, 0)])
             g += np.bincount(cls[:-1] * CLASSES + cls[1:], minlength=CLASSES * CLASSES)
-            codes, ns = np.unique(np.concatenate([x[1:] * (2 * CLASSES) + cls[:-1], x[:-1] * (2 * CLASSES) + CLASSES + cls[1:]]), return_counts=True)
-            cut = np.searchsorted(codes, n_words * 2 * CLASSES)
-            rows = codes[cut:] // (2 * CLASSES) - n_words
-            yield batch(pa.nulls(len(rows), pa.int32()), rare.flatten().take(pa.array(rows)), codes[cut:] % (2 * CLASSES), ns[cut:])
+            codes, ns = np.unique(np.concatenate([x[1:] * step + cls[:-1], x[:-1] * step + CLASSES + cls[1:]]), return_counts=True)
+            cut = np.searchsorted(codes, n_words * step)
+            w, c, n = _packed(codes[cut:] // step - n_words, codes[cut:] % step, ns[cut:])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(w), pa.int32()), words.dictionary.take(pa.array(w)), c, n], names=names)
             held.append((codes[:cut], ns[:cut]))
             size += cut
-            if size > 3_000_000:
+            if size > 4_000_000:
                 held = [merged()]
                 size = len(held[0][0])
-                if size > 1_500_000:
-                    yield from frequent_rows(*held[0])
+                if size > 2_000_000:
+                    yield from rows(*held[0])
                     held, size = [], 0
         if held:
-            yield from frequent_rows(*merged())
+            yield from rows(*merged())
         at = np.flatnonzero(g)
-        yield batch(pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary()), at, g[at])
+        _, c, n = _packed(np.zeros(len(at), np.int64), at, g[at])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(c), pa.int32()), pa.nulls(len(c), pa.binary()), c, n], names=names)
 
-    rows = encoded.select("_seq", "_rare", "_first").mapInArrow(run, "i int, w binary, code int, n bigint")
-    return rows.groupBy("i", "w", "code").agg(F.sum("n").alias("n"))
+    return encoded.select("_seq", "_rare", "_first").mapInArrow(run, "i int, w binary, codes array<smallint>, ns array<bigint>")
 
 
 def _f(x):
@@ -278,55 +285,62 @@ def _f(x):
 def best_classes(present: np.ndarray, owner: np.ndarray, code: np.ndarray, n: np.ndarray, g: np.ndarray) -> np.ndarray:
     """The class of each word in which the likelihood is largest, all other words staying where they are.
 
-    present: the words' classes; (owner, code, n): their neighbours' counts; g: transitions between classes.
+    present: the words' classes; (owner, code, n): their neighbours' counts, each (owner, code) once; g: transitions between classes.
     """
-    gain = np.zeros((len(present), CLASSES))
-    rows, cols = g.sum(axis=1), g.sum(axis=0)
-    for side, table in ((0, g), (1, g.T)):  # column c of table: from each class to c, or into each class from c
-        mine = (code >= CLASSES) == (side == 0)
-        who, c, k = owner[mine], code[mine] % CLASSES, n[mine].astype(np.float64)
-        for at in range(0, len(who), 50_000):
-            s = slice(at, at + 50_000)
-            col = table[:, c[s]]
-            d = _f(col + k[s]) - _f(col)
-            here = np.arange(d.shape[1])
-            own = col[present[who[s]], here]
-            d[present[who[s]], here] = _f(own) - _f(np.maximum(own - k[s], 0))
-            np.add.at(gain, who[s], d.T)
-    for total, side in ((rows, code >= CLASSES), (cols, code < CLASSES)):
-        own = np.bincount(owner[side], n[side], len(present))
-        d = _f(total[None, :] + own[:, None]) - _f(total)[None, :]
-        at = np.arange(len(present))
-        d[at, present] = _f(total[present]) - _f(np.maximum(total[present] - own, 0))
-        gain -= d
+    size, at = len(present), np.arange(len(present))
+    table = np.vstack([g, g.T])  # row code, column class: the transitions that a neighbour of this code adds to
+    gain, stay = np.zeros((size, CLASSES)), np.zeros(size)
+    own = table[code, present[owner]]
+    stay += np.bincount(owner, _f(own) - _f(np.maximum(own - n, 0)), size)
+    for k in range(1, 5):  # small counts, nearly all: a matrix product for each
+        s = n == k
+        one = np.zeros((size, 2 * CLASSES), np.float32)
+        one[owner[s], code[s]] = 1
+        gain += one @ (_f(table + k) - _f(table))
+    s = np.flatnonzero(n > 4)
+    for part in np.array_split(s, len(s) // 50_000 + 1):
+        if len(part):
+            who, m = owner[part], n[part][:, None]
+            cell = table[code[part]]
+            starts = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+            gain[who[starts]] += np.add.reduceat(_f(cell + m) - _f(cell), starts, axis=0)
+    for total, side in ((g.sum(axis=0), code < CLASSES), (g.sum(axis=1), code >= CLASSES)):
+        k = np.bincount(owner[side], n[side], size)
+        gain -= _f(total[None, :] + k[:, None]) - _f(total)[None, :]
+        stay -= _f(total[present]) - _f(np.maximum(total[present] - k, 0))
+    gain[at, present] = stay
     best = gain.argmax(axis=1)
-    at = np.arange(len(present))
-    return np.where(gain[at, best] > gain[at, present] + 1e-9, best, present)
+    return np.where(gain[at, best] > stay + 1e-9, best, present)
 
 
 def learn_classes(encoded: DataFrame, core: dict) -> dict:
     """The model: each word of the training texts moves to the class that its own neighbours ask for; encoded: training texts."""
     spark, vocab = encoded.sparkSession, core["vocab"]
-    found = materialize(neighbours(encoded, core), "neighbours")
+    found = materialize(neighbours(encoded, core), "neighbours")  # written once, read for the transitions and for the words
     g = np.zeros(CLASSES * CLASSES)
-    for r in found.where("i is null and w is null").collect():  # CLASSES * CLASSES rows
-        g[r.code] = r.n
+    sums = found.where("i is null and w is null").select(F.explode(F.arrays_zip("codes", "ns")).alias("p")).groupBy("p.codes").agg(F.sum("p.ns").alias("n"))
+    for r in sums.collect():  # CLASSES * CLASSES rows
+        g[r.codes] = r.n
     g = g.reshape(CLASSES, CLASSES)
     shared = spark.sparkContext.broadcast((core["classes"], core["by_group"], g, core["n_top"]))
 
     def run(batches):
         (frequent, by_group, g, n_top), groups = shared.value, _Groups()
-        for b in slices(batches, 5000):
-            i = b.column(0).to_numpy(zero_copy_only=False)
+        for b in slices(batches, 20_000):
+            i = b.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
             w = b.column(1).to_pylist()
-            present = np.array([frequent[int(k)] if x is None else by_group[groups[x[-3:]]] for k, x in zip(i, w, strict=True)], np.int64)
-            sizes = b.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            pairs = b.column(2).flatten()
-            best = best_classes(present, np.repeat(np.arange(len(w)), sizes), pairs.field(0).to_numpy(zero_copy_only=False).astype(np.int64), pairs.field(1).to_numpy(zero_copy_only=False), g)
-            fixed = np.array([x is None and k < n_top for k, x in zip(i, w, strict=True)])  # these have been exchanged one by one
+            present = np.array([frequent[k] if x is None else by_group[groups[x[-3:]]] for k, x in zip(i, w, strict=True)], np.int64)
+            lists = b.column(2).flatten()  # of codes and counts, one for each task
+            owner = np.repeat(np.arange(len(w)), b.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            codes, ns = lists.field(0), lists.field(1)
+            owner = np.repeat(owner, codes.value_lengths().to_numpy(zero_copy_only=False))
+            key, at = np.unique(owner * (2 * CLASSES) + codes.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+            n = np.bincount(at, ns.flatten().to_numpy(zero_copy_only=False))
+            best = best_classes(present, key // (2 * CLASSES), key % (2 * CLASSES), n, g)
+            fixed = (i >= 0) & (i < n_top)  # these have been exchanged one by one
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.where(fixed, present, best), pa.int32())], names=["i", "w", "cls"])
 
-    each = found.where("i is not null or w is not null").groupBy("i", "w").agg(F.collect_list(F.struct("code", "n")).alias("p"))  # at most 2 * CLASSES entries a word
+    each = found.where("i is not null or w is not null").groupBy("i", "w").agg(F.collect_list(F.struct("codes", "ns")).alias("p"))  # at most 2 * CLASSES entries a word and task
     moved = materialize(each.mapInArrow(run, "i int, w binary, cls int"), "classes")
     classes, counts = core["classes"].copy(), core["counts"]
     for r in moved.where("i is not null").select("i", "cls").toPandas().itertuples():  # at most FREQUENT rows
