@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,14 +35,109 @@ def safe_divide(n: Column, d: Column) -> Column:
     return F.coalesce(finite(q), F.lit(0.0))
 
 
+#: A sketch's rank error is at most 1 / ACCURACY of its rows; brackets reach twice as far.
+ACCURACY = 10_000
+SMALL = 5_000
+FEW_DISTINCT = 1_000
+
+
+@dataclass
+class _Sought:
+    """A rank (from 0) whose value is sought: it is in [lo, hi], with `below` values less than lo and `inside` in the bracket."""
+
+    col: str
+    rank: int
+    lo: float
+    hi: float
+    least: float
+    most: float
+    below: int = 0
+    inside: int = 0
+
+    def missed(self) -> bool:
+        """Whether the rank is outside after all; the bracket is then the side that it is on."""
+        if self.below <= self.rank < self.below + self.inside:
+            return False
+        self.lo, self.hi = (self.least, self.lo) if self.rank < self.below else (self.hi, self.most)
+        return True
+
+
+def _brackets(positions: list[float]) -> list[float]:
+    return [min(1.0, max(0.0, p + s)) for p in positions for s in (-2 / ACCURACY, 2 / ACCURACY)]
+
+
+def order_statistics(df: DataFrame, sought: list[_Sought], also: list[Column] = ()) -> tuple[dict[tuple[str, int], float], Row | None]:
+    """{(col, rank): value} of the finite values, exactly, and the aggregates `also`, which are taken in the same job.
+
+    Brackets from sketches are counted, and narrowed by a sketch of what is inside, until few values are left; these are
+    counted and collected. No task holds more than a sketch, whatever the table's size.
+    """
+    done, found, extra = [], {}, None
+    while sought or also:
+        aggs = [F.struct(*[F.struct(F.count_if(finite(F.col(t.col)) < t.lo).alias("below"), F.count_if(finite(F.col(t.col)).between(t.lo, t.hi)).alias("inside")).alias(f"s{i}") for i, t in enumerate(sought)]).alias("counts")] if sought else []
+        row = df.agg(*aggs, *also).first()
+        extra, also = extra or row, ()
+        wide, again = [], []
+        for i, t in enumerate(sought):
+            t.below, t.inside = row["counts"][f"s{i}"]
+            (again if t.missed() else done if t.lo == t.hi or t.inside <= SMALL else wide).append(t)
+        if wide:
+            row = df.agg(*[F.percentile_approx(F.when(finite(F.col(t.col)).between(t.lo, t.hi), finite(F.col(t.col))), _brackets([(t.rank - t.below) / (t.inside - 1)]), ACCURACY).alias(f"s{i}") for i, t in enumerate(wide)]).first()
+            for i, t in enumerate(wide):
+                t.lo, t.hi = row[f"s{i}"]
+        sought = wide + again
+    for c in {t.col for t in done}:
+        own = [t for t in done if t.col == c]
+        open_ = [t for t in own if t.lo < t.hi]
+        x = finite(F.col(c))
+        counts = []
+        if open_:  # at most SMALL values a rank
+            within = reduce(lambda a, b: a | b, [x.between(lo, hi) for lo, hi in {(t.lo, t.hi) for t in open_}])
+            counts = sorted((r[0], r[1]) for r in df.where(within).groupBy(x.alias("x")).count().collect())
+        for t in own:
+            at, found[c, t.rank] = t.below, t.lo
+            for v, n in counts if t.lo < t.hi else ():
+                if t.lo <= v <= t.hi:
+                    at += n
+                    if at > t.rank:
+                        found[c, t.rank] = v
+                        break
+    return found, extra
+
+
 def profile(df: DataFrame, cols: list[str], quantiles: tuple[float, ...] = (0.5,)) -> dict[str, dict]:
-    """Of each column's finite values, in one job: n, min, max, mean, std, distinct, quantiles (exact)."""
+    """Of each column's finite values: n, min, max, mean, std, distinct (exact up to FEW_DISTINCT, estimated beyond), quantiles (exact, linear between neighbours)."""
     aggs = []
     for c in cols:
         x = finite(F.col(c))
-        aggs.append(F.struct(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.count_distinct(x).alias("distinct"), F.percentile(x, list(quantiles)).alias("q")).alias(c))
-    row = df.agg(*aggs).first()
-    return {c: row[c].asDict() | {"q": dict(zip(quantiles, row[c]["q"] or [None] * len(quantiles), strict=True))} for c in cols}
+        aggs.append(F.struct(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.approx_count_distinct(x).alias("distinct"), F.percentile_approx(x, _brackets(list(quantiles)) or [0.5], ACCURACY).alias("q")).alias(c))
+    row = df.agg(*aggs).first() if cols else {}
+    out, sought, few = {}, [], []
+    for c in cols:
+        p = out[c] = row[c].asDict()
+        near, p["q"] = p["q"] or [], {}
+        for i, q in enumerate(quantiles if p["n"] else ()):
+            at = q * (p["n"] - 1)
+            sought += [_Sought(c, r, near[2 * i], near[2 * i + 1], p["min"], p["max"]) for r in sorted({math.floor(at), math.ceil(at)})]
+        if p["distinct"] <= FEW_DISTINCT:
+            few.append(c)
+    unique = {(t.col, t.rank): t for t in sought}
+    found, extra = order_statistics(df, list(unique.values()), [F.count_distinct(finite(F.col(c))).alias(f"distinct {c}") for c in few])
+    for c in cols:
+        p = out[c]
+        if c in few:
+            p["distinct"] = extra[f"distinct {c}"]
+        for q in quantiles:
+            at = q * (p["n"] - 1)
+            lo, hi = (found.get((c, f(at))) for f in (math.floor, math.ceil))
+            p["q"][q] = None if lo is None else lo + (hi - lo) * (at - math.floor(at))
+    return out
+
+
+def quantiles(df: DataFrame, col: str, at: list[float]) -> list[float]:
+    """The exact quantiles of a column's finite values; none if it has no values."""
+    q = profile(df, [col], tuple(at))[col]["q"]
+    return [q[x] for x in at if q[x] is not None]
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

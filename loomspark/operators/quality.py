@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite, numeric_columns, profile
-from .groups import with_group_stats
+from .groups import MAX_BROADCAST_GROUPS
+from .ranking import group_quantile
 
 
 def missing_indicators(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -22,7 +23,7 @@ def impute(df: DataFrame, col: str, how: str = "median", order: list[str] | None
     if how == "median":
         return df.withColumn(col, F.coalesce(x, F.lit(profile(df, [col])[col]["q"][0.5])))
     if how == "mode":
-        return df.withColumn(col, F.coalesce(x, F.lit(df.agg(F.mode(x, True)).first()[0])))
+        return df.withColumn(col, F.coalesce(x, F.lit(_mode(df, col))))
     w = Window.partitionBy(*partition).orderBy(*order)
     before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     last, nxt = F.last(x, True).over(before), F.first(x, True).over(after)
@@ -38,12 +39,24 @@ def impute(df: DataFrame, col: str, how: str = "median", order: list[str] | None
 
 
 def group_impute(df: DataFrame, col: str, groups: list[str], how: str = "median") -> DataFrame:
-    """Fill nulls by the median or mode of one group column after another, then by that of all rows."""
-    stat = F.percentile(finite(F.col(col)), 0.5) if how == "median" else F.mode(col, True)
+    """Fill nulls by the median or mode of one group column after another, then by that of all rows; modes by count, then by value."""
     out = df
     for g in groups:
-        out = with_group_stats(out, [g], {"_stat": stat}).withColumn(col, F.coalesce(col, "_stat")).drop("_stat")
-    return out.withColumn(col, F.coalesce(col, F.lit(df.agg(stat).first()[0])))
+        if how == "median":
+            stat = group_quantile(df, g, col).select(F.col("group").alias("_group"), F.col("quantile").alias("_stat"))
+        else:
+            counts = df.where(F.col(col).isNotNull()).groupBy(F.col(g).alias("_group"), F.col(col).alias("_v")).agg(F.count("*").alias("_n"))
+            stat = counts.groupBy("_group").agg(F.min(F.struct(-F.col("_n"), "_v"))["_v"].alias("_stat"))
+        small = stat.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS
+        out = out.join(F.broadcast(stat) if small else stat, F.col(g) == F.col("_group"), "left").withColumn(col, F.coalesce(col, "_stat")).drop("_group", "_stat")
+    rest = profile(df, [col])[col]["q"][0.5] if how == "median" else _mode(df, col)
+    return out.withColumn(col, F.coalesce(col, F.lit(rest)))
+
+
+def _mode(df: DataFrame, col: str):
+    """The least of the most frequent values."""
+    row = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("_n")).agg(F.min(F.struct(-F.col("_n"), col))[col].alias("v")).first()
+    return row["v"]
 
 
 def outlier_features(df: DataFrame, cols: list[str], iqr: float = 1.5, z: float = 3.0) -> DataFrame:
