@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship  # noqa: F401
+from ..storage import drop_table, materialize, shared_root, workspace  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words made of ASCII letters, digits and every non-ASCII character (of lower-cased text).
@@ -16,44 +14,6 @@ WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: What stands between words made of everything but ASCII white space.
 SPACE_GAP = r"[\x20\x09-\x0D]+"
 
-_own_root: str | None = None
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset and all run on one machine."""
-    global _own_root
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if _own_root is None:
-        _own_root = "file://" + tempfile.mkdtemp(prefix="spark-loom-")
-    return _own_root
-
-
-def workspace(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; each call gives another one."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = workspace(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Remove the files of a table made by materialize() that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def slices(batches, rows: int = 1000):
     """Arrow batches (Spark bounds their bytes) as batches of fewer rows."""
     for b in batches:
