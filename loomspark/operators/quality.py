@@ -23,7 +23,7 @@ def impute(df: DataFrame, col: str, how: str = "median", order: list[str] | None
     if how == "median":
         return df.withColumn(col, F.coalesce(x, F.lit(profile(df, [col])[col]["q"][0.5])))
     if how == "mode":
-        return df.withColumn(col, F.coalesce(x, F.lit(_mode(df, col))))
+        return df.withColumn(col, F.coalesce(x, F.lit(mode_of(df, col))))
     w = Window.partitionBy(*partition).orderBy(*order)
     before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     last, nxt = F.last(x, True).over(before), F.first(x, True).over(after)
@@ -38,7 +38,7 @@ def impute(df: DataFrame, col: str, how: str = "median", order: list[str] | None
     return out.withColumn(col, F.coalesce(x.cast("double"), line, last, nxt)).drop("_i")
 
 
-def group_impute(df: DataFrame, col: str, groups: list[str], how: str = "median") -> DataFrame:
+def group_impute(df: DataFrame, col: str, groups: list[str], how: str = "median", overall: bool = True) -> DataFrame:
     """Fill nulls by the median or mode of one group column after another, then by that of all rows; modes by count, then by value."""
     out = df
     for g in groups:
@@ -49,14 +49,16 @@ def group_impute(df: DataFrame, col: str, groups: list[str], how: str = "median"
             stat = counts.groupBy("_group").agg(F.min(F.struct(-F.col("_n"), "_v"))["_v"].alias("_stat"))
         small = stat.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS
         out = out.join(F.broadcast(stat) if small else stat, F.col(g) == F.col("_group"), "left").withColumn(col, F.coalesce(col, "_stat")).drop("_group", "_stat")
-    rest = profile(df, [col])[col]["q"][0.5] if how == "median" else _mode(df, col)
+    if not overall:
+        return out
+    rest = profile(df, [col])[col]["q"][0.5] if how == "median" else mode_of(df, col)
     return out.withColumn(col, F.coalesce(col, F.lit(rest)))
 
 
-def _mode(df: DataFrame, col: str):
+def mode_of(df: DataFrame, col: str):
     """The least of the most frequent values."""
     row = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("_n")).agg(F.min(F.struct(-F.col("_n"), col))[col].alias("v")).first()
-    return row["v"]
+    return row["v"]  # null if there are no values
 
 
 def outlier_features(df: DataFrame, cols: list[str], iqr: float = 1.5, z: float = 3.0) -> DataFrame:

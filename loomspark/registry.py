@@ -257,37 +257,64 @@ def _bernoulli(spark, d):
     return sampling.bernoulli(_t(spark, d, "orders"), 0.1, ["o_orderkey"])
 
 
-_CROPS = "SELECT p_partkey, CAST(p_partkey % 45 AS DOUBLE) AS temperature, CAST(p_size * 2 AS DOUBLE) AS humidity, 4.0e0 + (p_partkey % 50) / 10.0e0 AS ph, p_retailprice / 10 AS rainfall, CASE p_partkey % 4 WHEN 0 THEN 'rice' WHEN 1 THEN 'wheat' WHEN 2 THEN 'cotton' ELSE 'lentil' END AS crop_name, CAST(p_partkey % 90 AS DOUBLE) AS n, CAST(p_partkey % 60 AS DOUBLE) AS p, CAST(p_size AS DOUBLE) AS k FROM part"
+_NAMES = "rice,wheat,maize,cotton,jute,coffee,coconut,papaya,orange,apple,muskmelon,watermelon,grapes,mango,banana,pomegranate,lentil,blackgram,mungbean,mothbeans,pigeonpeas,kidneybeans,chickpea,quinoa"
+_CROPS = f"SELECT p_partkey, CAST(p_partkey % 45 AS DOUBLE) AS temperature, CAST(p_size * 2 AS DOUBLE) AS humidity, 4.0e0 + (p_partkey % 50) / 10.0e0 AS ph, CASE WHEN p_partkey % 31 = 0 THEN NULL ELSE p_retailprice / 8 END AS rainfall, split_part('{_NAMES}', ',', CAST(1 + p_partkey % 24 AS INT)) AS crop_name, CAST(p_partkey % 90 AS DOUBLE) AS n, CAST(p_partkey % 60 AS DOUBLE) AS p, CAST(p_size AS DOUBLE) AS k FROM part"
+# crop, least and greatest temperature, least and greatest rainfall (of the crops that have one), acidity
+_NEEDS = """(VALUES ('apple', 21, 24, NULL, NULL), ('banana', 20, 35, 100, 200), ('blackgram', 25, 35, NULL, NULL), ('chickpea', 10, 35, -1, 99.9999999), ('coconut', 20, 32, 200.0000001, 1e9), ('coffee', 18, 28, NULL, NULL), ('cotton', 21, 32, 100, 200),
+ ('grapes', 15, 35, NULL, NULL), ('jute', 24, 37, 200.0000001, 1e9), ('kidneybeans', 10, 27, NULL, NULL), ('lentil', 18, 30, -1, 99.9999999), ('maize', 18, 32, 100, 200), ('mango', 24, 35, NULL, NULL), ('mothbeans', 24, 32, -1, 99.9999999), ('mungbean', 25, 35, -1, 99.9999999),
+ ('muskmelon', 25, 35, NULL, NULL), ('orange', 13, 35, NULL, NULL), ('papaya', 21, 33, 100, 200), ('pigeonpeas', 18, 35, NULL, NULL), ('pomegranate', 25, 35, NULL, NULL), ('rice', 20, 35, 200.0000001, 1e9), ('watermelon', 25, 35, NULL, NULL), ('wheat', 12, 25, NULL, NULL)) AS need(crop, t0, t1, r0, r1)"""
 
 
 def _div(a: str, b: str) -> str:
     return f"({a}) / CASE WHEN abs({b}) < 1e-10 THEN 1e-10 ELSE {b} END"
 
 
+_STRESS = "(CASE WHEN n < 40 THEN 1 ELSE 0 END + CASE WHEN p < 20 THEN 1 ELSE 0 END + CASE WHEN k < 20 THEN 1 ELSE 0 END + CASE WHEN greatest(n, p, k) > 0.6 * (n + p + k + 1e-6) THEN 1 ELSE 0 END)"
+_GROW = "(4 - abs(temperature - 25) / 20 - abs(humidity - 55) / 45 - abs(ph - 7) / 3 - 1 + least(greatest(rainfall, 0), 200) / 200) / 4"
+_CV = _div("sqrt((n * n + p * p + k * k - (n + p + k) * (n + p + k) / 3) / 2)", "((n + p + k) / 3)")
+
+
 @_query(
     "crop_features",
-    f"WITH c AS ({_CROPS}) SELECT p_partkey, {_num('(abs(temperature - 25) / 10 + abs(humidity - 55) / 15) / 2')} AS environmental_stress_score, {_flag('temperature BETWEEN 20 AND 30')} AS temp_optimal, {_flag('ph < 5.5')} AS ph_acidic, {_flag('rainfall > 100')} AS water_excess, {_num(_div('n', 'p'))} AS np_ratio, {_num(_div('p', 'k'))} AS pk_ratio, "
-    f"CASE WHEN n >= p AND n >= k THEN 'N' WHEN p >= k THEN 'P' ELSE 'K' END AS predominant_nutrient, {_flag(_div('greatest(n, p, k)', '(n + p + k)') + ' > 0.6')} AS severely_imbalanced, {_flag("crop_name = 'rice' AND ph BETWEEN 5.0 AND 6.5")} AS suit_rice_ph, "
-    "CASE WHEN n >= 40 AND p >= 20 AND k >= 20 THEN 'balanced' ELSE concat_ws('_', CASE WHEN n < 40 THEN 'N' END, CASE WHEN p < 20 THEN 'P' END, CASE WHEN k < 20 THEN 'K' END, 'deficient') END AS fertilizer_need_pattern FROM c",
-)
+    f"WITH c AS ({_CROPS}), d AS (SELECT c.*, need.* FROM c LEFT JOIN {_NEEDS} ON crop_name = crop) SELECT p_partkey, temperature, humidity, ph, {_num('rainfall')} AS rainfall, crop_name, n AS \"N\", p AS \"P\", k AS \"K\", "
+    + ", ".join(f"{_flag(t)} AS {n}" for n, t in {
+        "temp_stress_extreme_cold": "temperature < 15", "temp_stress_cold": "temperature >= 15 AND temperature <= 20", "temp_stress_optimal": "temperature >= 20 AND temperature <= 30", "temp_stress_hot": "temperature >= 30 AND temperature <= 35", "temp_stress_extreme_hot": "temperature > 35",
+        "humidity_stress_low": "humidity < 40", "humidity_stress_optimal": "humidity >= 40 AND humidity <= 70", "humidity_stress_high": "humidity > 70", "ph_stress_acidic": "ph < 5.5", "ph_stress_slightly_acidic": "ph >= 5.5 AND ph <= 6.5", "ph_stress_neutral": "ph >= 6.5 AND ph <= 7.5", "ph_stress_alkaline": "ph > 7.5",
+        "water_stress_severe": "rainfall < 50", "water_stress_moderate": "rainfall >= 50 AND rainfall <= 100", "water_stress_none": "rainfall > 100", "rice_ph_suitable": "crop_name = 'rice' AND ph >= 5.5 AND ph <= 7", "wheat_ph_suitable": "crop_name = 'wheat' AND ph >= 6 AND ph <= 7.5", "cotton_ph_suitable": "crop_name = 'cotton' AND ph >= 5.8 AND ph <= 8.2",
+        "crop_temp_suitability": "temperature BETWEEN t0 AND t1", "crop_water_match": "rainfall BETWEEN r0 AND r1", "low_total_nutrients": "n + p + k < 150", "low_nitrogen": "n < 40", "low_phosphorus": "p < 20", "low_potassium": "k < 20",
+        "n_predominant": "n >= greatest(p, k)", "p_predominant": "p > n AND p >= k", "k_predominant": "k > greatest(n, p)", "severely_imbalanced": "greatest(n, p, k) > 0.6 * (n + p + k + 1e-6)", "npk_balanced": "greatest(n, p, k) < 0.5 * (n + p + k)", "npk_highly_imbalanced": "greatest(n, p, k) > 0.7 * (n + p + k)",
+    }.items())
+    + f", {_num('(abs(temperature - 25) / 10 + abs(humidity - 55) / 15) / 2')} AS environmental_stress_score, {_num(_div('n', 'p'), 4)} AS n_to_p_ratio, {_num(_div('n', 'k'), 4)} AS n_to_k_ratio, {_num(_div('p', 'k'), 4)} AS p_to_k_ratio, {_num(_CV)} AS nutrient_imbalance_score, CASE WHEN n >= greatest(p, k) THEN 'N' WHEN p >= k THEN 'P' ELSE 'K' END AS predominant_nutrient, "
+    f"{_num(_GROW)} AS growing_condition_score, CASE WHEN n >= 40 AND p >= 20 AND k >= 20 THEN 'balanced' ELSE concat_ws('_', CASE WHEN n < 40 THEN 'N' END, CASE WHEN p < 20 THEN 'P' END, CASE WHEN k < 20 THEN 'K' END, 'deficient') END AS fertilizer_need_pattern, 0.0e0 AS crop_environment_match, {_num(f'{_GROW} * (1 - {_CV})')} AS npk_utilization_efficiency, "
+    f"{_int(_STRESS)} AS stress_factor_count, CASE {_STRESS} WHEN 0 THEN 'simple' WHEN 1 THEN 'simple' WHEN 4 THEN 'complex' ELSE 'moderate' END AS recommendation_complexity FROM d",
+)
 def _crops(spark, d):
     _t(spark, d, "part").createOrReplaceTempView("part")
-    df = domain.domain_features(spark.sql(_CROPS).withColumnsRenamed({"n": "N", "p": "P", "k": "K"}))
-    return _rounded(df.select("p_partkey", "environmental_stress_score", "temp_optimal", "ph_acidic", "water_excess", "np_ratio", "pk_ratio", "predominant_nutrient", "severely_imbalanced", "suit_rice_ph", "fertilizer_need_pattern"))
+    df = _rounded(domain.domain_features(spark.sql(_CROPS).withColumnsRenamed({"n": "N", "p": "P", "k": "K"})))
+    return df.withColumns({c: F.round(c, 4) for c in ("n_to_p_ratio", "n_to_k_ratio", "p_to_k_ratio")})
 
 
-_PEOPLE = "SELECT c_custkey, CAST(1 + c_nationkey % 3 AS INT) AS pclass, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(c_custkey % 80 AS DOUBLE) END AS age, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE abs(c_acctbal) / 20 END AS fare, CAST(c_custkey % 3 AS INT) AS sibsp, CAST(c_custkey % 4 AS INT) AS parch FROM customer"
+_PEOPLE = """SELECT c_custkey, CAST(1 + c_nationkey % 3 AS INT) AS pclass, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(c_custkey % 80 AS DOUBLE) END AS age, CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 13 = 0 THEN 0e0 ELSE abs(c_acctbal) / 20 END AS fare,
+ CAST(c_custkey % 3 AS INT) AS sibsp, CAST(c_custkey % 4 AS INT) AS parch, c_name || ', ' || split_part('Mr,Miss,Mrs,Master,Dr,Rev,Mlle,Mme,Ms,Lady', ',', CAST(1 + c_custkey % 10 AS INT)) || '. Ann' AS name, CASE WHEN c_custkey % 5 < 2 THEN NULL ELSE split_part('A1,B20 B22,C85,D,E101 E102 E103,F2,G6,T,7', ',', CAST(1 + c_custkey % 9 AS INT)) END AS cabin,
+ CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE split_part('S,C,Q,S', ',', CAST(1 + c_custkey % 4 AS INT)) END AS embarked, CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS sex FROM customer"""
 
 
 @_query(
     "passenger_features",
-    f"WITH c AS ({_PEOPLE}), m AS (SELECT pclass, median(age) AS ma FROM c GROUP BY pclass), f AS (SELECT median(fare) AS mf FROM c), x AS (SELECT c_custkey, pclass, coalesce(age, ma) AS age, age IS NULL AS gone, coalesce(fare, mf) AS fare, sibsp + parch + 1 AS fs FROM c JOIN m USING (pclass), f) SELECT c_custkey, {_num('age')} AS age, {_flag('gone')} AS age_was_missing, {_flag('age <= 16')} AS is_child, "
-    f"{_num('ln(1 + fare)')} AS fare_log, {_num('fare / (avg(fare) OVER (PARTITION BY pclass) + 1e-6)')} AS fare_vs_class_mean, {_flag('fare > 50')} AS expensive_ticket, {_int('fs')} AS family_size, {_flag('fs = 1')} AS is_alone, {_flag('pclass = 1')} AS is_first_class FROM x",
-)
+    f"WITH c AS ({_PEOPLE}), m AS (SELECT pclass, median(age) AS ma, avg(fare) AS mean FROM c GROUP BY pclass), s AS (SELECT median(fare) AS mf, median(age) AS mall FROM c), x AS (SELECT c.*, coalesce(age, ma) AS af, coalesce(fare, mf) AS ff, coalesce(age, mall) AS ag, mean, sibsp + parch + 1 AS fs, trim(split_part(split_part(name, ',', 2), '.', 1)) AS t, coalesce(embarked, 'S') AS port FROM c JOIN m USING (pclass), s), "
+    "y AS (SELECT *, CASE WHEN t = 'Mr' THEN 'Mr' WHEN t IN ('Mrs', 'Mme') THEN 'Mrs' WHEN t IN ('Miss', 'Mlle', 'Ms') THEN 'Miss' WHEN t = 'Master' THEN 'Master' ELSE 'Rare' END AS title, CASE WHEN regexp_matches(cabin, '^[A-Z]') THEN left(cabin, 1) ELSE 'Unknown' END AS cabin_deck, CASE WHEN cabin IS NULL THEN 0 ELSE len(string_split(cabin, ' ')) END AS rooms, CASE WHEN fs <= 1 THEN 'alone' WHEN fs <= 4 THEN 'small' ELSE 'large' END AS fam FROM x) "
+    f"SELECT c_custkey, {_int('pclass')} AS pclass, {_num('age')} AS age, {_num('fare')} AS fare, {_int('sibsp')} AS sibsp, {_int('parch')} AS parch, name, cabin, embarked, sex, CAST(pclass AS VARCHAR) AS pclass_cat, {_int('fs')} AS family_size, fam AS family_size_binned, {_num('af')} AS age_filled, CASE WHEN af <= 0 THEN NULL WHEN af <= 16 THEN 'child' WHEN af <= 35 THEN 'young_adult' WHEN af <= 60 THEN 'middle_age' ELSE 'elderly' END AS age_group, "
+    f"{_num('ff')} AS fare_filled, {_num('ln(1 + ff)')} AS fare_log, CASE WHEN ff <= 0 THEN NULL WHEN ff <= 7.91 THEN 'low' WHEN ff <= 14.45 THEN 'medium' WHEN ff <= 31 THEN 'high' ELSE 'very_high' END AS fare_category, {_num('coalesce(fare / (mean + 1e-6), 0)')} AS fare_vs_class_mean, title, {_int('length(name)')} AS name_length, cabin_deck, {_int('rooms')} AS num_cabins, port AS embarked_filled, "
+    "sex || '_' || CASE WHEN ag <= 0 THEN 'nan' WHEN ag <= 16 THEN 'child' WHEN ag <= 35 THEN 'adult' ELSE 'elderly' END AS sex_age_interaction, pclass || '_' || fam AS class_family_interaction, sex || '_class' || pclass AS sex_class_interaction, "
+    + ", ".join(f"{_flag(t)} AS {n}" for n, t in {
+        "is_first_class": "pclass = 1", "is_third_class": "pclass = 3", "is_alone": "fs = 1", "is_small_family": "fs IN (2, 3, 4)", "is_large_family": "fs > 4", "has_siblings_spouses": "sibsp > 0", "has_parents_children": "parch > 0", "is_child": "af <= 16", "is_adult": "af >= 17 AND af <= 65", "is_elderly": "af > 65",
+        "age_was_missing": "age IS NULL", "paid_no_fare": "ff = 0", "expensive_ticket": "ff > 50", "is_mr": "title = 'Mr'", "is_mrs": "title = 'Mrs'", "is_miss": "title = 'Miss'", "is_master": "title = 'Master'", "has_rare_title": "title = 'Rare'", "has_cabin": "cabin IS NOT NULL", "multiple_cabins": "rooms > 1",
+        "embarked_c": "port = 'C'", "embarked_q": "port = 'Q'", "embarked_s": "port = 'S'",
+    }.items()) + ", " + ", ".join(f"{_flag(f"cabin_deck = '{x}'")} AS deck_{x.lower()}" for x in "ABCDEFG") + " FROM y",
+)
 def _people(spark, d):
     _t(spark, d, "customer").createOrReplaceTempView("customer")
-    df = domain.passenger_fares(domain.passenger_ages(domain.domain_features(spark.sql(_PEOPLE))))
-    return _rounded(df.select("c_custkey", "age", "age_was_missing", "is_child", "fare_log", "fare_vs_class_mean", "expensive_ticket", "family_size", "is_alone", "is_first_class"))
+    return _rounded(domain.domain_features(spark.sql(_PEOPLE)))
 
 
 _RUNS = "SELECT o_custkey AS run, o_orderpriority AS f, o_totalprice / 1000000 AS s FROM orders"

@@ -169,9 +169,16 @@ def test_regression_attribution(spark):
 
 
 def test_passengers_and_crops(spark):
-    df = spark.createDataFrame([("m", 1, "S", "child"), ("f", 3, None, None), ("f", 3, "S", "adult"), ("m", 2, "C", "adult")], "sex string, pclass int, embarked string, age_group string")
-    out = domain.passenger_pairs(domain.passenger_ports(df)).collect()
-    assert [r.embarked for r in out] == ["S", "S", "S", "C"] and [r.sex_age_group for r in out][1] == "f_nan" and out[3].sex_class == "m_2" and out[3].embarked_c == 1
-    crop = spark.createDataFrame([(50.0, 40.0, 40.0, 25.0, 90.0, 6.0, 80.0)], "N double, P double, K double, temperature double, humidity double, ph double, rainfall double")
+    df = spark.createDataFrame([("m", 1, "S", 8.0), ("f", 3, None, None), ("f", 3, "S", 30.0), ("m", 2, "C", None)], "sex string, pclass int, embarked string, age double")
+    out = domain.domain_features(df).collect()
+    assert [r.embarked_filled for r in out] == ["S", "S", "S", "C"] and out[3].sex_class_interaction == "m_class2" and out[3].embarked_c == 1
+    assert [r.age_filled for r in out] == [8, 30, 30, None] and [r.age_group for r in out] == ["child", "young_adult", "young_adult", None]
+    assert [r.sex_age_interaction for r in out] == ["m_child", "f_adult", "f_adult", "m_adult"]
+    crop = spark.createDataFrame([("rice", 50.0, 40.0, 10.0, 40.0, 90.0, 5.0, 20.0)], "crop_name string, N double, P double, K double, temperature double, humidity double, ph double, rainfall double")
     r = domain.domain_features(crop).first()
-    assert (r.growing_condition_score, r.stress_factor_count, r.npk_balanced, r.npk_highly_imbalanced) == (0.75, 1, 1, 0) and r.npk_utilization_efficiency == pytest.approx(0.8)
+    assert r.growing_condition_score == pytest.approx((0.25 + 1 - 35 / 45 + 1 - 2 / 3 + 0.1) / 4) and (r.stress_factor_count, r.crop_environment_match, r.recommendation_complexity) == (1, 0, "simple")
+    both = crop.select(*[c.alias(n) for n, c in domain.agricultural_recommendation_features(crop, combined=True).items()]).first()
+    assert (both.stress_factor_count, both.recommendation_complexity) == (5, "complex")  # hot, humid, acid, dry, little potassium
+    assert domain.applicable(crop.drop("N")) == ["environmental_stress_features", "soil_crop_interaction_features", "agricultural_recommendation_features"]
+    wide = domain.domain_features(crop.select("temperature")).columns
+    assert "temp_stress_hot" in wide and "ph_stress_acidic" not in wide
