@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: English words that say little.
+STOP_WORDS = tuple("a about above after again against all am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own same she should so some such than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your yours yourself yourselves".split())
 #: What marks an email address, a link, a phone number, a date, a time and an amount of money.
 PATTERNS = {
-    "email": r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}",
+    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}",
     "url": r"(?i)(https?://|www\.)[^ \t\n]+",
     "phone": r"(^|[^A-Za-z0-9_])([0-9]{3}[-. ]?[0-9]{3}[-. ]?[0-9]{4})([^A-Za-z0-9_]|$)",
     "date": r"(^|[^A-Za-z0-9_])([0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}|[0-9]{4}-[0-9]{2}-[0-9]{2})([^A-Za-z0-9_]|$)",
@@ -18,7 +20,7 @@ PATTERNS = {
 
 def count_of(text: Column, chars: str) -> Column:
     """How many characters of a class (as in a regular expression's brackets) a text has."""
-    return F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]", ""))
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]+", ""))
 
 
 def words(text: Column) -> Column:
@@ -26,26 +28,18 @@ def words(text: Column) -> Column:
 
 
 def char_entropy(text: Column) -> Column:
-    """Shannon entropy of a text's characters in bits, by runs of the sorted characters."""
-    chars = F.array_sort(F.split(text, ""))
-    start = F.struct(F.lit("").alias("c"), F.lit(0.0).alias("run"), F.lit(0.0).alias("s"))
-
-    def flush(acc):
-        return acc["s"] + F.when(acc["run"] > 0, acc["run"] * F.log2(acc["run"])).otherwise(0.0)
-
-    def step(acc, c):
-        same = acc["c"] == c
-        return F.struct(c.alias("c"), F.when(same, acc["run"] + 1.0).otherwise(1.0).alias("run"), F.when(same, acc["s"]).otherwise(flush(acc)).alias("s"))
-
-    n = F.length(text)
-    return F.when(n > 0, F.log2(n.cast("double")) - F.aggregate(chars, start, step, flush) / n).otherwise(0.0)
+    """Shannon entropy of a text's characters in bits: each different character is counted by the bytes that go with it."""
+    n = F.length(text).cast("double")
+    count = lambda c: (F.octet_length(text) - F.octet_length(F.replace(text, c, F.lit("")))) / F.octet_length(c)
+    part = F.aggregate(F.transform(F.array_remove(F.array_distinct(F.split(text, "")), ""), count), F.lit(0.0), lambda acc, k: acc + k * F.log2(k))
+    return F.when(n > 0, F.log2(n) - part / n).otherwise(0.0)
 
 
 def text_features(df: DataFrame, col: str, patterns: bool = True, complexity: bool = True) -> DataFrame:
     """Lengths, counts and shares of kinds of characters, flags, patterns, sentences and vocabulary of a text column; null counts as empty."""
-    s = F.coalesce(F.col(col), F.lit(""))
-    n, ws = F.length(s), words(s)
-    count = F.size(ws)
+    df = df.withColumns({"_s": F.coalesce(F.col(col), F.lit("")), "_ws": words(F.coalesce(F.col(col), F.lit("")))})  # cut once
+    s, ws = F.col("_s"), F.col("_ws")
+    n, count = F.length(s), F.size(ws)
     per = F.greatest(n, F.lit(1))
     new = {"length": n, "word_count": count, "avg_word_length": F.when(count > 0, (n - count_of(s, r" \t\n\r\f\x0B")) / F.greatest(count, F.lit(1))).otherwise(0.0)}
     kinds = {"digit": "0-9", "upper": "A-Z", "lower": "a-z", "space": r" \t\n\r\f\x0B", "punctuation": r"^A-Za-z0-9_ \t\n\r\f\x0B", "special_char": r"^a-zA-Z0-9 \t\n\r\f\x0B"}
@@ -59,10 +53,10 @@ def text_features(df: DataFrame, col: str, patterns: bool = True, complexity: bo
         new |= {"hashtag_count": F.size(F.split(s, "#[A-Za-z0-9_]")) - 1, "mention_count": F.size(F.split(s, "@[A-Za-z0-9_]")) - 1}
     if complexity:
         sentences = F.size(F.split(s, "[.!?]+")) - 1
-        unique = F.size(F.array_distinct(words(F.lower(s))))
+        unique = F.size(F.array_distinct(F.transform(ws, F.lower)))
         new |= {"sentence_count": sentences, "question_count": count_of(s, "?"), "exclamation_count": count_of(s, "!"), "has_question": s.contains("?"), "parentheses_count": count_of(s, "()"), "quote_count": count_of(s, "\"'")}
         new |= {"unique_word_count": unique, "vocabulary_richness": unique / F.greatest(count, F.lit(1)), "avg_sentence_length": count / F.greatest(sentences, F.lit(1)), "char_entropy": char_entropy(s)}
-    return df.withColumns({f"{col}_{k}": v.cast("int") if k.startswith(("is_", "has_", "starts_")) else v for k, v in new.items()})
+    return df.withColumns({f"{col}_{k}": v.cast("int") if k.startswith(("is_", "has_", "starts_")) else v for k, v in new.items()}).drop("_s", "_ws")
 
 
 def char_codes(df: DataFrame, col: str) -> DataFrame:
@@ -77,13 +71,13 @@ def char_codes(df: DataFrame, col: str) -> DataFrame:
     return out.withColumns({f"{col}_char_mean": mean, f"{col}_char_std": F.sqrt(F.greatest(F.col("_c.q") / n - mean * mean, F.lit(0.0)))}).drop("_c")
 
 
-def tf_idf(df: DataFrame, id_col: str, col: str, top: int = 100, min_docs: int = 2, max_share: float = 0.95, stop_words: tuple[str, ...] = ()) -> DataFrame:
+def tf_idf(df: DataFrame, id_col: str, col: str, top: int = 100, min_docs: int = 2, max_share: float = 0.95, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """(id, term, weight): term counts times ln((1 + N) / (1 + df)) + 1, each text scaled to length 1.
 
     Terms are one word of two letters or digits at least, or two such in a row, stop words left out; of those in min_docs texts at
     least and in max_share of them at most, the `top` most frequent count (ties by name). Ids are taken to be unique.
     """
-    ws = F.filter(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: (F.length(w) > 1) & ~w.isin(*stop_words))
+    ws = F.filter(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: (F.length(w) > 1) & (~w.isin(*stop_words) if stop_words else F.lit(True)))
     twos = F.when(F.size("ws") > 1, F.transform(F.sequence(F.lit(1), F.size("ws") - 1), lambda i: F.concat_ws(" ", F.get("ws", i - 1), F.get("ws", i)))).otherwise(F.array().cast("array<string>"))
     counts = df.select(F.col(id_col), ws.alias("ws")).select(id_col, F.explode(F.concat("ws", twos)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("n"))
     total = df.count()

@@ -160,15 +160,22 @@ def _text_sql(c: str, table: str, key: str) -> str:
     sent = f"len(regexp_extract_all({c}, '[.!?]+'))"
     uniq = f"len(list_distinct(list_filter(string_split_regex(lower({c}), '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')))"
     out += [f"{_int(sent)} AS {c}_sentence_count", f"{_int(cnt('[?]'))} AS {c}_question_count", f"{_int(cnt('[!]'))} AS {c}_exclamation_count", f"{_int(uniq)} AS {c}_unique_word_count", f"{_num(f'{uniq} / CAST(greatest(len({ws}), 1) AS DOUBLE)')} AS {c}_vocabulary_richness"]
-    out += [f"{_flag(f'{n} = 0')} AS {c}_is_empty", f"{_flag(f"contains({c}, '?')")} AS {c}_has_question"]
+    par, quo = cnt("[()]"), cnt("[\"'']")
+    out += [f"{_int(par)} AS {c}_parentheses_count", f"{_int(quo)} AS {c}_quote_count", f"{_num(f'len({ws}) / CAST(greatest({sent}, 1) AS DOUBLE)')} AS {c}_avg_sentence_length"]
+    chars = f"list_distinct(string_split({c}, ''))"
+    share = f"({n} - length(replace({c}, ch, ''))) / CAST({n} AS DOUBLE)"
+    out += [f"{_num(f"CASE WHEN {n} = 0 THEN 0 ELSE -list_sum(list_transform(list_filter({chars}, lambda ch: ch <> ''), lambda ch: {share} * log2({share}))) END", 5)} AS {c}_char_entropy"]
+    flags = {"is_empty": f"{n} = 0", "has_question": f"contains({c}, '?')", "is_numeric": f"regexp_full_match({c}, '[0-9]+')", "is_alpha": f"regexp_full_match({c}, '\\p{{L}}+')", "is_alphanumeric": f"regexp_full_match({c}, '[\\p{{L}}\\p{{N}}]+')", "starts_with_capital": f"regexp_matches({c}, '^\\p{{Lu}}')", "is_all_caps": f"upper({c}) = {c} AND lower({c}) <> {c}", "is_all_lower": f"lower({c}) = {c} AND upper({c}) <> {c}"}
+    flags |= {f"has_{k}": f"regexp_matches({c}, '{rx.replace('(?<![a-z0-9._%+-])', '')}')" for k, rx in text.PATTERNS.items()}
+    out += [f"{_flag(t)} AS {c}_{k}" for k, t in flags.items()]
+    out += [f"{_int(f"len(regexp_extract_all({c}, '{x}[A-Za-z0-9_]'))")} AS {c}_{k}_count" for k, x in (("hashtag", "#"), ("mention", "@"))]
     return f"SELECT {key}, {', '.join(out)} FROM {table}"
 
 
 @_query("text_features", _text_sql("text", "documents", "doc_id"))
 def _text(spark, d):
-    df = text.text_features(_t(spark, d, "documents").select("doc_id", "text"), "text")
-    names = "length word_count avg_word_length digit_count upper_count lower_count space_count punctuation_count special_char_count digit_ratio upper_ratio lower_ratio punctuation_ratio space_ratio sentence_count question_count exclamation_count unique_word_count vocabulary_richness is_empty has_question".split()
-    return _rounded(df.select("doc_id", *[f"text_{n}" for n in names]))
+    df = _rounded(text.text_features(_t(spark, d, "documents").select("doc_id", "text"), "text").drop("text"))
+    return df.withColumn("text_char_entropy", F.round("text_char_entropy", 5))
 
 
 @_query("text_entropy", f"WITH c AS (SELECT p_partkey, unnest(string_split(p_name, '')) AS ch FROM part), n AS (SELECT p_partkey, ch, count(*) AS k FROM c GROUP BY p_partkey, ch), t AS (SELECT *, sum(k) OVER (PARTITION BY p_partkey) AS total FROM n) SELECT p_partkey, {_num('-sum(k / total * log2(k / total))')} AS p_name_char_entropy FROM t GROUP BY p_partkey")
