@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 SOURCES = {
     "sessions": """SELECT 's' || CAST(c_custkey % 40 AS VARCHAR(9)) AS session_id, CASE WHEN min(c_nationkey) % 4 = 0 THEN 'interrupted' ELSE 'completed' END AS status,
-        'd' || CAST(max(c_nationkey) % 5 AS VARCHAR(9)) AS dataset_name, CAST(count(*) AS BIGINT) AS total_iterations, max(c_acctbal) / 10000 AS best_score FROM customer GROUP BY c_custkey % 40""",
+        'd' || CAST(max(c_nationkey) % 5 AS VARCHAR(9)) AS dataset_name, CAST(CASE WHEN c_custkey % 40 % 9 = 0 THEN 0 ELSE count(*) END AS BIGINT) AS total_iterations, max(c_acctbal) / 10000 AS best_score, 'run ' || CAST(c_custkey % 40 % 7 AS VARCHAR(9)) AS session_name, c_custkey % 40 % 11 = 5 AS is_test_mode,
+        CAST(DATE '1996-01-01' + CAST(c_custkey % 40 * 3 AS INT) AS TIMESTAMP) AS start_time, CAST(60 * (1 + c_custkey % 40) AS DOUBLE) AS seconds FROM customer GROUP BY c_custkey % 40""",
     "history": """SELECT o_orderkey AS node_id, CASE WHEN o_orderkey <= 1 THEN NULL ELSE CAST(floor(o_orderkey / 3) AS BIGINT) END AS parent_id, 's' || CAST(o_custkey % 40 AS VARCHAR(9)) AS session_id,
         CAST(floor(o_orderkey / 25) AS BIGINT) AS iteration, o_orderpriority AS operation, o_totalprice / 1000000 AS score, CAST(o_custkey % 60 AS BIGINT) AS visits, o_orderdate AS ts, CAST(o_orderkey % 7 AS DOUBLE) AS seconds,
         o_totalprice / 300 AS memory_mb, CASE WHEN o_custkey % 60 = 0 THEN CAST('infinity' AS DOUBLE) WHEN o_custkey % 60 = 7 THEN NULL ELSE o_totalprice / 100000 END AS ucb, '[' || repeat('1,', CAST(o_custkey % 35 AS INT)) || '0]' AS features_after FROM orders""",
@@ -28,20 +29,15 @@ QUERIES = {
     "unused_features": "SELECT c.feature_no, c.feature_name FROM catalog c WHERE NOT EXISTS (SELECT 1 FROM impact i WHERE i.feature_no = c.feature_no)",
     "cooccurrence": "WITH u AS (SELECT DISTINCT session_id, feature_no FROM impact) SELECT a.feature_no AS a, b.feature_no AS b, CAST(count(*) AS BIGINT) AS n FROM u a JOIN u b ON a.session_id = b.session_id AND a.feature_no < b.feature_no GROUP BY a.feature_no, b.feature_no",
     "impact_by_dataset": "SELECT dataset_name, feature_no, round(avg(delta), 6) AS avg_impact, round(max(delta), 6) AS max_impact FROM impact JOIN sessions USING (session_id) GROUP BY dataset_name, feature_no",
-    "search_features": "SELECT feature_name, CASE WHEN feature_name LIKE 'f_Brand#1%' THEN 1 WHEN lower(category) LIKE '%standard%' THEN 2 ELSE 3 END AS relevance FROM catalog WHERE feature_name LIKE '%Brand#1%' OR lower(category) LIKE '%standard%'",
     "category_stats": "SELECT category, CAST(count(DISTINCT c.feature_no) AS BIGINT) AS n_features, round(sum(delta * weight) / nullif(sum(weight), 0e0), 6) AS weighted_impact FROM catalog c JOIN impact i ON c.feature_no = i.feature_no GROUP BY category",
     "catalog_stats": "SELECT category, CAST(count(*) AS BIGINT) AS n, CAST(min(cost) AS BIGINT) AS min_cost, CAST(max(cost) AS BIGINT) AS max_cost, round(avg(cost), 6) AS avg_cost FROM catalog GROUP BY category",
-    "recommendations": "WITH r AS (SELECT feature_no, avg(delta) AS a FROM impact GROUP BY feature_no), used AS (SELECT DISTINCT feature_no FROM impact WHERE session_id = 's7') SELECT r.feature_no, round(a, 6) AS avg_impact FROM r LEFT JOIN used ON r.feature_no = used.feature_no WHERE used.feature_no IS NULL",
     # sessions
     "session_counts": "SELECT status, CAST(count(*) AS BIGINT) AS n, CAST(sum(total_iterations) AS BIGINT) AS iterations, round(avg(best_score), 6) AS avg_best FROM sessions GROUP BY status",
     "session_overview": "SELECT session_id, CAST(count(*) AS BIGINT) AS n, CAST(min(iteration) AS BIGINT) AS first_iteration, CAST(max(iteration) AS BIGINT) AS last_iteration, round(max(score), 6) AS best, round(avg(score), 6) AS avg_score, round(stddev_samp(score), 6) AS std FROM history GROUP BY session_id",
     "session_success": "SELECT dataset_name, round(CAST(sum(CASE WHEN status = 'completed' THEN 1 ELSE 0 END) AS DOUBLE) / nullif(count(*), 0), 6) AS success FROM sessions GROUP BY dataset_name",
     "datasets_with_sessions": "SELECT s.dataset_name, CAST(count(DISTINCT s.session_id) AS BIGINT) AS n_sessions, CAST(count(h.node_id) AS BIGINT) AS n_nodes FROM sessions s LEFT JOIN history h ON s.session_id = h.session_id GROUP BY s.dataset_name",
-    "cleanup_candidates": "SELECT session_id FROM sessions WHERE status = 'interrupted' OR (best_score < 0.5e0 AND total_iterations < 30)",
-    "session_by_prefix": "SELECT session_id FROM sessions WHERE replace(session_id, '-', '') LIKE 's1%'",
     "daily_trends": "SELECT CAST(ts AS DATE) AS day, CAST(count(*) AS BIGINT) AS n, round(avg(score), 6) AS avg_score, round(max(score), 6) AS best FROM history GROUP BY CAST(ts AS DATE)",
     "weekday_lag": "WITH d AS (SELECT date_trunc('month', ts) AS m, session_id, avg(score) AS a FROM history GROUP BY date_trunc('month', ts), session_id) SELECT CAST(m AS DATE) AS month, session_id, round(a, 6) AS a, round(a - lag(a) OVER (PARTITION BY session_id ORDER BY m), 6) AS change FROM d",
-    "period_comparison": "SELECT operation, round(avg(CASE WHEN iteration % 2 = 0 THEN score END), 6) AS first_avg, round(avg(CASE WHEN iteration % 2 = 1 THEN score END), 6) AS second_avg FROM history GROUP BY operation",
     # operations
     "operation_metrics": "SELECT operation, CAST(count(*) AS BIGINT) AS n, round(avg(score), 6) AS avg_score, round(max(score), 6) AS best, round(stddev_samp(score), 6) AS std, CASE WHEN stddev_samp(score) < 0.01e0 THEN 'High' WHEN stddev_samp(score) < 0.05e0 THEN 'Medium' ELSE 'Low' END AS consistency FROM history GROUP BY operation",
     "operation_efficiency": "SELECT operation, round(avg(score) / nullif(avg(seconds), 0e0), 6) AS efficiency FROM history GROUP BY operation",
@@ -54,33 +50,25 @@ QUERIES = {
     "milestones": "WITH t AS (SELECT session_id, max(score) AS m FROM history GROUP BY session_id) SELECT h.session_id, min(CASE WHEN score >= 0.5e0 * m THEN node_id END) AS half, min(CASE WHEN score >= 0.9e0 * m THEN node_id END) AS most, min(CASE WHEN score = m THEN node_id END) AS best FROM history h JOIN t ON h.session_id = t.session_id GROUP BY h.session_id",
     "recent_trend": "WITH r AS (SELECT session_id, score, row_number() OVER (PARTITION BY session_id ORDER BY node_id DESC) AS k FROM history) SELECT session_id, round(avg(CASE WHEN k <= 7 THEN score END) - avg(CASE WHEN k BETWEEN 8 AND 14 THEN score END), 6) AS trend FROM r WHERE k <= 14 GROUP BY session_id",
     # tree and health
-    "tree_depths": "WITH RECURSIVE t AS (SELECT node_id, CAST(0 AS INT) AS depth FROM history WHERE parent_id IS NULL UNION ALL SELECT h.node_id, t.depth + 1 FROM history h JOIN t ON h.parent_id = t.node_id WHERE h.node_id <> h.parent_id) SELECT depth, CAST(count(*) AS BIGINT) AS width FROM t GROUP BY depth",
     "health_orphans": "SELECT CAST(count(*) AS BIGINT) AS orphans FROM history c WHERE parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM history p WHERE p.node_id = c.parent_id)",
     "health_roots": "SELECT CAST(count(*) AS BIGINT) AS roots FROM history WHERE parent_id IS NULL",
     "health_diversity": "SELECT iteration, CAST(count(DISTINCT operation) AS BIGINT) AS kinds, CAST(count(*) AS BIGINT) AS n FROM history GROUP BY iteration HAVING count(*) > 1 AND CAST(count(DISTINCT operation) AS DOUBLE) / count(*) < 0.5e0",
     "health_scores": "SELECT CAST(sum(CASE WHEN score IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing, CAST(sum(CASE WHEN score < 0 OR score > 1 THEN 1 ELSE 0 END) AS BIGINT) AS outside FROM history",
     "health_convergence": "WITH m AS (SELECT session_id, iteration, max(score) AS s FROM history GROUP BY session_id, iteration), d AS (SELECT session_id, s - lag(s) OVER (PARTITION BY session_id ORDER BY iteration) AS g FROM m) SELECT session_id, CAST(sum(CASE WHEN g > 0 THEN 1 ELSE 0 END) AS BIGINT) AS rises FROM d GROUP BY session_id",
-    "health_explore": "SELECT iteration, CAST(max(visits) AS BIGINT) AS most, round(stddev_samp(visits), 6) AS spread FROM history GROUP BY iteration HAVING max(visits) > 50",
-    "health_traps": "SELECT p.node_id, CAST(count(*) AS BIGINT) AS n_children FROM history p JOIN history c ON c.parent_id = p.node_id WHERE p.score > 0.3e0 AND p.visits > 3 GROUP BY p.node_id, p.score HAVING count(*) >= 2 AND avg(c.score) < 0.8e0 * p.score",
     "health_propagation": "SELECT CAST(count(*) AS BIGINT) AS parents, CAST(sum(CASE WHEN v > 1.5e0 * pv THEN 1 ELSE 0 END) AS BIGINT) AS heavy, CAST(sum(CASE WHEN abs(ps - a) > 0.3e0 THEN 1 ELSE 0 END) AS BIGINT) AS far FROM (SELECT p.node_id, p.visits AS pv, p.score AS ps, sum(c.visits) AS v, avg(c.score) AS a FROM history p JOIN history c ON c.parent_id = p.node_id GROUP BY p.node_id, p.visits, p.score) t",
-    "health_halves": "SELECT session_id, round(avg(CASE WHEN k = 2 THEN seconds END) / nullif(avg(CASE WHEN k = 1 THEN seconds END), 0e0), 6) AS ratio FROM (SELECT session_id, seconds, ntile(2) OVER (PARTITION BY session_id ORDER BY node_id) AS k FROM history) t GROUP BY session_id",
     "visit_distribution": "SELECT visits, CAST(count(*) AS BIGINT) AS n FROM history GROUP BY visits",
     "best_score_check": "SELECT s.session_id, round(s.best_score, 6) AS recorded, round(max(h.score), 6) AS found FROM sessions s JOIN history h ON s.session_id = h.session_id GROUP BY s.session_id, s.best_score HAVING abs(s.best_score - max(h.score)) > 0.001e0",
     # scores of names, resources, checks of the record
-    "fuzzy_search": "WITH f AS (SELECT feature_no, feature_name, (CASE WHEN lower(feature_name) LIKE '%b%' THEN 1 ELSE 0 END + CASE WHEN lower(feature_name) LIKE '%4%' THEN 1 ELSE 0 END + CASE WHEN lower(feature_name) LIKE '%3%' THEN 1 ELSE 0 END + CASE WHEN lower(feature_name) LIKE '%7%' THEN 1 ELSE 0 END) / 4e0 AS share FROM catalog) SELECT feature_no, feature_name, round(share, 6) AS share FROM f WHERE share >= 0.6e0",
     "brand_stats": "SELECT split_part(feature_name, '_', 2) AS brand, CAST(count(DISTINCT c.feature_no) AS BIGINT) AS n_features, round(sum(delta * weight) / nullif(sum(weight), 0e0), 6) AS weighted_impact FROM catalog c JOIN impact i ON c.feature_no = i.feature_no GROUP BY split_part(feature_name, '_', 2)",
     "feature_detail": "SELECT feature_no, session_id, CAST(count(*) AS BIGINT) AS n, round(avg(delta), 6) AS avg_impact, round(CAST(sum(CASE WHEN delta > 0 THEN 1 ELSE 0 END) AS DOUBLE) / nullif(count(*), 0), 6) AS success FROM impact GROUP BY feature_no, session_id",
     "resource_usage": "SELECT session_id, round(avg(memory_mb), 4) AS avg_mb, round(max(memory_mb), 4) AS max_mb, round(sum(seconds), 4) AS seconds, round(sum(seconds) / nullif(count(*), 0), 6) AS seconds_a_node FROM history GROUP BY session_id",
     "score_per_hour": "SELECT session_id, round(max(score) / nullif(sum(seconds) / 3600e0, 0e0), 4) AS best_per_hour FROM history GROUP BY session_id",
     "explore_ratio": "SELECT session_id, CAST(sum(CASE WHEN visits <= 1 THEN 1 ELSE 0 END) AS BIGINT) AS explored, CAST(sum(CASE WHEN visits > 1 THEN 1 ELSE 0 END) AS BIGINT) AS exploited, round(CAST(sum(CASE WHEN visits <= 1 THEN 1 ELSE 0 END) AS DOUBLE) / nullif(sum(CASE WHEN visits > 1 THEN 1 ELSE 0 END), 0), 6) AS ratio FROM history GROUP BY session_id",
-    "search_mode": "SELECT session_id, CAST(count(DISTINCT operation) AS BIGINT) AS kinds, CAST(count(*) AS BIGINT) AS n, CASE WHEN count(DISTINCT operation) > 50 AND count(*) <= 1.5e0 * count(DISTINCT operation) THEN 'single' ELSE 'grouped' END AS mode FROM history GROUP BY session_id",
     "timing_percentiles": "WITH r AS (SELECT operation, seconds, row_number() OVER (PARTITION BY operation ORDER BY node_id DESC) AS k FROM history) SELECT operation, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY seconds), 6) AS p50, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY seconds), 6) AS p90, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY seconds), 6) AS p95 FROM r WHERE k <= 100 GROUP BY operation",
     "active_datasets": "SELECT s.dataset_name, CAST(count(DISTINCT h.session_id) AS BIGINT) AS n_sessions, CAST(count(*) AS BIGINT) AS n_nodes FROM history h JOIN sessions s ON h.session_id = s.session_id WHERE h.ts >= (SELECT max(ts) - INTERVAL '30' DAY FROM history) GROUP BY s.dataset_name",
     "dataset_trend": "SELECT s.dataset_name, CAST(date_trunc('month', h.ts) AS DATE) AS month, CAST(count(DISTINCT h.session_id) AS BIGINT) AS n_sessions, round(max(h.score), 6) AS best FROM history h JOIN sessions s ON h.session_id = s.session_id GROUP BY s.dataset_name, CAST(date_trunc('month', h.ts) AS DATE)",
     "operation_success": "WITH d AS (SELECT operation, score - lag(score) OVER (PARTITION BY session_id ORDER BY node_id) AS g FROM history) SELECT operation, CAST(count(g) AS BIGINT) AS n, round(CAST(sum(CASE WHEN g > 0 THEN 1 ELSE 0 END) AS DOUBLE) / nullif(count(g), 0), 6) AS success, round(avg(CASE WHEN g > 0 THEN g END), 6) AS avg_gain FROM d GROUP BY operation",
     "improvement_rate": "WITH b AS (SELECT session_id, node_id, score, max(score) OVER (PARTITION BY session_id ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM history) SELECT session_id, CAST(sum(CASE WHEN before IS NULL OR score > before THEN 1 ELSE 0 END) AS BIGINT) AS improvements, round(CAST(sum(CASE WHEN before IS NULL OR score > before THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 6) AS rate FROM b GROUP BY session_id",
-    "depth_stats": "WITH RECURSIVE t AS (SELECT node_id, CAST(0 AS INT) AS depth FROM history WHERE parent_id IS NULL UNION ALL SELECT h.node_id, t.depth + 1 FROM history h JOIN t ON h.parent_id = t.node_id WHERE h.node_id <> h.parent_id) SELECT t.depth, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT json_array_length(h.features_after)) AS BIGINT) AS feature_counts, round(avg(h.score), 6) AS avg_score FROM t JOIN history h ON t.node_id = h.node_id GROUP BY t.depth",
-    "health_balance": "WITH RECURSIVE t AS (SELECT node_id, CAST(0 AS INT) AS depth FROM history WHERE parent_id IS NULL UNION ALL SELECT h.node_id, t.depth + 1 FROM history h JOIN t ON h.parent_id = t.node_id WHERE h.node_id <> h.parent_id) SELECT CAST(max(depth) AS BIGINT) AS depth, CAST(max(w) AS BIGINT) AS most_wide, round(avg(w), 6) AS avg_width, max(depth) > 50 OR max(w) > 100 OR (avg(w) < 2 AND max(depth) > 10) AS unbalanced FROM (SELECT depth, count(*) AS w FROM t GROUP BY depth) d",
     "health_features": "SELECT iteration, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT json_array_length(features_after)) AS BIGINT) AS counts FROM history GROUP BY iteration HAVING count(*) > 1 AND count(DISTINCT json_array_length(features_after)) <= 1",
     "health_accumulation": "SELECT iteration, CAST(max(json_array_length(features_after)) AS BIGINT) AS most FROM history WHERE iteration <= 5 GROUP BY iteration HAVING max(json_array_length(features_after)) > 30",
     "health_ucb": "SELECT round(CAST(sum(CASE WHEN ucb IS NULL THEN 1 ELSE 0 END) AS DOUBLE) / nullif(count(*), 0), 6) AS missing, CAST(sum(CASE WHEN ucb < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative, CAST(sum(CASE WHEN ucb = CAST('infinity' AS DOUBLE) THEN 1 ELSE 0 END) AS BIGINT) AS infinite, round(max(CASE WHEN ucb < CAST('infinity' AS DOUBLE) THEN ucb END), 6) AS most FROM history",

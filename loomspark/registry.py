@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import registry_store
 from .operators import attribution, binning, categorical, domain, polynomial, quality, ranking, sampling, statistical, temporal, text
 from .plans import analytics
 from .streaming import windows
@@ -364,6 +365,8 @@ def _pipeline(spark, d):
     return build(_t(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice"), ["o_orderstatus"], ["o_totalprice"], target="o_totalprice").data
 
 
+QUERIES |= registry_store.QUERIES
+SQL |= registry_store.SQL
 for _name in analytics.QUERIES:
     QUERIES[f"analytics_{_name}"] = partial(analytics.run, name=_name)
     SQL[f"analytics_{_name}"] = analytics.sql(_name)
