@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MOST_RUNS, MOST_FEATURES = 50_000, 4_000
+
+
 def marginal(runs: DataFrame, features: str = "features", score: str = "score") -> DataFrame:
     """(feature, with_mean, without_mean, effect): mean score of the sets with a feature, less that of the others."""
     total = runs.agg(F.count(score).alias("tn"), F.sum(score).alias("ts"))
@@ -17,7 +20,12 @@ def marginal(runs: DataFrame, features: str = "features", score: str = "score")
 
 
 def closest_set(runs: DataFrame, id_col: str = "run", features: str = "features", score: str = "score") -> DataFrame:
-    """(run, other, jaccard, other_score): for each set the other one that is most like it, found through shared features; ties go to the least id."""
+    """(run, other, jaccard, other_score): for each set the other one that is most like it, found through shared features; ties go to the least id.
+
+    Runs that share a feature meet pairwise, so the table of runs is limited: MOST_RUNS rows, and an error beyond.
+    """
+    if runs.limit(MOST_RUNS + 1).count() > MOST_RUNS:
+        raise ValueError(f"over {MOST_RUNS} runs")
     one = runs.select(F.col(id_col).alias("a"), F.array_distinct(features).alias("fs")).select("a", F.size("fs").alias("na"), F.explode("fs").alias("f"))
     two = one.toDF("b", "nb", "f")
     shared = one.join(two, "f").where("a <> b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n"))
@@ -28,10 +36,12 @@ def closest_set(runs: DataFrame, id_col: str = "run", features: str = "features"
 
 
 def regression(runs: DataFrame, features: str = "features", score: str = "score") -> DataFrame:
-    """(feature, effect): least-squares weights of membership in the sets, with an intercept."""
+    """(feature, effect): least-squares weights of membership in the sets, with an intercept; at most MOST_FEATURES features, as normal equations are solved at once."""
     from pyspark.ml.feature import CountVectorizer
     from pyspark.ml.regression import LinearRegression
 
     names = CountVectorizer(inputCol=features, outputCol="_x", binary=True).fit(runs)
+    if len(names.vocabulary) > MOST_FEATURES:
+        raise ValueError(f"over {MOST_FEATURES} features")
     model = LinearRegression(featuresCol="_x", labelCol=score, solver="normal", regParam=0.0).fit(names.transform(runs))
     return runs.sparkSession.createDataFrame(list(zip(names.vocabulary, map(float, model.coefficients), strict=True)), "feature string, effect double")

@@ -108,6 +108,29 @@ def signal_columns(df: DataFrame, cols: list[str]) -> list[str]:
     return [c for c in cols if row[c]]
 
 
+def detect_types(df: DataFrame) -> dict[str, str]:
+    """id, datetime, text, categorical or numeric for each column, in one scan; distinct values are estimated.
+
+    id: named so, and nearly all values differ; datetime: of such a type, or nearly all texts start like a date; text: most
+    values differ or are over 50 characters in the mean; numbers of under 20 values are categorical.
+    """
+    dtypes, n = dict(df.dtypes), F.count("*")
+    date = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}|^\d{1,2}[./-]\d{1,2}[./-]\d{4}"
+    aggs = [F.struct(n.alias("n"), F.count(c).alias("k"), F.approx_count_distinct(c, 0.01).alias("d"), F.avg(F.length(F.col(c).cast("string"))).alias("length"), F.avg(F.col(c).cast("string").rlike(date).cast("double")).alias("date")).alias(c) for c in df.columns]
+    row, out = df.agg(*aggs).first(), {}
+    for c in df.columns:
+        s, t = row[c], dtypes[c]
+        if "id" in c.lower() and s["n"] and s["d"] > 0.8 * s["n"]:
+            out[c] = "id"
+        elif t.startswith(("date", "timestamp")) or t == "string" and (s["date"] or 0) > 0.8:
+            out[c] = "datetime"
+        elif t == "string":
+            out[c] = "text" if s["k"] and (s["d"] > 0.8 * s["k"] or (s["length"] or 0) > 50) else "categorical"
+        else:
+            out[c] = "categorical" if t == "boolean" or s["d"] < 20 else "numeric"
+    return out
+
+
 def clean_rows(df: DataFrame) -> DataFrame:
     """Trim, lower and collapse spaces of strings; 'nan', 'null', 'none' and '' become null; drop repeated rows and all-null columns."""
     strings = [n for n, t in df.dtypes if t == "string"]

@@ -10,14 +10,33 @@ def _order(keys: list[str], seed: int) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *keys), *[F.col(k) for k in keys]]
 
 
+def _hash(keys: list[str], seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), *keys)
+
+
+def below(h: Column, share: float) -> Column:
+    """Whether a 64-bit hash is among this share of all."""
+    return F.lit(True) if share >= 1 else h < F.lit(int(max(0.0, share) * 2**64) - 2**63)
+
+
 def exactly(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
-    """n rows (all if there are fewer), by the least hashes."""
-    return df.orderBy(*_order(keys, seed)).limit(n)
+    """n rows (all if there are fewer), by the least hashes, then by the keys; only the rows near the last hash are sorted."""
+    total = df.count()
+    if n <= 0 or n >= total:
+        return df if n > 0 else df.limit(0)
+    h, slack = _hash(keys, seed), 6 * n**0.5 + 20
+    while True:
+        lo, hi = (n - slack) / total, (n + slack) / total
+        sure, near = df.where(below(h, lo)), df.where(~below(h, lo) & below(h, hi))
+        have = df.agg(F.count_if(below(h, lo)).alias("lo"), F.count_if(below(h, hi)).alias("hi")).first()
+        if have["lo"] <= n <= have["hi"]:
+            return sure.unionByName(near.orderBy(*_order(keys, seed)).limit(n - have["lo"]))
+        slack *= 4  # repeated keys bunch their rows
 
 
 def bernoulli(df: DataFrame, share: float, keys: list[str], seed: int = 42) -> DataFrame:
     """Each row with this probability; needs no shuffle, and copies of a key go together."""
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    return df.where(below(_hash(keys, seed), share))
 
 
 def train_size(df: DataFrame, size: float | int, keys: list[str], seed: int = 42) -> DataFrame:
@@ -45,10 +64,28 @@ def proportional(df: DataFrame, stratum: str, target: int, order: list[str]) ->
 
 def holdout(df: DataFrame, share: float, keys: list[str], seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(train, test): no key is in both; in expectation every stratum is split alike."""
-    test = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1_000_000)) < int(share * 1_000_000)
+    test = below(_hash(keys, seed), share)
     return df.where(~test), df.where(test)
 
 
+def stratified_holdout(df: DataFrame, stratum: str, share: float, keys: list[str], seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(train, test): of each stratum's n rows the round(n * share) of least hash are test; keys are taken to be unique.
+
+    A stratum's ranks are taken in two levels, over ranges of the hash and within them, so that a large one is no hot task.
+    """
+    h = _hash(keys, seed)
+    parts = 1 << 10
+    ranged = df.withColumn("_h", h).withColumn("_p", F.shiftright("_h", 54))  # 1,024 ranges of the hash
+    sizes = ranged.groupBy(F.col(stratum).alias("_s"), F.col("_p").alias("_q")).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("_s")
+    sizes = sizes.withColumn("_all", F.sum("_n").over(w)).withColumn("_before", F.coalesce(F.sum("_n").over(w.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # at most `parts` rows a stratum
+    own = F.row_number().over(Window.partitionBy(stratum, "_p").orderBy("_h", *keys))
+    ranked = ranged.withColumn("_r", own).join(sizes, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_p") == F.col("_q")))
+    test = F.col("_before") + F.col("_r") <= F.round(F.col("_all") * F.lit(float(share)))
+    assert parts == 1 << (64 - 54)
+    return tuple(ranked.where(t).select(*df.columns) for t in (~test, test))
+
+
 def enlarge(df: DataFrame, times: int, cols: list[str], keys: list[str], noise: float = 0.05, seed: int = 42) -> DataFrame:
     """Each row `times` times, numbers with normal noise of a share of their deviation, the same in every run."""
     std = df.agg(*[F.stddev_samp(c).alias(c) for c in cols]).first()

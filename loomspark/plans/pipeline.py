@@ -2,32 +2,44 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
 from ..functions.numeric import usable_columns
 from ..operators import binning, categorical, domain, polynomial, quality, ranking, statistical, text
-
-#: Which operator made a column, by what its name ends with or has; the first that fits.
-NAME_PATTERNS = [
-    ("statistical", ("_mean_by_", "_std_by_", "_count_by_", "_min_by_", "_max_by_", "_dev_from_", "_norm_by_")), ("binning", ("_qbin_", "_ubin_", "_is_bin_")), ("ranking", ("_rank", "_percentile", "_quartile", "_decile", "pct")),
-    ("polynomial", ("_squared", "_cubed", "_log", "_sqrt", "_reciprocal", "_x_")), ("text", ("_word_count", "_length", "_entropy", "_ratio")), ("categorical", ("_frequency", "_target_", "_label_encoded", "_binary_bit_", "_is_")), ("temporal", ("_sin", "_cos", "_lag_", "_rolling_")),
-]
-
+from .operations import operation_of
 
 @dataclass
 class FeatureTable:
     data: DataFrame
     lineage: dict[str, str] = field(default_factory=dict)  # column -> stage that made it
+    made_of: dict[str, list[str]] = field(default_factory=dict)  # column -> columns it is directly made of
+
+    def dependencies(self, column: str) -> list[str]:
+        """The columns that a column is made of, directly or through others, in alphabetical order."""
+        seen, todo = set(), [column]
+        while todo:
+            for c in self.made_of.get(todo.pop(), ()):
+                if c not in seen:
+                    seen.add(c)
+                    todo.append(c)
+        return sorted(seen)
 
 
-def operation_of(column: str) -> str | None:
-    return next((op for op, parts in NAME_PATTERNS if any(p in column for p in parts)), None)
+def parts_of(column: str, others: list[str]) -> list[str]:
+    """The columns whose names a made column's name is put together from: the longest that begins it, and those that stand in the rest."""
+    found, rest = [], column
+    for c in sorted(others, key=lambda c: (-len(c), c)):
+        if c != column and re.search(rf"(^|_){re.escape(c)}(_|$)", rest):
+            found.append(c)
+            rest = re.sub(rf"(^|_){re.escape(c)}(_|$)", "__", rest, count=1)
+    return sorted(found)
 
 
-def build(df: DataFrame, groups=(), values=None, texts=(), target: str | None = None, ranks=(), signal: bool = True) -> FeatureTable:
-    """All operators' columns, lower-case, each name once; columns that never vary are left out."""
+def build(df: DataFrame, groups=(), values=None, texts=(), target: str | None = None, ranks=(), signal: bool = True, on_custom: int = 0) -> FeatureTable:
+    """All operators' columns, lower-case, each name once; columns that never vary are left out; on_custom: so many of the domain operators' numbers go through the generic ones too."""
     lineage = {c.lower(): "original" for c in df.columns}
     values = usable_columns(df, list(values) if values is not None else None)
     out = df
@@ -37,6 +49,8 @@ def build(df: DataFrame, groups=(), values=None, texts=(), target: str | None =
 
     out = domain.domain_features(out)
     note("custom")
+    custom = [f.name for f in out.schema.fields if lineage[f.name.lower()] == "custom" and f.dataType.typeName() == "double"][:on_custom]
+    values = [*values, *custom]
     if values:
         if groups:
             out = statistical.statistical_features(out, list(groups)[:3], values[:5])
@@ -55,7 +69,16 @@ def build(df: DataFrame, groups=(), values=None, texts=(), target: str | None =
         keep = set(quality.signal_columns(out, made)) if made else set()
         out = out.select(*[c for c in out.columns if lineage[c.lower()] == "original" or c in keep])
     out = out.toDF(*[c.lower() for c in out.columns])
-    return FeatureTable(out, {c: lineage[c] for c in out.columns})
+    names = [c for c in out.columns if lineage[c] != "generic"]
+    return FeatureTable(out, {c: lineage[c] for c in out.columns}, {c: parts_of(c, names) for c in out.columns if lineage[c] == "generic"})
+
+
+def register(table: FeatureTable, split: str, names: list[str] | None = None) -> list[dict]:
+    """Catalog rows of a table's made columns; only training tables define features."""
+    if split != "train":
+        return []
+    made = [c for c, stage in table.lineage.items() if stage != "original" and (names is None or c in names)]
+    return [{"feature_name": c, "origin": table.lineage[c], "operation_name": operation_of(c), "dependencies": table.dependencies(c)} for c in made]
 
 
 def align(train: DataFrame, test: DataFrame, target: str | None = None) -> tuple[DataFrame, DataFrame]:

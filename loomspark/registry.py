@@ -362,7 +362,9 @@ def _column_stats(spark, d):
 def _pipeline(spark, d):
     from .plans.pipeline import build
 
-    return build(_t(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice"), ["o_orderstatus"], ["o_totalprice"], target="o_totalprice").data
+    df = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("quantity"), F.max("l_tax").alias("tax"))
+    orders = _t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice").join(df, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey")
+    return build(orders, ["o_orderstatus"], ["quantity", "tax"], target="o_totalprice").data
 
 
 QUERIES |= registry_store.QUERIES

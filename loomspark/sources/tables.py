@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,8 +85,79 @@ def delete_where(df: DataFrame, equal: dict) -> DataFrame:
     return df.where(~test)
 
 
+def insert(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Both tables' rows; columns that new lacks are null."""
+    return old.unionByName(new.select(*[c for c in new.columns if c in old.columns]), allowMissingColumns=True)
+
+
+def update_where(df: DataFrame, equal: dict, values: dict) -> DataFrame:
+    """The table with these values in the rows that have all of the equal ones."""
+    test = F.lit(True)
+    for k, v in equal.items():
+        test = test & F.col(k).eqNullSafe(F.lit(v))
+    return df.withColumns({k: F.when(test, F.lit(v).cast(dict(df.dtypes)[k])).otherwise(F.col(k)) for k, v in values.items()})
+
+
+def export(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """Parquet, CSV (with header), JSON lines or ORC."""
+    writer = df.write.mode("overwrite")
+    if kind == "csv":
+        writer.csv(path, header=True, escape='"')
+    elif kind in ("parquet", "json", "orc"):
+        writer.format(kind).save(path)
+    else:
+        raise ValueError(f"unknown kind of file: {kind}")
+
+
+def read_split(spark: SparkSession, files: dict[str, str], split: str) -> DataFrame:
+    """A data set's table of one split, from the files that split_files() found."""
+    if split not in files:
+        raise ValueError(f"no such split: {split}")
+    return read(spark, files[split])
+
+
+def file_profile(spark: SparkSession, path: str) -> dict:
+    """Rows, columns, types and bytes of a file or folder of files."""
+    df, jvm = read(spark, path), spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    return {"rows": df.count(), "columns": len(df.columns), "types": dict(df.dtypes), "bytes": size}
+
+
+def migrate(df: DataFrame, path: str, include: list[str] | None = None, exclude: list[str] = (), types: dict[str, str] | None = None, dry_run: bool = False) -> dict:
+    """Write chosen columns, with other stores' type names turned into Spark's; what was or would be done."""
+    cols = [c for c in (include or df.columns) if c not in exclude]
+    out = df.select(*[F.col(c).cast(spark_type(types[c])) if types and c in types else F.col(c) for c in cols])
+    if not dry_run:
+        export(out, path)
+    return {"columns": cols, "types": dict(out.dtypes), "rows": out.count(), "written": not dry_run}
+
+
+def column_metadata(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column_name, mean, std, min, max, null_ratio, unique_count, mode_frequency) of each column, numbers as numbers, others by their values only."""
+    numeric = {c for c, t in df.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal")}
+    none = F.lit(None).cast("double")
+    one = df.agg(*[F.struct(*[(f(c) if c in numeric else none).cast("double").alias(n) for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))], F.avg(F.col(c).isNull().cast("double")).alias("null_ratio"), F.count_distinct(c).alias("unique_count")).alias(c) for c in cols])
+    rows = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("s")) for c in cols])).alias("r")).select("r.column_name", "r.s.*")
+    modes = None
+    for c in cols:
+        top = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).agg(F.lit(c).alias("column_name"), F.max("n").alias("mode_frequency"))
+        modes = top if modes is None else modes.union(top)
+    return rows.join(modes, "column_name", "left")
+
+
+def json_equals(c: Column, path: str, value) -> Column:
+    """Whether a JSON text has this value at a path such as $.a.b; as text, as JSON has no types of its own."""
+    return F.get_json_object(c, path) == F.lit(str(value).lower() if isinstance(value, bool) else str(value))
+
+
+def same_id(c: Column, text: str) -> Column:
+    """Equality of ids whatever their case and dashes."""
+    return F.lower(F.replace(c, F.lit("-"))) == text.lower().replace("-", "")
+
+
 #: Comparisons of filter dictionaries.
-COMPARE = {"$gt": lambda c, v: c > v, "$gte": lambda c, v: c >= v, "$lt": lambda c, v: c < v, "$lte": lambda c, v: c <= v, "$ne": lambda c, v: c != v, "$like": lambda c, v: c.like(v), "$in": lambda c, v: c.isin(*v)}
+COMPARE = {"$gt": lambda c, v: c > v, "$gte": lambda c, v: c >= v, "$lt": lambda c, v: c < v, "$lte": lambda c, v: c <= v, "$ne": lambda c, v: c != v, "$like": lambda c, v: c.like(v), "$in": lambda c, v: c.isin(*v), "$ilike": lambda c, v: c.ilike(v), "$json": lambda c, v: reduce(lambda a, b: a & b, [json_equals(c, k, x) for k, x in v.items()]), "$id": same_id}
 
 
 def filtered(df: DataFrame, conditions: dict) -> DataFrame:
