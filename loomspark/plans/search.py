@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import random
+import resource
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -21,6 +23,8 @@ class Node:
     children: list[Node] = field(default_factory=list)
     visits: int = 0
     total: float = 0.0
+    score: float | None = None
+    pruned: bool = False
 
     def path(self) -> list[str]:
         return [] if self.parent is None else [*self.parent.path(), self.operation]
@@ -47,6 +51,7 @@ class Search:
         self.c, self.max_depth, self.max_children, self.threshold, self.random = c, max_depth, max_children, threshold, random.Random(seed)
         self.root, self.nodes, self.scores, self.history = Node(0), 1, {}, []
         self.best: tuple[float, list[str]] = (-math.inf, [])
+        self.iteration = 0
 
     def available(self, node: Node) -> list[Operation]:
         have, used = set(self.start), set(node.path())
@@ -57,8 +62,8 @@ class Search:
 
     def select(self) -> Node:
         node = self.root
-        while node.children and node.visits >= self.threshold:
-            node = max(node.children, key=lambda k: ucb1(node.visits, k.visits, k.total, self.c))
+        while node.visits >= self.threshold and any(not k.pruned for k in node.children):
+            node = max((k for k in node.children if not k.pruned), key=lambda k: ucb1(node.visits, k.visits, k.total, self.c))
         return node
 
     def expand(self, node: Node) -> list[Node]:
@@ -73,8 +78,12 @@ class Search:
         while node:
             node.visits, node.total, node = node.visits + 1, node.total + score, node.parent
 
-    def run(self, iterations: int) -> tuple[float, list[str]]:
-        for i in range(iterations):
+    def run(self, iterations: int, seconds: float | None = None, memory_mb: float | None = None) -> tuple[float, list[str]]:
+        """Search for so many more iterations, or until the time or this process's memory is used up."""
+        start = time.monotonic()
+        for _ in range(iterations):
+            if seconds is not None and time.monotonic() - start >= seconds or memory_mb is not None and memory_used_mb() > memory_mb:
+                break
             leaf = self.select()
             for node in self.expand(leaf) or [leaf]:
                 key = frozenset(node.path())
@@ -82,6 +91,64 @@ class Search:
                     self.scores[key] = self.evaluate(node.path())
                 score = self.scores[key]
                 self.backpropagate(node, score)
+                node.score = score
                 self.best = max(self.best, (score, node.path()), key=lambda b: b[0])
-                self.history.append({"iteration": i, "node": node.number, "parent": node.parent.number if node.parent else None, "operation": node.operation, "score": score, "visits": node.visits})
+                self.history.append({"iteration": self.iteration, "node": node.number, "parent": node.parent.number if node.parent else None, "operation": node.operation, "score": score, "visits": node.visits})
+            self.iteration += 1
         return self.best
+
+    def all_nodes(self) -> list[Node]:
+        out, todo = [], [self.root]
+        while todo:
+            out.append(todo.pop())
+            todo += out[-1].children
+        return sorted(out, key=lambda n: n.number)
+
+    def rows(self) -> list[dict]:
+        """The tree as rows, from which resume() builds it again."""
+        return [{"node": n.number, "parent": n.parent.number if n.parent else None, "operation": n.operation, "visits": n.visits, "total": n.total, "score": n.score} for n in self.all_nodes()]
+
+    def resume(self, rows: list[dict]) -> None:
+        """Build the tree that was stored; the root may be missing, and nodes without a stored parent are children of the root."""
+        nodes = {0: self.root}
+        for r in sorted(rows, key=lambda r: r["node"]):
+            if r["node"] not in nodes:
+                parent = nodes.get(r["parent"], self.root)
+                nodes[r["node"]] = Node(r["node"], r["operation"], parent)
+                parent.children.append(nodes[r["node"]])
+        for r in rows:
+            n = nodes[r["node"]]
+            n.visits, n.total, n.score = r["visits"], r["total"], r["score"]
+            if n.score is not None:
+                self.scores[frozenset(n.path())] = n.score
+                self.best = max(self.best, (n.score, n.path()), key=lambda b: b[0])
+        self.nodes = max(nodes) + 1
+        if self.root.visits == 0:
+            self.root.visits = sum(n.visits for n in self.root.children)
+            self.root.total = sum(n.total for n in self.root.children)
+
+    def prune(self, margin: float = 0.1, least_visits: int = 2) -> list[int]:
+        """Mark nodes whose mean is worse than the best score by more than the margin; selection passes them by. The numbers of those marked now."""
+        found = [n for n in self.all_nodes() if n.parent and not n.pruned and n.visits >= least_visits and n.total / n.visits < self.best[0] - margin]
+        for n in found:
+            n.pruned = True
+        return [n.number for n in found]
+
+    def stats(self) -> dict:
+        """Size and depth of the tree, and the share of the operations that have been tried."""
+        nodes = self.all_nodes()
+        tried = {n.operation for n in nodes if n.operation}
+        return {"nodes": len(nodes), "depth": max(n.depth for n in nodes), "leaves": sum(not n.children for n in nodes), "pruned": sum(n.pruned for n in nodes), "visits": self.root.visits, "coverage": len(tried) / max(1, len(self.operations))}
+
+    def best_path(self) -> list[str]:
+        """From the root down, the child of the best mean each time."""
+        node, path = self.root, []
+        while any(k.visits for k in node.children):
+            node = max((k for k in node.children if k.visits), key=lambda k: (k.total / k.visits, -k.number))
+            path.append(node.operation)
+        return path
+
+
+def memory_used_mb() -> float:
+    """The most memory that this process has used."""
+    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
