@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
-from .groups import MAX_BROADCAST_GROUPS
+from ..storage import materialize
+from .groups import MAX_BROADCAST_GROUPS, numbered
 
 
 def categorical_features(df: DataFrame, cols: list[str], target: str | None = None, max_onehot: int = 10, smoothing: float = 1.0, bits: bool = False) -> DataFrame:
@@ -23,9 +24,9 @@ def categorical_features(df: DataFrame, cols: list[str], target: str | None = No
     for c in cols:
         aggs = [F.count("*").alias("_n")] + ([F.avg(y).alias("_mean"), F.count(y).alias("_yn"), F.coalesce(F.var_samp(y), F.lit(0.0)).alias("_var")] if target else [])
         per = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_v")).agg(*aggs)
-        # distinct values only; the un-partitioned windows sort one row a category
-        per = per.withColumns({"_rank": F.row_number().over(Window.orderBy(F.desc("_n"), "_v")) - 1, "_label": F.row_number().over(Window.orderBy("_v")) - 1, "_share": F.col("_n") / F.sum("_n").over(Window.partitionBy())}).persist()
-        n_values = per.count()
+        per = materialize(per, "categories")
+        n_values, total = per.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
+        per = numbered(numbered(per, [F.desc("_n"), F.asc("_v")], "_rank", n_values), [F.asc("_v")], "_label", n_values).withColumn("_share", F.col("_n") / F.lit(max(total, 1)))
         out = out.join(F.broadcast(per) if n_values <= MAX_BROADCAST_GROUPS else per, F.col(c) == F.col("_v"), "left")
         label = F.coalesce("_label", F.lit(-1)).cast("int")
         new = {f"{c}_frequency": F.coalesce("_share", F.lit(0.0)), f"{c}_count": F.coalesce("_n", F.lit(0)), f"{c}_frequency_rank": F.coalesce("_rank", F.lit(-1)).cast("int"), f"{c}_label_encoded": label}

@@ -153,3 +153,12 @@ def test_subsets_are_scored_by_cross_validation(spark):
     runs = evaluate.subset_benchmark(df, ["good", "noise"], "y", 6, score=lambda names: 1.0 if "good" in names else 0.5)
     effects = {r.feature: r.effect for r in attribution.marginal(runs).collect()}
     assert effects["good"] == 0.5 and runs.count() == 6 and not math.isnan(effects["noise"])
+
+
+def test_rows_are_numbered_over_many_tasks(spark, monkeypatch):
+    from loomspark.operators import groups
+
+    df = spark.range(3000).select(F.pmod(F.col("id") * 7919, F.lit(3001)).alias("v"))
+    few = {r.v: r.k for r in groups.numbered(df, [F.desc("v")], "k", 3000).collect()}
+    monkeypatch.setattr(groups, "MAX_BROADCAST_GROUPS", 10)
+    assert {r.v: r.k for r in groups.numbered(df.repartition(13), [F.desc("v")], "k", 3000).collect()} == few and sorted(few.values()) == list(range(3000))
