@@ -84,7 +84,7 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="
     )
     windows = materialize(items.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - F.col("span") + 1), lambda i: F.array_join(F.slice("ws", i, F.col("span")), " "))).alias("win")).distinct(), "windows")
     spans = sorted(r[0] for r in items.select("span").distinct().collect())  # 13 values at most
-    hashes = docs.sparkSession.createDataFrame([], "bench_h bigint")
+    hashes = docs.sparkSession.range(0).select(F.col("id").alias("bench_h"))
     for n in spans:
         hashes = hashes.union(items.where(F.col("span") == n).select(F.explode(winnow_words(F.col("ws"), n)).alias("r")).select(F.col("r.h")))
     hashes = materialize(hashes.distinct(), "winnowed")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, below, fold, read_table, ship, slices
 
 ORDERS, STRETCHES, BASES = (1, 2), (0, 16, 4, 1), (0.5, 5.0, 50.0, 500.0)
-MOST_TOXIC, MOST_ORDINARY, MOST_PAIRS = 2000, 8000, 800
+MOST_TOXIC, MOST_ORDINARY, MOST_PAIRS = 2000, 4000, 800
 THRESHOLD = 0.7
 PARTS = 4
 #: Bytes that stand between words become spaces, A-Z become a-z.
