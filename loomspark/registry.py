@@ -184,7 +184,15 @@ def _entropy(spark, d):
     return _rounded(text.text_features(_t(spark, d, "part").select("p_partkey", "p_name"), "p_name").select("p_partkey", "p_name_char_entropy"))
 
 
-@_query("tf_idf")
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+
+
+@_query(
+    "tf_idf",
+    f"WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 1 AND w NOT IN ({_STOP})) AS ws FROM documents), t AS (SELECT doc_id, unnest(ws) AS term FROM d UNION ALL SELECT doc_id, unnest(list_transform(range(1, greatest(len(ws), 1)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM d), "
+    "c AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY doc_id, term), k AS (SELECT term, count(*) AS docs, sum(n) AS uses FROM c GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.95 * (SELECT count(*) FROM documents) ORDER BY uses DESC, term LIMIT 100), w AS (SELECT doc_id, term, n * (ln((1 + (SELECT count(*) FROM documents)) / CAST(1 + docs AS DOUBLE)) + 1) AS w FROM c JOIN k USING (term)) "
+    f"SELECT doc_id, term, {_num('w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))')} AS weight FROM w",
+)
 def _tf_idf(spark, d):
     return _rounded(text.tf_idf(_t(spark, d, "documents").select("doc_id", "text"), "doc_id", "text"))
 
@@ -369,6 +377,106 @@ def _pipeline(spark, d):
 
 QUERIES |= registry_store.QUERIES
 SQL |= registry_store.SQL
+_GAPS = "SELECT event_id, user_id, ts, CASE WHEN event_id % 5 < 2 THEN NULL ELSE value END AS value, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS event_type FROM events"
+
+
+def _gaps(spark, d):
+    _t(spark, d, "events").createOrReplaceTempView("events")
+    return spark.sql(_GAPS)
+
+
+@_query("impute_fill", f"WITH g AS ({_GAPS}) SELECT event_id, {_num('coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))')} AS value FROM g")
+def _fill(spark, d):
+    return _rounded(quality.impute(_gaps(spark, d), "value", "fill", ["ts", "event_id"], ["user_id"]).select("event_id", "value"))
+
+
+@_query(
+    "impute_interpolate",
+    f"WITH g AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM ({_GAPS})), n AS (SELECT a.event_id, a.value, a.i, max(b.i) FILTER (b.i <= a.i) AS p, min(b.i) FILTER (b.i >= a.i) AS q, any_value(a.user_id) AS u FROM g a LEFT JOIN g b ON a.user_id = b.user_id AND b.value IS NOT NULL GROUP BY a.event_id, a.value, a.i) "
+    f"SELECT n.event_id, {_num('CASE WHEN n.value IS NOT NULL THEN n.value WHEN p IS NULL THEN y.value WHEN q IS NULL THEN x.value ELSE x.value + (y.value - x.value) * (n.i - p) / (q - p) END')} AS value FROM n LEFT JOIN g x ON x.user_id = u AND x.i = p LEFT JOIN g y ON y.user_id = u AND y.i = q",
+)
+def _interpolate(spark, d):
+    return _rounded(quality.impute(_gaps(spark, d), "value", "interpolate", ["ts", "event_id"], ["user_id"]).select("event_id", "value"))
+
+
+@_query("impute_mode", f"WITH g AS ({_GAPS}) SELECT event_id, coalesce(event_type, (SELECT event_type FROM g WHERE event_type IS NOT NULL GROUP BY event_type ORDER BY count(*) DESC, event_type LIMIT 1)) AS event_type FROM g")
+def _mode(spark, d):
+    return quality.impute(_gaps(spark, d), "event_type", "mode").select("event_id", "event_type")
+
+
+@_query("group_impute_mode", f"WITH g AS ({_GAPS}), m AS (SELECT user_id, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS k FROM g WHERE event_type IS NOT NULL GROUP BY user_id, event_type) SELECT event_id, coalesce(event_type, t, (SELECT event_type FROM g WHERE event_type IS NOT NULL GROUP BY event_type ORDER BY count(*) DESC, event_type LIMIT 1)) AS event_type FROM g LEFT JOIN m ON g.user_id = m.user_id AND k = 1")
+def _group_mode(spark, d):
+    return quality.group_impute(_gaps(spark, d), "event_type", ["user_id"], "mode").select("event_id", "event_type")
+
+
+@_query("shape_features", f"SELECT o_orderkey, {_num('exp(o_totalprice / 100000)', 4)} AS skewed, {_num('1 + o_orderkey % 5')} AS few, {_num('ln(1 + exp(o_totalprice / 100000))', 4)} AS skewed_log, {_num('exp(o_totalprice / 100000) * exp(o_totalprice / 100000)', 2)} AS skewed_squared FROM orders")
+def _shape(spark, d):
+    df = _t(spark, d, "orders").select("o_orderkey", F.exp(F.col("o_totalprice") / 100000).alias("skewed"), (1 + F.col("o_orderkey") % 5).cast("double").alias("few"))
+    out = _rounded(quality.shape_features(df, ["skewed", "few"]), 4)  # the second has too few values, and little skew
+    return out.withColumn("skewed_squared", F.round("skewed_squared", 2))
+
+
+@_query("char_codes", f"WITH c AS (SELECT p_partkey, unnest(list_transform(string_split(p_name, ''), lambda ch: CAST(unicode(ch) AS DOUBLE))) AS x FROM part) SELECT p_partkey, {_num('avg(x)')} AS p_name_char_mean, {_num('stddev_pop(x)')} AS p_name_char_std FROM c GROUP BY p_partkey")
+def _codes(spark, d):
+    return _rounded(text.char_codes(_t(spark, d, "part").select("p_partkey", "p_name"), "p_name").drop("p_name"))
+
+
+_SETS = "SELECT c_custkey % 60 AS run, c_mktsegment || CAST(c_custkey % 13 AS VARCHAR(9)) AS f, max(c_acctbal) AS s FROM customer WHERE c_custkey % 4 = 1 GROUP BY 1, 2"
+
+
+@_query(
+    "closest_sets",
+    f"WITH r AS ({_SETS}), n AS (SELECT run, list(f) AS fs, max(s) AS score FROM r GROUP BY run), p AS (SELECT a.run, b.run AS other, len(list_intersect(a.fs, b.fs)) / CAST(len(list_distinct(list_concat(a.fs, b.fs))) AS DOUBLE) AS j, b.score FROM n a JOIN n b ON a.run <> b.run) "
+    f"SELECT run, other, {_num('j')} AS jaccard, {_num('score')} AS other_score FROM p WHERE j > 0 QUALIFY row_number() OVER (PARTITION BY run ORDER BY j DESC, other) = 1",
+)
+def _closest(spark, d):
+    _t(spark, d, "customer").createOrReplaceTempView("customer")
+    runs = spark.sql(_SETS).groupBy("run").agg(F.collect_set("f").alias("features"), F.max("s").alias("score"))
+    return _rounded(attribution.closest_set(runs))
+
+
+@_query("clean_rows", "SELECT DISTINCT t AS note, CASE WHEN k = 0 THEN NULL WHEN k = 1 THEN 'x y' ELSE 'v' || k END AS kind FROM (SELECT trim(regexp_replace(lower(p_type), ' +', ' ', 'g')) AS t, p_partkey % 4 AS k FROM part)")
+def _clean(spark, d):
+    k = F.col("p_partkey") % 4
+    raw = F.when(k == 0, F.element_at(F.array(F.lit("NaN"), F.lit(" none"), F.lit(""), F.lit("NULL")), (F.col("p_partkey") % 3 + 1).cast("int"))).when(k == 1, " X \t y ").otherwise(F.concat(F.lit("V"), k))
+    return quality.clean_rows(_t(spark, d, "part").select(F.concat(F.lit("  "), "p_type").alias("note"), raw.alias("kind"), F.lit(None).cast("string").alias("nothing")))
+
+
+@_query("correlation_pruning", "WITH c AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS a, abs(corr(l_quantity, l_discount)) AS b, abs(corr(l_extendedprice, l_discount)) AS c FROM lineitem) SELECT 'l_quantity' AS kept FROM c UNION ALL SELECT 'l_extendedprice' FROM c WHERE a <= 0.5 UNION ALL SELECT 'l_discount' FROM c WHERE b <= 0.5 AND c <= 0.5")
+def _pruned(spark, d):
+    kept = quality.drop_correlated(_t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], 0.5)
+    return spark.createDataFrame([(c,) for c in kept], "kept string")
+
+
+@_query("low_variance", " UNION ALL ".join(f"SELECT '{c}' AS kept FROM lineitem HAVING var_samp({c}) > 0.01" for c in ("l_quantity", "l_discount", "l_tax", "l_extendedprice")))
+def _low_variance(spark, d):
+    kept = quality.drop_low_variance(_t(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax", "l_extendedprice"], 0.01)
+    return spark.createDataFrame([(c,) for c in kept], "kept string")
+
+
+@_query("column_metadata", f"WITH m AS (SELECT 'c_acctbal' AS column_name, {_num('avg(c_acctbal)', 4)} AS mean, {_num('stddev_samp(c_acctbal)', 4)} AS std, min(c_acctbal) AS min, max(c_acctbal) AS max, 0.0e0 AS null_ratio, count(DISTINCT c_acctbal) AS unique_count, (SELECT max(n) FROM (SELECT count(*) AS n FROM customer GROUP BY c_acctbal)) AS mode_frequency FROM customer UNION ALL SELECT 'c_mktsegment', NULL, NULL, NULL, NULL, 0, count(DISTINCT c_mktsegment), (SELECT max(n) FROM (SELECT count(*) AS n FROM customer GROUP BY c_mktsegment)) FROM customer) SELECT * FROM m")
+def _metadata(spark, d):
+    from .sources.tables import column_metadata
+
+    return column_metadata(_t(spark, d, "customer"), ["c_acctbal", "c_mktsegment"]).withColumns({c: F.round(c, 4) for c in ("mean", "std")})
+
+
+@_query("three_way_join", f"SELECT n_name, r_name, {_int('count(*)')} AS n, {_num('avg(c_acctbal)', 4)} AS mean FROM customer, nation, region WHERE c_nationkey = n_nationkey AND n_regionkey = r_regionkey GROUP BY n_name, r_name")
+def _three_way(spark, d):
+    joined = _t(spark, d, "customer").join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return joined.groupBy("n_name", "r_name").agg(F.count("*").alias("n"), F.round(F.avg("c_acctbal"), 4).alias("mean"))
+
+
+@_query("semi_join", "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
+def _semi(spark, d):
+    return _t(spark, d, "part").join(_t(spark, d, "lineitem").where("l_quantity > 48"), F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey", "p_name")
+
+
+@_query("top_and_page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50")
+def _page(spark, d):
+    return _t(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(50).limit(25)
+
+
 for _name in analytics.QUERIES:
     QUERIES[f"analytics_{_name}"] = partial(analytics.run, name=_name)
     SQL[f"analytics_{_name}"] = analytics.sql(_name)
