@@ -110,7 +110,7 @@ def profile(df: DataFrame, cols: list[str], quantiles: tuple[float, ...] = (0.5,
     aggs = []
     for c in cols:
         x = finite(F.col(c))
-        aggs.append(F.struct(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.approx_count_distinct(x).alias("distinct"), F.percentile_approx(x, _brackets(list(quantiles)) or [0.5], ACCURACY).alias("q")).alias(c))
+        aggs.append(F.struct(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.approx_count_distinct(x).alias("distinct"), F.percentile_approx(x, _brackets(list(quantiles)), ACCURACY).alias("q") if quantiles else F.lit(None).alias("q")).alias(c))
     row = df.agg(*aggs).first() if cols else {}
     out, sought, few = {}, [], []
     for c in cols:

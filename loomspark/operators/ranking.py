@@ -6,6 +6,8 @@ within a range; the sums are joined back. Heavy ties collapse in the counting, r
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,16 @@ def value_ranks(df: DataFrame, col: str, group: str | None = None) -> DataFrame:
     return joined.select(*keys, "value", "n", (F.col("r_before") + F.col("i_before")).alias("before"), (F.col("r_dense") + F.col("i_dense")).alias("dense"))
 
 
+def _quantiles(ranks: DataFrame, n: int, at: list[float]) -> dict[float, float]:
+    """The quantiles of n values, linear between neighbours, from their ranks; a row for each neighbour."""
+    places = {q: q * (n - 1) for q in at}
+    sought = sorted({f(p) for p in places.values() for f in (math.floor, math.ceil)})
+    holds = F.exists(F.lit(sought), lambda r: (F.col("before") <= r) & (r < F.col("before") + F.col("n")))
+    rows = ranks.where(holds).select("value", "n", "before").collect()
+    value = {r: next(x["value"] for x in rows if x["before"] <= r < x["before"] + x["n"]) for r in sought}
+    return {q: value[math.floor(p)] + (value[math.ceil(p)] - value[math.floor(p)]) * (p - math.floor(p)) for q, p in places.items()}
+
+
 def ranking_features(df: DataFrame, cols: list[str], method: str = "average", order: list[str] = ()) -> DataFrame:
     """{x}_rank, _dense_rank, _percentile, _norm_rank, _quartile, _decile, _is_top10pct, _is_bottom10pct, _above_median, _zscore_rank.
 
@@ -51,7 +63,7 @@ def ranking_features(df: DataFrame, cols: list[str], method: str = "average", or
     if method == "first" and not order:
         raise ValueError("name the columns that put rows of equal values in order")
     four, ten = shares(4), shares(10)
-    stats, out, total = profile(df, cols, tuple(sorted({*four, *ten}))), df, df.count()
+    stats, out, total = profile(df, cols, ()), df, df.count()
     for x in cols:
         p, v = stats[x], finite(F.col(x))
         if p["distinct"] <= 1:
@@ -60,6 +72,7 @@ def ranking_features(df: DataFrame, cols: list[str], method: str = "average", or
         ranks = materialize(value_ranks(df, x), "value-ranks")
         last = ranks.agg(F.max(F.struct("value", "before", "n", "dense")).alias("r"), F.count("*").alias("k")).first()
         distinct, last = last["k"], last["r"]
+        q = _quantiles(ranks, p["n"], [*four, *ten, 0.5])
         few = F.broadcast(ranks) if distinct <= MAX_BROADCAST_VALUES else ranks
         missing = total - p["n"]
         joined = out.join(few.select(F.col("value").alias("_value"), F.col("n").alias("_n"), F.col("before").alias("_before"), F.col("dense").alias("_dense")), v == F.col("_value"), "left")
@@ -76,11 +89,11 @@ def ranking_features(df: DataFrame, cols: list[str], method: str = "average", or
         z = (v - p["mean"]) / p["std"] if p["std"] else None
         new = {
             f"{x}_rank": rank, f"{x}_dense_rank": dense, f"{x}_percentile": pct, f"{x}_norm_rank": (rank - 1) / float(most - 1) if most > 1 else F.lit(0.5),
-            f"{x}_is_top10pct": (pct >= 0.9).cast("int"), f"{x}_is_bottom10pct": (pct <= 0.1).cast("int"), f"{x}_above_median": F.coalesce(v > p["q"][0.5], F.lit(False)).cast("int"),
-            f"{x}_zscore_rank": F.coalesce(1 / (1 + F.exp(-z / 2)), F.lit(0.5)) if z is not None else F.lit(0.5), f"{x}_quartile": cut(v, sorted({p["q"][s] for s in four})),
+            f"{x}_is_top10pct": (pct >= 0.9).cast("int"), f"{x}_is_bottom10pct": (pct <= 0.1).cast("int"), f"{x}_above_median": F.coalesce(v > q[0.5], F.lit(False)).cast("int"),
+            f"{x}_zscore_rank": F.coalesce(1 / (1 + F.exp(-z / 2)), F.lit(0.5)) if z is not None else F.lit(0.5), f"{x}_quartile": cut(v, sorted({q[s] for s in four})),
         }
         if distinct >= 10:
-            new[f"{x}_decile"] = cut(v, sorted({p["q"][s] for s in ten}))
+            new[f"{x}_decile"] = cut(v, sorted({q[s] for s in ten}))
         out = joined.withColumns(new).drop("_value", "_n", "_before", "_dense")
     return out
 

@@ -11,9 +11,9 @@ STOP_WORDS = tuple("a about above after again against all am an and any are as a
 PATTERNS = {
     "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}",
     "url": r"(?i)(https?://|www\.)[^ \t\n]+",
-    "phone": r"(^|[^A-Za-z0-9_])([0-9]{3}[-. ]?[0-9]{3}[-. ]?[0-9]{4})([^A-Za-z0-9_]|$)",
-    "date": r"(^|[^A-Za-z0-9_])([0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}|[0-9]{4}-[0-9]{2}-[0-9]{2})([^A-Za-z0-9_]|$)",
-    "time": r"(^|[^A-Za-z0-9_])[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?([^A-Za-z0-9_]|$)",
+    "phone": r"(?<![A-Za-z0-9_])[0-9]{3}[-. ]?[0-9]{3}[-. ]?[0-9]{4}(?![A-Za-z0-9_])",
+    "date": r"(?<![A-Za-z0-9_])([0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}|[0-9]{4}-[0-9]{2}-[0-9]{2})(?![A-Za-z0-9_])",
+    "time": r"(?<![A-Za-z0-9_])[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?(?![A-Za-z0-9_])",
     "currency": r"(?i)[$€£¥][ ]?[0-9]|[0-9] ?(usd|eur|gbp)",
 }
 
@@ -23,6 +23,11 @@ def count_of(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]+", ""))
 
 
+def count_each(text: Column, chars: str) -> Column:
+    """How many of these ASCII characters a text has."""
+    return sum((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in chars), F.lit(0))
+
+
 def words(text: Column) -> Column:
     return F.array_remove(F.split(text, r"[ \t\n\r\f\x0B]+"), "")
 
@@ -42,8 +47,9 @@ def text_features(df: DataFrame, col: str, patterns: bool = True, complexity: bo
     n, count = F.length(s), F.size(ws)
     per = F.greatest(n, F.lit(1))
     new = {"length": n, "word_count": count, "avg_word_length": F.when(count > 0, (n - count_of(s, r" \t\n\r\f\x0B")) / F.greatest(count, F.lit(1))).otherwise(0.0)}
-    kinds = {"digit": "0-9", "upper": "A-Z", "lower": "a-z", "space": r" \t\n\r\f\x0B", "punctuation": r"^A-Za-z0-9_ \t\n\r\f\x0B", "special_char": r"^a-zA-Z0-9 \t\n\r\f\x0B"}
-    counts = {k: count_of(s, v) for k, v in kinds.items()}
+    counts = {k: count_of(s, v) for k, v in {"digit": "0-9", "upper": "A-Z", "lower": "a-z", "space": r" \t\n\r\f\x0B"}.items()}
+    counts["special_char"] = n - counts["digit"] - counts["upper"] - counts["lower"] - counts["space"]
+    counts["punctuation"] = counts["special_char"] - count_each(s, "_")
     new |= {f"{k}_count": v for k, v in counts.items()}
     new |= {f"{k}_ratio": counts[k] / per for k in ("digit", "upper", "lower", "punctuation", "space")}
     new |= {"is_empty": n == 0, "is_numeric": s.rlike(r"^[0-9]+$"), "is_alpha": s.rlike(r"^\p{L}+$"), "is_alphanumeric": s.rlike(r"^[\p{L}\p{N}]+$"), "starts_with_capital": s.rlike(r"^\p{Lu}")}
@@ -54,7 +60,7 @@ def text_features(df: DataFrame, col: str, patterns: bool = True, complexity: bo
     if complexity:
         sentences = F.size(F.split(s, "[.!?]+")) - 1
         unique = F.size(F.array_distinct(F.transform(ws, F.lower)))
-        new |= {"sentence_count": sentences, "question_count": count_of(s, "?"), "exclamation_count": count_of(s, "!"), "has_question": s.contains("?"), "parentheses_count": count_of(s, "()"), "quote_count": count_of(s, "\"'")}
+        new |= {"sentence_count": sentences, "question_count": count_each(s, "?"), "exclamation_count": count_each(s, "!"), "has_question": s.contains("?"), "parentheses_count": count_each(s, "()"), "quote_count": count_each(s, "\"'")}
         new |= {"unique_word_count": unique, "vocabulary_richness": unique / F.greatest(count, F.lit(1)), "avg_sentence_length": count / F.greatest(sentences, F.lit(1)), "char_entropy": char_entropy(s)}
     return df.withColumns({f"{col}_{k}": v.cast("int") if k.startswith(("is_", "has_", "starts_")) else v for k, v in new.items()}).drop("_s", "_ws")
 

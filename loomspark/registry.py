@@ -150,6 +150,11 @@ def _series(spark, d):
     return df.select(*[F.round(c, 9 if c in more else 6).alias(c) if t == "double" else c for c, t in df.dtypes])
 
 
+def _plain(rx: str) -> str:
+    """A pattern without looks around, for finding whether a text has it."""
+    return rx.replace("(?<![a-z0-9._%+-])", "").replace("(?<![A-Za-z0-9_])", "(^|[^A-Za-z0-9_])").replace("(?![A-Za-z0-9_])", "([^A-Za-z0-9_]|$)")
+
+
 def _text_sql(c: str, table: str, key: str) -> str:
     n, ws = f"length({c})", f"list_filter(string_split_regex({c}, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')"
     def cnt(rx: str) -> str:
@@ -167,7 +172,7 @@ def _text_sql(c: str, table: str, key: str) -> str:
     share = f"({n} - length(replace({c}, ch, ''))) / CAST({n} AS DOUBLE)"
     out += [f"{_num(f"CASE WHEN {n} = 0 THEN 0 ELSE -list_sum(list_transform(list_filter({chars}, lambda ch: ch <> ''), lambda ch: {share} * log2({share}))) END", 5)} AS {c}_char_entropy"]
     flags = {"is_empty": f"{n} = 0", "has_question": f"contains({c}, '?')", "is_numeric": f"regexp_full_match({c}, '[0-9]+')", "is_alpha": f"regexp_full_match({c}, '\\p{{L}}+')", "is_alphanumeric": f"regexp_full_match({c}, '[\\p{{L}}\\p{{N}}]+')", "starts_with_capital": f"regexp_matches({c}, '^\\p{{Lu}}')", "is_all_caps": f"upper({c}) = {c} AND lower({c}) <> {c}", "is_all_lower": f"lower({c}) = {c} AND upper({c}) <> {c}"}
-    flags |= {f"has_{k}": f"regexp_matches({c}, '{rx.replace('(?<![a-z0-9._%+-])', '')}')" for k, rx in text.PATTERNS.items()}
+    flags |= {f"has_{k}": f"regexp_matches({c}, '{_plain(rx)}')" for k, rx in text.PATTERNS.items()}
     out += [f"{_flag(t)} AS {c}_{k}" for k, t in flags.items()]
     out += [f"{_int(f"len(regexp_extract_all({c}, '{x}[A-Za-z0-9_]'))")} AS {c}_{k}_count" for k, x in (("hashtag", "#"), ("mention", "@"))]
     return f"SELECT {key}, {', '.join(out)} FROM {table}"
@@ -175,7 +180,9 @@ def _text_sql(c: str, table: str, key: str) -> str:
 
 @_query("text_features", _text_sql("text", "documents", "doc_id"))
 def _text(spark, d):
-    df = _rounded(text.text_features(_t(spark, d, "documents").select("doc_id", "text"), "text").drop("text"))
+    from .sources.tables import spread
+
+    df = _rounded(text.text_features(spread(_t(spark, d, "documents").select("doc_id", "text")), "text").drop("text"))
     return df.withColumn("text_char_entropy", F.round("text_char_entropy", 5))
 
 

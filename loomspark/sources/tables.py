@@ -38,6 +38,12 @@ def read(spark: SparkSession, *paths: str, schema: T.StructType | None = None) -
     return df.toDF(*[c.lower() for c in df.columns])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table dealt over all cores, if its files give fewer tasks than there are: few large row groups, before costly expressions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def to_parquet(spark: SparkSession, path: str, out: str) -> DataFrame:
     """A table converted to snappy Parquet, and read from there."""
     read(spark, path).write.mode("overwrite").option("compression", "snappy").parquet(out)
