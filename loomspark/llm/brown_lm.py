@@ -174,7 +174,8 @@ def learn_core(docs: DataFrame, text_col="text") -> dict:
     cls, group = exchange(follows), _Groups()
     words = [END, *(w for w, _ in frequent)]
     classes = np.array([cls[i] if i < len(top) else cls[len(top) + group[w[-3:]]] for i, w in enumerate(words)], np.int64)
-    return {"vocab": vocab, "words": words, "counts": np.array([ends, *(n for _, n in frequent)], np.int64), "classes": classes, "by_group": cls[len(top) :], "n_top": len(top)}
+    member = np.eye(CLASSES)[cls]
+    return {"vocab": vocab, "follows": member.T @ follows @ member, "words": words, "counts": np.array([ends, *(n for _, n in frequent)], np.int64), "classes": classes, "by_group": cls[len(top) :], "n_top": len(top)}
 
 
 def encode(docs: DataFrame, core: dict, keep: dict[str, Column], text_col="text") -> DataFrame:
@@ -221,19 +222,19 @@ def _packed(who: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
     """The distinct values of who (ascending), and lists of their codes and counts."""
     at = np.flatnonzero(np.concatenate([np.ones(min(1, len(who)), bool), who[1:] != who[:-1]]))
     offsets = pa.array(np.append(at, len(who)), pa.int32())
-    return who[at], pa.ListArray.from_arrays(offsets, pa.array(code, pa.int16())), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int64()))
+    return who[at], pa.ListArray.from_arrays(offsets, pa.array(code, pa.int16())), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int32()))
 
 
 def neighbours(encoded: DataFrame, core: dict) -> DataFrame:
     """(i, w, codes, ns): how often each word has a word of class code before it, or of class code - CLASSES after it; a row a word and task or so.
 
-    Frequent words are known by their number i, others by w; rows without either have the transitions between classes.
+    Frequent words are known by their number i, others by w.
     """
     shared = encoded.sparkSession.sparkContext.broadcast(core["classes"])
     names, step = ["i", "w", "codes", "ns"], 2 * CLASSES
 
     def run(batches):
-        frequent, g = shared.value, np.zeros(CLASSES * CLASSES, np.int64)
+        frequent = shared.value
         n_words, held, size = len(frequent), [], 0
 
         def merged():
@@ -256,7 +257,6 @@ def neighbours(encoded: DataFrame, core: dict) -> DataFrame:
             cls = np.concatenate([frequent, first.flatten().to_numpy(zero_copy_only=False)])[x].astype(np.int64)
             words = rare.flatten().dictionary_encode()
             x = np.where(x < n_words, x, n_words + np.append(words.indices.to_numpy(zero_copy_only=False), 0)[np.maximum(x - n_words, 0)])
-            g += np.bincount(cls[:-1] * CLASSES + cls[1:], minlength=CLASSES * CLASSES)
             codes, ns = np.unique(np.concatenate([x[1:] * step + cls[:-1], x[:-1] * step + CLASSES + cls[1:]]), return_counts=True)
             cut = np.searchsorted(codes, n_words * step)
             w, c, n = _packed(codes[cut:] // step - n_words, codes[cut:] % step, ns[cut:])
@@ -271,11 +271,8 @@ def neighbours(encoded: DataFrame, core: dict) -> DataFrame:
                     held, size = [], 0
         if held:
             yield from rows(*merged())
-        at = np.flatnonzero(g)
-        _, c, n = _packed(np.zeros(len(at), np.int64), at, g[at])
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(c), pa.int32()), pa.nulls(len(c), pa.binary()), c, n], names=names)
 
-    return encoded.select("_seq", "_rare", "_first").mapInArrow(run, "i int, w binary, codes array<smallint>, ns array<bigint>")
+    return encoded.select("_seq", "_rare", "_first").mapInArrow(run, "i int, w binary, codes array<smallint>, ns array<int>")
 
 
 def _f(x):
@@ -316,13 +313,7 @@ def best_classes(present: np.ndarray, owner: np.ndarray, code: np.ndarray, n: np
 def learn_classes(encoded: DataFrame, core: dict) -> dict:
     """The model: each word of the training texts moves to the class that its own neighbours ask for; encoded: training texts."""
     spark, vocab = encoded.sparkSession, core["vocab"]
-    found = materialize(neighbours(encoded, core), "neighbours")  # written once, read for the transitions and for the words
-    g = np.zeros(CLASSES * CLASSES)
-    sums = found.where("i is null and w is null").select(F.explode(F.arrays_zip("codes", "ns")).alias("p")).groupBy("p.codes").agg(F.sum("p.ns").alias("n"))
-    for r in sums.collect():  # CLASSES * CLASSES rows
-        g[r.codes] = r.n
-    g = g.reshape(CLASSES, CLASSES)
-    shared = spark.sparkContext.broadcast((core["classes"], core["by_group"], g, core["n_top"]))
+    shared = spark.sparkContext.broadcast((core["classes"], core["by_group"], core["follows"], core["n_top"]))
 
     def run(batches):
         (frequent, by_group, g, n_top), groups = shared.value, _Groups()
@@ -340,7 +331,7 @@ def learn_classes(encoded: DataFrame, core: dict) -> dict:
             fixed = (i >= 0) & (i < n_top)  # these have been exchanged one by one
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.where(fixed, present, best), pa.int32())], names=["i", "w", "cls"])
 
-    each = found.where("i is not null or w is not null").groupBy("i", "w").agg(F.collect_list(F.struct("codes", "ns")).alias("p"))  # at most 2 * CLASSES entries a word and task
+    each = neighbours(encoded, core).groupBy("i", "w").agg(F.collect_list(F.struct("codes", "ns")).alias("p"))  # at most 2 * CLASSES entries a word and task
     moved = materialize(each.mapInArrow(run, "i int, w binary, cls int"), "classes")
     classes, counts = core["classes"].copy(), core["counts"]
     for r in moved.where("i is not null").select("i", "cls").toPandas().itertuples():  # at most FREQUENT rows
