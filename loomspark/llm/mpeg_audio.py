@@ -2,7 +2,7 @@
 
 read_audio() parses a stream: it skips ID3v2 tags, finds frame headers (a header counts if another one of the same
 kind follows where its frame ends, or the stream or an ID3v1 tag ends it there), resynchronises after junk, reads the Xing, Info or
-VBRI table of variable bitrate, verifies the CRC-16 of protected frames, and returns exact durations (samples over
+VBRI table of variable bitrate, verifies the CRC-16 of protected layer III frames (layers I and II are not checked), and returns exact durations (samples over
 rate) and the byte offset of every frame for seeking.
 
 write_audio() stores a payload losslessly: MPEG-1 layer III frames, mono, 32 kHz, CRC-protected, whose side
@@ -158,6 +158,8 @@ def read_audio(data: bytes) -> dict:
         at += size
     if at == tail < stop:
         tags.setdefault("TIT2", data[tail + 3 : tail + 33].rstrip(b"\0 ").decode("latin-1"))
+    out["hz"] = max(samples, key=samples.get, default=0)  # of most samples
+    out["samples"] = sum(samples.values())
     out["duration"] = sum((Fraction(n, hz) for hz, n in samples.items()), Fraction(0))
     return out
 
@@ -221,12 +223,12 @@ def describe(stored: DataFrame, id_col="doc_id", unit: int = UNIT) -> DataFrame:
         audio = read_audio(media)
         payload = payload_of(media, audio)
         d, vbr = audio["duration"], audio["vbr"] or {}
-        hz = 32000
+        hz = audio["hz"]
         feature = (
-            f"frames={len(audio['offsets'])};samples={int(d * hz)};hz={hz};seconds={float(d):.6f};crc_ok={audio['crc_ok']};crc_bad={audio['crc_bad']};skipped={audio['skipped']};"
+            f"frames={len(audio['offsets'])};samples={audio['samples']};hz={hz};seconds={float(d):.6f};crc_ok={audio['crc_ok']};crc_bad={audio['crc_bad']};skipped={audio['skipped']};"
             f"vbr={vbr.get('kind')}:{vbr.get('frames')}:{vbr.get('bytes')};kbps={min(audio['kbps'], default=0)}-{max(audio['kbps'], default=0)};seek={zlib.crc32(np.array(audio['offsets'], '<u4').tobytes()):08x}"
         )
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-unit:]), len(media), hashlib.sha256(media).hexdigest(), feature, int(d * hz), hz, audio["offsets"]
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-unit:]), len(media), hashlib.sha256(media).hexdigest(), feature, audio["samples"], hz, audio["offsets"]
 
     def run(batches):
         for b in slices(batches):

@@ -1,8 +1,8 @@
 """Token ids in binary shards, compressed by a grammar.
 
 A shard holds the ids of consecutive documents. Re-Pair: the pairs of neighbouring symbols that occur often are
-replaced by new symbols, again and again, until a round finds no pair that is frequent enough. Rounds replace many
-pairs at once; of overlapping places, every second one is replaced. The shard stores the rules, each rule's
+replaced by new symbols, in ROUNDS rounds that replace many pairs at once (`compress` takes any number; it ends when no pair is
+frequent enough); of overlapping places, every second one is replaced. The shard stores the rules, each rule's
 expansion length, and the remaining symbols, so that any range of ids can be decoded without the rest: a running
 sum of expansion lengths finds the symbols that cover it.
 
@@ -12,12 +12,16 @@ in ascending order of document id: the table is range-partitioned and sorted, an
 Blob, little-endian: b"RPG1", three uint32 (first rule's id, number of rules, number of symbols), rules as pairs of
 uint32, expansion lengths as uint32, symbols as uint32.
 
+Ids of documents are whole numbers. Files whose way of preparing texts isn't the one that the word-by-word encoder
+stands for are encoded by their own tokenizer as it is.
+
 Edge cases: null texts are empty and have the end id only; null ids come first; repeated rows are separate
 documents; an empty table gives no shard. Texts are used whole. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from itertools import chain
@@ -143,6 +147,44 @@ def read_range(blob: bytes, start: int, n: int) -> np.ndarray:
     return _expand(seq[a : b + 1], first, rules)[skip : skip + n]
 
 
+#: How a file must prepare texts for words to be encoded one by one: its normalizer, pre-tokenizer and added tokens.
+WORD_BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "added": ["<|endoftext|>", "<|startoftext|>"],
+}
+
+
+def goes_word_by_word(path: str) -> bool:
+    """Whether a tokenizers file is a BPE model that prepares texts in the one way that Encoder's short cuts stand for."""
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    same = all(d.get(k) == WORD_BY_WORD[k] for k in ("normalizer", "pre_tokenizer")) and sorted(t["content"] for t in d.get("added_tokens", [])) == WORD_BY_WORD["added"]
+    return same and d["model"]["type"] == "BPE" and not d["model"].get("dropout") and d.get("truncation") is None and d.get("padding") is None and d.get("post_processor") is None
+
+
+class PlainEncoder:
+    """Encodes texts with any tokenizers file."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one row, and where each text's end."""
+        ids = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, "<u4"), *ids]), np.cumsum([len(x) for x in ids], dtype=np.int64)
+
+
 class Encoder:
     """Encodes texts with a tokenizers file whose pre-tokens never cross a space, and are runs of letters, or of other marks.
 
@@ -216,6 +258,8 @@ class Encoder:
             self.pieces.clear()
         if len(self.letters) > CACHE:
             self.letters.clear()
+        if len(self.ends) > CACHE:
+            self.ends.clear()
         split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         pieces = split.flatten().dictionary_encode()
         distinct = pieces.dictionary
@@ -255,13 +299,13 @@ def _take(values: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarra
     return values[np.repeat(shift, own) + np.arange(own.sum())]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder | PlainEncoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
+def _encoder(path: str) -> Encoder | PlainEncoder:
     """One encoder for each file and Python worker."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path) if goes_word_by_word(path) else PlainEncoder(path)
     return _encoders[path]
 
 

@@ -540,3 +540,21 @@ def test_samples_hold_at_any_share(spark):
     for share, lo, hi in ((0.0, 0, 0), (1e-4, 5, 45), (0.5, 99_000, 101_000), (1.0, 200_000, 200_000), (7.0, 200_000, 200_000)):
         assert lo <= h.where(below(F.col("h"), share)).count() <= hi
     assert spark.range(1).where(below(F.lit(-(2**63)), 1e-15)).count() == 1  # a bound so small still lets rows in
+
+
+def test_files_with_other_preparation_use_their_own_tokenizer(spark, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = token_store.default_tokenizer()
+    assert token_store.goes_word_by_word(path)
+    other = json.load(open(path, encoding="utf-8"))
+    other["normalizer"] = {"type": "NFC"}  # upper case stays
+    (tmp_path / "other.json").write_text(json.dumps(other), encoding="utf-8")
+    assert not token_store.goes_word_by_word(str(tmp_path / "other.json"))
+    texts, t = ["Upper lower", None, "x  y\nZ"], Tokenizer.from_file(str(tmp_path / "other.json"))
+    got = token_store.write_and_read(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), str(tmp_path / "other.json")).collect()
+    for r in got:
+        ids = [*t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 2]
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
