@@ -28,6 +28,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +52,25 @@ def discount(counts: np.ndarray) -> float:
     return one / (one + 2 * two) if one and two else 0.5
 
 
+class Lexicon:
+    """A number or value for each word; looked up in a dictionary that a worker makes once, and the driver never."""
+
+    def __init__(self, words: pa.Array, values: np.ndarray | None = None):
+        self.words, self.values, self._found = words, values, None
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def __getstate__(self):
+        return {"words": self.words, "values": self.values, "_found": None}
+
+    @property
+    def get(self):
+        if self._found is None:
+            self._found = dict(zip(self.words.to_pylist(), range(len(self.words)) if self.values is None else self.values.tolist(), strict=True))
+        return self._found.get
+
+
 class Words:
     """p1 of both classes for words by their numbers; the last number is any other word's."""
 
@@ -123,7 +143,7 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float =
     return float(w[0] / scale), float(w[1] - w[0] * mean / scale), loss
 
 
-def _word_counts(sample: DataFrame) -> tuple[list[bytes], np.ndarray]:
+def _word_counts(sample: DataFrame) -> tuple[pa.Array, np.ndarray]:
     """The vocabulary of the bounded sample, and the distinct left neighbours of each word by 2 * part + class."""
 
     def run(batches):
@@ -138,10 +158,10 @@ def _word_counts(sample: DataFrame) -> tuple[list[bytes], np.ndarray]:
 
     distinct = sample.select("raw", "y", "part").mapInArrow(run, "k int, v binary, w binary").select("k", F.xxhash64("v").alias("v"), "w").distinct()
     table = distinct.groupBy("w").agg(*[F.count(F.when(F.col("k") == k, 1)).alias(f"n{k}") for k in range(2 * PARTS)]).toArrow()
-    return table.column("w").to_pylist(), np.stack([table.column(f"n{k}").to_numpy() for k in range(2 * PARTS)], axis=1).astype(np.int32)
+    return pa.array(table.column("w").combine_chunks(), pa.binary()), np.stack([table.column(f"n{k}").to_numpy() for k in range(2 * PARTS)], axis=1).astype(np.int32)
 
 
-def _pair_counts(sample: DataFrame, number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+def _pair_counts(sample: DataFrame, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the pairs in the part of the sample for pairs, and their distinct left neighbours by 2 * part + class."""
 
     def run(batches):
@@ -156,8 +176,8 @@ def _pair_counts(sample: DataFrame, number: dict[bytes, int]) -> tuple[np.ndarra
 
     distinct = sample.select("raw", "y", "part").mapInArrow(run, "k int, u binary, v binary, w binary").select("k", F.xxhash64("u").alias("u"), "v", "w").distinct()
     table = distinct.groupBy("v", "w").agg(*[F.count(F.when(F.col("k") == k, 1)).alias(f"n{k}") for k in range(2 * PARTS)]).toArrow()
-    step = len(number) + 1
-    v, w = (np.fromiter((number[x.as_py()] for x in table.column(c)), np.int64, table.num_rows) for c in ("v", "w"))
+    step = len(vocabulary) + 1
+    v, w = (pc.index_in(table.column(c).combine_chunks(), value_set=vocabulary).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("v", "w"))
     codes = v * step + w
     order = np.argsort(codes)
     return codes[order], np.stack([table.column(f"n{k}").to_numpy() for k in range(2 * PARTS)], axis=1).astype(np.int32)[order]
@@ -188,12 +208,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     sample = docs.select(F.col(id_col).alias("id"), as_bytes(F.col(text_col)).alias("raw")).join(F.broadcast(chosen), "id")
 
     vocabulary, counts = _word_counts(sample)
-    if not vocabulary or not _sum(counts).sum(axis=0).all():
+    if not len(vocabulary) or not _sum(counts).sum(axis=0).all():
         return None
-    number = {w: i for i, w in enumerate(vocabulary)}
-    codes, pair_counts = _pair_counts(sample.where("paired"), number) if 2 in orders else (np.zeros(0, np.int64), np.zeros((0, 2 * PARTS), np.int32))
+    codes, pair_counts = _pair_counts(sample.where("paired"), vocabulary) if 2 in orders else (np.zeros(0, np.int64), np.zeros((0, 2 * PARTS), np.int32))
     split = all(_sum(counts, k).sum(axis=0).all() for k in range(PARTS))  # both classes are left whichever part goes
-    shared = spark.sparkContext.broadcast((number, counts, codes, pair_counts))  # the vocabulary and pairs of the bounded sample
+    shared = spark.sparkContext.broadcast((Lexicon(vocabulary), counts, codes, pair_counts))  # the vocabulary and pairs of the bounded sample
 
     def evidence(batches):
         number, counts, codes, pair_counts = shared.value
@@ -226,8 +245,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     out = {"order": order, "stretch": stretch, "base": base, "slope": fits[best][0], "bias": fits[best][1], "losses": {k: f[2] for k, f in zip(kinds, fits, strict=True)}}
     if order == 1:
         ratio = log_ratio(words.p(np.arange(len(vocabulary) + 1), base))
-        return out | {"ratio": dict(zip(vocabulary, ratio[:-1].tolist(), strict=True)), "other": float(ratio[-1])}
-    return out | {"number": number, "words": words, "pairs": Pairs(codes, _sum(pair_counts), len(vocabulary))}
+        return out | {"ratio": Lexicon(vocabulary, ratio[:-1]), "other": float(ratio[-1])}
+    return out | {"number": Lexicon(vocabulary), "words": words, "pairs": Pairs(codes, _sum(pair_counts), len(vocabulary))}
 
 
 def evidence_of(raw: bytes, model: dict) -> float:
