@@ -1,4 +1,8 @@
-"""Tables in the folder that driver and executors share: they cut lineage and survive lost executors."""
+"""Tables in the folder that driver and executors share: they cut lineage and survive lost executors.
+
+Results are lazy and may read these tables as long as they are used, so they stay until the folder is cleared, but for
+those of rounds that a later round replaces.
+"""
 
 from __future__ import annotations
 
