@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-MOST_RUNS, MOST_FEATURES = 50_000, 4_000
+from ..storage import materialize
+from . import set_search
 
 
 def marginal(runs: DataFrame, features: str = "features", score: str = "score") -> DataFrame:
@@ -19,29 +19,25 @@ def marginal(runs: DataFrame, features: str = "features", score: str = "score")
     return out.withColumn("effect", F.col("with_mean") - F.coalesce("without_mean", F.lit(0.0)))
 
 
-def closest_set(runs: DataFrame, id_col: str = "run", features: str = "features", score: str = "score") -> DataFrame:
-    """(run, other, jaccard, other_score): for each set the other one that is most like it, found through shared features; ties go to the least id.
+def closest_set(runs: DataFrame, id_col: str = "run", features: str = "features", score: str = "score", frequent: int = set_search.FREQUENT) -> DataFrame:
+    """(run, other, jaccard, other_score): for each set the other one that is most like it and shares a feature; ties go to the least id.
 
-    Runs that share a feature meet pairwise, so the table of runs is limited: MOST_RUNS rows, and an error beyond.
+    Ids are unique. Runs with equal sets are each other's partners; only different sets are searched, without a limit (set_search.py).
     """
-    if runs.limit(MOST_RUNS + 1).count() > MOST_RUNS:
-        raise ValueError(f"over {MOST_RUNS} runs")
-    one = runs.select(F.col(id_col).alias("a"), F.array_distinct(features).alias("fs")).select("a", F.size("fs").alias("na"), F.explode("fs").alias("f"))
-    two = one.toDF("b", "nb", "f")
-    shared = one.join(two, "f").where("a <> b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n"))
-    like = shared.withColumn("jaccard", F.col("n") / (F.col("na") + F.col("nb") - F.col("n")))
-    best = like.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("jaccard"), "b"))).where("_r = 1")
-    scores = runs.select(F.col(id_col).alias("b"), F.col(score).alias("other_score"))
-    return best.join(scores, "b").select(F.col("a").alias("run"), F.col("b").alias("other"), "jaccard", "other_score")
-
-
-def regression(runs: DataFrame, features: str = "features", score: str = "score") -> DataFrame:
-    """(feature, effect): least-squares weights of membership in the sets, with an intercept; at most MOST_FEATURES features, as normal equations are solved at once."""
-    from pyspark.ml.feature import CountVectorizer
-    from pyspark.ml.regression import LinearRegression
-
-    names = CountVectorizer(inputCol=features, outputCol="_x", binary=True).fit(runs)
-    if len(names.vocabulary) > MOST_FEATURES:
-        raise ValueError(f"over {MOST_FEATURES} features")
-    model = LinearRegression(featuresCol="_x", labelCol=score, solver="normal", regParam=0.0).fit(names.transform(runs))
-    return runs.sparkSession.createDataFrame(list(zip(names.vocabulary, map(float, model.coefficients), strict=True)), "feature string, effect double")
+    one = runs.select(F.col(id_col).alias("run"), F.array_sort(F.array_distinct(F.array_compact(features))).alias("fs"), F.col(score).alias("score")).where(F.size("fs") > 0)
+    one = materialize(one, "runs")
+    same = one.groupBy("fs").agg(F.min("run").alias("set"), F.count("*").alias("members"))
+    named = materialize(one.join(same, "fs"), "named-runs")
+    second = named.where("run <> set").groupBy("set").agg(F.min("run").alias("second"))
+    best = set_search.most_similar(same.select("set", "fs"), frequent)
+    twins = named.where("members > 1").join(second, "set").select("run", F.when(F.col("run") == F.col("set"), F.col("second")).otherwise(F.col("set")).alias("other"), F.lit(1.0).alias("jaccard"))
+    single = named.where("members = 1").join(best, F.col("set") == F.col("a")).select("run", F.col("b").alias("other"), "jaccard")
+    scores = one.select(F.col("run").alias("other"), F.col("score").alias("other_score"))
+    return twins.unionByName(single).join(scores, "other").select("run", "other", "jaccard", "other_score")
+
+
+def regression(runs: DataFrame, features: str = "features", score: str = "score", rounds: int | None = None) -> DataFrame:
+    """(feature, effect): least-squares weights of membership in the sets, with an intercept, the smallest ones where several fit as well."""
+    from . import least_squares
+
+    return least_squares.membership(runs, features, score, rounds)

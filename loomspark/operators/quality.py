@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite, numeric_columns, profile
+from . import series
 from .groups import MAX_BROADCAST_GROUPS
 from .ranking import group_quantile
 
@@ -17,25 +18,14 @@ def missing_indicators(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({f"{c}_was_missing": F.col(c).isNull().cast("int") for c in cols})
 
 
-def impute(df: DataFrame, col: str, how: str = "median", order: list[str] | None = None, partition: list[str] | None = None) -> DataFrame:
-    """Fill nulls by median, mode (the least of the most frequent), fill (last before, else first after) or interpolate."""
+def impute(df: DataFrame, col: str, how: str = "median", order: list[str] | None = None, partition: list[str] | None = None, most: int = series.MOST) -> DataFrame:
+    """Fill nulls by median, mode (the least of the most frequent), fill (last before, else first after) or interpolate; series of over `most` rows in pieces."""
     x = F.col(col)
     if how == "median":
         return df.withColumn(col, F.coalesce(x, F.lit(profile(df, [col])[col]["q"][0.5])))
     if how == "mode":
         return df.withColumn(col, F.coalesce(x, F.lit(mode_of(df, col))))
-    w = Window.partitionBy(*partition).orderBy(*order)
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    last, nxt = F.last(x, True).over(before), F.first(x, True).over(after)
-    if how == "fill":
-        return df.withColumn(col, F.coalesce(last, nxt))
-    if how != "interpolate":
-        raise ValueError(f"unknown way to impute: {how}")
-    out = df.withColumn("_i", F.row_number().over(w))
-    at = F.when(x.isNotNull(), F.col("_i"))
-    a, b = F.last(at, True).over(before), F.first(at, True).over(after)
-    line = last + (nxt - last) * (F.col("_i") - a) / F.when(b == a, 1).otherwise(b - a)
-    return out.withColumn(col, F.coalesce(x.cast("double"), line, last, nxt)).drop("_i")
+    return series.fill(df, col, order, partition or [], how, most)
 
 
 def group_impute(df: DataFrame, col: str, groups: list[str], how: str = "median", overall: bool = True) -> DataFrame:

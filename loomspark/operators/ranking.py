@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import finite, profile
 from ..storage import materialize
+from . import series
 from .binning import cut, shares
 from .groups import MAX_BROADCAST_GROUPS
 
@@ -54,7 +55,7 @@ def _quantiles(ranks: DataFrame, n: int, at: list[float]) -> dict[float, float]:
     return {q: value[math.floor(p)] + (value[math.ceil(p)] - value[math.floor(p)]) * (p - math.floor(p)) for q, p in places.items()}
 
 
-def ranking_features(df: DataFrame, cols: list[str], method: str = "average", order: list[str] = ()) -> DataFrame:
+def ranking_features(df: DataFrame, cols: list[str], method: str = "average", order: list[str] = (), most: int = series.MOST) -> DataFrame:
     """{x}_rank, _dense_rank, _percentile, _norm_rank, _quartile, _decile, _is_top10pct, _is_bottom10pct, _above_median, _zscore_rank.
 
     Missing values come last, as one tie, in ranks. A constant column has rank 1 and percentile 0.5 only. method: average,
@@ -79,7 +80,9 @@ def ranking_features(df: DataFrame, cols: list[str], method: str = "average", or
         n, before = F.coalesce("_n", F.lit(missing)), F.coalesce("_before", F.lit(p["n"]))
         dense = F.coalesce("_dense", F.lit(distinct + 1)).cast("double")
         average = before + (n + 1) / 2
-        nth = F.row_number().over(Window.partitionBy(v).orderBy(*order)) if method == "first" else F.lit(1)  # rows of one value
+        if method == "first":  # rows of one value, however many, are numbered in order
+            joined = series.running(joined, ["_value"], list(order), {"_nth": F.lit(1).cast("long")}, most=most)
+        nth = F.col("_nth") if method == "first" else F.lit(1)
         rank = {"average": average, "min": before + 1, "max": before + n, "dense": dense, "first": before + nth}[method].cast("double")
         if missing:
             most = {"average": p["n"] + (missing + 1) / 2, "min": p["n"] + 1, "max": total, "dense": distinct + 1, "first": total}[method]
@@ -94,7 +97,7 @@ def ranking_features(df: DataFrame, cols: list[str], method: str = "average", or
         }
         if distinct >= 10:
             new[f"{x}_decile"] = cut(v, sorted({q[s] for s in ten}))
-        out = joined.withColumns(new).drop("_value", "_n", "_before", "_dense")
+        out = joined.withColumns(new).drop("_value", "_n", "_before", "_dense", "_nth")
     return out
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import series
+
 #: Formats tried in this order, where a text's format is not known.
 FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd.MM.yyyy", "dd-MM-yyyy", "dd MMM yyyy", "MMM dd, yyyy", "yyyyMMdd"]
 
@@ -35,19 +37,9 @@ def calendar_features(df: DataFrame, col: str, reference: str | None = None) ->
     return df.withColumns({f"{col}_{k}": v for k, v in new.items()})
 
 
-def series_features(df: DataFrame, value: str, order: list[str], partition: list[str], lags=(1, 2, 3), windows=(3, 7), expanding: bool = False) -> DataFrame:
+def series_features(df: DataFrame, value: str, order: list[str], partition: list[str], lags=(1, 2, 3), windows=(3, 7), expanding: bool = False, most: int = series.MOST) -> DataFrame:
     """{x}_lag_{k}, {x}_rolling_{mean,std,min,max}_{w} over the last w rows, and on demand expanding mean, std and sum.
 
-    A partition key is asked for: without one the whole table is one series in one task.
+    Without a partition key the whole table is one series. Series of over `most` rows are worked on in pieces; the order is then to tell rows apart.
     """
-    if not partition:
-        raise ValueError("name the columns that tell series apart")
-    w = Window.partitionBy(*partition).orderBy(*order)
-    x, new = F.col(value), {f"{value}_lag_{k}": F.lag(value, k).over(w) for k in lags}
-    for n in windows:
-        last = w.rowsBetween(1 - n, 0)
-        new |= {f"{value}_rolling_mean_{n}": F.avg(x).over(last), f"{value}_rolling_std_{n}": F.coalesce(F.stddev_samp(x).over(last), F.lit(0.0)), f"{value}_rolling_min_{n}": F.min(x).over(last), f"{value}_rolling_max_{n}": F.max(x).over(last)}
-    if expanding:
-        upto = w.rowsBetween(Window.unboundedPreceding, 0)
-        new |= {f"{value}_expanding_mean": F.avg(x).over(upto), f"{value}_expanding_std": F.coalesce(F.stddev_samp(x).over(upto), F.lit(0.0)), f"{value}_cumsum": F.sum(x).over(upto)}
-    return df.withColumns(new)
+    return series.series_statistics(df, value, order, partition, lags, windows, expanding, most)

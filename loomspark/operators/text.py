@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 #: English words that say little.
 STOP_WORDS = tuple("a about above after again against all am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own same she should so some such than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your yours yourself yourselves".split())
 #: What marks an email address, a link, a phone number, a date, a time and an amount of money.
@@ -77,6 +79,10 @@ def char_codes(df: DataFrame, col: str) -> DataFrame:
     return out.withColumns({f"{col}_char_mean": mean, f"{col}_char_std": F.sqrt(F.greatest(F.col("_c.q") / n - mean * mean, F.lit(0.0)))}).drop("_c")
 
 
+#: Words that pairs are looked for among, at most; beyond, all pairs are counted.
+MOST_WORDS = 5_000
+
+
 def tf_idf(df: DataFrame, id_col: str, col: str, top: int = 100, min_docs: int = 2, max_share: float = 0.95, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """(id, term, weight): term counts times ln((1 + N) / (1 + df)) + 1, each text scaled to length 1.
 
@@ -84,11 +90,28 @@ def tf_idf(df: DataFrame, id_col: str, col: str, top: int = 100, min_docs: int =
     least and in max_share of them at most, the `top` most frequent count (ties by name). Ids are taken to be unique.
     """
     ws = F.filter(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: (F.length(w) > 1) & (~w.isin(*stop_words) if stop_words else F.lit(True)))
-    twos = F.when(F.size("ws") > 1, F.transform(F.sequence(F.lit(1), F.size("ws") - 1), lambda i: F.concat_ws(" ", F.get("ws", i - 1), F.get("ws", i)))).otherwise(F.array().cast("array<string>"))
-    counts = df.select(F.col(id_col), ws.alias("ws")).select(id_col, F.explode(F.concat("ws", twos)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("n"))
-    total = df.count()
-    terms = counts.groupBy("term").agg(F.count("*").alias("docs"), F.sum("n").alias("uses")).where((F.col("docs") >= min_docs) & (F.col("docs") <= max_share * total))
-    terms = terms.orderBy(F.desc("uses"), "term").limit(top)  # a report's length, so it may be broadcast
+    docs, total = materialize(df.select(F.col(id_col).alias("id"), ws.alias("ws")), "words"), df.count()
+    fits = (F.col("docs") >= min_docs) & (F.col("docs") <= max_share * total)
+    ones = materialize(_uses(docs, F.col("ws")), "word-uses")
+    # a pair is used no more often than either word: below the last of the best words, no pair can be among the best terms
+    least = ones.where(fits).orderBy(F.desc("uses")).limit(top).agg(F.min("uses").alias("u"), F.count("*").alias("n")).first()
+    bar = least["u"] if least["n"] == top else 0
+    often = [r[0] for r in ones.where(F.col("uses") >= bar).select("term").limit(MOST_WORDS + 1).collect()]
+    pairs = F.arrays_zip(F.slice("ws", 1, F.greatest(F.size("ws") - 1, F.lit(0))).alias("a"), F.slice("ws", 2, F.greatest(F.size("ws") - 1, F.lit(0))).alias("b"))
+    if len(often) <= MOST_WORDS:
+        pairs = F.filter(pairs, lambda p: p["a"].isin(*often) & p["b"].isin(*often))
+    twos = F.transform(pairs, lambda p: F.concat_ws(" ", p["a"], p["b"]))
+    terms = ones.unionByName(_uses(docs, twos)).where(fits).orderBy(F.desc("uses"), "term").limit(top)
+    terms = materialize(terms, "terms")  # a report's length, so it may be broadcast
+    names = [r[0] for r in terms.select("term").collect()]
+    found = F.filter(F.concat("ws", twos), lambda t: t.isin(*names))
+    counts = docs.select("id", F.explode(found).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
     idf = F.log((1 + F.lit(total)) / (1 + F.col("docs"))) + 1
     raw = counts.join(F.broadcast(terms), "term").withColumn("w", F.col("n") * idf)
-    return raw.select(id_col, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))).alias("weight"))
+    return raw.select(F.col("id").alias(id_col), "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))).alias("weight"))
+
+
+def _uses(docs: DataFrame, terms: Column) -> DataFrame:
+    """(term, uses, docs): how often terms occur, and in how many texts; tasks count first, and no text's terms are shuffled."""
+    each = docs.select(F.explode(terms).alias("term"), F.lit(1).alias("u"), F.lit(0).alias("d")).unionByName(docs.select(F.explode(F.array_distinct(terms)).alias("term"), F.lit(0).alias("u"), F.lit(1).alias("d")))
+    return each.groupBy("term").agg(F.sum("u").alias("uses"), F.sum("d").alias("docs"))

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.temporal import series_features
 from ..storage import drop_table, materialize
 from .analytics import SOURCES
 
@@ -268,14 +269,14 @@ def path_to(store: Store, node) -> list:
 def iteration_gaps(store: Store) -> DataFrame:
     """(session_id, after, before, missing): runs of iterations that a session's record lacks."""
     each = store.history.select("session_id", "iteration").distinct()
-    nxt = F.lead("iteration").over(Window.partitionBy("session_id").orderBy("iteration"))
-    return each.select("session_id", F.col("iteration").alias("after"), nxt.alias("before")).where("before > after + 1").withColumn("missing", F.col("before") - F.col("after") - 1)
+    steps = series_features(each.withColumn("before", F.col("iteration")), "iteration", ["before"], ["session_id"], (1,), ())
+    return steps.select("session_id", F.col("iteration_lag_1").alias("after"), "before").where("before > after + 1").withColumn("missing", F.col("before") - F.col("after") - 1)
 
 
 def feature_success(store: Store) -> DataFrame:
     """(feature, uses, successes, gain): what the score gained over the node before, for each feature in use then."""
-    gain = F.col("score") - F.lag("score").over(Window.partitionBy("session_id").orderBy("iteration", "node_id"))
-    each = store.history.select("features_after", gain.alias("gain")).where("gain is not null and features_after is not null")
+    steps = series_features(store.history.select("session_id", "iteration", "node_id", "features_after", "score"), "score", ["iteration", "node_id"], ["session_id"], (1,), ())
+    each = steps.select("features_after", (F.col("score") - F.col("score_lag_1")).alias("gain")).where("gain is not null and features_after is not null")
     return each.select("gain", F.explode(F.from_json("features_after", "array<string>")).alias("feature")).groupBy("feature").agg(F.count("*").alias("uses"), F.count_if(F.col("gain") > 0).alias("successes"), F.sum("gain").alias("gain"))
 
 

@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import registry_store
+from . import registry_more, registry_store
 from .operators import attribution, binning, categorical, domain, polynomial, quality, ranking, sampling, statistical, temporal, text
 from .plans import analytics
 from .streaming import windows
@@ -17,10 +17,15 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, whole numbers as longs."""
-    kinds = {"double": lambda c: F.round(c, digits), "float": lambda c: F.round(c.cast("double"), digits), "int": lambda c: c.cast("long"), "smallint": lambda c: c.cast("long"), "tinyint": lambda c: c.cast("long")}
-    return df.select(*[kinds[t](F.col(f"`{c}`")).alias(c) if t in kinds else F.col(f"`{c}`") for c, t in df.dtypes])
+def _rounded(df: DataFrame, digits: int = 6, own: dict[str, int] | None = None) -> DataFrame:
+    """Doubles rounded once, to their own digits if named, and whole numbers as longs."""
+    def one(c: str, t: str):
+        x = F.col(f"`{c}`")
+        if t in ("double", "float"):
+            return F.round(x.cast("double"), (own or {}).get(c, digits)).alias(c)
+        return x.cast("long").alias(c) if t in ("int", "smallint", "tinyint") else x
+
+    return df.select(*[one(c, t) for c, t in df.dtypes])
 
 
 QUERIES: dict = {}
@@ -150,6 +155,20 @@ def _series(spark, d):
     return df.select(*[F.round(c, 9 if c in more else 6).alias(c) if t == "double" else c for c, t in df.dtypes])
 
 
+_ONE = "OVER (ORDER BY ts, event_id"
+
+
+@_query(
+    "series_of_all_rows",
+    "SELECT event_id, " + ", ".join(f"{_num(f'lag(value, {k}) {_ONE})')} AS value_lag_{k}" for k in (1, 5)) + ", "
+    + ", ".join(f"{_num(f'coalesce({f}(value) {_ONE} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 0)')} AS value_rolling_{n}_6" for n, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")))
+    + ", " + ", ".join(f"{_num(f'coalesce({f}(value) {_ONE} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)', digits)} AS value_{n}" for n, f, digits in (("expanding_mean", "avg", 6), ("expanding_std", "stddev_samp", 4), ("cumsum", "sum", 4))) + " FROM events",
+)
+def _one_series(spark, d):
+    df = temporal.series_features(_t(spark, d, "events").select("event_id", "ts", "value"), "value", ["ts", "event_id"], [], lags=(1, 5), windows=(6,), expanding=True, most=2_000)
+    return _rounded(df.drop("ts", "value"), own={"value_expanding_std": 4, "value_cumsum": 4})
+
+
 def _plain(rx: str) -> str:
     """A pattern without looks around, for finding whether a text has it."""
     return rx.replace("(?<![a-z0-9._%+-])", "").replace("(?<![A-Za-z0-9_])", "(^|[^A-Za-z0-9_])").replace("(?![A-Za-z0-9_])", "([^A-Za-z0-9_]|$)")
@@ -182,8 +201,7 @@ def _text_sql(c: str, table: str, key: str) -> str:
 def _text(spark, d):
     from .sources.tables import spread
 
-    df = _rounded(text.text_features(spread(_t(spark, d, "documents").select("doc_id", "text")), "text").drop("text"))
-    return df.withColumn("text_char_entropy", F.round("text_char_entropy", 5))
+    return _rounded(text.text_features(spread(_t(spark, d, "documents").select("doc_id", "text")), "text").drop("text"), own={"text_char_entropy": 5})
 
 
 @_query("text_entropy", f"WITH c AS (SELECT p_partkey, unnest(string_split(p_name, '')) AS ch FROM part), n AS (SELECT p_partkey, ch, count(*) AS k FROM c GROUP BY p_partkey, ch), t AS (SELECT *, sum(k) OVER (PARTITION BY p_partkey) AS total FROM n) SELECT p_partkey, {_num('-sum(k / total * log2(k / total))')} AS p_name_char_entropy FROM t GROUP BY p_partkey")
@@ -215,8 +233,8 @@ _PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 )
 def _categorical(spark, d):
     df = categorical.categorical_features(_t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), ["o_orderstatus"], "o_totalprice", max_onehot=0, bits=True).drop("o_totalprice")
-    df = df.withColumns({"o_orderstatus_target_encoded": F.round("o_orderstatus_target_encoded", 4), "o_orderstatus_target_variance_m": F.round(F.col("o_orderstatus_target_variance") / 1e6, 4)}).drop("o_orderstatus_target_variance")
-    return _rounded(df)
+    df = df.withColumn("o_orderstatus_target_variance_m", F.col("o_orderstatus_target_variance") / 1e6).drop("o_orderstatus_target_variance")
+    return _rounded(df, own={c: 4 for c in ("o_orderstatus_target_encoded", "o_orderstatus_target_variance_m")})
 
 
 @_query("onehot_features", "SELECT o_orderkey, " + ", ".join(f"""{_flag(f"o_orderpriority = '{v}'")} AS "o_orderpriority_is_{v.replace(' ', '_').replace('-', '_')}\"""" for v in _PRIORITIES) + " FROM orders")
@@ -308,13 +326,14 @@ _CV = _div("sqrt((n * n + p * p + k * k - (n + p + k) * (n + p + k) / 3) / 2)",
         "n_predominant": "n >= greatest(p, k)", "p_predominant": "p > n AND p >= k", "k_predominant": "k > greatest(n, p)", "severely_imbalanced": "greatest(n, p, k) > 0.6 * (n + p + k + 1e-6)", "npk_balanced": "greatest(n, p, k) < 0.5 * (n + p + k)", "npk_highly_imbalanced": "greatest(n, p, k) > 0.7 * (n + p + k)",
     }.items())
     + f", {_num('(abs(temperature - 25) / 10 + abs(humidity - 55) / 15) / 2')} AS environmental_stress_score, {_num(_div('n', 'p'), 4)} AS n_to_p_ratio, {_num(_div('n', 'k'), 4)} AS n_to_k_ratio, {_num(_div('p', 'k'), 4)} AS p_to_k_ratio, {_num(_CV)} AS nutrient_imbalance_score, CASE WHEN n >= greatest(p, k) THEN 'N' WHEN p >= k THEN 'P' ELSE 'K' END AS predominant_nutrient, "
-    f"{_num(_GROW)} AS growing_condition_score, CASE WHEN n >= 40 AND p >= 20 AND k >= 20 THEN 'balanced' ELSE concat_ws('_', CASE WHEN n < 40 THEN 'N' END, CASE WHEN p < 20 THEN 'P' END, CASE WHEN k < 20 THEN 'K' END, 'deficient') END AS fertilizer_need_pattern, 0.0e0 AS crop_environment_match, {_num(f'{_GROW} * (1 - {_CV})')} AS npk_utilization_efficiency, "
+    f"{_num(_GROW, 9)} AS growing_condition_score, CASE WHEN n >= 40 AND p >= 20 AND k >= 20 THEN 'balanced' ELSE concat_ws('_', CASE WHEN n < 40 THEN 'N' END, CASE WHEN p < 20 THEN 'P' END, CASE WHEN k < 20 THEN 'K' END, 'deficient') END AS fertilizer_need_pattern, 0.0e0 AS crop_environment_match, {_num(f'{_GROW} * (1 - {_CV})', 9)} AS npk_utilization_efficiency, "
     f"{_int(_STRESS)} AS stress_factor_count, CASE {_STRESS} WHEN 0 THEN 'simple' WHEN 1 THEN 'simple' WHEN 4 THEN 'complex' ELSE 'moderate' END AS recommendation_complexity FROM d",
 )
 def _crops(spark, d):
     _t(spark, d, "part").createOrReplaceTempView("part")
-    df = _rounded(domain.domain_features(spark.sql(_CROPS).withColumnsRenamed({"n": "N", "p": "P", "k": "K"})))
-    return df.withColumns({c: F.round(c, 4) for c in ("n_to_p_ratio", "n_to_k_ratio", "p_to_k_ratio")})
+    # scores are sums of few decimals: nine digits hold them whole, so that none is halfway between two
+    own = {c: 4 for c in ("n_to_p_ratio", "n_to_k_ratio", "p_to_k_ratio")} | {c: 9 for c in ("growing_condition_score", "npk_utilization_efficiency")}
+    return _rounded(domain.domain_features(spark.sql(_CROPS).withColumnsRenamed({"n": "N", "p": "P", "k": "K"})), own=own)
 
 
 _PEOPLE = """SELECT c_custkey, CAST(1 + c_nationkey % 3 AS INT) AS pclass, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(c_custkey % 80 AS DOUBLE) END AS age, CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 13 = 0 THEN 0e0 ELSE abs(c_acctbal) / 20 END AS fare,
@@ -382,8 +401,8 @@ def _pipeline(spark, d):
     return build(orders, ["o_orderstatus"], ["quantity", "tax"], target="o_totalprice").data
 
 
-QUERIES |= registry_store.QUERIES
-SQL |= registry_store.SQL
+QUERIES |= registry_store.QUERIES | registry_more.QUERIES
+SQL |= registry_store.SQL | registry_more.SQL
 _GAPS = "SELECT event_id, user_id, ts, CASE WHEN event_id % 5 < 2 THEN NULL ELSE value END AS value, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS event_type FROM events"
 
 
@@ -406,6 +425,18 @@ def _interpolate(spark, d):
     return _rounded(quality.impute(_gaps(spark, d), "value", "interpolate", ["ts", "event_id"], ["user_id"]).select("event_id", "value"))
 
 
+_NEAR = "(SELECT *, row_number() OVER (ORDER BY ts, event_id) AS i FROM (" + _GAPS + "))"
+
+
+@_query(
+    "impute_interpolate_all_rows",
+    f"WITH g AS {_NEAR}, n AS (SELECT *, max(CASE WHEN value IS NOT NULL THEN i END) OVER (ORDER BY i) AS p, min(CASE WHEN value IS NOT NULL THEN i END) OVER (ORDER BY i DESC) AS q FROM g) "
+    f"SELECT n.event_id, {_num('CASE WHEN n.value IS NOT NULL THEN n.value WHEN p IS NULL THEN y.value WHEN q IS NULL THEN x.value ELSE x.value + (y.value - x.value) * (n.i - p) / (q - p) END', 9)} AS value FROM n LEFT JOIN g x ON x.i = p LEFT JOIN g y ON y.i = q",
+)
+def _interpolate_all(spark, d):
+    return _rounded(quality.impute(_gaps(spark, d).where("event_id is not null"), "value", "interpolate", ["ts", "event_id"], [], most=1_500).select("event_id", "value"), 9)
+
+
 @_query("impute_mode", f"WITH g AS ({_GAPS}) SELECT event_id, coalesce(event_type, (SELECT event_type FROM g WHERE event_type IS NOT NULL GROUP BY event_type ORDER BY count(*) DESC, event_type LIMIT 1)) AS event_type FROM g")
 def _mode(spark, d):
     return quality.impute(_gaps(spark, d), "event_type", "mode").select("event_id", "event_type")
@@ -441,6 +472,31 @@ def _closest(spark, d):
     return _rounded(attribution.closest_set(runs))
 
 
+_BUYERS = "SELECT o_custkey AS run, unnest(['all', o_orderpriority, 'y' || CAST(year(o_orderdate) AS VARCHAR), 'm' || CAST(o_orderkey % 40 AS VARCHAR)]) AS f, o_totalprice AS s FROM orders"
+
+
+@_query(
+    "closest_sets_with_a_common_feature",
+    f"WITH r AS ({_BUYERS}), n AS (SELECT run, list(DISTINCT f) AS fs, max(s) AS score FROM r GROUP BY run), p AS (SELECT a.run, b.run AS other, len(list_intersect(a.fs, b.fs)) AS k, len(a.fs) + len(b.fs) AS m, b.score FROM n a JOIN n b ON a.run <> b.run) "
+    f"SELECT run, other, {_num('k / CAST(m - k AS DOUBLE)')} AS jaccard, {_num('score')} AS other_score FROM p WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY run ORDER BY k / CAST(m - k AS DOUBLE) DESC, other) = 1",
+)
+def _closest_common(spark, d):
+    year, part = F.concat(F.lit("y"), F.year("o_orderdate").cast("string")), F.concat(F.lit("m"), (F.col("o_orderkey") % 40).cast("string"))
+    each = _t(spark, d, "orders").select(F.col("o_custkey").alias("run"), F.explode(F.array(F.lit("all"), "o_orderpriority", year, part)).alias("f"), "o_totalprice")
+    return _rounded(attribution.closest_set(each.groupBy("run").agg(F.collect_set("f").alias("features"), F.max("o_totalprice").alias("score")), frequent=60))
+
+
+@_query(
+    "feature_regression",
+    f"WITH r AS (SELECT o_custkey, avg(o_totalprice) / 1000 AS y, CAST(max(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS DOUBLE) AS a, CAST(max(CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END) AS DOUBLE) AS b FROM orders GROUP BY o_custkey), "
+    f"c AS (SELECT var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS byy FROM r) SELECT '1-URGENT' AS feature, {_num('(bb * ay - ab * byy) / (aa * bb - ab * ab)', 4)} AS effect FROM c UNION ALL SELECT '5-LOW', {_num('(aa * byy - ab * ay) / (aa * bb - ab * ab)', 4)} FROM c",
+)
+def _regression(spark, d):
+    named = F.collect_set(F.when(F.col("o_orderpriority").isin("1-URGENT", "5-LOW"), F.col("o_orderpriority")))
+    runs = _t(spark, d, "orders").groupBy("o_custkey").agg(named.alias("features"), (F.avg("o_totalprice") / 1000).alias("score"))
+    return _rounded(attribution.regression(runs), 4)
+
+
 @_query("clean_rows", "SELECT DISTINCT t AS note, CASE WHEN k = 0 THEN NULL WHEN k = 1 THEN 'x y' ELSE 'v' || k END AS kind FROM (SELECT trim(regexp_replace(lower(p_type), ' +', ' ', 'g')) AS t, p_partkey % 4 AS k FROM part)")
 def _clean(spark, d):
     k = F.col("p_partkey") % 4

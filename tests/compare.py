@@ -10,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def value(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 5) + 0.0
+        return None if math.isnan(v) else v + 0.0
     return v.isoformat() if hasattr(v, "isoformat") else v
 
 
@@ -34,6 +34,6 @@ def difference(spark, sf_dir, query, sql):
     if len(got) != len(want):
         return f"rows {len(got)} / {len(want)}"
     for a, b in zip(got, want, strict=True):
-        if any(x != y and not (isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 1.1e-5 + 1e-9 * abs(y)) for x, y in zip(a, b, strict=True)):
+        if any(x != y and not (isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 1e-12 * abs(y)) for x, y in zip(a, b, strict=True)):
             return f"{a} / {b}"
     return None

@@ -3,7 +3,7 @@ import pytest
 from compare import difference
 from loomspark import registry
 
-SF = "/root/testdata/sf0.001"
+SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
@@ -13,9 +13,9 @@ def test_query_equals_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES.keys() - registry.SQL.keys()))
 def test_query_runs_and_repeats(spark, name):
-    a = registry.QUERIES[name](spark, SF)
+    a = registry.QUERIES[name](spark, SMALL)
     assert a.count() > 0
-    assert sorted(map(str, a.collect())) == sorted(map(str, registry.QUERIES[name](spark, SF).collect()))
+    assert sorted(map(str, a.collect())) == sorted(map(str, registry.QUERIES[name](spark, SMALL).collect()))
 
 
 def test_entry(spark):
