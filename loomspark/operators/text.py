@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from ..storage import materialize
 
 #: English words that say little.
@@ -89,23 +90,23 @@ def tf_idf(df: DataFrame, id_col: str, col: str, top: int = 100, min_docs: int =
     Terms are one word of two letters or digits at least, or two such in a row, stop words left out; of those in min_docs texts at
     least and in max_share of them at most, the `top` most frequent count (ties by name). Ids are taken to be unique.
     """
-    ws = F.filter(F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: (F.length(w) > 1) & (~w.isin(*stop_words) if stop_words else F.lit(True)))
-    docs, total = materialize(df.select(F.col(id_col).alias("id"), ws.alias("ws")), "words"), df.count()
+    ws = F.filter(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: (F.length(w) > 1) & (~w.isin(*stop_words) if stop_words else F.lit(True)))
+    docs = materialize(spread(df.select(F.col(id_col).alias("id"), F.col(col).alias("text"))).select("id", ws.alias("ws")), "words")
+    total = docs.count()
     fits = (F.col("docs") >= min_docs) & (F.col("docs") <= max_share * total)
     ones = materialize(_uses(docs, F.col("ws")), "word-uses")
     # a pair is used no more often than either word: below the last of the best words, no pair can be among the best terms
     least = ones.where(fits).orderBy(F.desc("uses")).limit(top).agg(F.min("uses").alias("u"), F.count("*").alias("n")).first()
     bar = least["u"] if least["n"] == top else 0
     often = [r[0] for r in ones.where(F.col("uses") >= bar).select("term").limit(MOST_WORDS + 1).collect()]
-    pairs = F.arrays_zip(F.slice("ws", 1, F.greatest(F.size("ws") - 1, F.lit(0))).alias("a"), F.slice("ws", 2, F.greatest(F.size("ws") - 1, F.lit(0))).alias("b"))
+    first, second = (F.slice("ws", i, F.greatest(F.size("ws") - 1, F.lit(0))) for i in (1, 2))
+    words, pairs = F.col("ws"), F.arrays_zip(first.alias("a"), second.alias("b"))
     if len(often) <= MOST_WORDS:
-        pairs = F.filter(pairs, lambda p: p["a"].isin(*often) & p["b"].isin(*often))
-    twos = F.transform(pairs, lambda p: F.concat_ws(" ", p["a"], p["b"]))
-    terms = ones.unionByName(_uses(docs, twos)).where(fits).orderBy(F.desc("uses"), "term").limit(top)
+        words, pairs = F.filter(words, lambda w: w.isin(*often)), F.filter(pairs, lambda p: p["a"].isin(*often) & p["b"].isin(*often))
+    kept = materialize(docs.select("id", F.concat(words, F.transform(pairs, lambda p: F.concat_ws(" ", p["a"], p["b"]))).alias("terms")), "kept-terms")
+    terms = _uses(kept, F.col("terms")).where(fits).orderBy(F.desc("uses"), "term").limit(top)
     terms = materialize(terms, "terms")  # a report's length, so it may be broadcast
-    names = [r[0] for r in terms.select("term").collect()]
-    found = F.filter(F.concat("ws", twos), lambda t: t.isin(*names))
-    counts = docs.select("id", F.explode(found).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
+    counts = kept.select("id", F.explode("terms").alias("term")).join(F.broadcast(terms.select("term")), "term").groupBy("id", "term").agg(F.count("*").alias("n"))
     idf = F.log((1 + F.lit(total)) / (1 + F.col("docs"))) + 1
     raw = counts.join(F.broadcast(terms), "term").withColumn("w", F.col("n") * idf)
     return raw.select(F.col("id").alias(id_col), "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))).alias("weight"))

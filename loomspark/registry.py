@@ -472,7 +472,7 @@ def _closest(spark, d):
     return _rounded(attribution.closest_set(runs))
 
 
-_BUYERS = "SELECT o_custkey AS run, unnest(['all', o_orderpriority, 'y' || CAST(year(o_orderdate) AS VARCHAR), 'm' || CAST(o_orderkey % 40 AS VARCHAR)]) AS f, o_totalprice AS s FROM orders"
+_BUYERS = "SELECT o_custkey AS run, unnest(['all', 'm' || CAST(o_orderkey // 4 AS VARCHAR)]) AS f, o_totalprice AS s FROM orders"
 
 
 @_query(
@@ -481,8 +481,8 @@ _BUYERS = "SELECT o_custkey AS run, unnest(['all', o_orderpriority, 'y' || CAST(
     f"SELECT run, other, {_num('k / CAST(m - k AS DOUBLE)')} AS jaccard, {_num('score')} AS other_score FROM p WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY run ORDER BY k / CAST(m - k AS DOUBLE) DESC, other) = 1",
 )
 def _closest_common(spark, d):
-    year, part = F.concat(F.lit("y"), F.year("o_orderdate").cast("string")), F.concat(F.lit("m"), (F.col("o_orderkey") % 40).cast("string"))
-    each = _t(spark, d, "orders").select(F.col("o_custkey").alias("run"), F.explode(F.array(F.lit("all"), "o_orderpriority", year, part)).alias("f"), "o_totalprice")
+    part = F.concat(F.lit("m"), F.floor(F.col("o_orderkey") / 4).cast("string"))
+    each = _t(spark, d, "orders").select(F.col("o_custkey").alias("run"), F.explode(F.array(F.lit("all"), part)).alias("f"), "o_totalprice")
     return _rounded(attribution.closest_set(each.groupBy("run").agg(F.collect_set("f").alias("features"), F.max("o_totalprice").alias("score")), frequent=60))
 
 
