@@ -37,6 +37,7 @@ from .common import as_bytes, fold, materialize, read_table, ship, slices
 END = b""
 TOP, GROUPS, CLASSES = 768, 256, 64
 FREQUENT = 200_000
+FAN = 256
 FLUSH = 300_000
 MOST_SWEEPS = 100  # more than any exchange takes: each move raises the likelihood
 KAPPA = 5.0
@@ -226,15 +227,15 @@ def _packed(who: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
 
 
 def neighbours(encoded: DataFrame, core: dict) -> DataFrame:
-    """(i, w, codes, ns): how often each word has a word of class code before it, or of class code - CLASSES after it; a row a word and task or so.
+    """(i, w, part, codes, ns): how often each word has a word of class code before it, or of class code - CLASSES after it; a row a word and task or so (part), for words that may still move.
 
     Frequent words are known by their number i, others by w.
     """
     shared = encoded.sparkSession.sparkContext.broadcast(core["classes"])
-    names, step = ["i", "w", "codes", "ns"], 2 * CLASSES
+    names, step, n_top = ["i", "w", "part", "codes", "ns"], 2 * CLASSES, core["n_top"]
 
     def run(batches):
-        frequent = shared.value
+        frequent, part = shared.value, TaskContext.get().partitionId()
         n_words, held, size = len(frequent), [], 0
 
         def merged():
@@ -246,7 +247,7 @@ def neighbours(encoded: DataFrame, core: dict) -> DataFrame:
 
         def rows(codes, ns):
             i, c, n = _packed(codes // step, codes % step, ns)
-            out = pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.nulls(len(i), pa.binary()), c, n], names=names)
+            out = pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.nulls(len(i), pa.binary()), pa.array(np.full(len(i), part), pa.int32()), c, n], names=names)
             for k in range(0, len(i), 20_000):
                 yield out.slice(k, 20_000)
 
@@ -260,9 +261,10 @@ def neighbours(encoded: DataFrame, core: dict) -> DataFrame:
             codes, ns = np.unique(np.concatenate([x[1:] * step + cls[:-1], x[:-1] * step + CLASSES + cls[1:]]), return_counts=True)
             cut = np.searchsorted(codes, n_words * step)
             w, c, n = _packed(codes[cut:] // step - n_words, codes[cut:] % step, ns[cut:])
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(w), pa.int32()), words.dictionary.take(pa.array(w)), c, n], names=names)
-            held.append((codes[:cut], ns[:cut]))
-            size += cut
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(w), pa.int32()), words.dictionary.take(pa.array(w)), pa.array(np.full(len(w), part), pa.int32()), c, n], names=names)
+            fixed = np.searchsorted(codes, n_top * step)  # of words that stay in their classes
+            held.append((codes[fixed:cut], ns[fixed:cut]))
+            size += cut - fixed
             if size > 4_000_000:
                 held = [merged()]
                 size = len(held[0][0])
@@ -272,7 +274,34 @@ def neighbours(encoded: DataFrame, core: dict) -> DataFrame:
         if held:
             yield from rows(*merged())
 
-    return encoded.select("_seq", "_rare", "_first").mapInArrow(run, "i int, w binary, codes array<smallint>, ns array<int>")
+    return encoded.select("_seq", "_rare", "_first").mapInArrow(run, "i int, w binary, part int, codes array<smallint>, ns array<int>")
+
+
+def _entries(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, n) of lists of (codes, ns), each row's code once, in order."""
+    inner = lists.flatten()
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    codes, ns = inner.field(0), inner.field(1)
+    row = np.repeat(row, codes.value_lengths().to_numpy(zero_copy_only=False))
+    key, at = np.unique(row * (2 * CLASSES) + codes.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    return key // (2 * CLASSES), key % (2 * CLASSES), np.bincount(at, ns.flatten().to_numpy(zero_copy_only=False)).astype(np.int64)
+
+
+def gathered(each: DataFrame, tasks: int) -> DataFrame:
+    """(i, w, p): each word's lists of neighbours, summed in a tree of FAN tasks a node, so that no row gathers what grows with the number of tasks."""
+
+    def run(batches):
+        for b in slices(batches, 20_000):
+            row, code, n = _entries(b.column(3))
+            at = np.searchsorted(row, np.arange(b.num_rows + 1))
+            offsets = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.ListArray.from_arrays(offsets, pa.array(code, pa.int16())), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int32()))], names=["i", "w", "part", "codes", "ns"])
+
+    lists = F.collect_list(F.struct("codes", "ns")).alias("p")  # at most 2 * CLASSES entries a word and task, or so
+    while tasks > FAN:
+        tasks = -(-tasks // FAN)
+        each = each.groupBy("i", "w", F.floor(F.col("part") / FAN).cast("int").alias("part")).agg(lists).mapInArrow(run, "i int, w binary, part int, codes array<smallint>, ns array<int>")
+    return each.groupBy("i", "w").agg(lists)
 
 
 def _f(x):
@@ -313,25 +342,19 @@ def best_classes(present: np.ndarray, owner: np.ndarray, code: np.ndarray, n: np
 def learn_classes(encoded: DataFrame, core: dict) -> dict:
     """The model: each word of the training texts moves to the class that its own neighbours ask for; encoded: training texts."""
     spark, vocab = encoded.sparkSession, core["vocab"]
-    shared = spark.sparkContext.broadcast((core["classes"], core["by_group"], core["follows"], core["n_top"]))
+    shared = spark.sparkContext.broadcast((core["classes"], core["by_group"], core["follows"]))
 
     def run(batches):
-        (frequent, by_group, g, n_top), groups = shared.value, _Groups()
+        (frequent, by_group, g), groups = shared.value, _Groups()
         for b in slices(batches, 20_000):
             i = b.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
             w = b.column(1).to_pylist()
             present = np.array([frequent[k] if x is None else by_group[groups[x[-3:]]] for k, x in zip(i, w, strict=True)], np.int64)
-            lists = b.column(2).flatten()  # of codes and counts, one for each task
-            owner = np.repeat(np.arange(len(w)), b.column(2).value_lengths().to_numpy(zero_copy_only=False))
-            codes, ns = lists.field(0), lists.field(1)
-            owner = np.repeat(owner, codes.value_lengths().to_numpy(zero_copy_only=False))
-            key, at = np.unique(owner * (2 * CLASSES) + codes.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-            n = np.bincount(at, ns.flatten().to_numpy(zero_copy_only=False))
-            best = best_classes(present, key // (2 * CLASSES), key % (2 * CLASSES), n, g)
-            fixed = (i >= 0) & (i < n_top)  # these have been exchanged one by one
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.where(fixed, present, best), pa.int32())], names=["i", "w", "cls"])
-
-    each = neighbours(encoded, core).groupBy("i", "w").agg(F.collect_list(F.struct("codes", "ns")).alias("p"))  # at most 2 * CLASSES entries a word and task
+            row, code, n = _entries(b.column(2))
+            best = best_classes(present, row, code, n, g)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best, pa.int32())], names=["i", "w", "cls"])
+
+    each = gathered(neighbours(encoded, core), encoded.rdd.getNumPartitions())
     moved = materialize(each.mapInArrow(run, "i int, w binary, cls int"), "classes")
     classes, counts = core["classes"].copy(), core["counts"]
     for r in moved.where("i is not null").select("i", "cls").toPandas().itertuples():  # at most FREQUENT rows

@@ -100,18 +100,19 @@ def _shares(x: np.ndarray, kinds: list[str], weights: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
-def train(labelled: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_language: int = PER_LANGUAGE) -> dict | None:
+def train(labelled: DataFrame, text_col="text", lang_col="lang", per_language: int = PER_LANGUAGE) -> dict | None:
     """A model from rows with text and language; None if there are none."""
     spark = labelled.sparkSession
     ship(spark)
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
+    h, chosen = F.xxhash64(F.lit("lang"), F.col(text_col)), F.lit(False)
+    counts = dict(usable.groupBy(lang_col).agg(F.approx_count_distinct(h, 0.02)).collect())  # a row a language
     if not counts:
         return None
-    h, chosen = F.xxhash64(F.lit("lang"), F.col(id_col), F.col(text_col)), F.lit(False)
     for lang, n in counts.items():
-        chosen = F.when(F.col(lang_col) == lang, below(h, per_language / n)).otherwise(chosen)
-    sample = usable.where(chosen).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+        chosen = F.when(F.col(lang_col) == lang, below(h, per_language / max(n, 1))).otherwise(chosen)
+    # copies are one text, in the count and in the sample, whatever their ids
+    sample = usable.where(chosen).groupBy(F.col(lang_col).alias("lang"), h.alias("h")).agg(F.min(text_col).alias("text")).select("text", "lang")
 
     def run(batches):
         for b in slices(batches):
@@ -167,5 +168,5 @@ def identify(docs: DataFrame, model: dict | None, text_col="text", keep: dict[st
 def query(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 4) == 2
-    model = train(docs.where(~held_out).select("doc_id", "text", "lang"))
+    model = train(docs.where(~held_out).select("text", "lang"))
     return identify(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": held_out})

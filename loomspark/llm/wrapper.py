@@ -1,8 +1,8 @@
 """Main text of web pages by wrapper induction.
 
 Pages of one host share a template. Each page becomes a tree of its containers, in which text blocks that follow each
-other (headings, paragraphs) are one node, and so are runs of like siblings. The tree that most different pages of the
-host have is the wrapper's skeleton; every page's tree is aligned with it by simple tree matching. A node is known by
+other (headings, paragraphs) are one node. The tree that most different pages of the host have is the wrapper's skeleton, in
+which siblings of equal shape in a row are one; every page's tree is aligned with it by simple tree matching. A node is known by
 its path, in the skeleton if it is matched and in its page's own tree if not, so that pages of a host's other templates
 vote together as well. Over all pages of the host, a node whose text is the same on all of at least three different
 pages that have it is template; a node whose text varies is a slot.
@@ -32,6 +32,7 @@ import zlib
 from functools import lru_cache
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -60,7 +61,6 @@ CANCEL = frozenset("has with without no not is show hide".split())
 SITE = frozenset("site global top".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar".split())
 DEPTH = 100
-MANY_KIDS = 64
 LEAST_PAGES, SUPPORT = 3, 200
 MAX_BROADCAST_CHARS = 32_000_000
 SALTS = 32
@@ -91,7 +91,8 @@ def _attributes(raw: str) -> tuple[str, int]:
     for m in _ATTRIBUTE.finditer(raw):
         found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     classes, ids = found.get("class", "").split(), found.get("id", "").split()
-    name = re.sub(r"\d+", "", " ".join([*classes[:2], *(f"#{i}" for i in ids[:1])]))
+    # numbers of three digits and more are those of pages and posts; shorter ones tell columns and parts of a layout apart
+    name = re.sub(r"\d{3,}", "", " ".join([*classes[:2], *(f"#{i}" for i in ids[:1])]))
     if "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower():
         return name, HIDDEN
     if found.get("role", "").lower() in ROLES:
@@ -229,12 +230,14 @@ def blocks(top: Element, drop=frozenset()) -> list[str]:
 
 
 class Node:
-    """Elements that are one node of a page's tree."""
+    """Elements that are one node of a page's tree, or a node of a skeleton, which has none. Nodes of equal shape are equal trees of labels."""
 
-    __slots__ = ("label", "kids", "elements", "key")
+    __slots__ = ("label", "kids", "elements", "key", "shape", "size")
 
     def __init__(self, label: str, kids: list, elements: list):
         self.label, self.kids, self.elements, self.key = label, kids, elements, 0
+        self.shape = xxhash.xxh64_intdigest(label.encode() + b"\0" + b"".join(k.shape.to_bytes(8, "little") for k in kids))
+        self.size = 1 + sum(k.size for k in kids)
 
     def chars(self) -> int:
         return sum(e.chars for e in self.elements)
@@ -257,18 +260,16 @@ def _is_layout(table: Element) -> bool:
 
 
 def tree(root: Element) -> Node:
-    """The page's containers; text blocks in a row are one node, "flow", and so are like siblings."""
+    """The page's containers; text blocks in a row are one node, "flow"."""
 
     def node(elements: list[Element], depth: int) -> Node:
         first, kids = elements[0], []
         if depth < DEPTH and first.tag not in LEAVES and (first.tag != "table" or any(map(_is_layout, elements))):
             inner = [k for e in elements for k in e.kids if not isinstance(k, str) and not k.skip and not k.inline]
-            many = len(inner) > MANY_KIDS
             groups: list[tuple] = []
             for k in inner:
-                flow = k.tag in TEXT_BLOCKS
-                label = "flow" if flow else f"{k.tag}.{k.name}"
-                if groups and groups[-1][0] == label and (flow or many or k.name):
+                label = "flow" if k.tag in TEXT_BLOCKS else f"{k.tag}.{k.name}"
+                if groups and groups[-1][0] == label == "flow":
                     groups[-1][1].append(k)
                 else:
                     groups.append((label, [k]))
@@ -279,44 +280,88 @@ def tree(root: Element) -> Node:
 
 
 def skeleton(t: Node) -> list:
-    """The labels of a tree, as nested lists."""
-    return [t.label, [skeleton(k) for k in t.kids]]
+    """The labels of a tree, as nested lists; of siblings of equal shape in a row, as items of a list are, one stands for all."""
+    return [t.label, [skeleton(k) for i, k in enumerate(t.kids) if not i or k.shape != t.kids[i - 1].shape]]
 
 
-def match(a: list, b: Node) -> tuple[int, list]:
-    """Simple tree matching of a skeleton and a tree: the largest number of nodes that pair up in order, roots paired, and the pairs."""
-    if a[0] != b.label:
+def _nodes(nested: list) -> Node:
+    return Node(nested[0], [_nodes(k) for k in nested[1]], [])
+
+
+def match(a: list | Node, b: Node) -> tuple[int, list]:
+    """Simple tree matching of a skeleton and a tree: the largest number of nodes that pair up in order, roots paired, and the pairs.
+
+    Trees of equal shape pair up whole, and siblings of equal shape at either end of both rows do with each other, as no other pairing has
+    more; what is between them is aligned, and each two shapes are compared once.
+    """
+    known: dict[tuple[int, int], int] = {}
+
+    def score(x: Node, y: Node) -> int:
+        if x.label != y.label:
+            return 0
+        if x.shape == y.shape:
+            return x.size
+        at = x.shape, y.shape
+        if at not in known:
+            known[at] = 1 + sum(score(p, q) for p, q in aligned(x.kids, y.kids))
+        return known[at]
+
+    def aligned(xs: list, ys: list) -> list:
+        head = 0
+        while head < min(len(xs), len(ys)) and xs[head].shape == ys[head].shape:
+            head += 1
+        tail = 0
+        while tail < min(len(xs), len(ys)) - head and xs[-1 - tail].shape == ys[-1 - tail].shape:
+            tail += 1
+        mid = _aligned(xs[head : len(xs) - tail], ys[head : len(ys) - tail], score)
+        return [*zip(xs[:head], ys[:head], strict=True), *mid, *zip(xs[len(xs) - tail :], ys[len(ys) - tail :], strict=True)]
+
+    a = _nodes(a) if isinstance(a, list) else a
+    if a.label != b.label:
         return 0, []
-    xs, ys = a[1], b.kids
-    if len(xs) * len(ys) > MANY_KIDS * MANY_KIDS:  # very many siblings: the n-th of a label pairs with the n-th
-        seen: dict[str, list] = {}
-        for x in xs:
-            seen.setdefault(x[0], []).append(x)
-        score, pairs, used = 1, [(a, b)], dict.fromkeys(seen, 0)
-        for y in ys:
-            n = used.get(y.label)
-            if n is not None and n < len(seen[y.label]):
-                used[y.label] = n + 1
-                s, p = match(seen[y.label][n], y)
-                score, pairs = score + s, pairs + p
-        return score, pairs
-    m, n = len(xs), len(ys)
-    own = [[match(x, y) for y in ys] for x in xs]
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(m):
-        row, above = best[i + 1], best[i]
-        for j in range(n):
-            row[j + 1] = max(above[j + 1], row[j], above[j] + own[i][j][0])
-    pairs, i, j = [(a, b)], m, n
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs += own[i][j][1]
-    return best[m][n] + 1, pairs
+    pairs, todo = [], [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        pairs.append((x, y))
+        todo += aligned(x.kids, y.kids) if x.shape != y.shape else zip(x.kids, y.kids, strict=True)
+    return score(a, b), pairs
+
+
+def _aligned(xs: list, ys: list, score) -> list:
+    """Pairs of two rows of siblings, in order, whose scores sum to the most; halves of long rows are aligned by themselves, so that memory stays that of one row."""
+    if not xs or not ys:
+        return []
+    kinds: dict[int, int] = {}
+    at = np.array([kinds.setdefault(y.shape, len(kinds)) for y in ys])
+    of = {y.shape: y for y in ys}
+    rows: dict[int, np.ndarray] = {}
+
+    def gains(x: Node) -> np.ndarray:
+        if x.shape not in rows:
+            rows[x.shape] = np.array([score(x, of[k]) for k in kinds])[at]
+        return rows[x.shape]
+
+    def last(xs, lo: int, hi: int, back: bool) -> np.ndarray:
+        best = np.zeros(hi - lo + 1, np.int64)
+        for x in reversed(xs) if back else xs:
+            g = gains(x)[lo:hi]
+            best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + (g[::-1] if back else g)))
+        return best
+
+    out, todo = [], [(0, len(xs), 0, len(ys))]
+    while todo:
+        a, b, lo, hi = todo.pop()
+        if a == b or lo == hi:
+            continue
+        if b - a == 1:
+            g = gains(xs[a])[lo:hi]
+            if g.max() > 0:
+                out.append((a, lo + int(g.argmax())))
+            continue
+        mid = (a + b) // 2
+        cut = lo + int((last(xs[a:mid], lo, hi, False) + last(xs[mid:b], lo, hi, True)[::-1]).argmax())
+        todo += [(a, mid, lo, cut), (mid, b, cut, hi)]
+    return [(xs[i], ys[j]) for i, j in sorted(out)]
 
 
 def _below(key: int, label: str, n: int) -> int:
@@ -324,34 +369,29 @@ def _below(key: int, label: str, n: int) -> int:
 
 
 @lru_cache(maxsize=256)
-def _numbered(text: str) -> tuple[list, dict, int]:
-    """A skeleton, the key of each of its nodes by id(), and how many it has."""
-    sk, keys = json.loads(text), {}
-    keys[id(sk)] = 1
+def _numbered(text: str) -> Node:
+    """A skeleton with the key of each of its nodes."""
+    sk = _nodes(json.loads(text))
+    sk.key = 1
     todo = [sk]
     while todo:
         t = todo.pop()
         seen: dict[str, int] = {}
-        for k in t[1]:
-            seen[k[0]] = n = seen.get(k[0], -1) + 1
-            keys[id(k)] = _below(keys[id(t)], k[0], n)
+        for k in t.kids:
+            seen[k.label] = n = seen.get(k.label, -1) + 1
+            k.key = _below(t.key, k.label, n)
             todo.append(k)
-    return sk, keys, len(keys)
+    return sk
 
 
 def assign_keys(t: Node, text: str | None) -> None:
     """Give each node of a page's tree its key: its path in the skeleton if it is matched there, else in its own tree."""
     paired: dict[int, int] = {}
     if text:
-        sk, keys, size = _numbered(text)
+        sk = _numbered(text)
         score, pairs = match(sk, t)
-        own = 0
-        todo = [t]
-        while todo:
-            own += 1
-            todo += todo.pop().kids
-        if score >= 0.6 * min(own, size):
-            paired = {id(p): keys[id(s)] for s, p in pairs}
+        if score >= 0.6 * min(t.size, sk.size):
+            paired = {id(p): s.key for s, p in pairs}
     t.key = 1
     todo = [t]
     while todo:
@@ -503,6 +543,9 @@ def _place(t: Node, known: dict[int, int]) -> Node:
         if t.label.startswith("article."):
             return t
         total = max(1, sum(_value(k, known) for k in t.kids))
+        articles = [k for k in t.kids if k.label.startswith("article.") and 0 < k.links() + k.chars() >= 2 * k.links()]
+        if len(articles) > 1 and sum(k.chars() for k in articles) >= 0.6 * sum(k.chars() for k in t.kids):
+            return t  # a page of several articles
         best, most = None, 0.0
         for k in t.kids:
             v = float(_value(k, known))

@@ -275,6 +275,19 @@ def test_brown_model_without_training_texts_and_on_held_out_ones(spark, docs, no
     assert (held[0] - held[1]) / held[2] > 0.05  # each token is likelier by an eighth, on 200 texts
 
 
+def test_neighbour_counts_are_summed_in_a_tree(spark, monkeypatch):
+    rows = [(i if i < 3 else None, None if i < 3 else b"w%d" % i, part, [i, i + part % 3 + 1], [1, part]) for i in range(5) for part in range(23) if (i + part) % 4]
+    each = spark.createDataFrame(rows, "i int, w binary, part int, codes array<smallint>, ns array<int>")
+
+    def sums(df):
+        return {(r.i, r.w): sum((collections.Counter(dict(zip(p.codes, p.ns, strict=True))) for p in r.p), collections.Counter()) for r in df.collect()}
+
+    want = sums(brown_lm.gathered(each, 23))
+    monkeypatch.setattr(brown_lm, "FAN", 3)
+    tree = brown_lm.gathered(each, 23).collect()
+    assert sums(brown_lm.gathered(each, 23)) == want and max(len(r.p) for r in tree) <= 3
+
+
 def test_words_move_to_the_class_of_most_likelihood(monkeypatch):
     monkeypatch.setattr(brown_lm, "CLASSES", 3)
     rng = np.random.default_rng(9)
@@ -313,6 +326,16 @@ def test_language_of_held_out_texts(spark, docs, none):
     assert language_id.train(none) is None and {r.lang_pred for r in language_id.identify(docs, None, keep={"doc_id": F.col("doc_id")}).collect()} == {"und"}
 
 
+def test_languages_of_copies_are_learned(spark):
+    de = "der schnelle braune Fuchs springt über den faulen Hund und die Katze schläft"
+    for ids in ("id", "0", "null"):
+        copies = spark.range(3000).selectExpr(f"cast({ids} as bigint) as doc_id", f"'{de}' as text", "'de' as lang")
+        rows = copies.unionByName(spark.range(3000).selectExpr("id + 5000 as doc_id", "concat('the quick brown fox number ', id, ' jumps over a lazy dog and the cat') as text", "'en' as lang"))
+        model = language_id.train(rows.select("text", "lang"))
+        langs, _ = language_id.predict(model, [de, "the quick brown dog and the lazy fox"])
+        assert langs == ["de", "en"]
+
+
 def test_toxicity_of_held_out_texts(spark, docs, none):
     got = registry.queries()["op7_toxicity"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").toPandas()
     assert got.score.between(0, 1).all() and got[got.toxic == 0].predicted.mean() < 0.05 and got[got.toxic == 1].predicted.mean() > 0.5

@@ -68,6 +68,58 @@ def test_edges(spark):
     assert wrapper.extract(spark.createDataFrame([], "url string, html string")).count() == 0
 
 
+def test_numbered_containers_are_told_apart(spark):
+    columns = "<body><div class='row'><div class='col-md-3'><p>Menu of the shop</p><p>All of our brands</p></div><div class='col-md-9'><h1>C {i}</h1><p>{t}</p></div></div></body>"
+    parts = "<body><div class=x1><p>The head of every page here</p></div><div class=x2><p>{t}</p><p>tail {i}</p></div><div class=x3><p>Made by hand in the north</p></div></body>"
+    rows = "<body><div class=row><p>Top of all pages</p></div><div class=row><p>{t}</p></div><div class=row><p>Foot of all pages</p></div></body>"
+    posts = "<body><div id='post-{n}'><p>{t}</p></div><div id='box-{n}'><p>Same box below each post of ours</p></div></body>"
+    pages = [(f"http://{h}.example/{i}", p.format(i=i, t=prose(i, 40), n=1000 + 37 * i)) for h, p in (("columns", columns), ("parts", parts), ("rows", rows), ("posts", posts)) for i in range(7)]
+    got = extract(spark, pages)
+    for i in range(7):
+        assert got[i] == f"C {i}\n{prose(i, 40)}"
+        assert got[7 + i] == f"{prose(i, 40)}\ntail {i}"
+        assert got[14 + i] == prose(i, 40)
+        assert got[21 + i] == prose(i, 40)
+
+    fixed = f"<body><div class=y1><p>{prose(77, 90)}</p></div><div class=y2><p>{{t}}</p></div></body>"
+    pages = [(f"http://fixed.example/{i}", fixed.format(t=prose(i, 40))) for i in range(7)]
+    assert extract(spark, pages) == {i: prose(i, 40) for i in range(7)}
+    assert all(prose(77, 90) in wrapper.main_text(html) for _, html in pages)  # without votes nothing tells it
+
+
+def test_very_many_siblings_are_aligned(spark):
+    page = "<body>" + "<div><p>Words that stand on all the pages</p></div>" * 150 + "{extra}<div><h1>S {i}</h1><p>{t}</p></div>" + "<div><p>Words that stand below on all of them</p></div>" * 150 + "</body>"
+    rows = [("http://siblings.example/%d" % i, page.format(i=i, t=prose(i, 60), extra="<div><table><tr><td><p>today</p></td></tr></table></div>" * (i % 2))) for i in range(6)]
+    got = extract(spark, rows)
+    for i in range(6):
+        text = got[i].split("\n")
+        assert f"S {i}" in text and prose(i, 60) in text and "Words that stand on all the pages" not in text
+
+
+def test_long_rows_are_aligned_as_short_ones():
+    import random
+
+    r = random.Random(9)
+    kinds = [wrapper.Node(k, [wrapper.Node(c, [], []) for c in "xy"[: i % 3]], []) for i, k in enumerate("aabbcc")]
+    for _ in range(40):
+        xs, ys = ([r.choice(kinds) for _ in range(r.randint(0, 40))] for _ in range(2))
+        score = lambda a, b: a.size if a.shape == b.shape else (a.label == b.label)
+        best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        for i, x in enumerate(xs):
+            for j, y in enumerate(ys):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + score(x, y))
+        pairs = wrapper._aligned(xs, ys, score)
+        assert sum(score(x, y) for x, y in pairs) == best[-1][-1]
+        ids = [[id(n) for n in row] for row in (xs, ys)]
+        assert wrapper.match(wrapper.Node("r", xs, []), wrapper.Node("r", ys, []))[0] >= best[-1][-1] + 1 and len(ids[0]) == len(xs)
+
+
+def test_pages_of_several_articles(spark):
+    page = "<body><nav>menu</nav><main><article><h2>A {0}</h2><p>{1}</p></article><article><h2>B {0}</h2><p>{2}</p></article></main><footer>foot</footer></body>"
+    got = extract(spark, [("http://two.example/%d" % i, page.format(i, prose(i, 30), prose(i + 9, 20))) for i in range(4)])
+    assert [got[i] for i in range(4)] == [f"A {i}\n{prose(i, 30)}\nB {i}\n{prose(i + 9, 20)}" for i in range(4)]
+
+
 def test_simple_tree_matching_equals_brute_force():
     import random
 
