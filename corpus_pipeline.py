@@ -5,7 +5,7 @@ stages are Parquet in the folder that driver and executors share.
 
 Edge cases: a stage passes on an empty table as one; documents with null or empty text are clean, are near
 duplicates of each other, and are taken by no mix. Rows that share a doc_id, or have none, but differ in their texts are
-documents of their own; rows repeated with id and text are one. Further columns are kept, whatever their names.
+documents of their own; of rows with one id and text the one whose hash is least stays. Further columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,7 +42,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     parts = simhash.connected_components(simhash.near_links(fps.select("fp", F.col("fp").alias("rep"))))  # fingerprints are their own nodes, whatever ids are
     grouped = own.join(parts, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp").alias("component"))
     kept = grouped.agg(F.min("key").alias("first"))
-    return _keyed(docs).join(kept, F.col("key") == F.col("first"), "left_semi").dropDuplicates(["key"]).select("row.*")
+    rows = _keyed(docs).join(kept, F.col("key") == F.col("first"), "left_semi")
+    return rows.groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")  # rows that differ elsewhere: the one of the least hash
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
