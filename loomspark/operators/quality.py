@@ -145,3 +145,30 @@ def shape_features(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def union_by_name(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+def column_fingerprints(df: DataFrame, cols: list[str], rows: list[str]) -> DataFrame:
+    """(column_name, kind, fingerprint): a sum over rows of hashes of the row and the value, in one scan and whatever the rows' order.
+
+    rows: columns that tell rows apart; equal fingerprints of one kind mean equal columns, but for a chance of some 2^-64. Numbers are compared
+    as doubles, minus zero is zero, and all NaN are one.
+    """
+    kinds = {c: "number" if t in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean") or t.startswith("decimal") else t for c, t in df.dtypes}
+    own = F.xxhash64(*[F.col(f"`{c}`") for c in rows])
+
+    def value(c: str):
+        x = F.col(f"`{c}`").cast("double") + F.lit(0.0) if kinds[c] == "number" else F.col(f"`{c}`")
+        return F.xxhash64(F.lit(7), "_row", x, x.isNull())
+
+    sums = df.withColumn("_row", own).agg(*[F.sum(value(c).cast("decimal(20,0)")).alias(f"c{i}") for i, c in enumerate(cols)])
+    each = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("kind"), F.col(f"c{i}").cast("string").alias("fingerprint")) for i, c in enumerate(cols)])
+    return sums.select(F.explode(each).alias("x")).select("x.*")
+
+
+def drop_equal(df: DataFrame, cols: list[str], rows: list[str]) -> list[str]:
+    """The columns that stay: of those that are equal in all rows, the first."""
+    first: dict[tuple, str] = {}
+    found = {r.column_name: (r.kind, r.fingerprint) for r in column_fingerprints(df, cols, rows).collect()} if cols else {}  # a row a column
+    for c in cols:
+        first.setdefault(found[c], c)
+    return [c for c in cols if first[found[c]] == c]

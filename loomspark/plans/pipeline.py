@@ -38,8 +38,11 @@ def parts_of(column: str, others: list[str]) -> list[str]:
     return sorted(found)
 
 
-def build(df: DataFrame, groups=(), values=None, texts=(), target: str | None = None, ranks=(), signal: bool = True, on_custom: int = 0) -> FeatureTable:
-    """All operators' columns, lower-case, each name once; columns that never vary are left out; on_custom: so many of the domain operators' numbers go through the generic ones too."""
+def build(df: DataFrame, groups=(), values=None, texts=(), target: str | None = None, ranks=(), signal: bool = True, on_custom: int = 0, most_groups: int = 3, most_values: int = 5, unequal: bool = True) -> FeatureTable:
+    """All operators' columns, lower-case, each name once; columns that never vary, and made columns that equal one before them, are left out.
+
+    on_custom: so many of the domain operators' numbers go through the generic ones too; most_groups, most_values: so many columns of either kind have group statistics.
+    """
     lineage = {c.lower(): "original" for c in df.columns}
     values = usable_columns(df, list(values) if values is not None else None)
     out = df
@@ -53,7 +56,7 @@ def build(df: DataFrame, groups=(), values=None, texts=(), target: str | None =
     values = [*values, *custom]
     if values:
         if groups:
-            out = statistical.statistical_features(out, list(groups)[:3], values[:5])
+            out = statistical.statistical_features(out, list(groups)[:most_groups], values[:most_values])
         out = polynomial.polynomial_features(out, values)
         out = binning.binning_features(out, values)
         note("generic")
@@ -68,6 +71,10 @@ def build(df: DataFrame, groups=(), values=None, texts=(), target: str | None =
         made = [c for c in out.columns if lineage[c.lower()] != "original"]
         keep = set(quality.signal_columns(out, made)) if made else set()
         out = out.select(*[c for c in out.columns if lineage[c.lower()] == "original" or c in keep])
+    if unequal:
+        rows = [c for c in out.columns if lineage[c.lower()] == "original"]
+        keep = set(quality.drop_equal(out, [c for c in out.columns if c not in rows], rows))
+        out = out.select(*[c for c in out.columns if c in rows or c in keep])
     out = out.toDF(*[c.lower() for c in out.columns])
     names = [c for c in out.columns if lineage[c] != "generic"]
     return FeatureTable(out, {c: lineage[c] for c in out.columns}, {c: parts_of(c, names) for c in out.columns if lineage[c] == "generic"})

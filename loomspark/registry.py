@@ -510,6 +510,21 @@ def _pruned(spark, d):
     return spark.createDataFrame([(c,) for c in kept], "kept string")
 
 
+_TWINS = {"same": "l_quantity", "times": "l_quantity * 1.0", "text": "CAST(l_linenumber AS VARCHAR(9))", "other": "CASE WHEN l_orderkey = 7 THEN l_quantity + 1 ELSE l_quantity END", "line": "l_linenumber + 0", "gaps": "CASE WHEN l_tax > 0 THEN l_tax END", "gaps_again": "nullif(l_tax, 0)"}
+
+
+@_query(
+    "equal_columns",
+    f"WITH t AS (SELECT l_quantity, l_linenumber, {', '.join(f'{x} AS {n}' for n, x in _TWINS.items())} FROM lineitem) SELECT 'l_quantity' AS kept UNION ALL SELECT 'l_linenumber' UNION ALL SELECT 'text' UNION ALL SELECT 'gaps' "
+    + "".join(f" UNION ALL SELECT '{n}' FROM t HAVING " + " AND ".join(f"count(*) FILTER ({n} IS DISTINCT FROM {m}) > 0" for m in ms) for n, ms in {"same": ["l_quantity"], "times": ["l_quantity"], "other": ["l_quantity"], "line": ["l_linenumber"], "gaps_again": ["gaps"]}.items()),
+)
+def _equal(spark, d):
+    _t(spark, d, "lineitem").createOrReplaceTempView("lineitem")
+    df = spark.sql(f"SELECT l_orderkey, l_linenumber, l_quantity, l_tax, {', '.join(f'{x} AS {n}' for n, x in _TWINS.items())} FROM lineitem")
+    kept = quality.drop_equal(df, ["l_quantity", "l_linenumber", *_TWINS], ["l_orderkey", "l_linenumber", "l_quantity", "l_tax"])
+    return spark.createDataFrame([(c,) for c in kept], "kept string")
+
+
 @_query("low_variance", " UNION ALL ".join(f"SELECT '{c}' AS kept FROM lineitem HAVING var_samp({c}) > 0.01" for c in ("l_quantity", "l_discount", "l_tax", "l_extendedprice")))
 def _low_variance(spark, d):
     kept = quality.drop_low_variance(_t(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax", "l_extendedprice"], 0.01)
