@@ -18,12 +18,12 @@ def _with_tables(q: str) -> str:
     return f"WITH {own[1] or ''}" + ", ".join([*used, q[own.end() :]]) if own else "WITH " + ", ".join(used) + " " + q
 
 
-def _query(name: str, sql: str):
+def _query(name: str, sql: str, digits: int = 6):
     def add(f):
         def run(spark, sf_dir):
             df = f(store.from_sales(spark, sf_dir))
             whole = ("int", "smallint")
-            return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in whole else F.col(c) for c, t in df.dtypes])
+            return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in whole else F.col(c) for c, t in df.dtypes])
 
         QUERIES[f"store_{name}"] = run
         SQL[f"store_{name}"] = _with_tables(sql)
@@ -32,8 +32,8 @@ def _query(name: str, sql: str):
     return add
 
 
-def _num(x: str, name: str) -> str:
-    return f"round(CAST({x} AS DOUBLE), 6) AS {name}"
+def _num(x: str, name: str, digits: int = 6) -> str:
+    return f"round(CAST({x} AS DOUBLE), {digits}) AS {name}"
 
 
 def _int(x: str, name: str) -> str:
@@ -57,7 +57,7 @@ _MATRIX = ["d0", "d1", "d2", "d3", "d4"]
 _query("impact_matrix", f"WITH {_STATS}, b AS (SELECT feature_no, feature_name FROM s WHERE uses > 0 ORDER BY round(abs(avg_impact), 9) DESC, feature_name LIMIT 8) SELECT feature_name, " + ", ".join(_num(f"avg(delta) FILTER (dataset_name = '{d}')", d) for d in _MATRIX) + " FROM b JOIN impact USING (feature_no) JOIN sessions USING (session_id) GROUP BY feature_name")(lambda s: store.impact_matrix(s, _MATRIX, 8))
 
 _PAIRS = "p AS (SELECT u.feature_no, i.feature_no AS paired, count(DISTINCT i.session_id) AS n_sessions, avg(i.delta) AS avg_impact FROM (SELECT DISTINCT session_id, feature_no FROM impact) u JOIN impact i ON u.session_id = i.session_id AND u.feature_no <> i.feature_no GROUP BY 1, 2), q AS (SELECT *, row_number() OVER (PARTITION BY feature_no ORDER BY round(avg_impact, 9) DESC, paired) AS place FROM p)"
-_query("combinations", f"WITH {_PAIRS} SELECT feature_no, paired, {_int('n_sessions', 'n_sessions')}, {_num('avg_impact', 'avg_impact')}, {_int('place', 'place')} FROM q WHERE place <= 3")(lambda s: store.combinations(s, 3))
+_query("combinations", f"WITH {_PAIRS} SELECT feature_no, paired, {_int('n_sessions', 'n_sessions')}, {_num('avg_impact', 'avg_impact', 9)}, {_int('place', 'place')} FROM q WHERE place <= 3", 9)(lambda s: store.combinations(s, 3))
 _query(
     "recommendations",
     f"WITH {_STATS}, {_PAIRS}, mine AS (SELECT DISTINCT feature_no FROM impact WHERE session_id = 's7'), top AS (SELECT * FROM s WHERE n_sessions >= 1 ORDER BY round(avg_impact, 9) DESC, feature_name LIMIT 200), y AS (SELECT feature_no, sum(avg_impact) AS syn FROM q WHERE place <= 5 AND paired IN (SELECT feature_no FROM mine) GROUP BY feature_no), "
@@ -89,9 +89,9 @@ _query(
 )(lambda s: store.performance_summary(s, "1996-03-20", 60))
 
 _SESSIONS = f"l AS (SELECT session_id, status, dataset_name, best_score, total_iterations, (SELECT count(*) FROM history h WHERE h.session_id = x.session_id) AS nodes, (SELECT count(DISTINCT operation) FROM history h WHERE h.session_id = x.session_id) AS operations, best_score * 3600 / nullif(seconds, 0) AS score_per_hour FROM sessions x)"
-_LIST = f"session_id, status, dataset_name, {_num('best_score', 'best_score')}, total_iterations, {_int('nodes', 'nodes')}, {_int('operations', 'operations')}, {_num('score_per_hour', 'score_per_hour')}"
-_query("list_sessions", f"WITH {_SESSIONS} SELECT {_LIST} FROM (SELECT * FROM l WHERE status = 'completed' AND best_score >= 0.2 ORDER BY best_score DESC, session_id LIMIT 10)")(lambda s: store.list_sessions(s, "completed", least_score=0.2))
-_query("compare_sessions", f"WITH {_SESSIONS}, k AS (SELECT * FROM l WHERE session_id IN ('s1', 's2', 's39')) SELECT {_LIST}, {_num('(SELECT max(best_score) FROM k) - best_score', 'behind')} FROM k")(lambda s: store.compare_sessions(s, ["s1", "s2", "s39"]))
+_LIST = f"session_id, status, dataset_name, {_num('best_score', 'best_score')}, total_iterations, {_int('nodes', 'nodes')}, {_int('operations', 'operations')}, {_num('score_per_hour', 'score_per_hour', 9)}"
+_query("list_sessions", f"WITH {_SESSIONS} SELECT {_LIST} FROM (SELECT * FROM l WHERE status = 'completed' AND best_score >= 0.2 ORDER BY best_score DESC, session_id LIMIT 10)", 9)(lambda s: store.list_sessions(s, "completed", least_score=0.2))
+_query("compare_sessions", f"WITH {_SESSIONS}, k AS (SELECT * FROM l WHERE session_id IN ('s1', 's2', 's39')) SELECT {_LIST}, {_num('(SELECT max(best_score) FROM k) - best_score', 'behind')} FROM k", 9)(lambda s: store.compare_sessions(s, ["s1", "s2", "s39"]))
 _query("cleanup_candidates", f"SELECT session_id, CASE WHEN status = 'interrupted' THEN 'interrupted' WHEN status = 'active' AND total_iterations = 0 THEN 'no progress' ELSE 'test' END AS reason, {_int('(SELECT count(*) FROM history h WHERE h.session_id = x.session_id)', 'n_history')}, {_int('(SELECT count(*) FROM impact i WHERE i.session_id = x.session_id)', 'n_impact')} FROM sessions x WHERE status = 'interrupted' OR (status = 'active' AND total_iterations = 0) OR is_test_mode")(store.cleanup_candidates)
 _query("sessions_left", "SELECT session_id FROM sessions WHERE NOT (status = 'interrupted' OR (status = 'active' AND total_iterations = 0) OR is_test_mode)")(lambda s: store.without_sessions(s, store.cleanup_candidates(s)).sessions.select("session_id"))
 
