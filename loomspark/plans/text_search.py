@@ -27,7 +27,7 @@ def grams(text: Column, n: int) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """texts: (key, role, text), lower-case; grams: (gram, n_texts, role, key)."""
+    """texts: (key, role, text, letters), lower-case, with the letters of names; grams: (gram, n_texts, role, key)."""
 
     texts: DataFrame
     grams: DataFrame
@@ -38,7 +38,8 @@ def build(df: DataFrame, key: str, roles: dict[str, list[str]]) -> Index:
     if unknown := set(roles) - set(ROLES):
         raise ValueError(f"unknown roles: {sorted(unknown)}")
     cols = [F.struct(F.lit(r).alias("role"), F.lower(F.col(c).cast("string")).alias("text")) for r, cs in roles.items() for c in cs]
-    texts = materialize(df.select(F.col(key).alias("key"), F.explode(F.array(*cols)).alias("x")).select("key", "x.role", "x.text").where("text <> ''"), "texts")
+    texts = df.select(F.col(key).alias("key"), F.explode(F.array(*cols)).alias("x")).select("key", "x.role", "x.text").where("text <> ''")
+    texts = materialize(texts.withColumn("letters", F.when(F.col("role") == "name", grams(F.col("text"), 1))), "texts")
     each = texts.select("key", "role", F.explode(F.concat(*[grams(F.col("text"), n) for n in (1, 2, 3)])).alias("gram")).distinct()
     sizes = each.groupBy("gram").agg(F.count("*").alias("n_texts"))
     return Index(texts, materialize(each.join(sizes, "gram"), "grams"))
@@ -61,9 +62,9 @@ def _candidates(index: Index, queries: DataFrame, similar: float) -> DataFrame:
 def search(index: Index, queries: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(query, key, score, reasons) of every match; queries has a column `query`. The name counts once, as the best kind of match that it is."""
     asked = queries.select(F.lower("query").alias("query")).where("query <> ''").distinct()
-    pairs = _candidates(index, asked, similar).join(index.texts, "key")
-    has, name, letters = F.contains("text", F.col("query")), F.col("role") == "name", grams(F.col("query"), 1)
-    share = F.size(F.array_intersect(letters, grams(F.col("text"), 1))) / F.size(letters)
+    pairs = _candidates(index, asked, similar).join(index.texts, "key").join(asked.withColumn("own", grams(F.col("query"), 1)), "query")
+    has, name = F.contains("text", F.col("query")), F.col("role") == "name"
+    share = F.size(F.array_intersect("own", "letters")) / F.size("own")
     kind = F.when(name & (F.col("text") == F.col("query")), "exact name").when(name & has, "name").when(name & (share >= similar - 1e-9), "similar name").when(~name & has, F.col("role"))
     found = pairs.select("query", "key", kind.alias("kind")).where("kind is not null").distinct()
     points = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in WEIGHTS.items()])
