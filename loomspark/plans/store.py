@@ -226,20 +226,20 @@ def resolve_session(store: Store, text: str) -> str:
     raise LookupError(f"no such session: {text}")
 
 
-def node_depths(history: DataFrame, most: int = 1_000_000) -> DataFrame:
+def node_depths(history: DataFrame) -> DataFrame:
     """(node_id, depth) of all nodes below the roots, by doubling: each node's link jumps twice as far in each round, so that a tree of any depth takes few.
 
     Nodes on a cycle or below one that is missing have no depth.
     """
     links = history.select("node_id", F.when(F.col("parent_id") == F.col("node_id"), None).otherwise(F.col("parent_id")).alias("up")).dropDuplicates(["node_id"])
     now = materialize(links.select("node_id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth")), "depths")
-    reach = 1
-    while reach <= most and not now.where("up is not null").isEmpty():
+    left = None
+    while (open_ := now.where("up is not null").count()) and open_ != left:  # a round that settles no node leaves cycles only
+        left = open_
         above = now.select(F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
         joined = now.where("up is not null").join(above, "up")  # a missing node has no row: its descendants drop out
         last, now = now, materialize(now.where("up is null").unionByName(joined.select("node_id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))), "depths")
         drop_table(last)
-        reach *= 2
     return now.where("up is null").select("node_id", "depth")
 
 
