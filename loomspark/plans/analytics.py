@@ -18,7 +18,8 @@ SOURCES = {
         CAST(floor(o_orderkey / 25) AS BIGINT) AS iteration, o_orderpriority AS operation, o_totalprice / 1000000 AS score, CAST(o_custkey % 60 AS BIGINT) AS visits, o_orderdate AS ts, CAST(o_orderkey % 7 AS DOUBLE) AS seconds,
         o_totalprice / 300 AS memory_mb, CASE WHEN o_custkey % 60 = 0 THEN CAST('infinity' AS DOUBLE) WHEN o_custkey % 60 = 7 THEN NULL ELSE o_totalprice / 100000 END AS ucb, '[' || repeat('1,', CAST(o_custkey % 35 AS INT)) || '0]' AS features_after FROM orders""",
     "impact": """SELECT 's' || CAST(l_orderkey % 40 AS VARCHAR(9)) AS session_id, CAST(l_partkey % 300 AS BIGINT) AS feature_no, l_discount - 0.05e0 AS delta, l_extendedprice AS weight FROM lineitem""",
-    "catalog": """SELECT CAST(p_partkey % 320 AS BIGINT) AS feature_no, 'f_' || min(p_brand) || '_' || CAST(p_partkey % 320 AS VARCHAR(9)) AS feature_name, min(p_type) AS category, max(p_size) AS cost FROM part GROUP BY p_partkey % 320""",
+    "catalog": """SELECT CAST(p_partkey % 320 AS BIGINT) AS feature_no, 'f_' || min(p_brand) || '_' || CAST(p_partkey % 320 AS VARCHAR(9)) AS feature_name, min(p_type) AS category, max(p_size) AS cost,
+        CASE p_partkey % 320 % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'int' ELSE 'float' END AS data_type, p_partkey % 320 % 17 <> 3 AS is_active FROM part GROUP BY p_partkey % 320""",
 }
 
 QUERIES = {

@@ -21,7 +21,7 @@ from .analytics import SOURCES
 class Store:
     """sessions (session_id, session_name, status, dataset_name, total_iterations, best_score, is_test_mode, start_time, seconds), history (session_id, node_id, parent_id,
     iteration, operation, score, visits, ucb, ts, seconds, memory_mb, features_after as JSON), impact (session_id, feature_no, delta, weight), catalog (feature_no,
-    feature_name, category, cost)."""
+    feature_name, category, cost, data_type, is_active)."""
 
     sessions: DataFrame
     history: DataFrame
