@@ -2,14 +2,16 @@
 
 A text becomes words. Each rule is a regular expression over words with one keyword marked by `@`; rules are tried only
 around the words that are some rule's keyword, as far as the longest text of any rule reaches, and only if the text near them also has the word the rule needs. A
-match is an interval of words with the rule's label and priority. A match is suppressed if a match of the same or a
+match is an interval of words with the rule's label and priority. Expressions after `SPDX-License-Identifier:` are read from the text itself, whatever licenses they
+name: operands with `+`, AND, OR, WITH and parentheses. One operator alone: its operands without repeats, shorter first, joined by it; both: as written. A match is suppressed if a match of the same or a
 stronger priority covers its interval; equal intervals go to the stronger, then the earlier rule.
 
 Scale: one pass over the texts; what moves is one row for each keyword found, with its neighbouring words, and one for
 each document. The rules are a fixed table of some hundreds of rows, so they may be broadcast.
 
-Edge cases: null and empty texts have no words and no labels; a document is known by doc_id and text, so rows
-repeated in full give one row; phrases may overlap. Other columns are ignored.
+Edge cases: null and empty texts have no words and no labels; each row is a document of its own, so rows repeated in full
+give a row each; phrases may overlap; a tag without an expression names no license; parentheses too many or too few at an
+expression's end are dropped or added. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -203,10 +205,46 @@ def reach() -> tuple[int, int]:
     return max(before.count(" ") for before, _ in sides), max(after.count(" ") for _, after in sides)
 
 
+#: A word's character, for looking around.
+IN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
+#: What stands before the expression of a tag.
+TAG = "spdx-license-identifier"
+#: Marks the tags whose expression is read; this private character is another one in the texts.
+MARK, UNMARKED = "\ue0f1", "\ue0f2"
+_ID = rf"[a-z0-9]++(?:[.:-]++[a-z0-9]++)*+\+?+(?!{IN_WORD})"
+_OPERAND = rf"(?:\([ \t]*+)*+{_ID}(?:[ \t]*+\))*+"
+#: An expression: operands joined by operators, on one line.
+EXPRESSION = rf"^[ \t]*({_OPERAND}(?:[ \t]++(?:and|or|with)[ \t]++{_OPERAND})*+)"
+
+
+def operands(x: Column) -> Column:
+    """The licenses of an expression, with their exceptions, without repeats, shorter first; `+` is `-or-later`."""
+    x = F.replace(F.regexp_replace(F.translate(x, "()\t", "   "), " {2,}", " "), F.lit("+"), F.lit("-or-later"))
+    x = F.replace(F.regexp_replace(x, " or later(?![a-z0-9.:-])", "-or-later"), F.lit(" with "), F.lit("-with-"))
+    each = F.array_distinct(F.split(F.trim(x), " (?:and|or) "))
+    return F.transform(F.array_sort(F.transform(each, lambda o: F.struct(F.length(o).alias("n"), o.alias("o")))), lambda o: o["o"])
+
+
+def expression_label(x: Column) -> Column:
+    """The label of an expression."""
+    y = F.replace(F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"(?<=\() | (?=\))", ""), F.lit("+"), F.lit("-or-later"))
+    y = F.regexp_replace(F.regexp_replace(y, " or later(?![a-z0-9.:-])", "-or-later"), " (with) ", "-$1-")
+    mixed = y.contains(" and ") & y.contains(" or ")
+    bare = F.rtrim(y, F.lit(")"))
+    n = lambda c: F.length(y) - F.length(F.replace(y, F.lit(c), F.lit("")))
+    closing = F.length(y) - F.length(bare) + n("(") - n(")")
+    whole = F.regexp_replace(F.concat(bare, F.repeat(F.lit(")"), F.greatest(closing, F.lit(0)))), " (and|or) ", "-$1-")
+    return F.when(mixed, whole).when(y.contains(" and "), F.array_join(operands(x), "-and-")).otherwise(F.array_join(operands(x), "-or-"))
+
+
+def rule_table(spark) -> DataFrame:
+    rows = ", ".join(f"({i}, '{label}', {priority}, '{keyword}', '{need}', '{rx}', {base})" for i, label, priority, keyword, need, rx, base in rules())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(rule, label, priority, keyword, need, rx, base)")
+
+
 def scan(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """(id, text_hash, n_words, rule, label, priority, base, start, stop, kept): one row a match, and at least one a document."""
-    spark = docs.sparkSession
-    table = spark.createDataFrame(rules(), "rule int, label string, priority int, keyword string, need string, rx string, base boolean")
+    """(row, id, n_words, i, word, near, the rule, hit): a row a rule that matches, one an expression, and one a document, whose i is -1."""
+    table = rule_table(docs.sparkSession)
     keywords = sorted({r[3] for r in rules()})
     n_before, n_after = reach()
 
@@ -219,37 +257,54 @@ def scan(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
         found = F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: F.get(ws, i).isin(keywords))
         return F.transform(found, lambda i: near(F.get(ws, i), i))
 
+    def tags(ws: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: F.get(ws, i) == MARK + "spdx")
+        lines = F.split("low", MARK + TAG + ":")
+        read = F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.regexp_extract(x, EXPRESSION, 1))
+        both = F.zip_with(at, read, lambda i, x: F.struct(i.alias("i"), F.lit(MARK).alias("word"), x.alias("near")))
+        return F.filter(both, lambda x: x["near"] != "")
+
     low = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    marked = F.regexp_replace(F.translate("low", MARK, UNMARKED), rf"(?<!{IN_WORD}){TAG}[ \t]*:", MARK + TAG + ":")
     may = F.lit(False)
     for stem in STEMS:
         may = may | F.col("low").contains(stem)
     none = F.array().cast("array<struct<i:int,word:string,near:string>>")
-    each = let(words_of(F.col("low")), lambda ws: F.array(F.struct(F.size(ws).alias("n"), F.when(may & (F.size(ws) > 0), places(ws)).otherwise(none).alias("at"))))
+    own = F.array(F.struct(F.lit(-1).alias("i"), F.lit("").alias("word"), F.lit("").alias("near")))
+    each = let(
+        words_of(F.col("low")),
+        lambda ws: F.array(F.struct(F.size(ws).alias("n"), F.concat(own, F.when(may & (F.size(ws) > 0), places(ws)).otherwise(none), F.when(F.col("low").contains(MARK), tags(ws)).otherwise(none)).alias("at"))),
+    )
     found = (
-        docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), low.alias("low"))
-        .select("id", "text_hash", F.get(each, F.lit(0)).alias("e"))
-        .select("id", "text_hash", F.col("e.n").cast("long").alias("n_words"), F.explode_outer("e.at").alias("p"))
-        .select("id", "text_hash", "n_words", "p.*")
+        docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), low.alias("low"))
+        .withColumn("low", F.when(F.col("low").contains(TAG), marked).otherwise(F.translate("low", MARK, UNMARKED)))
+        .select("row", "id", F.get(each, F.lit(0)).alias("e"))
+        .select("row", "id", F.col("e.n").cast("long").alias("n_words"), F.explode("e.at").alias("p"))
+        .select("row", "id", "n_words", "p.*")
     )
     hit = F.regexp_substr("near", F.concat(F.lit(" "), F.col("rx"), F.lit("(?= )")))
     needed = (F.col("need") == F.col("keyword")) | F.col("near").contains(F.concat(F.lit(" "), F.col("need"), F.lit(" ")))
     gated = found.join(F.broadcast(table), (F.col("word") == F.col("keyword")) & needed, "left")
-    return gated.withColumn("hit", F.when(F.col("rule").isNotNull(), hit))
+    return gated.withColumn("hit", F.when(F.col("rule").isNotNull(), hit)).where((F.col("i") < 0) | (F.col("word") == MARK) | F.col("hit").isNotNull())
 
 
 def matches(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """scan(), with intervals of words and the matches that suppression keeps."""
-    hit = F.ltrim("hit")  # null where the rule was not tried or does not match
-    before = F.size(F.split(F.substring_index(hit, "@", 1), " ")) - 1
-    start = F.col("i") - before
-    m = F.col("hit").isNotNull()
-    placed = (
-        scan(docs, id_col, text_col)
-        .withColumn("start", F.when(m, start))
-        .withColumn("stop", F.when(m, start + F.size(F.split(hit, " ")) - 1))
-        .select("id", "text_hash", "n_words", *[F.when(m, F.col(c)).alias(c) for c in ("rule", "label", "priority", "base")], "start", "stop")
-    )
-    earlier = Window.partitionBy("id", "text_hash").orderBy(F.col("start"), F.desc("stop"), "priority", "rule").rowsBetween(Window.unboundedPreceding, -1)
+    """(row, id, n_words, rule, label, priority, base, start, stop, operands, kept): one row a match, and one a document, without a start.
+
+    Expressions are rule -1; `operands` are their licenses. `kept` are the matches that suppression leaves.
+    """
+    hit = F.ltrim("hit")
+    start = F.col("i") - (F.size(F.split(F.substring_index(hit, "@", 1), " ")) - 1)
+    m, tag = F.col("hit").isNotNull(), F.col("word") == MARK
+
+    def either(of_tag: Column, of_rule: Column) -> Column:
+        return F.when(tag, of_tag).when(m, of_rule)
+
+    placed = scan(docs, id_col, text_col).select(
+        "row", "id", "n_words", either(F.lit(-1), F.col("rule")).alias("rule"), either(expression_label(F.col("near")), F.col("label")).alias("label"), either(F.lit(SPDX), F.col("priority")).alias("priority"), either(F.lit(False), F.col("base")).alias("base"),
+        either(F.col("i"), start).alias("start"), either(F.col("i") + 3 + F.size(words_of(F.col("near"))), start + F.size(F.split(hit, " ")) - 1).alias("stop"), F.when(tag, operands(F.col("near"))).alias("operands"),
+    )
+    earlier = Window.partitionBy("row").orderBy(F.col("start"), F.desc("stop"), "priority", "rule").rowsBetween(Window.unboundedPreceding, -1)
     covers = F.lit(False)
     for p in range(BASE + 1):
         far = F.max(F.when(F.col("priority") == p, F.col("stop"))).over(earlier)
@@ -261,7 +316,7 @@ def summarize(found: DataFrame, id_col="doc_id") -> DataFrame:
     """One row for each document."""
     base = F.coalesce("base", F.lit(False))
     trust = F.element_at(F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv]), F.col("priority"))
-    return found.groupBy("id", "text_hash").agg(
+    return found.groupBy("row", "id").agg(
         F.max("n_words").alias("n_words"),
         F.count(F.when(base, 1)).alias("n_base"),
         F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"),
@@ -269,8 +324,8 @@ def summarize(found: DataFrame, id_col="doc_id") -> DataFrame:
         F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set(F.when(base | F.col("kept"), F.col("label")))), ",").alias("labels"),
         F.coalesce(F.max(F.when(F.col("kept"), trust)), F.lit(0.0)).alias("score"),
-    ).withColumnRenamed("id", id_col)
+    ).drop("row").withColumnRenamed("id", id_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return summarize(matches(read_table(spark, sf_dir, "documents"))).drop("text_hash")
+    return summarize(matches(read_table(spark, sf_dir, "documents")))

@@ -350,7 +350,7 @@ def test_license_base_places_and_suppression(spark, docs, none):
     phrases = {(b"mit", b"license"): "mit", (b"apache", b"license"): "apache", (b"general", b"public", b"license"): "gpl"}
     for i, t in enumerate(TEXTS):
         w = WORD.findall(raw(t))
-        at = [(k, v) for p, v in phrases.items() for k in range(len(w)) if tuple(w[k : k + len(p)]) == p] if len(w) < 1000 else []
+        at = [(k, v) for p, v in phrases.items() for k in range(len(w)) if tuple(w[k : k + len(p)]) == p]
         r = got[i]
         assert (r.n_words, r.n_base, r.base_labels) == (len(w), len(at), ",".join(sorted({v for _, v in at})))
         assert (r.first_word, r.last_word) == ((min(at)[0], max(at)[0]) if at else (None, None))
@@ -411,6 +411,39 @@ def test_license_labels_of_common_notices(spark):
     assert "gpl-2.0" not in got[8] and "mit" not in got[9] and got[100] == [""]
 
 
+EXPRESSIONS = {
+    "SPDX-License-Identifier: (MIT AND BSD-3-Clause)": ("mit-and-bsd-3-clause", ["mit", "bsd-3-clause"], 0, 8),
+    "x\tSPDX-License-Identifier: GPL-2.0-or-later WITH Bison-exception-2.2 */": ("gpl-2.0-or-later-with-bison-exception-2.2", ["gpl-2.0-or-later-with-bison-exception-2.2"], 1, 14),
+    "// SPDX-License-Identifier: BSD-2-Clause-Patent\nor MIT": ("bsd-2-clause-patent", ["bsd-2-clause-patent"], 0, 7),
+    "SPDX-License-Identifier:GPL-2.0+": ("gpl-2.0-or-later", ["gpl-2.0-or-later"], 0, 6),
+    "(SPDX-License-Identifier: MIT AND ( Apache-2.0 OR BSD-2-Clause )))": ("mit-and-(apache-2.0-or-bsd-2-clause)", ["mit", "apache-2.0", "bsd-2-clause"], 0, 12),
+    "SPDX-License-Identifier: MIT AND (Zlib OR (ISC": ("mit-and-(zlib-or-(isc))", ["isc", "mit", "zlib"], 0, 8),
+    "SPDX-License-Identifier: Apache-2.0 OR MIT\t OR  mit.": ("mit-or-apache-2.0", ["mit", "apache-2.0"], 0, 10),
+    "SPDX-License-Identifier : LicenseRef-Own.1 and the rest": ("the-and-licenseref-own.1", ["the", "licenseref-own.1"], 0, 8),
+}
+
+
+def test_license_expressions(spark):
+    none = ["SPDX-License-Identifier:", "SPDX-License-Identifier:\nMIT", "xSPDX-License-Identifier: MIT", "SPDX-License-Identifier: MITé", "SPDX-License-Identifier: (", "\ue0f1spdx-license-identifier: MIT", "\ue0f1spdx"]
+    rows = list(enumerate([*EXPRESSIONS, *none])) + [(100, "a SPDX-License-Identifier: MIT, SPDX-License-Identifier: Zlib; " * 3000)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = collections.defaultdict(list)
+    for r in license_scan.matches(df).where("rule = -1").collect():
+        got[r.id].append((r.label, r.operands, r.start, r.stop, r.kept))
+    for i, want in enumerate(EXPRESSIONS.values()):
+        assert got.pop(i) == [(*want, True)]
+    many = got.pop(100)
+    assert not got and sorted((x[2], x[0]) for x in many) == sorted([(9 * k + 1, "mit") for k in range(3000)] + [(9 * k + 5, "zlib") for k in range(3000)])
+    labels = {r.doc_id: r.labels for r in license_scan.summarize(license_scan.matches(df)).collect()}
+    assert labels[0] == "mit-and-bsd-3-clause" and labels[2] == "bsd-2-clause-patent" and labels[100] == "mit,zlib"
+
+
+def test_license_rows_that_repeat(spark):
+    rows = [(1, "the MIT License, mit license"), (None, None)] * 3 + [(1, "mit")]
+    got = license_scan.summarize(license_scan.matches(spark.createDataFrame(rows, "doc_id int, text string").repartition(3))).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_base, r.labels) for r in got) == [(0, 0, 0, "")] * 3 + [(1, 1, 0, "")] + [(1, 5, 2, "mit")] * 3
+
+
 def test_main_text_of_pages(spark):
     import html
 
