@@ -1,7 +1,7 @@
 """Ranks over a whole table, or within groups, without putting either in one task.
 
-A column's distinct values are counted; the counts are summed in two levels, over ranges of values and over rows
-within a range; the sums are joined back. Heavy ties collapse in the counting, ranges are bounded by quantiles.
+A column's distinct values are counted; the counts are summed at once if they are few, else in two levels, over ranges of values and over
+rows within a range; the sums are joined back. Heavy ties collapse in the counting, ranges are bounded by quantiles.
 """
 
 from __future__ import annotations
@@ -30,7 +30,10 @@ def value_ranks(df: DataFrame, col: str, group: str | None = None) -> DataFrame:
     """([group,] value, n, before, dense) of each distinct finite value: rows with it, rows below it, its dense rank, over all rows or in its group."""
     x, keys = finite(F.col(col)), ["group"] if group else []
     own = [F.col(group).alias("group")] if group else []
-    counts = df.select(*own, x.alias("value")).where("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    counts = materialize(df.select(*own, x.alias("value")).where("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("n")), "value-counts")
+    if counts.count() <= MAX_BROADCAST_VALUES:  # so few that a group's values, or all, may be one task
+        whole = Window.partitionBy(*keys).orderBy("value")
+        return counts.select(*keys, "value", "n", F.coalesce(F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.row_number().over(whole).alias("dense"))
     edges = sorted(set(df.agg(F.percentile_approx(x, [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] or []))
     ranged = counts.withColumn("r", _range_of(F.col("value"), edges))
     sums = ranged.groupBy(*keys, "r").agg(F.sum("n").alias("n"), F.count("*").alias("d"))  # RANGES rows a group at most
@@ -104,7 +107,7 @@ def ranking_features(df: DataFrame, cols: list[str], method: str = "average", or
 def group_percent_rank(df: DataFrame, group: str, value: str) -> DataFrame:
     """{x}_pct_rank_by_{g}: the average rank of finite values within the group, over the group's rows that have one."""
     ranks = value_ranks(df, value, group)
-    sizes = df.where(finite(F.col(value)).isNotNull()).groupBy(F.col(group).alias("_g2")).agg(F.count("*").alias("_all"))
+    sizes = ranks.groupBy(F.col("group").alias("_g2")).agg(F.sum("n").alias("_all"))
     names = ranks.join(sizes, F.col("group").eqNullSafe(F.col("_g2"))).select(F.col("group").alias("_g"), F.col("value").alias("_v"), ((F.col("before") + (F.col("n") + 1) / 2) / F.col("_all")).alias(f"{value}_pct_rank_by_{group}"))
     names = materialize(names, "group-ranks")
     few = F.broadcast(names) if names.count() <= MAX_BROADCAST_VALUES else names

@@ -21,16 +21,14 @@ class Conflict(RuntimeError):
     """Another write came first."""
 
 
-class StoredTable:
-    """A table in a folder that driver and executors share."""
+class Versions:
+    """The versions of what lies in a folder that driver and executors share, each a small file."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int = 64):
-        self.spark, self.path, self.keys, self.buckets = spark, path.rstrip("/"), list(keys), buckets
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
         self._versions = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions")
         self._fs = self._versions.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    # versions
-
     def versions(self) -> list[int]:
         if not self._fs.exists(self._versions):
             return []
@@ -49,6 +47,7 @@ class StoredTable:
 
     def _commit(self, after: int, manifest: dict) -> int:
         """Give version after + 1 its name; whoever comes second fails."""
+        self._fs.mkdirs(self._versions)
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         done, draft = path(self._versions, f"{after + 1:020d}.json"), path(self._versions, f".{uuid.uuid4().hex}")
         out = self._fs.create(draft, False)
@@ -59,7 +58,13 @@ class StoredTable:
             raise Conflict(f"version {after + 1} of {self.path} is there already")
         return after + 1
 
-    # rows
+
+class StoredTable(Versions):
+    """A table whose versions name the folders of its rows."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int = 64):
+        super().__init__(spark, path)
+        self.keys, self.buckets = list(keys), buckets
 
     def _numbered(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn(BUCKET, F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
@@ -84,7 +89,6 @@ class StoredTable:
         """The first version; keys are taken to be unique."""
         if self.versions():
             raise Conflict(f"{self.path} is there already")
-        self._fs.mkdirs(self._versions)
         new = self._write(self._numbered(rows))
         return self._commit(0, {"schema": rows.schema.jsonValue(), "buckets": {b: [f] for b, f in new.items()}, "note": {"change": "create"} | (note or {})})
 
