@@ -242,4 +242,4 @@ def describe(stored: DataFrame, id_col="doc_id", unit: int = UNIT) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     stored = materialize(store_texts(read_table(spark, sf_dir, "documents")), "media")
-    return describe(stored).drop("samples", "hz", "seek_offsets")
+    return describe(stored)

@@ -194,7 +194,7 @@ def test_grammar_is_lossless_and_random_access():
             assert token_store.read_range(blob, s, n).tolist() == ids[s : s + n].tolist()
 
 
-def test_mpeg_payload_and_resync(docs, none):
+def test_mpeg_payload_and_resync(spark, docs, none):
     got = mpeg_audio.describe(mpeg_audio.store_texts(docs)).collect()
     assert len(got) == len(TEXTS) + 1
     for r in got:
@@ -213,6 +213,10 @@ def test_mpeg_payload_and_resync(docs, none):
     bad[cut + 8] ^= 1
     assert mpeg_audio.read_audio(bytes(bad))["crc_bad"] == 1
     assert mpeg_audio.read_audio(b"no audio")["duration"] == 0
+    for r in registry.queries()["op4_mpeg_audio"](spark, SF).collect():  # constant bits: frames lie one after the other, up to the end
+        at = r.seek_offsets
+        assert r.samples == 1152 * len(at) and r.hz == 32000 and all(a < b for a, b in zip(at, at[1:])) and 0 < at[0] <= at[-1] < r.media_bytes
+        assert r.feature.endswith(f"seek={zlib.crc32(np.array(at, '<u4').tobytes()):08x}")
 
 
 def test_mpeg_tag_inside_payload(spark):
