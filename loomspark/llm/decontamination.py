@@ -14,8 +14,8 @@ second cuts words, of the documents that have such places only. Texts are not sh
 else only those of candidates. The benchmark's hashes and windows are broadcast when rows and bytes are counted to be few,
 and joined by a shuffle beyond.
 
-Edge cases: null texts have no words; an item without words has no window; a document is known by doc_id and text,
-so rows repeated in full give one row; an empty benchmark leaves all documents clean. Other columns are ignored.
+Edge cases: null texts have no words; an item without words has no window; find_overlaps() knows a document by doc_id and text,
+so rows repeated in full give one row; per_document() and the query give a row for each of them; an empty benchmark leaves all documents clean. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -125,13 +125,25 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="
     return out.select(F.col("id").alias(id_col), "text_hash", "n_words", F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("found", F.array().cast(f"array<{kind}>")).alias("items"))
 
 
+def per_document(found: DataFrame, docs: DataFrame, id_col="doc_id", text_col="text", max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """find_overlaps()'s rows, each as often as the documents have its id and text; only what is repeated is joined."""
+    copies = docs.groupBy(F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_hash")).agg(F.count("*").alias("copies")).where("copies > 1")
+    copies = few(materialize(copies, "copies"), max_broadcast_rows)
+    n = F.coalesce("copies", F.lit(1))
+    block = 10_000  # numbers in one array, so that any number of copies is dealt out in bounded ones
+    out = found.join(copies, F.col(id_col).eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")), "left")
+    out = out.withColumn("b", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / block))))
+    return out.withColumn("c", F.explode(F.sequence(F.lit(1), F.least(F.lit(block), n - F.col("b") * block)))).select(*found.columns)
+
+
 def contaminated(n_hit: Column, n_words: Column) -> Column:
     """The rule: any hit, and a twentieth of the words at least."""
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = find_overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    docs = read_table(spark, sf_dir, "documents")
+    found = per_document(find_overlaps(docs, read_table(spark, sf_dir, "benchmark")), docs)
     names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

@@ -55,6 +55,17 @@ def test_decontamination_equals_sql_and_brute_force(spark, docs, none):
     assert decontamination.find_overlaps(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_of_rows_that_repeat(spark):
+    rows = [(1, "one two three"), (None, None), (None, "one two")] * 3 + [(1, "one"), (2, "one two three")] + [(7, "two")] * 20_001
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    bench = spark.createDataFrame([(5, "two"), (6, "nine")], "item_id int, text string")
+    for limit in (0, 100):
+        got = decontamination.per_document(decontamination.find_overlaps(df, bench), df, max_broadcast_rows=limit)
+        assert got.columns == ["doc_id", "text_hash", "n_words", "n_hit", "items"]
+        want = {(1, 3, 1): 3, (None, 0, 0): 3, (None, 2, 1): 3, (1, 1, 0): 1, (2, 3, 1): 1, (7, 1, 1): 20_001}
+        assert collections.Counter((r.doc_id, r.n_words, r.n_hit) for r in got.collect()) == want
+
+
 def test_decontamination_of_short_items_and_periodic_texts(spark):
     rng = np.random.default_rng(11)
     texts = ["yes yes yes", "the cat the dog the man sat", " ".join(["a b c"] * 30), "z " * 60, " ".join("p%d" % (i % 9) for i in range(80)), " ".join("q%d" % (i % 10) for i in range(80))]
