@@ -106,7 +106,7 @@ def detect_types(df: DataFrame) -> dict[str, str]:
     """
     dtypes, n = dict(df.dtypes), F.count("*")
     date = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}|^\d{1,2}[./-]\d{1,2}[./-]\d{4}"
-    aggs = [F.struct(n.alias("n"), F.count(c).alias("k"), F.approx_count_distinct(c, 0.01).alias("d"), F.avg(F.length(F.col(c).cast("string"))).alias("length"), F.avg(F.col(c).cast("string").rlike(date).cast("double")).alias("date")).alias(c) for c in df.columns]
+    aggs = [F.struct(n.alias("n"), F.count(c).alias("k"), F.hll_sketch_estimate(F.hll_sketch_agg(F.col(c).cast("string"), 14)).alias("d"), F.avg(F.length(F.col(c).cast("string"))).alias("length"), F.avg(F.col(c).cast("string").rlike(date).cast("double")).alias("date")).alias(c) for c in df.columns]
     row, out = df.agg(*aggs).first(), {}
     for c in df.columns:
         s, t = row[c], dtypes[c]

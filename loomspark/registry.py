@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import registry_more, registry_reports, registry_store
+from . import registry_more, registry_reports, registry_sources, registry_store
 from .operators import attribution, binning, categorical, domain, polynomial, quality, ranking, sampling, statistical, temporal, text
 from .plans import analytics
 from .streaming import windows
@@ -401,8 +401,8 @@ def _pipeline(spark, d):
     return build(orders, ["o_orderstatus"], ["quantity", "tax"], target="o_totalprice").data
 
 
-QUERIES |= registry_store.QUERIES | registry_more.QUERIES | registry_reports.QUERIES
-SQL |= registry_store.SQL | registry_more.SQL | registry_reports.SQL
+QUERIES |= registry_store.QUERIES | registry_more.QUERIES | registry_reports.QUERIES | registry_sources.QUERIES
+SQL |= registry_store.SQL | registry_more.SQL | registry_reports.SQL | registry_sources.SQL
 _GAPS = "SELECT event_id, user_id, ts, CASE WHEN event_id % 5 < 2 THEN NULL ELSE value END AS value, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS event_type FROM events"
 
 

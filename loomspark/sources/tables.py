@@ -30,7 +30,7 @@ def read(spark: SparkSession, *paths: str, schema: T.StructType | None = None) -
     kind = paths[0].rstrip("/").rpartition(".")[2].lower()
     reader = spark.read.schema(schema) if schema else spark.read
     if kind in ("csv", "tsv"):
-        df = reader.csv(list(paths), header=True, inferSchema=schema is None, sep="\t" if kind == "tsv" else ",")
+        df = reader.csv(list(paths), header=True, inferSchema=schema is None, sep="\t" if kind == "tsv" else ",", escape='"')
     elif kind in ("json", "orc"):
         df = reader.format(kind).load(list(paths))
     else:
