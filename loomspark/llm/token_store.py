@@ -15,8 +15,8 @@ uint32, expansion lengths as uint32, symbols as uint32.
 Ids of documents are whole numbers. Files whose way of preparing texts isn't the one that the word-by-word encoder
 stands for are encoded by their own tokenizer as it is.
 
-Edge cases: null texts are empty and have the end id only; null ids come first; repeated rows are separate
-documents; an empty table gives no shard. Texts are used whole. Other columns are ignored.
+Edge cases: null texts are empty and have the end id only; null ids come first; rows of one id go by the hash
+of their texts, so that reruns agree; repeated rows are separate documents; an empty table gives no shard. Texts are used whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -312,7 +312,8 @@ def _encoder(path: str) -> Encoder | PlainEncoder:
 def encode_shards(docs: DataFrame, tokenizer: str, id_col="doc_id", text_col="text", end: int = END, shard: int = SHARD) -> DataFrame:
     """(part, seq, first_id, n_tokens, doc_ids, lengths, blob): the shards, ordered by part and seq."""
     ship(docs.sparkSession)
-    ordered = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]  # an id of very many rows is dealt over ranges, too
+    ordered = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).repartitionByRange(*order).sortWithinPartitions(*order)
     names = ["part", "seq", "n_tokens", "doc_ids", "lengths", "blob"]
 
     def run(batches):

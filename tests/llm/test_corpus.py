@@ -178,6 +178,14 @@ def test_token_shards_round_trip(spark, docs, none):
     assert token_store.write_and_read(none, path).count() == 0
 
 
+def test_rows_of_one_id_keep_their_order(spark):
+    rows = [(7, f"text {i} of one id") for i in range(300)] + [(None, f"no id {i}") for i in range(50)] + [(3, "first"), (9, "last"), (7, "text 4 of one id")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    runs = [sorted(map(tuple, token_store.write_and_read(df.repartition(n), token_store.default_tokenizer()).collect()), key=lambda r: r[1]) for n in (1, 7)]
+    assert runs[0] == runs[1] and len(runs[0]) == len(rows)
+    assert [r[0] for r in runs[0]] == [None] * 50 + [3] + [7] * 301 + [9]
+
+
 def test_encoder_equals_tokenizer_on_odd_texts():
     path = token_store.default_tokenizer()
     encode = token_store.Encoder(path)
