@@ -139,17 +139,19 @@ def migrate(df: DataFrame, path: str, include: list[str] | None = None, exclude:
     return {"columns": cols, "types": dict(out.dtypes), "rows": out.count(), "written": not dry_run}
 
 
+def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column_name, n_distinct, mode_frequency) of each column's values, each column counted by itself: a row is never copied for another column's sake."""
+    parts = [df.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("v")).agg(F.count("*").alias("n")).agg(F.lit(c).alias("column_name"), F.count("*").alias("n_distinct"), F.max("n").alias("mode_frequency")) for c in cols]
+    return reduce(lambda a, b: a.union(b), parts)
+
+
 def column_metadata(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column_name, mean, std, min, max, null_ratio, unique_count, mode_frequency) of each column, numbers as numbers, others by their values only."""
     numeric = {c for c, t in df.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal")}
     none = F.lit(None).cast("double")
-    one = df.agg(*[F.struct(*[(f(c) if c in numeric else none).cast("double").alias(n) for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))], F.avg(F.col(c).isNull().cast("double")).alias("null_ratio"), F.count_distinct(c).alias("unique_count")).alias(c) for c in cols])
+    one = df.agg(*[F.struct(*[(f(c) if c in numeric else none).cast("double").alias(n) for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))], F.avg(F.col(c).isNull().cast("double")).alias("null_ratio")).alias(c) for c in cols])
     rows = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("s")) for c in cols])).alias("r")).select("r.column_name", "r.s.*")
-    modes = None
-    for c in cols:
-        top = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).agg(F.lit(c).alias("column_name"), F.max("n").alias("mode_frequency"))
-        modes = top if modes is None else modes.union(top)
-    return rows.join(modes, "column_name", "left")
+    return rows.join(value_counts(df, cols).withColumnRenamed("n_distinct", "unique_count"), "column_name")
 
 
 def json_equals(c: Column, path: str, value) -> Column:
@@ -176,9 +178,10 @@ def filtered(df: DataFrame, conditions: dict) -> DataFrame:
 
 
 def column_stats(df: DataFrame) -> DataFrame:
-    """(column_name, n_rows, n_null, n_distinct, min_text, max_text) of each column, in one scan."""
-    one = df.agg(*[F.struct(F.count("*").alias("n_rows"), F.count_if(F.col(c).isNull()).alias("n_null"), F.count_distinct(c).alias("n_distinct"), F.min(c).cast("string").alias("min_text"), F.max(c).cast("string").alias("max_text")).alias(c) for c in df.columns])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("s")) for c in df.columns])).alias("r")).select("r.column_name", "r.s.*")
+    """(column_name, n_rows, n_null, n_distinct, min_text, max_text) of each column."""
+    one = df.agg(*[F.struct(F.count("*").alias("n_rows"), F.count_if(F.col(c).isNull()).alias("n_null"), F.min(c).cast("string").alias("min_text"), F.max(c).cast("string").alias("max_text")).alias(c) for c in df.columns])
+    rows = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("s")) for c in df.columns])).alias("r")).select("r.column_name", "r.s.*")
+    return rows.join(value_counts(df, df.columns).drop("mode_frequency"), "column_name").select("column_name", "n_rows", "n_null", "n_distinct", "min_text", "max_text")
 
 
 def schema_difference(a: DataFrame, b: DataFrame) -> dict[str, list]:
@@ -197,9 +200,10 @@ def detect_target(df: DataFrame, rows: int = 100) -> str | None:
 
 
 def detect_id(df: DataFrame) -> str | None:
-    """The first column named like an id whose values are all different."""
+    """The first column named like an id whose values are all different; one scan's estimates tell which columns are worth an exact count."""
     names = [c for c in df.columns if re.search(r"id$|^id", c.lower())]
     if not names:
         return None
-    row = df.agg(F.count("*").alias("_n"), *[F.count_distinct(c).alias(c) for c in names]).first()
-    return next((c for c in names if row[c] == row["_n"]), None)
+    row = df.agg(F.count("*").alias("_n"), *[F.hll_sketch_estimate(F.hll_sketch_agg(F.col(f"`{c}`").cast("string"), 14)).alias(c) for c in names]).first()
+    near = (c for c in names if row[c] >= 0.9 * row["_n"])
+    return next((c for c in near if df.select(F.col(f"`{c}`").alias("v")).where("v is not null").distinct().count() == row["_n"]), None)
