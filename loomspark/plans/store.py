@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.temporal import series_features
-from ..storage import drop_table, materialize
+from ..storage import drop_table, large, materialize
 from .analytics import SOURCES
 
 
@@ -237,10 +237,10 @@ def node_depths(history: DataFrame) -> DataFrame:
     while (open_ := now.where("up is not null").count()) and open_ != left:  # a round that settles no node leaves cycles only
         left = open_
         above = now.select(F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        joined = now.where("up is not null").join(above, "up")  # a missing node has no row: its descendants drop out
+        joined = now.where("up is not null").join(large(above), "up")  # a missing node has no row: its descendants drop out
         last, now = now, materialize(now.where("up is null").unionByName(joined.select("node_id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))), "depths")
         drop_table(last)
-    return now.where("up is null").select("node_id", "depth")
+    return large(now.where("up is null").select("node_id", "depth"))
 
 
 def tree_stats(store: Store) -> DataFrame:

@@ -40,6 +40,11 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def large(df: DataFrame) -> DataFrame:
+    """A table that grows with the input, for joins: it is never broadcast. Ids and depths take a byte or two a row in files, so that Spark, which goes by the files' size, would send millions of rows through the driver."""
+    return df.hint("shuffle_merge")
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove the files of a table made by materialize() that nothing reads any more."""
     spark = df.sparkSession
