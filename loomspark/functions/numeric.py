@@ -43,7 +43,7 @@ FEW_DISTINCT = 1_000
 
 @dataclass
 class _Sought:
-    """A rank (from 0) whose value is sought: it is in [lo, hi], with `below` values less than lo and `inside` in the bracket."""
+    """A rank (from 0) whose value is sought: it is in [lo, hi], with `below` values less than lo and `inside` in the bracket, of which some are equal to its ends."""
 
     col: str
     rank: int
@@ -53,6 +53,8 @@ class _Sought:
     most: float
     below: int = 0
     inside: int = 0
+    at_lo: int = 0
+    at_hi: int = 0
 
     def missed(self) -> bool:
         """Whether the rank is outside after all; the bracket is then the side that it is on."""
@@ -61,6 +63,14 @@ class _Sought:
         self.lo, self.hi = (self.least, self.lo) if self.rank < self.below else (self.hi, self.most)
         return True
 
+    def between(self) -> int:
+        """How many values are left strictly inside the bracket; none once the rank is known to fall on one of its ends, however many values equal it."""
+        if self.lo < self.hi and self.rank < self.below + self.at_lo:
+            self.hi = self.lo
+        elif self.lo < self.hi and self.rank >= self.below + self.inside - self.at_hi:
+            self.lo = self.hi
+        return 0 if self.lo == self.hi else self.inside - self.at_lo - self.at_hi
+
 
 def _brackets(positions: list[float]) -> list[float]:
     return [min(1.0, max(0.0, p + s)) for p in positions for s in (-2 / ACCURACY, 2 / ACCURACY)]
@@ -69,20 +79,21 @@ def _brackets(positions: list[float]) -> list[float]:
 def order_statistics(df: DataFrame, sought: list[_Sought], also: list[Column] = ()) -> tuple[dict[tuple[str, int], float], Row | None]:
     """{(col, rank): value} of the finite values, exactly, and the aggregates `also`, which are taken in the same job.
 
-    Brackets from sketches are counted, and narrowed by a sketch of what is inside, until few values are left; these are
-    counted and collected. No task holds more than a sketch, whatever the table's size.
+    Brackets from sketches are counted, and narrowed by a sketch of what is strictly inside, until few values are left; these are
+    counted and collected. A bracket's ends are counted apart, so that values of very many rows end the search or leave the next bracket. No task holds more than a sketch, whatever the table's size.
     """
     done, found, extra = [], {}, None
     while sought or also:
-        aggs = [F.struct(*[F.struct(F.count_if(finite(F.col(t.col)) < t.lo).alias("below"), F.count_if(finite(F.col(t.col)).between(t.lo, t.hi)).alias("inside")).alias(f"s{i}") for i, t in enumerate(sought)]).alias("counts")] if sought else []
+        counted = lambda x, t: F.struct(F.count_if(x < t.lo).alias("below"), F.count_if(x.between(t.lo, t.hi)).alias("inside"), F.count_if(x == t.lo).alias("at_lo"), F.count_if(x == t.hi).alias("at_hi"))
+        aggs = [F.struct(*[counted(finite(F.col(t.col)), t).alias(f"s{i}") for i, t in enumerate(sought)]).alias("counts")] if sought else []
         row = df.agg(*aggs, *also).first()
         extra, also = extra or row, ()
         wide, again = [], []
         for i, t in enumerate(sought):
-            t.below, t.inside = row["counts"][f"s{i}"]
-            (again if t.missed() else done if t.lo == t.hi or t.inside <= SMALL else wide).append(t)
+            t.below, t.inside, t.at_lo, t.at_hi = row["counts"][f"s{i}"]
+            (again if t.missed() else done if t.between() <= SMALL else wide).append(t)
         if wide:
-            row = df.agg(*[F.percentile_approx(F.when(finite(F.col(t.col)).between(t.lo, t.hi), finite(F.col(t.col))), _brackets([(t.rank - t.below) / (t.inside - 1)]), ACCURACY).alias(f"s{i}") for i, t in enumerate(wide)]).first()
+            row = df.agg(*[F.percentile_approx(F.when((finite(F.col(t.col)) > t.lo) & (finite(F.col(t.col)) < t.hi), finite(F.col(t.col))), _brackets([(t.rank - t.below - t.at_lo) / max(t.between() - 1, 1)]), ACCURACY).alias(f"s{i}") for i, t in enumerate(wide)]).first()
             for i, t in enumerate(wide):
                 t.lo, t.hi = row[f"s{i}"]
         sought = wide + again

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from loomspark.functions import numeric
 from loomspark.plans import reports, store, trees
 
 
@@ -30,3 +31,16 @@ def test_tables_of_nodes_are_never_broadcast(spark, monkeypatch, name):
         seen.append(out._jdf.queryExecution().executedPlan().toString())
     assert len(seen) > 4 and not [p for p in seen if "BroadcastHashJoin" in p]
     assert out.count() == {"session_depths": 1, "tree_balance": 1, "tree_stats": 9, "tree_drawing": 400, "tree_intervals": 400, "tree_paths": sum(len(bin(i + 1)) - 2 for i in range(400))}[name]
+
+
+@pytest.mark.parametrize("values", [[0, 1], [0, 0, 1, 2, 3, 3], list(range(50)), [5, 5, 5, 5, 7, 9]])
+def test_quantiles_between_values_of_very_many_rows_are_found_in_few_rounds(spark, monkeypatch, values):
+    rounds, keep = [], numeric._brackets
+    monkeypatch.setattr(numeric, "_brackets", lambda p: (rounds.append(p), keep(p))[1] if len(rounds) < 12 else pytest.fail("no end"))
+    monkeypatch.setattr(numeric, "SMALL", 20)
+    n = 12_000 * len(values)
+    df = spark.range(n).select(F.element_at(F.array(*[F.lit(float(v)) for v in values]), (F.col("id") % len(values) + 1).cast("int")).alias("x"))
+    all_ = sorted(float(v) for v in values for _ in range(12_000))
+    at = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    want = [all_[int(q * (n - 1))] + (all_[min(int(q * (n - 1)) + 1, n - 1)] - all_[int(q * (n - 1))]) * (q * (n - 1) - int(q * (n - 1))) for q in at]
+    assert numeric.quantiles(df, "x", at) == pytest.approx(want)
