@@ -40,7 +40,7 @@ _query(
     f"WITH {_SETS}, d AS (SELECT *, last_used > TIMESTAMP '{_NOW}' - INTERVAL 12 DAY AS active FROM k LEFT JOIN v USING (dataset_name)), t AS (SELECT *, date_diff('second', start_time, TIMESTAMP '{_NOW}') / 86400.0 AS age FROM sessions) "
     f"SELECT {_int('count(*)', 'datasets')}, {_int('count(*) FILTER (active)', 'active')}, {_int('count(*) FILTER (NOT active)', 'inactive')}, {_int('sum(n_sessions)', 'sessions')}, {_int('sum(n_features)', 'features')}, {_num('avg(n_sessions)', 'sessions_a_dataset')}, {_num('avg(n_features)', 'features_a_dataset')}, {_num('avg(100.0 * n_completed / n_sessions) FILTER (n_completed > 0)', 'avg_success_rate')}, {_int('sum(n_completed)', 'completed')}, "
     f"{_num('(SELECT avg(best_score) FROM t WHERE status = $$completed$$ AND best_score <> 0)', 'avg_score')}, {_num('max(best_score)', 'best_score')}, {_int('(SELECT count(*) FROM t WHERE age < 1)', 'sessions_1d')}, {_int('(SELECT count(*) FROM t WHERE age < 7)', 'sessions_7d')}, {_int('(SELECT count(*) FROM t WHERE age < 30)', 'sessions_30d')} FROM d",
-)(lambda s: reports.dataset_overview(s, _NOW, 12))
+)(lambda s: reports.dataset_overview(s, _NOW, 12, None))
 _query(
     "resource_usage",
     f"SELECT session_id, {_int('date_diff($$second$$, min(ts), max(ts))', 'duration')}, {_num('avg(memory_mb)', 'avg_mb')}, {_num('max(memory_mb)', 'max_mb')}, {_int('count(DISTINCT node_id)', 'nodes')}, {_int('count(DISTINCT operation)', 'operations')}, {_int('(SELECT max(n) FROM (SELECT count(*) AS n FROM history g WHERE g.session_id = h.session_id GROUP BY g.iteration))', 'most_active')} FROM history h GROUP BY session_id",

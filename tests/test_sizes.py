@@ -1,8 +1,10 @@
 """What grows with the input stays off the driver, off single tasks and in proportion."""
 
+import compare
 import pytest
 from pyspark.sql import functions as F
 
+from loomspark import registry
 from loomspark.functions import numeric
 from loomspark.plans import reports, store, trees
 
@@ -44,3 +46,14 @@ def test_quantiles_between_values_of_very_many_rows_are_found_in_few_rounds(spar
     at = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
     want = [all_[int(q * (n - 1))] + (all_[min(int(q * (n - 1)) + 1, n - 1)] - all_[int(q * (n - 1))]) * (q * (n - 1) - int(q * (n - 1))) for q in at]
     assert numeric.quantiles(df, "x", at) == pytest.approx(want)
+
+
+def test_overview_of_sessions_none_of_which_is_completed_agrees_with_its_sql(spark, tmp_path):
+    base = "/root/testdata/sf0.001"
+    for name in ("orders", "lineitem", "part"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{base}/{name}.parquet")
+    spark.read.parquet(f"{base}/customer.parquet").withColumn("c_nationkey", F.lit(0)).toPandas().to_parquet(tmp_path / "customer.parquet")
+    con_tables = [t for t in compare.TABLES if (tmp_path / f"{t}.parquet").exists()]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(compare, "TABLES", con_tables)
+        assert compare.difference(spark, str(tmp_path), registry.QUERIES["store_dataset_overview"], registry.SQL["store_dataset_overview"]) is None
