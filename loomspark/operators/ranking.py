@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite, profile
-from ..storage import materialize
+from ..storage import large, materialize
 from . import series
 from .binning import cut, shares
 from .groups import MAX_BROADCAST_GROUPS
@@ -77,7 +77,7 @@ def ranking_features(df: DataFrame, cols: list[str], method: str = "average", or
         last = ranks.agg(F.max(F.struct("value", "before", "n", "dense")).alias("r"), F.count("*").alias("k")).first()
         distinct, last = last["k"], last["r"]
         q = _quantiles(ranks, p["n"], [*four, *ten, 0.5])
-        few = F.broadcast(ranks) if distinct <= MAX_BROADCAST_VALUES else ranks
+        few = F.broadcast(ranks) if distinct <= MAX_BROADCAST_VALUES else large(ranks)
         missing = total - p["n"]
         joined = out.join(few.select(F.col("value").alias("_value"), F.col("n").alias("_n"), F.col("before").alias("_before"), F.col("dense").alias("_dense")), v == F.col("_value"), "left")
         n, before = F.coalesce("_n", F.lit(missing)), F.coalesce("_before", F.lit(p["n"]))
@@ -110,7 +110,7 @@ def group_percent_rank(df: DataFrame, group: str, value: str) -> DataFrame:
     sizes = ranks.groupBy(F.col("group").alias("_g2")).agg(F.sum("n").alias("_all"))
     names = ranks.join(sizes, F.col("group").eqNullSafe(F.col("_g2"))).select(F.col("group").alias("_g"), F.col("value").alias("_v"), ((F.col("before") + (F.col("n") + 1) / 2) / F.col("_all")).alias(f"{value}_pct_rank_by_{group}"))
     names = materialize(names, "group-ranks")
-    few = F.broadcast(names) if names.count() <= MAX_BROADCAST_VALUES else names
+    few = F.broadcast(names) if names.count() <= MAX_BROADCAST_VALUES else large(names)
     return df.join(few, df[group].eqNullSafe(F.col("_g")) & (finite(df[value]) == F.col("_v")), "left").drop("_g", "_v")
 
 

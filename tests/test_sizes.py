@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomspark import registry
 from loomspark.functions import numeric
+from loomspark.operators import ranking
 from loomspark.plans import reports, store, trees
 
 
@@ -57,3 +58,12 @@ def test_overview_of_sessions_none_of_which_is_completed_agrees_with_its_sql(spa
     with pytest.MonkeyPatch.context() as m:
         m.setattr(compare, "TABLES", con_tables)
         assert compare.difference(spark, str(tmp_path), registry.QUERIES["store_dataset_overview"], registry.SQL["store_dataset_overview"]) is None
+
+
+def test_ranks_of_more_values_than_may_be_broadcast_are_joined_by_shuffles(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "MAX_BROADCAST_VALUES", 50)
+    df = spark.range(600).select((F.col("id") % 3).alias("g"), (F.col("id") % 100).alias("x"), "id")
+    for out in (ranking.ranking_features(df, ["x"], "min"), ranking.group_percent_rank(df, "g", "x")):
+        joins = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+        assert not joins and out.count() == 600
+    assert {(r.x, r.x_rank) for r in ranking.ranking_features(df, ["x"], "min").collect()} == {(i, 6.0 * i + 1) for i in range(100)}
