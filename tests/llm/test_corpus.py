@@ -165,6 +165,24 @@ def test_mixing_meets_targets_of_small_sources_in_large_blocks(spark):
         assert (abs(own - t * plan["at"]) <= 2 * 300 + 1).all() and own.iloc[-1] == round(t)
 
 
+def test_slots_fall_to_sources_by_golden_ratio_points(spark):
+    sizes = {"a": [400] * 100, "b": [3], "c": [7, 0, 5], "d": [100] * 3, "e": [1] * 20, "f": [900], None: [50, 60]}
+    shares = mixing.targets(spark.createDataFrame([(n, s) for s, ns in sizes.items() for n in ns], "size bigint, source string"))
+    plan = mixing.schedule(shares, 30).toPandas().sort_values("slot")
+    needs = plan.groupby("k").size()
+    owner = [k for k, n in needs.items() for _ in range(n)]  # of each place of the unit interval
+    step, size = mixing.lattice(len(owner))
+    assert abs(step / size - 0.6180339887498949) < 1 / size and plan.slot.is_unique and plan.slot.between(0, size - 1).all()
+    want = [(i, owner[i * step % size]) for i in range(size) if i * step % size < len(owner)]
+    assert list(zip(plan.slot, plan.k)) == want
+    assert (plan.groupby("k").cumcount() == plan["rank"]).all()  # blocks are taken in the order of the schedule
+    for k, n in needs.items():
+        assert (abs((plan.k == k).cumsum() - (plan.slot + 1) * n / size) < 4).all()
+    df = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate((s, n) for s, ns in sizes.items() for n in ns)], "doc_id int, text string, source string")
+    got = mixing.mix(df, slots=1000).toPandas()
+    assert (got.first_slot.isna() == (got.taken == 0)).all() and got.groupby("source", dropna=False).first_slot.min().is_unique
+
+
 def test_token_shards_round_trip(spark, docs, none):
     from tokenizers import Tokenizer
 
