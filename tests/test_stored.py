@@ -162,3 +162,21 @@ def test_text_search_of_short_and_missing_texts(spark):
     }
     with pytest.raises(ValueError, match="unknown roles"):
         text_search.build(df, "id", {"nme": ["name"]})
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_texts_of_many_keys_are_indexed_and_tested_once(spark, monkeypatch, most):
+    monkeypatch.setattr(text_search, "MAX_BROADCAST_ROWS", most)
+    names, paths = ["red ring", "old bolt", "ring"], ["a/1", "b/2"]
+    rows = [(i, names[i % 3], paths[i % 2], f"no {i}" if i % 7 == 0 else None) for i in range(600)]
+    index = text_search.build(spark.createDataFrame(rows, "id int, name string, path string, about string"), "id", {"name": ["name"], "path": ["path"], "description": ["about"]})
+    assert index.texts.count() == 3 + 2 + 86 and index.grams.where("role <> 'description'").count() < 100
+    want = {}
+    for q in ("ring", "b", "no 7", "r", "gnir", "/"):
+        for i, name, path, about in rows:
+            near = len(set(q) & set(name)) >= 0.6 * len(set(q)) - 1e-9
+            kinds = [k for k, is_ in (("exact name", name == q), ("name", q in name and name != q), ("similar name", near and q not in name), ("path", q in path), ("description", q in (about or ""))) if is_]
+            if kinds:
+                want[q, i] = (sum(text_search.WEIGHTS[k] for k in kinds), ", ".join(sorted(kinds)))
+    asked = spark.createDataFrame([(q,) for q in ("RING", "b", "no 7", "r", "gnir", "/")], "query string")
+    assert {(r.query, r.key): (r.score, r.reasons) for r in text_search.search(index, asked).collect()} == want
