@@ -3,8 +3,8 @@
 Equal sets are one. The others are sought at falling similarities: at each, two sets that similar share one of their rarest
 features, as many as their sizes leave to differ in, and don't differ too much in size; only such pairs are compared. What has found a partner
 that similar takes no further part. In the end features of many sets are left out of the search for pairs: sets that share
-nothing else are told apart by which of these they have and by their sizes, and a set meets two members of each such class. Cost grows with
-sets times such classes: many frequent features that occur in all mixtures make as many classes as sets, and nothing exact is far below all pairs then.
+nothing else are told apart by which of these they have and by their sizes, and each such class meets two members of each; its two best are
+handed to its sets. Cost grows with pairs of classes: many frequent features that occur in all mixtures make as many classes as sets, and nothing exact is far below all pairs then.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import large, materialize
+from .groups import MAX_BROADCAST_GROUPS
 
 STEPS = ((8, 10), (6, 10), (4, 10))
 FREQUENT = 1000
@@ -34,10 +35,12 @@ def similar_pairs(active: DataFrame, sets: DataFrame, num: int, den: int) -> Dat
     """(a, b) that may have a similarity of num / den at least: a of active, b of sets, both (set, n, fs) with rare features first."""
     def head(df: DataFrame, name: str) -> DataFrame:
         room = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-        return df.select(F.col("set").alias(name), F.col("n").alias(f"n_{name}"), _names(F.slice("fs", 1, room.cast("int"))))
+        names = F.transform(F.slice("fs", 1, room.cast("int")), lambda x: x["f"])
+        return df.select(F.col("set").alias(name), F.col("n").alias(f"n_{name}"), F.posexplode(names).alias(f"at_{name}", "f"))
 
     near = (F.col("n_b") * den >= F.col("n_a") * num) & (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("a") != F.col("b"))
-    return head(active, "a").join(head(sets, "b"), "f").where(near).select("a", "b").distinct()
+    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))  # that a pair shares whose first shared feature this is
+    return head(active, "a").join(head(sets, "b"), "f").where(near & (most * (num + den) >= num * (F.col("n_a") + F.col("n_b")))).select("a", "b").distinct()
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -53,15 +56,22 @@ def _best(found: DataFrame) -> DataFrame:
     return found.groupBy("a").agg(F.min(F.struct((-F.col("shared") / F.col("total")).alias("j"), "b", "shared", "total")).alias("m")).select("a", "m.b", "m.shared", "m.total")
 
 
+def _two_first(df: DataFrame, by: list[str], *order: Column | str) -> DataFrame:
+    """Each group's two first rows; Spark keeps two rows a group and task."""
+    return df.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("k <= 2").drop("k")
+
+
 def _by_frequent(active: DataFrame, sets: DataFrame, frequent: int) -> DataFrame:
-    """(a, b, shared, total) with shared counted over frequent features only: for each class of sets alike in these and in size, its two least sets."""
-    own = F.filter("fs", lambda x: x["uses"] > frequent)
-    pattern = sets.select("set", "n", own.alias("own")).where(F.size("own") > 0)
-    classes = pattern.withColumn("k", F.row_number().over(Window.partitionBy("own", "n").orderBy("set"))).where("k <= 2")  # Spark keeps two rows a class and task
+    """(a, b, shared, total) with shared counted over frequent features only: the two best b of each a's class, of the two least sets of each class of sets alike in these and in size."""
+    alike = lambda df: df.select("set", "n", F.filter("fs", lambda x: x["uses"] > frequent).alias("own")).where(F.size("own") > 0)
+    classes = _two_first(alike(sets), ["own", "n"], "set")
     b = classes.select(F.col("set").alias("b"), F.col("n").alias("n_b"), _names(F.col("own")))
-    a = active.select(F.col("set").alias("a"), F.col("n").alias("n_a"), _names(own))
-    shared = a.join(b, "f").where("a <> b").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").cast("int").alias("shared"))
-    return shared.select("a", "b", "shared", (F.col("n_a") + F.col("n_b") - F.col("shared")).alias("total"))
+    a = alike(active).select("own", "n").distinct().select("own", "n", _names(F.col("own")))
+    shared = a.join(b, "f").groupBy("own", "n", "b", "n_b").agg(F.count("*").cast("int").alias("shared"))
+    best = _two_first(shared.withColumn("total", F.col("n") + F.col("n_b") - F.col("shared")), ["own", "n"], -F.col("shared") / F.col("total"), "b")
+    best = materialize(best.select("own", "n", "b", "shared", "total"), "best-of-classes")
+    best = F.broadcast(best) if best.count() <= MAX_BROADCAST_GROUPS else large(best)
+    return alike(active).join(best, ["own", "n"]).where("set <> b").select(F.col("set").alias("a"), "b", "shared", "total")
 
 
 def most_similar(sets: DataFrame, frequent: int = FREQUENT, steps=STEPS) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomspark import registry
 from loomspark.functions import numeric
-from loomspark.operators import ranking
+from loomspark.operators import ranking, set_search
 from loomspark.plans import reports, store, trees
 
 
@@ -67,3 +67,14 @@ def test_ranks_of_more_values_than_may_be_broadcast_are_joined_by_shuffles(spark
         joins = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
         assert not joins and out.count() == 600
     assert {(r.x, r.x_rank) for r in ranking.ranking_features(df, ["x"], "min").collect()} == {(i, 6.0 * i + 1) for i in range(100)}
+
+
+def test_sets_of_one_frequent_feature_are_compared_by_classes(spark):
+    n = F.col("id")
+    sets = spark.range(6000).select(n.alias("set"), F.concat(F.array(F.lit("all")), F.transform(F.sequence(F.lit(1), n % 5 + 1), lambda i: F.concat(n.cast("string"), F.lit("-"), i.cast("string")))).alias("fs"))
+    ranked = set_search._rarest_first(sets)
+    assert set_search.similar_pairs(ranked, ranked, 4, 10).count() == 0  # 1200 * 1199 if sets of two features met by the frequent one
+    found = set_search._by_frequent(ranked, ranked, 1000)
+    assert found.count() <= 2 * 6000 and [r.b for r in found.where("a = 7").orderBy(F.col("shared") / F.col("total"), F.desc("b")).collect()] == [5, 0]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # no task gets all sets of a feature
