@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.numeric import usable_columns
 from ..operators import binning, categorical, domain, polynomial, quality, ranking, statistical, text
+from ..storage import materialize
 from .operations import operation_of
 
 @dataclass
@@ -45,7 +46,7 @@ def build(df: DataFrame, groups=(), values=None, texts=(), target: str | None =
     """
     lineage = {c.lower(): "original" for c in df.columns}
     values = usable_columns(df, list(values) if values is not None else None)
-    out = df
+    df = out = materialize(df, "original-columns")  # it is profiled several times
 
     def note(stage: str) -> None:
         lineage.update({c.lower(): stage for c in out.columns if c.lower() not in lineage})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomspark import registry
 from loomspark.functions import numeric
 from loomspark.operators import ranking, set_search
-from loomspark.plans import reports, store, trees
+from loomspark.plans import pipeline, reports, store, trees
 
 
 def _plans(monkeypatch, *modules):
@@ -78,3 +78,15 @@ def test_sets_of_one_frequent_feature_are_compared_by_classes(spark):
     assert found.count() <= 2 * 6000 and [r.b for r in found.where("a = 7").orderBy(F.col("shared") / F.col("total"), F.desc("b")).collect()] == [5, 0]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # no task gets all sets of a feature
+
+
+def test_features_are_made_from_rows_that_are_computed_once(spark):
+    computed = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        computed.add(1)
+        return float(x)
+
+    df = spark.range(200).repartition(4).select("id", (F.col("id") % 3).cast("string").alias("g"), F.udf(seen, "double")("id").alias("x"))
+    out = pipeline.build(df, ["g"], ["x"], target="x").data
+    assert out.count() == 200 and "x_mean_by_g" in out.columns and computed.value == 200
