@@ -21,6 +21,10 @@ PATTERNS = {
 }
 
 
+#: What a text with such a pattern has for certain.
+MARKS = {"email": "@", "time": ":"}
+
+
 def count_of(text: Column, chars: str) -> Column:
     """How many characters of a class (as in a regular expression's brackets) a text has."""
     return F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]+", ""))
@@ -36,11 +40,17 @@ def words(text: Column) -> Column:
 
 
 def char_entropy(text: Column) -> Column:
-    """Shannon entropy of a text's characters in bits: each different character is counted by the bytes that go with it."""
+    """Shannon entropy of a text's characters in bits: each different character, from the first on, is taken out of what is left and counted by the bytes that go with it."""
     n = F.length(text).cast("double")
-    count = lambda c: (F.octet_length(text) - F.octet_length(F.replace(text, c, F.lit("")))) / F.octet_length(c)
-    part = F.aggregate(F.transform(F.array_remove(F.array_distinct(F.split(text, "")), ""), count), F.lit(0.0), lambda acc, k: acc + k * F.log2(k))
-    return F.when(n > 0, F.log2(n) - part / n).otherwise(0.0)
+    start = F.struct(text.alias("left"), F.octet_length(text).alias("bytes"), F.lit(1).alias("width"), F.lit(0.0).alias("part"))  # bytes: before the last character, of this width, went
+
+    def part(acc):
+        k = (acc["bytes"] - F.octet_length(acc["left"])) / acc["width"]
+        return acc["part"] + F.when(k > 0, k * F.log2(k)).otherwise(0.0)
+
+    take = lambda acc, c: F.struct(F.replace(acc["left"], c, F.lit("")).alias("left"), F.octet_length(acc["left"]).alias("bytes"), F.octet_length(c).alias("width"), part(acc).alias("part"))
+    chars = F.array_remove(F.array_distinct(F.split(text, "")), "")
+    return F.when(n > 0, F.log2(n) - F.aggregate(chars, start, take, part) / n).otherwise(0.0)
 
 
 def text_features(df: DataFrame, col: str, patterns: bool = True, complexity: bool = True) -> DataFrame:
@@ -58,7 +68,7 @@ def text_features(df: DataFrame, col: str, patterns: bool = True, complexity: bo
     new |= {"is_empty": n == 0, "is_numeric": s.rlike(r"^[0-9]+$"), "is_alpha": s.rlike(r"^\p{L}+$"), "is_alphanumeric": s.rlike(r"^[\p{L}\p{N}]+$"), "starts_with_capital": s.rlike(r"^\p{Lu}")}
     new |= {"is_all_caps": (F.upper(s) == s) & (F.lower(s) != s), "is_all_lower": (F.lower(s) == s) & (F.upper(s) != s)}
     if patterns:
-        new |= {f"has_{k}": s.rlike(v) for k, v in PATTERNS.items()}
+        new |= {f"has_{k}": s.contains(MARKS[k]) & s.rlike(v) if k in MARKS else s.rlike(v) for k, v in PATTERNS.items()}
         new |= {"hashtag_count": F.size(F.split(s, "#[A-Za-z0-9_]")) - 1, "mention_count": F.size(F.split(s, "@[A-Za-z0-9_]")) - 1}
     if complexity:
         sentences = F.size(F.split(s, "[.!?]+")) - 1

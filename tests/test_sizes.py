@@ -1,12 +1,14 @@
 """What grows with the input stays off the driver, off single tasks and in proportion."""
 
+import math
+
 import compare
 import pytest
 from pyspark.sql import functions as F
 
 from loomspark import registry
 from loomspark.functions import numeric
-from loomspark.operators import ranking, set_search
+from loomspark.operators import ranking, set_search, text
 from loomspark.plans import pipeline, reports, store, trees
 
 
@@ -90,3 +92,12 @@ def test_features_are_made_from_rows_that_are_computed_once(spark):
     df = spark.range(200).repartition(4).select("id", (F.col("id") % 3).cast("string").alias("g"), F.udf(seen, "double")("id").alias("x"))
     out = pipeline.build(df, ["g"], ["x"], target="x").data
     assert out.count() == 200 and "x_mean_by_g" in out.columns and computed.value == 200
+
+
+def test_entropy_takes_characters_out_of_what_is_left(spark):
+    texts = ["", "a", "aab", "äöä𝒳x𝒳", "abc" * 50 + "é" * 7, "\n\n \t", "".join(chr(300 + i) for i in range(500))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.char_entropy(F.col("t")).alias("e"))
+    for r in df.collect():
+        shares = [r.t.count(c) / len(r.t) for c in set(r.t)]
+        assert r.e == pytest.approx(-sum(p * math.log2(p) for p in shares), abs=1e-9)
+    assert "left" in df._jdf.queryExecution().analyzed().toString()  # what is left of a text is handed on
